@@ -1,20 +1,22 @@
 """SimHash near-duplicate groups.
 
-Fingerprints are made in Arrow batches. Distinct fingerprints meet in buckets that share two of five bit blocks (at most
-three differing bits leave two blocks untouched, so no link is lost); inside a bucket, bit planes stored vertically are
-compared with carry-save counters and a block is abandoned once every distance exceeds the radius. Only spanning links
-leave a bucket, never all its pairs.
+Fingerprints are made in Arrow batches. Distinct fingerprints meet in buckets of equal bits; inside a bucket, bit planes
+stored vertically are compared with carry-save counters and a block is abandoned once every distance exceeds the radius.
+Only spanning links leave a bucket, never all its pairs.
+
+Two plans of buckets: EXACT (64 bits, radius 3: two of five bit blocks, which three differing bits always leave
+untouched, so no link is lost) and SIMILAR (256 bits for a shingle similarity of 0.8: forty seeded samples of 16 bits).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -22,84 +24,127 @@ from palmleaf.operators.components import connected_components
 from palmleaf.shared import materialize
 
 SEED = 42
-RADIUS = 3
-#: Bit blocks of a fingerprint, as (first bit, width); buckets share two of them.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Distinct fingerprints of a bucket that one task compares; larger buckets are dealt out as pairs of chunks.
 CHUNK = 2048
 #: Rows of small buckets that are compared together.
 PACK = 512
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """64-bit SimHash of the word shingles of a text; 0 without words. A-Z count as a-z."""
+@dataclass(frozen=True)
+class Plan:
+    """``bits`` of a fingerprint, shingle ``width`` in words, ``radius`` in bits, and the bit positions of each bucket key."""
+
+    bits: int
+    width: int
+    radius: int
+    keys: tuple[tuple[int, ...], ...]
+
+
+_BLOCKS = [range(0, 13), range(13, 26), range(26, 39), range(39, 52), range(52, 64)]
+EXACT = Plan(64, 3, 3, tuple((*a, *b) for a, b in combinations(_BLOCKS, 2)))
+
+
+def similar_plan(similarity: float = 0.8, width: int = 5, bits: int = 256, tables: int = 40, key_bits: int = 16) -> Plan:
+    """Plan for texts whose sets of word shingles have a Jaccard ``similarity`` or more.
+
+    Two sets of Jaccard s have cosine 2s / (1 + s); the angle gives the expected share of differing bits. The radius is
+    that number and half a standard deviation. A pair just at 0.8 shares a key in some table with probability 0.95, at
+    0.85 with 0.99; near copies are linked through each other besides.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    radius = round(bits * share + 0.5 * np.sqrt(bits * share * (1 - share)))
+    draw = np.random.default_rng(SEED)
+    return Plan(bits, width, radius, tuple(tuple(sorted(map(int, draw.choice(bits, key_bits, replace=False)))) for _ in range(tables)))
+
+
+def fingerprint(text: bytes | None, width: int = 3, bits: int = 64) -> bytes:
+    """SimHash of the word shingles of a text, big-endian; zeros without words. A-Z count as a-z.
+
+    The first 64 bits come from XXH64 with seed 42, each further 64 from a remixing of that hash.
+    """
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return bytes(bits // 8)
     if len(words) < width:
         grams, n = iter([b" ".join(words)]), 1
     else:
         grams, n = map(b" ".join, zip(*(words[i:] for i in range(width)))), len(words) - width + 1
     hashes = np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, 16384):
-        counts += np.unpackbits(hashes[i : i + 16384].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    out = b""
+    for word in range(bits // 64):
+        if word:
+            hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(29)
+        counts = np.zeros(64, np.int64)
+        for i in range(0, n, 16384):
+            counts += np.unpackbits(hashes[i : i + 16384].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out += np.packbits(counts * 2 > n).tobytes()
+    return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: one row per input row, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, plan: Plan = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, fp)``: one row per input row, the fingerprint as binary."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             texts = b.column(1).cast(pa.large_binary())
-            fp = np.fromiter((fingerprint(t.as_py(), width) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = pa.array([fingerprint(t.as_py(), plan.width, plan.bits) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
 
     key = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batches, f"doc_id {key}, fp bigint")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batches, f"doc_id {key}, fp binary")
+
+
+def as_matrix(fps: pa.Array) -> np.ndarray:
+    """(n, bits / 64) words of binary fingerprints."""
+    joined = np.frombuffer(b"".join(fps.to_pylist()), ">u8").astype(np.uint64)
+    return joined.reshape(len(fps), -1)
+
+
+def as_bits(values: np.ndarray) -> np.ndarray:
+    """(n, bits) of 0 and 1, the most significant bit first."""
+    return np.unpackbits(values.astype(">u8").view(np.uint8).reshape(len(values), -1), axis=1)
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
-    """(64, ceil(n / 64)) words: plane b holds bit b of every value, one value a bit."""
-    n = -(-len(values) // 64) * 64
-    bits = np.zeros((64, n), np.uint8)
-    for b in range(64):
-        bits[b, : len(values)] = (values >> np.uint64(b)).astype(np.uint8) & 1
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    """(bits, ceil(n / 64)) words: plane b holds bit b of every value, one value a bit."""
+    bits = as_bits(values)
+    padded = np.zeros((bits.shape[1], -(-len(values) // 64) * 64), np.uint8)
+    padded[:, : len(values)] = bits.T
+    return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
 
-def within_radius(queries: np.ndarray, planes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+def within_radius(queries: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarray:
     """(queries, words) bit masks of the values at ``radius`` or fewer differing bits.
 
     Carry-save counters add one plane of differences to all distances of a block at a time; the carry out of the top
     counter marks distances that are past the radius, and the block is abandoned when that is all of them.
     """
-    levels = int(radius).bit_length()
+    bits, levels = as_bits(queries).astype(np.uint64), int(radius).bit_length()
     counters = np.zeros((levels, len(queries), planes.shape[1]), np.uint64)
     past = np.zeros(counters.shape[1:], np.uint64)
     start = (1 << levels) - 1 - radius  # so that the carry leaves the top counter just past the radius
     for k in range(levels):
         if start >> k & 1:
             counters[k] = ~np.uint64(0)
-    for b in range(64):
-        flip = np.uint64(0) - (queries >> np.uint64(b) & np.uint64(1))
-        carry = planes[b][None, :] ^ flip[:, None]
+    for b in range(len(planes)):
+        carry = planes[b][None, :] ^ (np.uint64(0) - bits[:, b])[:, None]
         for k in range(levels):
-            counters[k], carry = counters[k] ^ carry, counters[k] & carry
+            held = counters[k] & carry
+            counters[k] ^= carry
+            carry = held
         past |= carry
         if b % 8 == 7 and (past == ~np.uint64(0)).all():
             break
     return ~past
 
 
-def spanning_links(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (larger value's index, smallest index of its component) that span the components within ``values``."""
+def spanning_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and, for each, the first row of its component within ``values``; first rows themselves are left out."""
     n, planes = len(values), bit_planes(values)
     near = np.vstack([within_radius(values[i : i + PACK], planes, radius) for i in range(0, n, PACK)])
-    tail = n % 64
-    if tail:
-        near[:, -1] &= np.uint64((1 << tail) - 1)
+    if n % 64:
+        near[:, -1] &= np.uint64((1 << n % 64) - 1)
     busy = np.flatnonzero(np.bitwise_count(near).sum(axis=1, dtype=np.int64) > 1)
     label = np.arange(n)
     while len(busy):
@@ -113,92 +158,88 @@ def spanning_links(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int,
             break
         label = new
     own = np.flatnonzero(label != np.arange(n))
-    return list(zip(own.tolist(), label[own].tolist()))
+    return own, label[own]
 
 
-def _bucket_links(radius: int):
-    def groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_buckets(radius: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket. Whole small buckets are packed together, a large one stands alone."""
 
-        def out(packs: list[np.ndarray]) -> pa.RecordBatch:
-            v = np.unique(np.concatenate(packs))
-            links = spanning_links(v, radius)
-            a, b = ([x[i] for x in links] for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(v[np.array(x, np.int64)].view(np.int64)) for x in (a, b)], ["src", "dst"])
+        def links(parts: list[pa.Array]) -> pa.RecordBatch:
+            fps = pa.concat_arrays(parts).unique()
+            own, first = spanning_links(as_matrix(fps), radius)
+            return pa.RecordBatch.from_arrays([fps.take(pa.array(own)), fps.take(pa.array(first))], ["src", "dst"])
 
-        held: list[np.ndarray] = []
-        size, open_key, open_rows = 0, None, []
+        held, size, key, rows = [], 0, None, []
         for b in it:
-            key = b.column(0).to_numpy(zero_copy_only=False)
-            fp = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.array([], int)
-            for lo, hi in zip(cut, np.r_[cut[1:], len(key)]):
-                if open_rows and key[lo] != open_key:
-                    got = np.concatenate(open_rows) if len(open_rows) > 1 else open_rows[0]
-                    open_rows = []
-                    if len(got) > 1:
-                        held.append(got)
-                        size += len(got)
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if rows and keys[lo] != key:
+                    if (n := sum(map(len, rows))) > 1:
+                        held, size = held + rows, size + n
                         if size >= PACK:
-                            yield out(held)
+                            yield links(held)
                             held, size = [], 0
-                open_key = key[lo]
-                open_rows.append(fp[lo:hi])
-        if open_rows and sum(map(len, open_rows)) > 1:
-            held += open_rows
+                    rows = []
+                key = keys[lo]
+                rows.append(b.column(1).slice(lo, hi - lo))
+        if sum(map(len, rows)) > 1:
+            held = held + rows
         if held:
-            yield out(held)
+            yield links(held)
 
-    return groups
+    return run
 
 
-def _bucket_keys(fp: Column) -> Column:
-    """The ten bucket keys of a fingerprint, as longs that also tell which two blocks they hold."""
-    keys = []
-    for number, ((a, wa), (b, wb)) in enumerate(combinations(BLOCKS, 2)):
-        bits = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in ((a, wa), (b, wb))]
-        keys.append(F.lit(number << 40).bitwiseOR(F.shiftleft(bits[0], 16)).bitwiseOR(bits[1]).cast("long"))
-    return F.array(*keys)
+def _bucket_keys(plan: Plan):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows == 0:
+                continue
+            bits = as_bits(as_matrix(b.column(0)))
+            for number, places in enumerate(plan.keys):
+                key = bits[:, places].astype(np.int64) @ (np.int64(1) << np.arange(len(places), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key + (number << 48)), b.column(0)], ["bucket", "fp"])
+
+    return run
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Spanning links ``(src, dst)`` between distinct fingerprints (column ``fp``) at ``radius`` (3 at most) or fewer bits.
+def fingerprint_links(fps: DataFrame, plan: Plan = EXACT) -> DataFrame:
+    """Spanning links ``(src, dst)`` between distinct fingerprints (column ``fp``) within the radius of the plan.
 
     A bucket of more than CHUNK fingerprints is cut by hash into c chunks and compared as c (c + 1) / 2 pairs of chunks
     in as many tasks, so no bucket is gathered whole.
     """
-    if radius > RADIUS:
-        raise ValueError("two of five blocks are only sure to be equal up to three differing bits")
-    rows = fps.select("fp", F.explode(_bucket_keys(F.col("fp"))).alias("bucket"))
+    rows = fps.select("fp").mapInArrow(_bucket_keys(plan), "bucket bigint, fp binary")
     large = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
     large = large.select(F.col("bucket").alias("b"), F.ceil(F.col("n") / F.lit(CHUNK // 2)).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    partners = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(chunk, o).cast("long") * F.lit(1 << 20) + F.greatest(chunk, o))
-    )
-    dealt = rows.join(large.hint("shuffle_hash"), F.col("bucket") == F.col("b"), "left").select("bucket", "fp", F.explode(partners).alias("pair"))
-    key = F.xxhash64("bucket", "pair").alias("key")
-    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.select(key, "fp").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_bucket_links(radius), "src bigint, dst bigint")
+    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("long")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(chunk, o.cast("long")) * F.lit(1 << 20) + F.greatest(chunk, o.cast("long")))
+    pairs = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
+    dealt = rows.join(large.hint("shuffle_hash"), F.col("bucket") == F.col("b"), "left").select("bucket", "fp", F.explode(pairs).alias("pair"))
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select(F.xxhash64("bucket", "pair").alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_compare_buckets(plan.radius), "src binary, dst binary")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, fp, component_id)``: documents linked by fingerprints at ``radius`` or fewer differing bits.
+def near_duplicate_groups(docs: DataFrame, plan: Plan = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, fp, component_id)``: documents linked by fingerprints within the radius of the plan.
 
     component_id is the smallest doc_id reachable. Null and empty texts have fingerprint 0 and are linked like any
     other; rows repeated with one doc_id stay repeated; a null doc_id is no candidate for component_id (a group of null
     ids only has a null component); an empty table gives no rows. Columns other than the two named are not read.
     """
-    marks = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    marks = materialize(fingerprints(docs, plan, id_col, text_col), "fingerprints")
     distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    named = distinct.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    named = materialize(named, "roots")
+    roots = connected_components(fingerprint_links(distinct, plan))
+    named = distinct.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left")
+    named = materialize(named.select("fp", "first_id", F.coalesce("component", "fp").alias("root")), "roots")
     low = named.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "r")
     classes = named.join(low.hint("merge"), F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     return marks.join(classes.hint("merge"), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
-    """Digest of near_duplicate_groups with 3-word shingles: fingerprint as 16 hex digits."""
-    return near_duplicate_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    """Digest of near_duplicate_groups by the exact plan: fingerprint as 16 hex digits."""
+    return near_duplicate_groups(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
