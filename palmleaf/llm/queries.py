@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from palmleaf.llm import simhash
+from palmleaf.llm import mixing, sharding, simhash
 from palmleaf.shared import table
 
 QUERIES = {
     "op1_simhash_dedup": lambda spark, sf: simhash.simhash_report(table(spark, sf, "documents")),
+    "op6_mixing": lambda spark, sf: mixing.mixture_report(table(spark, sf, "documents")),
+    "op10_sharding": lambda spark, sf: sharding.shard_report(table(spark, sf, "documents")),
 }
-ORACLE = {}
+ORACLE = {"op6_mixing": mixing.mixture_sql()}
