@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from palmleaf.llm import mixing, packing, sharding, simhash
+from palmleaf.llm import mixing, neighbours, packing, sharding, simhash
 from palmleaf.shared import table
 
 QUERIES = {
     "op1_simhash_dedup": lambda spark, sf: simhash.simhash_report(table(spark, sf, "documents")),
+    "op3_neighbours": lambda spark, sf: neighbours.neighbours_report(table(spark, sf, "embeddings")),
     "op5_packing": lambda spark, sf: packing.packing_report(table(spark, sf, "documents")),
     "op6_mixing": lambda spark, sf: mixing.mixture_report(table(spark, sf, "documents")),
     "op10_sharding": lambda spark, sf: sharding.shard_report(table(spark, sf, "documents")),
