@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palmleaf.llm import mixing, neighbours, packing, sharding, simhash
+from palmleaf.llm import capfilters, mixing, neighbours, packing, sharding, simhash
 from palmleaf.shared import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_neighbours": lambda spark, sf: neighbours.neighbours_report(table(spark, sf, "embeddings")),
     "op5_packing": lambda spark, sf: packing.packing_report(table(spark, sf, "documents")),
     "op6_mixing": lambda spark, sf: mixing.mixture_report(table(spark, sf, "documents")),
+    "op8_embedding_dedup": lambda spark, sf: capfilters.near_duplicates(table(spark, sf, "embeddings")),
     "op10_sharding": lambda spark, sf: sharding.shard_report(table(spark, sf, "documents")),
 }
 ORACLE = {"op6_mixing": mixing.mixture_sql()}
