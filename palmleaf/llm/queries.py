@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palmleaf.llm import capfilters, htmltext, langid, mixing, neighbours, packing, sharding, simhash
+from palmleaf.llm import capfilters, chat, htmltext, langid, mixing, neighbours, packing, sharding, simhash
 from palmleaf.shared import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_neighbours": lambda spark, sf: neighbours.neighbours_report(table(spark, sf, "embeddings")),
     "op5_packing": lambda spark, sf: packing.packing_report(table(spark, sf, "documents")),
     "op6_mixing": lambda spark, sf: mixing.mixture_report(table(spark, sf, "documents")),
+    "op7_chat": lambda spark, sf: chat.chat_report(table(spark, sf, "conversations")),
     "op8_embedding_dedup": lambda spark, sf: capfilters.near_duplicates(table(spark, sf, "embeddings")),
     "op9_html_text": lambda spark, sf: htmltext.extraction_report(table(spark, sf, "pages")),
     "op10_sharding": lambda spark, sf: sharding.shard_report(table(spark, sf, "documents")),
