@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from palmleaf.llm import capfilters, chat, htmltext, langid, mixing, neighbours, packing, sharding, simhash
+from palmleaf.llm import capfilters, chat, htmltext, langid, mixing, neighbours, packing, sharding, simhash, substring
 from palmleaf.shared import table
 
 QUERIES = {
     "op1_simhash_dedup": lambda spark, sf: simhash.simhash_report(table(spark, sf, "documents")),
     "op2_language": lambda spark, sf: langid.language_report(table(spark, sf, "documents")),
     "op3_neighbours": lambda spark, sf: neighbours.neighbours_report(table(spark, sf, "embeddings")),
+    "op4_substring_dedup": lambda spark, sf: substring.substring_report(table(spark, sf, "documents")),
     "op5_packing": lambda spark, sf: packing.packing_report(table(spark, sf, "documents")),
     "op6_mixing": lambda spark, sf: mixing.mixture_report(table(spark, sf, "documents")),
     "op7_chat": lambda spark, sf: chat.chat_report(table(spark, sf, "conversations")),
