@@ -46,6 +46,15 @@ class WaveletMatrix:
         return self._descend(symbol, at) - self.base[symbol]
 
 
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """Place of each key among the distinct keys in order."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+    return out
+
+
 class FMIndex:
     """Index of sequences of positive symbols, each with a weight (how often it occurs), for patterns of up to ``depth``."""
 
@@ -53,21 +62,21 @@ class FMIndex:
         ends = np.zeros(1, np.int64)
         text = np.concatenate([x for s in sequences for x in (s, ends)])
         n, self.depth = len(text), depth
-        # suffix order by prefix doubling, as far as patterns and the longest sequence reach
-        ranks = [np.unique(text, return_inverse=True)[1].astype(np.int64)]
-        length = 1
+        # suffix order by prefix doubling from three symbols on, as far as patterns reach
+        top = int(text.max())
+        after = lambda k: np.concatenate([text[k:], np.zeros(min(k, n), np.int64)])[:n]
+        ranks, length = [_ranked((text * (top + 1) + after(1)) * (top + 1) + after(2))], 3
         while length < depth + 1:
             nxt = np.concatenate([ranks[-1][length:], np.full(min(length, n), -1)])[:n]
-            ranks.append(np.unique(ranks[-1] * (n + 2) + nxt + 1, return_inverse=True)[1].astype(np.int64))
+            ranks.append(_ranked(ranks[-1] * (n + 2) + nxt + 1))
             length *= 2
-        suffixes = np.argsort(ranks[-1], kind="stable")
-        # longest common prefixes of neighbours, from the ranks of each length
+        suffixes = np.argsort(ranks[-1])
+        # longest common prefixes of neighbours, from the ranks of each length and then symbol by symbol
         a, b, common = suffixes[:-1], suffixes[1:], np.zeros(n - 1, np.int64)
-        for k in range(len(ranks) - 1, -1, -1):
+        for size, rank in [*((3 << k, r) for k, r in reversed(list(enumerate(ranks)))), (1, text), (1, text)]:
             x, y = a + common, b + common
             inside = (x < n) & (y < n)
-            same = inside & (ranks[k][np.where(inside, x, 0)] == ranks[k][np.where(inside, y, 0)])
-            common += np.where(same, 1 << k, 0)
+            common += size * (inside & (rank[np.where(inside, x, 0)] == rank[np.where(inside, y, 0)]))
         common = np.concatenate([[-1], common, [-1]])
         at = np.arange(n + 1)
         self.first = np.empty((depth, n + 1), np.int32)
@@ -78,7 +87,6 @@ class FMIndex:
             self.past[d] = np.minimum.accumulate(np.where(cut, at, n)[::-1])[::-1]
         self.common = common
         self.n = n
-        top = int(text.max())
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
         self.wavelet = WaveletMatrix(text[suffixes - 1], top)
         per_symbol = np.repeat(weights, [len(s) + 1 for s in sequences])
@@ -90,7 +98,7 @@ class FMIndex:
         return both[: len(lo)], both[len(lo) :]
 
     def repeated_windows(self, sequences: list[np.ndarray], window: int) -> np.ndarray:
-        """For each sequence (of up to 64 symbols) a mask: bit i says that the ``window`` symbols from i on weigh two or more in the index.
+        """(sequences, longest) flags: place i of a row says that the ``window`` symbols from i on weigh two or more in the index.
 
         All sequences stream through at once, from their ends. A lane holds the longest match at its position that weighs
         two; one that cannot be extended is cut to the next shorter one with more rows.
@@ -102,7 +110,7 @@ class FMIndex:
             symbols[k, : len(s)] = s
         at = np.array([len(s) for s in sequences]) - 1
         lo, hi, length = np.zeros(lanes, np.int64), np.full(lanes, self.n, np.int64), np.zeros(lanes, np.int64)
-        found = np.zeros(lanes, np.uint64)
+        found = np.zeros((lanes, longest), bool)
         live = np.flatnonzero(at >= 0)
         while len(live):
             l, h, q, i = lo[live], hi[live], length[live], at[live]
@@ -112,7 +120,7 @@ class FMIndex:
             good = live[ok]
             lo[good], hi[good], length[good] = nl[ok], nh[ok], q[ok] + 1
             full = good[length[good] == window]
-            found[full] |= np.uint64(1) << at[full].astype(np.uint64)
+            found[full, at[full]] = True
             lo[full], hi[full] = self.first[window - 1, lo[full]], self.past[window - 1, hi[full]]
             length[full] = window - 1
             at[good] -= 1

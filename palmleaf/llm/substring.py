@@ -26,7 +26,10 @@ from palmleaf.shared import materialize
 WINDOW, GRAM = 35, 10
 REACH = WINDOW - GRAM
 #: Different segments of one anchor that a shard takes whole, and words of the shards a task indexes at a time.
-ANCHOR_MOST, SHARD_WORDS = 1000, 120_000
+ANCHOR_MOST, SHARD_WORDS = 1000, 200_000
+#: Words of a run of segments that moves as one piece.
+RUN_WORDS = 256
+_MEMBERS = pa.list_(pa.struct([("anchor", pa.int64()), ("segment", pa.int64()), ("first", pa.int32()), ("size", pa.int32())]))
 #: Words hashed at a time.
 SLICE = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -122,67 +125,83 @@ def _cut_windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the segments asked for of a document: around an anchor, or a single window."""
+    """Words of the segments asked for of a document: around an anchor, or a single window.
+
+    Anchors that follow each other closely and each have one kind of segment, as in a copied text, go as one run.
+    ``members`` are the segments in a piece: anchor, segment, first word in the piece, words.
+    """
     for b in it:
         out: list[tuple] = []
         for text, asked in zip(b.column("text").cast(pa.large_binary()), b.column("asked")):
             words = (text.as_py() or b"").split()
-            for a in asked.as_py():
-                lo = max(0, a["at"] - (0 if a["single"] else REACH))
-                out.append((a["anchor"], a["segment"], a["n"], a["at"] - lo, b" ".join(words[lo : a["at"] + WINDOW])))
+            run: list[dict] = []
+
+            def close() -> None:
+                first = max(0, run[0]["at"] - (0 if run[0]["single"] else REACH))
+                spans = [(a["anchor"], a["segment"], (lo := max(0, a["at"] - (0 if a["single"] else REACH))) - first, a["at"] + WINDOW - lo) for a in run]
+                tag = run[0]["at"] - first if len(run) == 1 else -1
+                out.append((run[0]["anchor"], run[0]["n"], tag, b" ".join(words[first : run[-1]["at"] + WINDOW]), [dict(zip(("anchor", "segment", "first", "size"), s)) for s in spans]))
+
+            for a in sorted(asked.as_py(), key=lambda a: (a["single"], a["at"])):
+                follows = run and a["alone"] and run[-1]["alone"] and a["n"] == run[-1]["n"] and a["at"] - run[-1]["at"] <= REACH and a["at"] - run[0]["at"] < RUN_WORDS
+                if run and not follows:
+                    close()
+                    run = []
+                run = [*run, a]
+            if run:
+                close()
         for k in range(0, len(out), 5000):
             cols = list(zip(*out[k : k + 5000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["anchor", "segment", "n", "before", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), _MEMBERS))], ["anchor", "n", "tag", "words", "members"])
 
 
-def shard_report(rows: pd.DataFrame) -> np.ndarray:
-    """Masks of the words of each segment that repeated windows cover; rows: anchor, n, before, words.
+def shard_report(n: np.ndarray, anchor: np.ndarray, tag: np.ndarray, pieces: list[list[bytes]]) -> np.ndarray:
+    """(pieces, words) flags of the words of each piece that repeated windows cover.
 
-    The first word of a segment's anchor is told apart by the anchor, so a window counts once for each place in the
-    corpus however many segments hold it.
+    In a piece with one anchor the word at ``tag``, the anchor's first, is told apart by the anchor, so a window counts
+    once for each place in the corpus however many pieces hold it.
     """
-    split = [w.split() for w in rows["words"]]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    symbol = pd.factorize(np.array([w for s in split for w in s], object))[0].astype(np.int64) + 1
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    symbol = pd.factorize(np.array([w for s in pieces for w in s], object))[0].astype(np.int64) + 1
     starts = np.cumsum(lengths) - lengths
-    tagged = starts + rows["before"].to_numpy()
-    group = pd.factorize(rows["anchor"])[0].astype(np.int64)
+    one = tag >= 0
+    tagged = starts[one] + tag[one]
+    group = pd.factorize(anchor[one])[0].astype(np.int64)
     symbol[tagged] = symbol.max() + 1 + pd.factorize(group * (symbol.max() + 1) + symbol[tagged])[0]
     sequences = np.split(symbol, starts[1:])
-    windows = FMIndex(sequences, rows["n"].to_numpy(), WINDOW).repeated_windows(sequences, WINDOW)
-    cover = np.zeros(len(windows), np.uint64)
-    for k in range(WINDOW):
-        cover |= windows << np.uint64(k)
-    return cover
+    windows = FMIndex(sequences, n, WINDOW).repeated_windows(sequences, WINDOW)
+    upto = np.cumsum(np.pad(windows, ((0, 0), (WINDOW, 64))), axis=1, dtype=np.int32)
+    return upto[:, WINDOW:] > upto[:, :-WINDOW]
 
 
 def _report(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by anchor; whole anchors make a shard."""
-    held, size = [], 0
+    held: list[pd.DataFrame] = []
 
     def done() -> pd.DataFrame:
         rows = pd.concat(held, ignore_index=True)
-        cover = shard_report(rows)
-        return pd.DataFrame({"anchor": rows["anchor"], "segment": rows["segment"], "cover": cover.view(np.int64)})[cover != 0]
+        covered = shard_report(*(rows[c].to_numpy() for c in ("n", "anchor", "tag")), [w.split() for w in rows["words"]])
+        members = [(k, *(m[c] for c in ("anchor", "segment", "first", "size"))) for k, ms in enumerate(rows["members"]) for m in ms]
+        row, anchor, segment, first, size = (np.array(x, np.int64) for x in zip(*members))
+        place = np.arange(64)
+        bits = covered[row[:, None], np.minimum(first[:, None] + place, covered.shape[1] - 1)] & (place < size[:, None])
+        cover = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+        return pd.DataFrame({"anchor": anchor, "segment": segment, "cover": cover})[cover != 0]
 
     tail = None
     for pdf in it:
         pdf = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
         if not len(pdf):
             continue
-        key = pdf["anchor"].to_numpy()
-        cuts = [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+        key, words = pdf["anchor"].to_numpy(), np.cumsum(np.fromiter(map(len, pdf["words"]), np.int64, len(pdf)) // 6)
         last = 0
-        for c in cuts:
-            if size + (c - last) * (WINDOW + REACH) >= SHARD_WORDS and c > last:
+        for c in (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist():
+            grown = int(words[c - 1] - (words[last - 1] if last else 0))
+            if grown >= SHARD_WORDS:
                 held.append(pdf.iloc[last:c])
                 yield done()
-                held, size, last = [], 0, c
-        end = cuts[-1] if cuts else 0
-        if end > last:
-            held.append(pdf.iloc[last:end])
-            size += (end - last) * (WINDOW + REACH)
-        tail = pdf.iloc[end:]
+                held, last = [], c
+        tail = pdf.iloc[last:]
     if tail is not None:
         held.append(tail)
         yield done()
@@ -203,7 +222,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(found.join(twice.hint("merge"), F.col("anchor") == F.col("a")).drop("a"), "repeated-anchors")
     segments = found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "hash", "at")).alias("one"))
     segments = materialize(segments, "segments")
-    many = materialize(segments.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > ANCHOR_MOST).select(F.col("anchor").alias("a")), "wide-anchors")
+    kinds = materialize(segments.groupBy("anchor").agg(F.count("*").alias("kinds")).select(F.col("anchor").alias("a"), "kinds"), "kinds")
+    many = kinds.where(F.col("kinds") > ANCHOR_MOST)
     # wide anchors, window by window
     wide = found.join(many.hint("merge"), F.col("anchor") == F.col("a")).groupBy("doc_id", "hash").agg(F.collect_set("at").alias("places"))
     wide = wide.withColumnsRenamed({"doc_id": "w_id", "hash": "w_hash"})
@@ -215,12 +235,13 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         windows = whole.mapInArrow(_cut_windows, f"{own}, anchor bigint, at int").join(copies.hint("merge"), _same_document("w_id", "w_hash"))
         windows = materialize(windows.select("doc_id", "hash", "anchor", "at", F.explode(F.expr("array_repeat(0, cast(rows as int))")).alias("_")).drop("_"), "windows")
     singles = windows.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "hash", "at")).alias("one")).where("n > 1")
-    asked = segments.join(many.hint("merge"), F.col("anchor") == F.col("a"), "left_anti").select("anchor", "segment", "n", "one", F.lit(False).alias("single"))
-    asked = asked.unionByName(singles.select("anchor", F.lit(0).cast("long").alias("segment"), "n", "one", F.lit(True).alias("single")))
-    asked = asked.select(F.col("one.doc_id").alias("q_id"), F.col("one.hash").alias("q_hash"), F.struct("anchor", "segment", "n", F.col("one.at").alias("at"), "single").alias("ask"))
+    narrow = kinds.where(F.col("kinds") <= ANCHOR_MOST)
+    asked = segments.join(narrow.hint("merge"), F.col("anchor") == F.col("a")).select("anchor", "segment", "n", "one", F.lit(False).alias("single"), (F.col("kinds") == 1).alias("alone"))
+    asked = asked.unionByName(singles.select("anchor", F.lit(0).cast("long").alias("segment"), "n", "one", F.lit(True).alias("single"), F.lit(False).alias("alone")))
+    asked = asked.select(F.col("one.doc_id").alias("q_id"), F.col("one.hash").alias("q_hash"), F.struct("anchor", "segment", "n", F.col("one.at").alias("at"), "single", "alone").alias("ask"))
     asked = asked.groupBy("q_id", "q_hash").agg(F.collect_list("ask").alias("asked"))
     cut = texts.join(asked.hint("merge"), _same_document("q_id", "q_hash")).select("text", "asked", "doc_id", "hash").dropDuplicates(["doc_id", "hash"])
-    pieces = cut.select("text", "asked").mapInArrow(_cut_segments, "anchor bigint, segment bigint, n bigint, before int, words binary")
+    pieces = cut.select("text", "asked").mapInArrow(_cut_segments, "anchor bigint, n bigint, tag int, words binary, members array<struct<anchor: bigint, segment: bigint, first: int, size: int>>")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     covers = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInPandas(_report, "anchor bigint, segment bigint, cover bigint")
     covers = materialize(covers, "covers").withColumnsRenamed({"anchor": "c_anchor", "segment": "c_segment"})
