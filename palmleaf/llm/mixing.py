@@ -15,6 +15,8 @@ from palmleaf.shared import materialize
 LEVELS = ("domain", "lang", "source")
 #: Hex digits of the order hash that make a cell of a leaf; prefix sums run over cells first, then inside each.
 CELL_DIGITS = 3
+#: Parts in which the rows of a leaf meet its budget.
+SALTS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,9 +58,9 @@ def leaf_budgets(leaves: DataFrame, weights: list[tuple], total: Column, max_epo
     return leaves.join(parent.hint("shuffle_hash"), list(LEVELS), "left").select(*LEVELS, "tokens", F.floor(F.coalesce("budget", F.lit(0.0)) + 1e-6).cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, domain: Column, weights: list[tuple], share: float = 0.5, seed: int = 17, max_epochs: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mixture: every chosen row of ``docs`` once per epoch in which it is chosen, all its columns in struct ``row``,
-    with ``domain, lang, source, epoch, tokens``.
+def mix(docs: DataFrame, domain: Column, weights: list[tuple], share: float = 0.5, seed: int = 17, max_epochs: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The mixture: every chosen row of ``docs`` once per epoch in which it is chosen, its columns (or those in ``keep``) in
+    struct ``row``, with ``domain, lang, source, epoch, tokens``.
 
     docs needs columns lang and source. share: tokens of the mixture as a share of all tokens (words) there are. An epoch
     is an order of the leaf's rows by md5 of seed, epoch and id; the last one is cut where the running tokens would pass
@@ -66,16 +68,17 @@ def mix(docs: DataFrame, domain: Column, weights: list[tuple], share: float = 0.
     along where the prefix reaches them; repeated rows count each; an empty table gives no rows.
     """
     leaf = F.struct(level_name(domain).alias("domain"), level_name(F.col("lang")).alias("lang"), level_name(F.col("source")).alias("source"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), leaf.alias("leaf"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
+    rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), leaf.alias("leaf"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
     slim = materialize(rows.select("id", "leaf.*", "tokens"), "tokens")
     leaves = materialize(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
     everything = leaves.agg(F.sum("tokens")).first()[0] or 0
     budgets = leaf_budgets(leaves, weights, F.lit(float(int(everything * share))), max_epochs)
     budgets = materialize(budgets.selectExpr("domain as b_domain", "lang as b_lang", "source as b_source", "case when tokens > 0 then budget div tokens else 0 end as whole", "case when tokens > 0 then budget % tokens else 0 end as part"), "budgets")
-    # rows of a leaf in the order of its last, partial epoch; one join on the leaf for all rows
-    same = (F.col("domain") == F.col("b_domain")) & (F.col("lang") == F.col("b_lang")) & (F.col("source") == F.col("b_source"))
+    # rows of a leaf in the order of its last, partial epoch; joined on leaf and salt, for one leaf may hold a third of all rows
+    budgets = budgets.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (F.pmod(F.xxhash64("id"), F.lit(SALTS)) == F.col("b_salt")) & (F.col("domain") == F.col("b_domain")) & (F.col("lang") == F.col("b_lang")) & (F.col("source") == F.col("b_source"))
     row = rows.select("row", "id", "leaf.*", "tokens").join(budgets.hint("merge"), same)
-    row = row.drop("b_domain", "b_lang", "b_source").withColumn("rank", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("id"))))
+    row = row.drop("b_domain", "b_lang", "b_source", "b_salt").withColumn("rank", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("id"))))
     row = row.withColumn("cell", F.substring("rank", 1, CELL_DIGITS))
     order = slim.join(budgets.hint("merge"), same).withColumn("cell", F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("id"))), 1, CELL_DIGITS))
     cells = order.groupBy(*LEVELS, "cell").agg(F.sum("tokens").alias("n"))
@@ -95,7 +98,7 @@ SHARE, SEED, EPOCHS = 0.5, 17, 4
 
 def mixture_report(docs: DataFrame) -> DataFrame:
     """Every chosen document and epoch of the production mixture."""
-    out = mix(docs, F.expr(DOMAIN_SQL), WEIGHTS, SHARE, SEED, EPOCHS)
+    out = mix(docs, F.expr(DOMAIN_SQL), WEIGHTS, SHARE, SEED, EPOCHS, keep=["doc_id"])
     return out.select(F.col("row.doc_id").alias("doc_id"), *LEVELS, "epoch", "tokens")
 
 
