@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from palmleaf.plans import essays, graph, history
+
+QUERIES: dict = {**essays.QUERIES, **graph.QUERIES, **history.QUERIES}
+ORACLE: dict[str, str] = {**essays.ORACLE, **graph.ORACLE, **history.ORACLE}
