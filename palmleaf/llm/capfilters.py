@@ -27,6 +27,8 @@ BUCKET, SHARE_MOST = 64, 0.01
 #: Vectors of a bucket that one task compares; larger buckets are dealt out as pairs of chunks.
 CHUNK = 2048
 SLACK = 1e-6
+#: Draws from which tails are estimated, and directions taken beyond what they ask for, since a pair's blocks differ.
+DRAWS, SAFETY = 100_000, 1.5
 
 
 @dataclass(frozen=True)
@@ -42,21 +44,36 @@ class Caps:
         """Caps for ``n`` vectors of ``dim`` components: the share of vectors in a cap is BUCKET / n (SHARE_MOST at most),
         and there are enough directions that a pair at ``cosine`` shares none with probability ``miss`` only."""
         share = min(SHARE_MOST, BUCKET / max(n, 1))
-        tail = lambda t: erfc(t / sqrt(2)) / 2
-        lo, hi = 0.0, 12.0
-        for _ in range(60):
-            lo, hi = ((lo + hi) / 2, hi) if tail((lo + hi) / 2) > share else (lo, (lo + hi) / 2)
-        grid = np.linspace(lo, lo + 8, 4001)
-        rest = np.array([tail((lo - cosine * t) / sqrt(1 - cosine**2)) for t in grid])
-        both = float((rest * np.exp(-(grid**2) / 2)).sum() * (grid[1] - grid[0]) / sqrt(2 * pi))
-        directions = log(1 / miss) / both
+        least, both = cls._tails(dim, cosine, share, np.random.default_rng(seed + 1))
+        directions = SAFETY * log(1 / miss) / both
         blocks = min(dim, 2 if directions < 1e6 else 3 if directions < 1e8 else 4)
         each = ceil(directions ** (1 / blocks))
         draw = np.random.default_rng(seed)
         turn = np.linalg.qr(draw.standard_normal((dim, dim)))[0]
         cut = np.array_split(np.arange(dim), blocks)
         codes = tuple(unit(draw.standard_normal((each, len(c)))) * sqrt(len(c) / dim) for c in cut)
-        return cls(turn, codes, lo / sqrt(dim))
+        return cls(turn, codes, least)
+
+    @staticmethod
+    def _tails(dim: int, cosine: float, share: float, draw: np.random.Generator) -> tuple[float, float]:
+        """The inner product that a random vector reaches with probability ``share``, and the probability that both
+        vectors of a pair reach it: drawn for directions of two blocks, and by the normal law where draws are too few."""
+        x, y = unit(draw.standard_normal((DRAWS, dim))), draw.standard_normal((DRAWS, dim))
+        y = unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+        y = cosine * x + sqrt(1 - cosine**2) * y
+        c = np.hstack([unit(draw.standard_normal((DRAWS, len(k)))) * sqrt(len(k) / dim) for k in np.array_split(np.arange(dim), min(2, dim))])
+        a, b = (x * c).sum(axis=1), (y * c).sum(axis=1)
+        if share * DRAWS >= 100:
+            least = float(np.quantile(a, 1 - share))
+            if hits := int(((a >= least) & (b >= least)).sum()):
+                return least, hits / DRAWS
+        tail = lambda t: erfc(t / sqrt(2)) / 2
+        lo, hi = 0.0, 12.0
+        for _ in range(60):
+            lo, hi = ((lo + hi) / 2, hi) if tail((lo + hi) / 2) > share else (lo, (lo + hi) / 2)
+        grid = np.linspace(lo, lo + 8, 4001)
+        rest = np.array([tail((lo - cosine * t) / sqrt(1 - cosine**2)) for t in grid])
+        return lo / sqrt(dim), float((rest * np.exp(-(grid**2) / 2)).sum() * (grid[1] - grid[0]) / sqrt(2 * pi))
 
     def decode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, direction) of all caps that hold a row, by row and direction."""

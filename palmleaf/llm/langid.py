@@ -20,6 +20,8 @@ LONGEST, PROFILE, FIT_DOCS = 3, 400, 1500
 #: Characters counted at a time.
 SLICE = 1 << 20
 NONE = "und"
+#: Stands for a word border; codes of grams of different lengths never meet, for no code point in them is 0.
+BORDER = 1
 
 _LETTER: list[np.ndarray] = []
 
@@ -32,7 +34,7 @@ def _letters() -> np.ndarray:
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the n-grams of a whole text, lower-cased; anything but letters is a word border (code 0).
+    """Codes and counts of the n-grams of a whole text, lower-cased; anything but letters is a word border.
 
     A code holds up to three code points of 21 bits; a gram may begin or end with a border, but is never one alone and
     never has one inside.
@@ -41,14 +43,12 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     for at in range(0, len(points), SLICE):
         p = points[max(0, at - 2) : at + SLICE].astype(np.int64)
-        p[~_letters()[p]] = 0
-        p = np.concatenate([[0], p, [0]]) if at == 0 or at + SLICE >= len(points) else p
-        p = p[np.r_[True, (p[1:] != 0) | (p[:-1] != 0)]]  # runs of borders are one
-        codes = [p[p != 0]]
+        p[~_letters()[p]] = BORDER
+        p = np.concatenate([[BORDER], p, [BORDER]]) if at == 0 or at + SLICE >= len(points) else p
+        p = p[np.r_[True, (p[1:] != BORDER) | (p[:-1] != BORDER)]]  # runs of borders are one
         two = (p[:-1] << 21) | p[1:]
-        codes.append(two[two != 0])
-        mid = p[1:-1] != 0
-        codes.append(((two[:-1] << 21) | p[2:])[mid])
+        inner = p[1:-1] != BORDER
+        codes = [p[p != BORDER], two[(p[:-1] != BORDER) | (p[1:] != BORDER)], ((two[:-1] << 21) | p[2:])[inner]]
         c, n = np.unique(np.concatenate(codes), return_counts=True)
         found.append(c)
         counts.append(n)
