@@ -26,7 +26,7 @@ from palmleaf.shared import materialize
 WINDOW, GRAM = 35, 10
 REACH = WINDOW - GRAM
 #: Different segments of one anchor that a shard takes whole, and words of the shards a task indexes at a time.
-ANCHOR_MOST, SHARD_WORDS = 1000, 200_000
+ANCHOR_MOST, SHARD_WORDS = 1000, 80_000
 #: Words of a run of segments that moves as one piece.
 RUN_WORDS = 256
 _MEMBERS = pa.list_(pa.struct([("anchor", pa.int64()), ("segment", pa.int64()), ("first", pa.int32()), ("size", pa.int32())]))
