@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -24,11 +25,17 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Later uses neither recompute it nor lose it with an executor, and Spark knows its real size.
+    Later uses neither recompute it nor lose it with an executor, and Spark knows its real size. The shuffle files of
+    the write go with its end, for nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/palmleaf-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
