@@ -120,3 +120,36 @@ def agreement(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.corr(a, b).alias("pearson"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mean_error"))
 
 
+def spearman(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``(n, spearman)``: correlation of average ranks; null where a column has one value only.
+
+    Ranks come from the counts of each value, so the columns should be scores of few levels. Pairs with a null are left out.
+    """
+    cells = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+
+    def ranks(c: str) -> DataFrame:
+        sizes = cells.groupBy(F.col(c).alias(f"v{c}")).agg(F.sum("n").alias("m"))
+        return sizes.selectExpr(f"v{c}", f"sum(m) over (order by v{c}) - (m - 1) / 2.0D as r{c}")
+
+    ranked = cells.join(ranks("a"), F.col("a") == F.col("va")).join(ranks("b"), F.col("b") == F.col("vb"))
+    sums = ranked.selectExpr("n", "n * ra as x", "n * rb as y", "n * ra * ra as xx", "n * rb * rb as yy", "n * ra * rb as xy")
+    sums = sums.agg(*(F.sum(c).alias(c) for c in sums.columns))
+    spread = F.sqrt((F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y")))
+    return sums.select(F.coalesce("n", F.lit(0)).alias("n"), ((F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.nullif(spread, F.lit(0.0))).alias("spearman"))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def embedding_head(vectors: DataFrame, id_col: str, embedding: str, hidden: list[list[float]], out: list[list[float]], dimensions: tuple[str, ...] = DIMENSIONS[1:]) -> DataFrame:
+    """Scores by a two-layer head over stored embeddings: sigmoid(out . relu(hidden . x)) * 4 + 1, rounded, 1 to 5; one row of ``out`` a dimension.
+
+    Embeddings that are null, of another length or with a null or non-finite component give no row.
+    """
+    matrix = lambda rows: F.array(*(F.array(*(F.lit(float(w)) for w in row)) for row in rows))
+    whole = (F.size("_x") == len(hidden[0])) & F.forall("_x", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    rows = vectors.select(id_col, F.col(embedding).cast("array<double>").alias("_x")).where(whole)
+    rows = rows.select(id_col, F.transform(matrix(hidden), lambda w: F.greatest(F.lit(0.0), _dot(w, F.col("_x")))).alias("_units"))
+    weights = (F.array(*(F.lit(float(w)) for w in row)) for row in out)
+    return rows.select(id_col, *(_to_five(1 / (1 + F.exp(-_dot(w, F.col("_units"))))).alias(d) for d, w in zip(dimensions, weights)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
-from palmleaf.operators import features, scoring
+from palmleaf.operators import features, names, scoring
 from palmleaf.shared import table
 
 INFORMAL = ["the", "la", "die", "el"]
@@ -188,3 +188,42 @@ def heading_sections(spark, sf):
 @query(r"with w as (select distinct doc_id, string_split_regex(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', ''), '\s+') as w from documents where text is not null), e as (select w, unnest(w) as word, generate_subscripts(w, 1) as i from w) select distinct 'named' as kind, w[i - 1] || ' ' || word as entity from e where word in ('the', 'la') and i > 1 union select distinct 'place', word from e where contains(word, 'ville') and length(word) > 6")
 def entities(spark, sf):
     return features.extract_entities(table(spark, sf, "documents").where("text is not null"), ["the", "la"], ["ville"])
+
+
+TYPES = ", ".join(f"case when {_any('lower(text)', w)} then '{t}' end" for t, w in MARKERS.items())
+
+
+@query(f"select doc_id as essay_id, concat_ws(',', {TYPES}) as types from documents")
+def discourse_types(spark, sf):
+    return essays(spark, sf).select("essay_id", F.concat_ws(",", features.discourse(F.lower(F.coalesce("text", F.lit(""))), MARKERS)).alias("types"))
+
+
+@query(f"with {CTE_D2}, p as (select D2 as a, 1 + 4 * quality as b from d2 join labels on doc_id = essay_id where quality is not null), r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from p) select count(*) as n, round(corr(ra::double, rb::double), 6) as spearman from r")
+def agreement_spearman(spark, sf):
+    lab = table(spark, sf, "labels").where("quality is not null").select(F.col("doc_id").alias("essay_id"), (1 + 4 * F.col("quality")).alias("b"))
+    out = scoring.spearman(coherence_score(spark, sf).select("essay_id", F.col("D2").alias("a")).join(lab, "essay_id"))
+    return out.select("n", F.round("spearman", 6).alias("spearman"))
+
+
+#: Weights of the head by rule; no trained ones are given.
+HEAD_IN, HEAD_UNITS = 64, 16
+HEAD_HIDDEN = [[((h * 31 + i * 17) % 23 - 11) / 10 for i in range(HEAD_IN)] for h in range(HEAD_UNITS)]
+HEAD_OUT = [[((k * 13 + h * 7) % 11 - 5) / 4 for h in range(HEAD_UNITS)] for k in range(3)]
+_HEAD = lambda k: f"cast(greatest(1, least(5, round_even(4 / (1 + exp(-list_sum(list_transform(range(0, {HEAD_UNITS}), lambda h: (({k} * 13 + h * 7) % 11 - 5) / 4.0::double * u[h + 1])))) + 1, 0))) as int) as h{k}"
+
+
+@query(f"""with {CTE_ALL}, units as (select vec_id, list_transform(range(0, {HEAD_UNITS}), lambda h: greatest(0.0::double, list_sum(list_transform(range(0, {HEAD_IN}), lambda i: ((h * 31 + i * 17) % 23 - 11) / 10.0::double * embedding[i + 1]::double)))) as u from embeddings where len(embedding) = {HEAD_IN}),
+head as (select vec_id, {_HEAD(0)}, {_HEAD(1)}, {_HEAD(2)} from units), both_ as (select essay_id, coalesce(h0, D2) as D2, coalesce(h1, D3) as D3, coalesce(h2, D4) as D4, vec_id is not null as by_head from sc left join head on vec_id = essay_id)
+select *, round((D2 + D3 + D4) / 3.0::double, 2) as average from both_""")
+def embedding_head(spark, sf):
+    """Scores of the head where a document has an embedding, by rule elsewhere."""
+    head = scoring.embedding_head(table(spark, sf, "embeddings"), "vec_id", "embedding", HEAD_HIDDEN, HEAD_OUT).withColumnRenamed("vec_id", "essay_id")
+    out = scoring.review_overlay(scored(spark, sf), head, "essay_id", ("D2", "D3", "D4")).withColumnRenamed("reviewed", "by_head")
+    return out.withColumn("average", scoring.average({d: F.col(d) for d in ("D2", "D3", "D4")}))
+
+
+@query()
+def mentions_exact(spark, sf):
+    """Whole words of a short list in the documents."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return names.find_mentions(texts, [(w, w.upper()) for w in INFORMAL], "A-Za-z", ())

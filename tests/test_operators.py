@@ -29,6 +29,15 @@ def test_scores_round_half_to_even(spark):
     assert tuple(spark.range(1).select(scoring.weakest(d), scoring.total(d), scoring.average(d)).first()) == ("D2", 7, 2.33)
 
 
+def test_ranks_and_head(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 5), (None, 1)], "a int, b int")
+    assert tuple(round(x, 4) for x in scoring.spearman(pairs).first()) == (4, 0.8333)
+    assert tuple(scoring.spearman(pairs.limit(0)).first()) == (0, None)
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, None), (4, [1.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0])], "vec_id long, e array<float>")
+    got = scoring.embedding_head(v, "vec_id", "e", [[9.0, 0.0]], [[1.0], [-1.0], [0.0]]).collect()
+    assert [tuple(r) for r in got] == [(1, 5, 1, 3), (2, 3, 3, 3)]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (7, 7), (None, 1)], "src long, dst long")
     got = {r.node: r.component for r in connected_components(e).collect()}
