@@ -5,8 +5,9 @@ only the surroundings (segments) of grams that are anchors at two places or more
 anchor meet in one shard. Equal segments are counted before they move, and move once. Each shard builds an FM-index of its
 segments, streams them through it, and reports the windows that weigh two or more.
 
-An anchor with very many different segments (a passage that many documents quote) is taken apart: its occurrences are cut
-into single windows, which are counted by hash before they move; so no shard gathers them all.
+An anchor with very many different segments (a passage that many documents quote) is taken apart: its windows are halved by
+their place around it, each half is keyed by all the words that its windows share, and the halves that still have very many
+different segments are halved again. A single window is its own key, so this ends; and no shard gathers such an anchor.
 """
 
 from __future__ import annotations
@@ -46,8 +47,17 @@ class WordHashes:
     """Hashes of any run of words in a list, from sums of word hashes times powers of an odd base."""
 
     def __init__(self, words: list[bytes]):
-        n = len(words)
-        own = np.fromiter(map(xxh64_intdigest, words), np.uint64, n)
+        self._sum(np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)))
+
+    @classmethod
+    def of_words(cls, own: np.ndarray) -> WordHashes:
+        """From the hashes of the words themselves."""
+        new = cls.__new__(cls)
+        new._sum(own)
+        return new
+
+    def _sum(self, own: np.ndarray) -> None:
+        n, self.own = len(own), own
         power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
         self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE, np.uint64)]), dtype=np.uint64)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(own * power[:n], dtype=np.uint64)])
@@ -111,21 +121,51 @@ def _find_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cut_windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash and start of every window that holds one of a document's listed anchors."""
+def _cut_spans(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word hashes around each listed anchor of a document: all that the windows with the anchor hold."""
     for b in it:
         for i, (text, places) in enumerate(zip(b.column("text").cast(pa.large_binary()), b.column("places"))):
-            words = (text.as_py() or b"").split()
+            own = WordHashes((text.as_py() or b"").split()).own.view(np.int64)
             at = np.asarray(places.values, np.int64)
-            start = np.unique((at[:, None] - np.arange(REACH + 1)[None, :]).ravel())
-            start = start[(start >= 0) & (start + WINDOW <= len(words))]
-            rows = pa.array(np.full(len(start), i))
-            one = WordHashes(words).of(start, start + WINDOW)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("hash").take(rows), pa.array(one.view(np.int64)), pa.array(start.astype(np.int32))], ["doc_id", "hash", "anchor", "at"])
+            for k in range(0, len(at), 5000):
+                some = at[k : k + 5000]
+                rows = pa.array(np.full(len(some), i))
+                spans = pa.array([own[max(0, p - REACH) : p + WINDOW] for p in some], pa.list_(pa.int64()))
+                zero = np.zeros(len(some), np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("hash").take(rows), pa.array(some.astype(np.int32)), pa.array(np.maximum(some - REACH, 0).astype(np.int32)), pa.array(zero), pa.array(zero + REACH), spans], ["doc_id", "hash", "at", "start", "near", "far", "span"])
+
+
+def _halve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both halves of the windows that start ``near`` to ``far`` words before an anchor, each with the words it holds.
+
+    The key of a half (``anchor``) is the hash of the words that all its windows share, and its place around the anchor.
+    """
+    for b in it:
+        if not b.num_rows:
+            continue
+        at, low, near, far = (b.column(c).to_numpy().astype(np.int64) for c in ("at", "start", "near", "far"))
+        spans = b.column("span")
+        sizes, words = np.asarray(spans.value_lengths(), np.int64), spans.flatten()
+        hashes = WordHashes.of_words(words.to_numpy().view(np.uint64))
+        base = np.cumsum(sizes) - sizes - low
+        middle = (near + far) // 2
+        for p, q in ((near, middle), (middle + 1, far)):
+            lo, hi = np.maximum(at - q, low), np.minimum(at - p + WINDOW, low + sizes)
+            rows = np.flatnonzero((hi - lo >= WINDOW) & (p <= q))
+            p, q, lo, hi, place, shift = (x[rows] for x in (p, q, lo, hi, at, base))
+            core = hashes.of(shift + place - p, shift + place - q + WINDOW) + _mix((p * WINDOW + q + 1).astype(np.uint64))
+            segment = hashes.of(shift + lo, shift + hi) + _mix((place - lo).astype(np.uint64))
+            size = hi - lo
+            first = np.cumsum(size) - size
+            inside = np.repeat(shift + lo - first, size) + np.arange(int(size.sum()))
+            part = pa.ListArray.from_arrays(pa.array(np.append(first, size.sum()).astype(np.int32)), words.take(pa.array(inside)))
+            take = pa.array(rows)
+            ints = (pa.array(x.astype(np.int32)) for x in (place, lo, p, q))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("hash").take(take), *ints, part, pa.array(core.view(np.int64)), pa.array(segment.view(np.int64))], ["doc_id", "hash", "at", "start", "near", "far", "span", "anchor", "segment"])
 
 
 def _cut_segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the segments asked for of a document: around an anchor, or a single window.
+    """Words of the segments asked for of a document: ``size`` words from ``before`` words before an anchor on.
 
     Anchors that follow each other closely and each have one kind of segment, as in a copied text, go as one run.
     ``members`` are the segments in a piece: anchor, segment, first word in the piece, words.
@@ -137,12 +177,12 @@ def _cut_segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run: list[dict] = []
 
             def close() -> None:
-                first = max(0, run[0]["at"] - (0 if run[0]["single"] else REACH))
-                spans = [(a["anchor"], a["segment"], (lo := max(0, a["at"] - (0 if a["single"] else REACH))) - first, a["at"] + WINDOW - lo) for a in run]
+                first, end = run[0]["at"] - run[0]["before"], run[-1]["at"] - run[-1]["before"] + run[-1]["size"]
+                spans = [(a["anchor"], a["segment"], a["at"] - a["before"] - first, a["size"]) for a in run]
                 tag = run[0]["at"] - first if len(run) == 1 else -1
-                out.append((run[0]["anchor"], run[0]["n"], tag, b" ".join(words[first : run[-1]["at"] + WINDOW]), [dict(zip(("anchor", "segment", "first", "size"), s)) for s in spans]))
+                out.append((run[0]["anchor"], run[0]["n"], tag, b" ".join(words[first:end]), [dict(zip(("anchor", "segment", "first", "size"), s)) for s in spans]))
 
-            for a in sorted(asked.as_py(), key=lambda a: (a["single"], a["at"])):
+            for a in sorted(asked.as_py(), key=lambda a: (a["part"], a["at"])):
                 follows = run and a["alone"] and run[-1]["alone"] and a["n"] == run[-1]["n"] and a["at"] - run[-1]["at"] <= REACH and a["at"] - run[0]["at"] < RUN_WORDS
                 if run and not follows:
                     close()
@@ -211,6 +251,17 @@ def _same_document(a: str, b: str) -> Column:
     return F.col("hash").eqNullSafe(F.col(b)) & F.col("doc_id").eqNullSafe(F.col(a))
 
 
+def _count_segments(found: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Equal segments with how often (``n``) and where one is; and of each anchor (``a``) its ``kinds`` of segment and ``total``."""
+    segments = materialize(found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "hash", "at", *more)).alias("one")), "segments")
+    kinds = segments.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
+    return segments, materialize(kinds.withColumnRenamed("anchor", "a"), "kinds")
+
+
+def _narrow(segments: DataFrame, kinds: DataFrame) -> DataFrame:
+    return segments.join(kinds.where(F.col("kinds") <= ANCHOR_MOST).hint("merge"), F.col("anchor") == F.col("a"))
+
+
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, hash, cover)`` of documents with repeated windows: cover lists (start, mask) pairs, bit i of a mask standing
     for word start + i. hash is xxhash64 of the text; rows of equal id and text are told apart only in counting."""
@@ -220,35 +271,32 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(texts.mapInArrow(_find_anchors, f"{own}, anchor bigint, segment bigint, at int"), "anchors")
     twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("a"))
     found = materialize(found.join(twice.hint("merge"), F.col("anchor") == F.col("a")).drop("a"), "repeated-anchors")
-    segments = found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "hash", "at")).alias("one"))
-    segments = materialize(segments, "segments")
-    kinds = materialize(segments.groupBy("anchor").agg(F.count("*").alias("kinds")).select(F.col("anchor").alias("a"), "kinds"), "kinds")
-    many = kinds.where(F.col("kinds") > ANCHOR_MOST)
-    # wide anchors, window by window
-    wide = found.join(many.hint("merge"), F.col("anchor") == F.col("a")).groupBy("doc_id", "hash").agg(F.collect_set("at").alias("places"))
-    wide = wide.withColumnsRenamed({"doc_id": "w_id", "hash": "w_hash"})
-    if many.isEmpty():
-        windows = materialize(found.select("doc_id", "hash", "anchor", "at").limit(0), "windows")
-    else:
-        whole = texts.dropDuplicates(["doc_id", "hash"]).join(wide.hint("merge"), _same_document("w_id", "w_hash")).select("doc_id", "hash", "text", "places")
-        copies = texts.groupBy("doc_id", "hash").agg(F.count("*").alias("rows")).withColumnsRenamed({"doc_id": "w_id", "hash": "w_hash"})
-        windows = whole.mapInArrow(_cut_windows, f"{own}, anchor bigint, at int").join(copies.hint("merge"), _same_document("w_id", "w_hash"))
-        windows = materialize(windows.select("doc_id", "hash", "anchor", "at", F.explode(F.expr("array_repeat(0, cast(rows as int))")).alias("_")).drop("_"), "windows")
-    singles = windows.groupBy("anchor").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "hash", "at")).alias("one")).where("n > 1")
-    narrow = kinds.where(F.col("kinds") <= ANCHOR_MOST)
-    asked = segments.join(narrow.hint("merge"), F.col("anchor") == F.col("a")).select("anchor", "segment", "n", "one", F.lit(False).alias("single"), (F.col("kinds") == 1).alias("alone"))
-    asked = asked.unionByName(singles.select("anchor", F.lit(0).cast("long").alias("segment"), "n", "one", F.lit(True).alias("single"), F.lit(False).alias("alone")))
-    asked = asked.select(F.col("one.doc_id").alias("q_id"), F.col("one.hash").alias("q_hash"), F.struct("anchor", "segment", "n", F.col("one.at").alias("at"), "single", "alone").alias("ask"))
+    segments, kinds = _count_segments(found)
+    before = F.least(F.col("one.at"), F.lit(REACH))
+    asked = _narrow(segments, kinds).select("anchor", "segment", "n", "one", before.alias("before"), (before + WINDOW).alias("size"), F.lit(False).alias("part"), (F.col("kinds") == 1).alias("alone"))
+    places = found.select("doc_id", "hash", "anchor", "segment", F.greatest(F.col("at") - REACH, F.lit(0)).alias("start"))
+    wide = kinds.where(F.col("kinds") > ANCHOR_MOST).select("a")
+    if not wide.isEmpty():
+        listed = found.join(wide.hint("merge"), F.col("anchor") == F.col("a")).groupBy("doc_id", "hash").agg(F.collect_set("at").alias("places"))
+        whole = texts.join(listed.withColumnsRenamed({"doc_id": "w_id", "hash": "w_hash"}).hint("merge"), _same_document("w_id", "w_hash")).select("doc_id", "hash", "text", "places")
+        spans = f"{own}, at int, start int, near int, far int, span array<bigint>"
+        left = whole.mapInArrow(_cut_spans, spans)
+        while left is not None:
+            halves = materialize(left.mapInArrow(_halve, f"{spans}, anchor bigint, segment bigint"), "halves")
+            segments, kinds = _count_segments(halves.withColumn("size", F.size("span")), "start", "size")
+            asked = asked.unionByName(_narrow(segments, kinds).select("anchor", "segment", "n", F.struct("one.doc_id", "one.hash", "one.at").alias("one"), (F.col("one.at") - F.col("one.start")).alias("before"), F.col("one.size").alias("size"), F.lit(True).alias("part"), F.lit(False).alias("alone")))
+            places = places.unionByName(halves.select("doc_id", "hash", "anchor", "segment", "start"))
+            wide = kinds.where(F.col("kinds") > ANCHOR_MOST).select("a")
+            left = None if wide.isEmpty() else halves.join(wide.hint("merge"), F.col("anchor") == F.col("a")).select("doc_id", "hash", "at", "start", "near", "far", "span")
+    asked = asked.select(F.col("one.doc_id").alias("q_id"), F.col("one.hash").alias("q_hash"), F.struct("anchor", "segment", "n", F.col("one.at").alias("at"), "before", "size", "part", "alone").alias("ask"))
     asked = asked.groupBy("q_id", "q_hash").agg(F.collect_list("ask").alias("asked"))
     cut = texts.join(asked.hint("merge"), _same_document("q_id", "q_hash")).select("text", "asked", "doc_id", "hash").dropDuplicates(["doc_id", "hash"])
     pieces = cut.select("text", "asked").mapInArrow(_cut_segments, "anchor bigint, n bigint, tag int, words binary, members array<struct<anchor: bigint, segment: bigint, first: int, size: int>>")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     covers = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInPandas(_report, "anchor bigint, segment bigint, cover bigint")
     covers = materialize(covers, "covers").withColumnsRenamed({"anchor": "c_anchor", "segment": "c_segment"})
-    around = found.join(covers.hint("merge"), (F.col("anchor") == F.col("c_anchor")) & (F.col("segment") == F.col("c_segment")))
-    around = around.select("doc_id", "hash", F.greatest(F.col("at") - F.lit(REACH), F.lit(0)).alias("start"), "cover")
-    alone = windows.join(covers.hint("merge"), (F.col("anchor") == F.col("c_anchor")) & (F.col("c_segment") == 0)).select("doc_id", "hash", F.col("at").alias("start"), "cover")
-    return around.unionByName(alone).groupBy("doc_id", "hash").agg(F.collect_set(F.struct("start", "cover")).alias("cover"))
+    around = places.join(covers.hint("merge"), (F.col("anchor") == F.col("c_anchor")) & (F.col("segment") == F.col("c_segment")))
+    return around.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("start", "cover")).alias("cover"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
