@@ -122,17 +122,26 @@ def _find_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_spans(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word hashes around each listed anchor of a document: all that the windows with the anchor hold."""
+    """For each listed anchor of a document the word hashes of the windows in which it is the least gram, the last of equal ones.
+
+    That depends on the words of a window alone, so equal windows go to equal anchors, and each window goes to one.
+    """
     for b in it:
         for i, (text, places) in enumerate(zip(b.column("text").cast(pa.large_binary()), b.column("places"))):
-            own = WordHashes((text.as_py() or b"").split()).own.view(np.int64)
-            at = np.asarray(places.values, np.int64)
-            for k in range(0, len(at), 5000):
-                some = at[k : k + 5000]
-                rows = pa.array(np.full(len(some), i))
-                spans = pa.array([own[max(0, p - REACH) : p + WINDOW] for p in some], pa.list_(pa.int64()))
-                zero = np.zeros(len(some), np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("hash").take(rows), pa.array(some.astype(np.int32)), pa.array(np.maximum(some - REACH, 0).astype(np.int32)), pa.array(zero), pa.array(zero + REACH), spans], ["doc_id", "hash", "at", "start", "near", "far", "span"])
+            hashes = WordHashes((text.as_py() or b"").split())
+            at, own = np.arange(len(hashes.own) - GRAM + 1), hashes.own.view(np.int64)
+            gram = hashes.of(at, at + GRAM) | np.uint64(1)
+            least = np.lib.stride_tricks.sliding_window_view(gram, REACH + 1)[:, ::-1].argmin(axis=1)
+            owner = np.arange(len(least)) + REACH - least
+            place = np.sort(np.asarray(places.values, np.int64))
+            first, end = np.searchsorted(owner, place, side="left"), np.searchsorted(owner, place, side="right")
+            place, first, end = (x[end > first] for x in (place, first, end))
+            for k in range(0, len(place), 5000):
+                cut = slice(k, k + 5000)
+                spans = pa.array([own[lo : hi + WINDOW - 1] for lo, hi in zip(first[cut], end[cut])], pa.list_(pa.int64()))
+                rows, zero = pa.array(np.full(len(spans), i)), np.zeros(len(spans), np.int32)
+                ints = (pa.array(x.astype(np.int32)) for x in (place[cut], first[cut], zero, zero + REACH))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("hash").take(rows), *ints, spans], ["doc_id", "hash", "at", "start", "near", "far", "span"])
 
 
 def _halve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
