@@ -1,8 +1,8 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-Directions form a structured random product code: the space, turned at random, is cut into blocks, and a direction takes
-one of the unit codes of each block. List decoding finds all directions whose cap holds a vector by bounding what the
-remaining blocks can add. Vectors meet on shared directions and every link is verified by its exact cosine. A pair counts
+Directions form structured random product codes: in each of several sets the space, turned at random, is cut into halves,
+and a direction takes one of the codes of the first half and one of that code's partners in the second. List decoding
+finds all directions whose cap holds a vector by bounding what the second half can add. Sets are added until the measured miss is small enough. Vectors meet on shared directions and every link is verified by its exact cosine. A pair counts
 in the first direction it shares, so link counts are exact for all pairs that meet, and only sums and spanning links
 leave a direction's bucket.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, erfc, log, pi, sqrt
+from math import ceil, cos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,81 +27,143 @@ BUCKET, SHARE_MOST = 64, 0.01
 #: Vectors of a bucket that one task compares; larger buckets are dealt out as pairs of chunks.
 CHUNK = 2048
 SLACK = 1e-6
-#: Draws from which tails are estimated, and directions taken beyond what they ask for, since a pair's blocks differ.
-DRAWS, SAFETY = 100_000, 1.5
+#: Directions of one code set that a pair is expected to share, drawn pairs on which its miss is measured, and what part of
+#: a cap's vectors a pair's second vector must at least be in for caps to be of use.
+SHARED, PAIRS, RARE = 2.0, 4096, 20
+#: Partners of a first code, so that directions have little in common; more where there would be over CODES codes a half.
+PARTNERS, CODES = 4, 4096
+#: Sums of block scores that are held at once while decoding.
+CELLS = 1 << 21
+
+
+def angle_tail(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles from 0 to pi, and the probability that a random direction of ``dim`` components is as near to a given one."""
+    angle = np.linspace(0, pi, 100_001)
+    if dim < 2:
+        return angle, np.where(angle < pi, 0.5, 1.0)
+    height = np.sin(angle) ** (dim - 2)
+    below = np.concatenate([[0.0], np.cumsum((height[1:] + height[:-1]) / 2)])
+    return angle, below / below[-1]
+
+
+def cap_law(dim: int, cosine: float, share: float) -> tuple[float, float]:
+    """The inner product that a random vector has with a direction with probability ``share``, and the probability that
+    both vectors of a pair at ``cosine`` reach it: by integration over the sphere."""
+    if share >= 1:
+        return -2.0, 1.0
+    angle, below = angle_tail(dim)
+    if dim < 2:
+        return 0.5, 0.5 if cosine > -1 else 0.0
+    edge = float(np.interp(share, below, angle))
+    least, across = cos(edge), sqrt(max(1 - cosine**2, 1e-18))
+    inside = np.linspace(0, edge, 4001)
+    # of the second vector, what is orthogonal to the first has a random direction of one component less
+    other_angle, other = angle_tail(dim - 1)
+    need = (least - cosine * np.cos(inside)) / (across * np.maximum(np.sin(inside), 1e-18))
+    other = np.where(np.abs(need) <= 1, np.interp(np.arccos(np.clip(need, -1, 1)), other_angle, other), need < -1)
+    at = np.interp(inside, angle, below)
+    return least, float((np.diff(at) * (other[1:] + other[:-1]) / 2).sum())
 
 
 @dataclass(frozen=True)
 class Caps:
-    """Turned block codes and the least inner product of a direction's cap."""
+    """Code sets, each a turn, the codes of both halves and the partners that each first code has among the second ones,
+    and the least inner product of a direction's cap."""
 
-    turn: np.ndarray
-    codes: tuple[np.ndarray, ...]
+    sets: tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...]
     least: float
 
     @classmethod
     def fit(cls, n: int, dim: int, cosine: float, miss: float = 1e-7, seed: int = 11) -> Caps:
-        """Caps for ``n`` vectors of ``dim`` components: the share of vectors in a cap is BUCKET / n (SHARE_MOST at most),
-        and there are enough directions that a pair at ``cosine`` shares none with probability ``miss`` only."""
+        """Caps for ``n`` vectors of ``dim`` components, and enough sets that a pair at ``cosine`` shares no direction
+        with probability ``miss`` only.
+
+        The share of vectors in a cap is BUCKET / n (SHARE_MOST at most, but more where a pair would hardly ever share
+        one). Directions of one set are not independent, so the miss of each set is measured, on drawn pairs at exactly
+        ``cosine`` decoded with its codes, and bounded from above. Sets are turned independently, so that for any one
+        pair the misses of sets multiply.
+        """
         share = min(SHARE_MOST, BUCKET / max(n, 1))
-        least, both = cls._tails(dim, cosine, share, np.random.default_rng(seed + 1))
-        directions = SAFETY * log(1 / miss) / both
-        blocks = min(dim, 2 if directions < 1e6 else 3 if directions < 1e8 else 4)
-        each = ceil(directions ** (1 / blocks))
-        draw = np.random.default_rng(seed)
-        turn = np.linalg.qr(draw.standard_normal((dim, dim)))[0]
-        cut = np.array_split(np.arange(dim), blocks)
-        codes = tuple(unit(draw.standard_normal((each, len(c)))) * sqrt(len(c) / dim) for c in cut)
-        return cls(turn, codes, least)
-
-    @staticmethod
-    def _tails(dim: int, cosine: float, share: float, draw: np.random.Generator) -> tuple[float, float]:
-        """The inner product that a random vector reaches with probability ``share``, and the probability that both
-        vectors of a pair reach it: drawn for directions of two blocks, and by the normal law where draws are too few."""
-        x, y = unit(draw.standard_normal((DRAWS, dim))), draw.standard_normal((DRAWS, dim))
-        y = unit(y - (x * y).sum(axis=1, keepdims=True) * x)
-        y = cosine * x + sqrt(1 - cosine**2) * y
-        c = np.hstack([unit(draw.standard_normal((DRAWS, len(k)))) * sqrt(len(k) / dim) for k in np.array_split(np.arange(dim), min(2, dim))])
-        a, b = (x * c).sum(axis=1), (y * c).sum(axis=1)
-        if share * DRAWS >= 100:
-            least = float(np.quantile(a, 1 - share))
-            if hits := int(((a >= least) & (b >= least)).sum()):
-                return least, hits / DRAWS
-        tail = lambda t: erfc(t / sqrt(2)) / 2
-        lo, hi = 0.0, 12.0
-        for _ in range(60):
-            lo, hi = ((lo + hi) / 2, hi) if tail((lo + hi) / 2) > share else (lo, (lo + hi) / 2)
-        grid = np.linspace(lo, lo + 8, 4001)
-        rest = np.array([tail((lo - cosine * t) / sqrt(1 - cosine**2)) for t in grid])
-        return lo / sqrt(dim), float((rest * np.exp(-(grid**2) / 2)).sum() * (grid[1] - grid[0]) / sqrt(2 * pi))
+        least, both = cap_law(dim, cosine, share)
+        while both < share / RARE:
+            share = min(1.0, 2 * share)
+            least, both = cap_law(dim, cosine, share)
+        directions = SHARED / both
+        each = min(ceil(directions / PARTNERS), CODES)
+        cut = dim - dim // 2
+        draw, pairs = np.random.default_rng(seed), np.random.default_rng(seed + 1)
+        sets: list[tuple] = []
+        left = 1.0
+        while left > miss:
+            turn = np.linalg.qr(draw.standard_normal((dim, dim)))[0]
+            turn = turn * draw.choice([-1.0, 1.0], dim)
+            first, second = (unit(draw.standard_normal((each, k))) * sqrt(k / dim) if k else np.zeros((each, 0)) for k in (cut, dim - cut))
+            sets.append((turn, first, second, draw.integers(0, each, (each, ceil(directions / each)), np.int32)))
+            left *= cls(tuple(sets[-1:]), least).missed(cosine, pairs)
+        return cls(tuple(sets), least)
+
+    @property
+    def size(self) -> int:
+        """Directions of all sets."""
+        return sum(partners.size for *_, partners in self.sets)
+
+    def missed(self, cosine: float, draw: np.random.Generator, pairs: int = PAIRS) -> float:
+        """Upper bound (three standard deviations) of the probability that a pair at ``cosine`` shares no direction."""
+        lost = 0
+        for at in range(0, pairs, 256):
+            n = min(256, pairs - at)
+            x, y = pairs_at(cosine, n, len(self.sets[0][0]), draw)
+            a, b = (np.stack(self.decode(v), axis=1) for v in (x, y))
+            both = np.concatenate([a, b])
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            lost += n - len(np.unique(both[1:][(both[1:] == both[:-1]).all(axis=1), 0]))
+        return min(1.0, (lost + 3 * sqrt(lost) + 3) / pairs)
 
     def decode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, direction) of all caps that hold a row, by row and direction."""
-        turned, at, scores = rows @ self.turn, 0, []
-        for c in self.codes:
-            scores.append(turned[:, at : at + c.shape[1]] @ c.T)
-            at += c.shape[1]
-        can_add = np.cumsum([s.max(axis=1) for s in scores[::-1]], axis=0)[::-1]
-        row, direction, sums = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.zeros(len(rows))
-        for k, s in enumerate(scores):
-            rest = can_add[k + 1][row] if k + 1 < len(scores) else 0.0
-            total = sums[:, None] + s[row]
-            keep, code = np.nonzero(total >= (self.least - rest)[:, None] if np.ndim(rest) else total >= self.least)
-            row, direction, sums = row[keep], direction[keep] * s.shape[1] + code, total[keep, code]
-        return row, direction
+        """(row, direction) of all caps that hold a row, by row and direction; directions are numbered through all sets."""
+        found, first = [], 0
+        for turn, *codes in self.sets:
+            row, direction = self._decode_set(rows @ turn, *codes)
+            found.append((row, direction + first))
+            first += codes[-1].size
+        row, direction = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(row, kind="stable")  # within a row and set they are found in order already
+        return row[order], direction[order]
+
+    def _decode_set(self, turned: np.ndarray, first: np.ndarray, second: np.ndarray, partners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cut, step, parts = first.shape[1], max(1, CELLS // partners.shape[1]), []
+        left, right = turned[:, :cut] @ first.T, turned[:, cut:] @ second.T
+        row, code = np.nonzero(left >= self.least - right.max(axis=1, keepdims=True))
+        for i in range(0, len(row), step):
+            r, c = row[i : i + step], code[i : i + step]
+            at, place = np.nonzero(left[r, c][:, None] + right[r[:, None], partners[c]] >= self.least)
+            parts.append((r[at], c[at] * partners.shape[1] + place))
+        found = zip(*parts) if parts else (([row], [code]))
+        return tuple(np.concatenate(x) for x in found)  # type: ignore[return-value]
+
+
+def pairs_at(cosine: float, n: int, dim: int, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` random pairs of unit vectors at exactly ``cosine`` (equal ones where there is but one component)."""
+    x, y = unit(draw.standard_normal((n, dim))), draw.standard_normal((n, dim))
+    if dim < 2:
+        return x, x
+    y = unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+    return x, cosine * x + sqrt(max(0.0, 1 - cosine**2)) * y
 
 
 def _decoded(caps, dim: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Caps(*caps.value)
         for b in it:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
                 row, direction = c.decode(unit(as_rows(part.column("embedding"), dim)))
-                first = np.searchsorted(row, np.arange(part.num_rows + 1))
-                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(direction))
+                place = np.arange(len(row)) - np.searchsorted(row, row)  # directions of a row stand in order; each goes with those before it
+                start = np.cumsum(place) - place
+                before = direction[np.repeat(np.arange(len(row)) - place - start, place) + np.arange(place.sum())]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(start, place.sum()), pa.int32()), pa.array(before.astype(np.int32 if c.size < 1 << 31 else np.int64)))
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(direction), part.column("key").take(rows), part.column("n").take(rows), part.column("embedding").take(rows), lists.take(rows)], ["direction", "key", "n", "embedding", "directions"])
+                yield pa.RecordBatch.from_arrays([pa.array(direction), part.column("key").take(rows), part.column("n").take(rows), part.column("embedding").take(rows), lists], ["direction", "key", "n", "embedding", "earlier"])
 
     return run
 
@@ -109,7 +171,7 @@ def _decoded(caps, dim: int):
 def _verified(cosine: float, dim: int):
     def links(b: pa.RecordBatch) -> pa.RecordBatch:
         """Sums of links and a spanning star of each component, of one bucket or one pair of its chunks."""
-        direction, crossing = b.column("direction")[0].as_py(), b.column("crossing")[0].as_py()
+        crossing = b.column("crossing")[0].as_py()
         x = as_rows(b.column("embedding"), dim)
         key, n, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "side"))
         u = unit(x)
@@ -125,7 +187,7 @@ def _verified(cosine: float, dim: int):
         busy = np.flatnonzero(near.any(axis=1))
         near, key, n = near[np.ix_(busy, busy)], key[busy], n[busy]
         # pairs that met in an earlier direction have been counted there
-        earlier = [np.array([d for d in b.column("directions")[int(i)].as_py() if d < direction], np.int64) for i in busy]
+        earlier = [b.column("earlier")[int(i)].values.to_numpy().astype(np.int64) for i in busy]
         known, place = np.unique(np.concatenate(earlier) if earlier else np.array([], np.int64), return_inverse=True)
         member = np.zeros((len(busy), len(known)), np.float32)
         member[np.repeat(np.arange(len(busy)), list(map(len, earlier))), place] = 1
@@ -176,18 +238,19 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, dim: int | None
     distinct = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
     distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("key"), "first_id", "n", "embedding"), "distinct-vectors")
     caps = Caps.fit(distinct.count(), max(dim, 1), cosine)
-    shared = spark.sparkContext.broadcast((caps.turn, caps.codes, caps.least))
+    shared = spark.sparkContext.broadcast((caps.sets, caps.least))
     kind = dict(distinct.dtypes)["embedding"]
-    met = distinct.select("key", "n", "embedding").mapInArrow(_decoded(shared, dim), f"direction bigint, key bigint, n bigint, embedding {kind}, directions array<bigint>")
+    met = distinct.select("key", "n", "embedding").mapInArrow(_decoded(shared, dim), f"direction bigint, key bigint, n bigint, embedding {kind}, earlier array<{'int' if caps.size < 1 << 31 else 'bigint'}>")
     met = materialize(met, "directions")
     large = met.groupBy("direction").agg(F.count("*").alias("rows")).where(F.col("rows") > CHUNK)
     large = large.select(F.col("direction").alias("d"), F.ceil(F.col("rows") / F.lit(CHUNK // 2)).cast("int").alias("chunks"))
+    large = materialize(large, "large-directions")  # mostly few or none, and then Spark broadcasts them
     chunk = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
     one = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(chunk, o).alias("a"), F.greatest(chunk, o).alias("b")))
-    dealt = met.join(large.hint("shuffle_hash"), F.col("direction") == F.col("d"), "left").withColumn("chunk", F.coalesce(chunk, F.lit(0)))
-    dealt = dealt.select("direction", "key", "n", "embedding", "directions", "chunk", F.explode(F.when(F.col("chunks").isNull(), F.array(one)).otherwise(pair)).alias("pair"))
-    dealt = dealt.select(F.xxhash64("direction", "pair").alias("unit"), "direction", "key", "n", "embedding", "directions", (F.col("pair.a") != F.col("pair.b")).alias("crossing"), (F.col("chunk") == F.col("pair.a")).alias("side"))
+    dealt = met.join(large, F.col("direction") == F.col("d"), "left").withColumn("chunk", F.coalesce(chunk, F.lit(0)))
+    dealt = dealt.select("direction", "key", "n", "embedding", "earlier", "chunk", F.explode(F.when(F.col("chunks").isNull(), F.array(one)).otherwise(pair)).alias("pair"))
+    dealt = dealt.select(F.xxhash64("direction", "pair").alias("unit"), "key", "n", "embedding", "earlier", (F.col("pair.a") != F.col("pair.b")).alias("crossing"), (F.col("chunk") == F.col("pair.a")).alias("side"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = dealt.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_verified(cosine, dim), "key bigint, added bigint, root bigint")
     found = materialize(found, "links")

@@ -127,6 +127,15 @@ def test_embedding_dedup(spark, monkeypatch):
     assert capfilters.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10_000, 70_000])
+def test_caps_keep_pairs_at_the_cosine(n):
+    caps, draw = capfilters.Caps.fit(n, 64, 0.9), np.random.default_rng(1)
+    for _ in range(4):
+        x, y = capfilters.pairs_at(0.9, 256, 64, draw)
+        a, b = (set(zip(*map(np.ndarray.tolist, caps.decode(v)))) for v in (x, y))
+        assert {row for row, _ in a & b} == set(range(256))
+
+
 def removed(texts: list) -> list:
     words = [(t or "").encode().split() for t in texts]
     n = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
