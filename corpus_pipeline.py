@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group at a similarity of 0.8 of 5-word shingles, the document of smallest id stays; a repeated row stays once."""
-    groups = simhash.near_duplicate_groups(docs, simhash.similar_plan())
+    groups = simhash.similar_groups(docs)
     first = groups.select(F.col("component_id").alias("_first")).distinct()
     kept = docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)

@@ -5,7 +5,8 @@ stored vertically are compared with carry-save counters and a block is abandoned
 Only spanning links leave a bucket, never all its pairs.
 
 Two plans of buckets: EXACT (64 bits, radius 3: two of five bit blocks, which three differing bits always leave
-untouched, so no link is lost) and SIMILAR (256 bits for a shingle similarity of 0.8: forty seeded samples of 16 bits).
+untouched, so no link is lost) and SIMILAR (256 bits for a shingle similarity of 0.8: 110 seeded samples of 16 bits). Groups by SIMILAR are candidates only:
+similar_groups links what has the similarity itself, by the sets of shingles.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ SEED = 42
 CHUNK = 2048
 #: Rows of small buckets that are compared together.
 PACK = 512
+#: Texts of a proposed group that one task verifies; larger groups are dealt out as pairs of chunks.
+VERIFY_CHUNK = 512
 
 
 @dataclass(frozen=True)
@@ -44,32 +48,53 @@ _BLOCKS = [range(0, 13), range(13, 26), range(26, 39), range(39, 52), range(52,
 EXACT = Plan(64, 3, 3, tuple((*a, *b) for a, b in combinations(_BLOCKS, 2)))
 
 
-def similar_plan(similarity: float = 0.8, width: int = 5, bits: int = 256, tables: int = 40, key_bits: int = 16) -> Plan:
+def similar_plan(similarity: float = 0.8, width: int = 5, bits: int = 256, tables: int = 110, key_bits: int = 16) -> Plan:
     """Plan for texts whose sets of word shingles have a Jaccard ``similarity`` or more.
 
     Two sets of Jaccard s have cosine 2s / (1 + s); the angle gives the expected share of differing bits. The radius is
-    that number and half a standard deviation. A pair just at 0.8 shares a key in some table with probability 0.95, at
-    0.85 with 0.99; near copies are linked through each other besides.
+    that number and three standard deviations; found_chance has the probability that radius and tables find a pair.
     """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = round(bits * share + 0.5 * np.sqrt(bits * share * (1 - share)))
+    share = differing_share(similarity)
+    radius = round(bits * share + 3 * np.sqrt(bits * share * (1 - share)))
     draw = np.random.default_rng(SEED)
     return Plan(bits, width, radius, tuple(tuple(sorted(map(int, draw.choice(bits, key_bits, replace=False)))) for _ in range(tables)))
 
 
-def fingerprint(text: bytes | None, width: int = 3, bits: int = 64) -> bytes:
-    """SimHash of the word shingles of a text, big-endian; zeros without words. A-Z count as a-z.
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two sets at a Jaccard ``similarity``."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
-    The first 64 bits come from XXH64 with seed 42, each further 64 from a remixing of that hash.
-    """
+
+def found_chance(plan: Plan, similarity: float) -> float:
+    """Probability that a pair at ``similarity`` lies within the radius and shares a key in some table, with independent bits."""
+    share, total = differing_share(similarity), 0.0
+    for k in range(plan.radius + 1):
+        same = comb(plan.bits - k, len(plan.keys[0])) / comb(plan.bits, len(plan.keys[0]))
+        total += comb(plan.bits, k) * share**k * (1 - share) ** (plan.bits - k) * (1 - (1 - same) ** len(plan.keys))
+    return total
+
+
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; all words are one where there are fewer than ``width``. A-Z count as a-z."""
     words = (text or b"").lower().split()
     if not words:
-        return bytes(bits // 8)
+        return np.zeros(0, np.uint64)
     if len(words) < width:
         grams, n = iter([b" ".join(words)]), 1
     else:
         grams, n = map(b" ".join, zip(*(words[i:] for i in range(width)))), len(words) - width + 1
-    hashes = np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
+    return np.fromiter(map(xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
+
+
+def fingerprint(text: bytes | None, width: int = 3, bits: int = 64) -> bytes:
+    """SimHash of the word shingles of a text, big-endian; zeros without words. A-Z count as a-z.
+
+    The first 64 bits come from XXH64 with seed 42, each further 64 from a remixing of that hash.
+    """
+    hashes = shingles(text, width)
+    n = len(hashes)
+    if not n:
+        return bytes(bits // 8)
     out = b""
     for word in range(bits // 64):
         if word:
@@ -240,6 +265,97 @@ def near_duplicate_groups(docs: DataFrame, plan: Plan = EXACT, id_col: str = "do
     return marks.join(classes.hint("merge"), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+def jaccard_links(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and, for each, an earlier row of its component by links of ``similarity`` or more (of different sides only, where
+    given). ``sets`` hold distinct values; two empty ones are equal."""
+    n, sizes = len(sets), np.array(list(map(len, sets)))
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, first = np.repeat(np.arange(n), sizes), np.concatenate([[0], np.cumsum(sizes)])
+    by_place = owner[np.argsort(place, kind="stable")]
+    ends = np.cumsum(np.bincount(place)) if len(place) else np.zeros(0, np.int64)
+    starts = ends - np.bincount(place) if len(place) else ends
+    label = np.arange(n)
+    for i in range(n):
+        own = place[first[i] : first[i + 1]]
+        shared = np.zeros(n, np.int64)
+        for at in range(0, len(own), 1024):
+            lists = [by_place[starts[x] : ends[x]] for x in own[at : at + 1024]]
+            shared += np.bincount(np.concatenate(lists), minlength=n)
+        union = sizes[i] + sizes - shared
+        near = shared >= similarity * union - 1e-9
+        if side is not None:
+            near &= side != side[i]
+        near[i] = True
+        known = np.unique(label[near])
+        if len(known) > 1:
+            label[np.isin(label, known)] = known[0]
+    own = np.flatnonzero(label != np.arange(n))
+    return own, label[own]
+
+
+def _verify(similarity: float):
+    def links(b: pa.RecordBatch) -> pa.RecordBatch:
+        side = b.column("side").to_numpy(zero_copy_only=False) if b.column("crossing")[0].as_py() else None
+        own, first = jaccard_links([np.frombuffer(x.as_py(), np.uint64) for x in b.column("shingles")], similarity, side)
+        return pa.RecordBatch.from_arrays([b.column("node").take(pa.array(own)), b.column("node").take(pa.array(first))], ["src", "dst"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by unit."""
+        rows: list[pa.RecordBatch] = []
+        key = None
+        for b in it:
+            of = b.column("unit").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)] if len(of) else [0]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if rows and of[lo] != key:
+                    yield links(pa.concat_batches(rows))
+                    rows = []
+                key = of[lo]
+                rows.append(b.slice(lo, hi - lo))
+        if rows:
+            yield links(pa.concat_batches(rows))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, component_id)``: documents linked by a Jaccard ``similarity`` or more of their sets of word shingles.
+
+    Fingerprints only propose groups. Inside a proposed group every pair of distinct texts is verified on the whole sets (of
+    64-bit hashes of shingles); a group of over VERIFY_CHUNK texts is dealt out as pairs of chunks. Ids, nulls and repeats are as
+    in near_duplicate_groups.
+    """
+    plan = similar_plan(similarity, width)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5("text")))
+    marks = fingerprints(texts.select(F.struct("doc_id", "node").alias("row"), "text"), plan, "row")
+    marks = materialize(marks.select("doc_id.doc_id", "doc_id.node", "fp"), "marks")
+    nodes = materialize(marks.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    proposed = connected_components(fingerprint_links(nodes.select("fp").distinct(), plan))
+    named = nodes.join(proposed.withColumnRenamed("node", "f").hint("merge"), F.col("fp") == F.col("f"), "left")
+    named = materialize(named.select(F.col("node").alias("n"), "first_id", F.coalesce("component", "fp").alias("root")), "proposed")
+    groups = named.groupBy("root").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("root", "r")
+    open_ = named.join(groups.hint("merge"), F.col("root") == F.col("r")).select("n", "first_id", "root", F.when(F.col("size") > VERIFY_CHUNK, F.ceil(F.col("size") / F.lit(VERIFY_CHUNK // 2))).otherwise(1).cast("int").alias("chunks"))
+    asked = texts.join(open_.hint("merge"), (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("root", "node", "chunks", "text")
+
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            held = [np.unique(shingles(t.as_py(), width)).tobytes() for t in b.column(3).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(held, pa.binary())], ["root", "node", "chunks", "shingles"])
+
+    known = asked.mapInArrow(sets, "root binary, node binary, chunks int, shingles binary").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("a"), F.greatest("chunk", o).alias("b")))
+    dealt = known.withColumn("pair", F.explode(pair))
+    dealt = dealt.select(F.xxhash64("root", "pair").alias("unit"), "node", "shingles", (F.col("pair.a") != F.col("pair.b")).alias("crossing"), (F.col("chunk") == F.col("pair.a")).alias("side"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = dealt.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_verify(similarity), "src binary, dst binary")
+    roots = connected_components(links).withColumnRenamed("node", "m")
+    linked = named.join(roots.hint("merge"), F.col("n") == F.col("m"), "left")
+    linked = materialize(linked.select("n", "first_id", F.coalesce("component", "n").alias("root")), "similar")
+    low = linked.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "r")
+    classes = linked.join(low.hint("merge"), F.col("root") == F.col("r")).select("n", "component_id")
+    return marks.join(classes.hint("merge"), F.col("node") == F.col("n")).select("doc_id", "component_id")
+
+
 def simhash_report(docs: DataFrame) -> DataFrame:
     """Digest of near_duplicate_groups by the exact plan: fingerprint as 16 hex digits."""
     return near_duplicate_groups(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

@@ -100,6 +100,29 @@ def vectors(spark, n=600):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), u @ u.T
 
 
+@pytest.mark.parametrize("chunk", [512, 4])
+def test_similar_groups(spark, monkeypatch, chunk):
+    """Pairs on both sides of 0.8, and nothing between 0.79 and 0.81 left out."""
+    monkeypatch.setattr(simhash, "VERIFY_CHUNK", chunk)
+    assert simhash.found_chance(simhash.similar_plan(), 0.8) >= 0.99
+    rnd, texts = random.Random(9), []
+    for i in range(60):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(404)]
+        texts.append(" ".join(words))
+        for changed in rnd.sample(range(4, 20), 2):
+            other = list(words)
+            for k in range(changed):
+                other[20 * k + 10] = f"x{i}"
+            texts.append(" ".join(other))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    df = spark.createDataFrame([*enumerate(texts), (900, None), (901, ""), (None, texts[0]), (902, texts[0])], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert [got[i] for i in range(len(texts))] == components(near, np.arange(len(texts))).tolist()
+    assert got[900] == got[901] == 900 and got[902] == got[None] == got[0] and len(got) == len(texts) + 4
+    assert simhash.similar_groups(df.limit(0)).count() == 0
+
+
 def test_neighbours(spark):
     df, cos = vectors(spark)
     got = neighbours.neighbours_report(df).toPandas()
