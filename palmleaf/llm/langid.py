@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palmleaf.llm.workers import give_back, lean
+
 #: Longest n-gram, length of a profile, and labelled documents a language's profile is fitted on, in expectation.
 LONGEST, PROFILE, FIT_DOCS = 3, 400, 1500
 #: Characters counted at a time.
@@ -41,17 +43,21 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """
     found, counts = [], []
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    tail = np.array([BORDER])  # the last two places before a slice, so that each gram counts once, where it ends
     for at in range(0, len(points), SLICE):
-        p = points[max(0, at - 2) : at + SLICE].astype(np.int64)
-        p[~_letters()[p]] = BORDER
-        p = np.concatenate([[BORDER], p, [BORDER]]) if at == 0 or at + SLICE >= len(points) else p
+        new = points[at : at + SLICE].astype(np.int64)
+        new[~_letters()[new]] = BORDER
+        p = np.concatenate([tail, new, [BORDER]] if at + SLICE >= len(points) else [tail, new])
         p = p[np.r_[True, (p[1:] != BORDER) | (p[:-1] != BORDER)]]  # runs of borders are one
         two = (p[:-1] << 21) | p[1:]
-        inner = p[1:-1] != BORDER
-        codes = [p[p != BORDER], two[(p[:-1] != BORDER) | (p[1:] != BORDER)], ((two[:-1] << 21) | p[2:])[inner]]
+        ends = np.arange(len(tail), len(p))
+        triples = ends[ends >= 2]
+        triples = triples[p[triples - 1] != BORDER]
+        codes = [p[ends][p[ends] != BORDER], two[ends - 1], (two[triples - 2] << 21) | p[triples]]
         c, n = np.unique(np.concatenate(codes), return_counts=True)
         found.append(c)
         counts.append(n)
+        tail = p[-2:]
     if not found:
         return np.array([], np.int64), np.array([], np.int64)
     if len(found) == 1:
@@ -101,7 +107,7 @@ def fit_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
                 n = np.bincount(place, np.concatenate(counts), len(c)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(c)), pa.array(c), pa.array(n)], ["lang", "code", "n"])
 
-    grams = sample.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    grams = sample.mapInArrow(lean(count), "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = grams.selectExpr("lang", "code", "row_number() over (partition by lang order by n desc, code) as rank").where(F.col("rank") <= PROFILE)
     profiles: dict[str, list] = {k: [] for k in sizes}
     for r in top.orderBy("lang", "rank").collect():
@@ -128,16 +134,15 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
         best = int(np.argmin(far))
         return names[best], 1.0 - far[best] / (PROFILE * len(own))
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            got = [predict(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["row", "text", "lang_pred", "score"])
-
-    rest = [c for c in kept if c != text_col]
-    packed = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("row"), F.col(text_col).alias("text"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double"
-    out = packed.mapInArrow(batches, schema)
-    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in kept), "lang_pred", "score")
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def found(texts: pa.Array) -> pa.Array:
+        got = [predict(t.as_py()) for t in texts]
+        give_back()
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
+
+    # only the text goes to Python; the other columns stay where they are
+    out = docs.select(*kept, found(F.col(text_col)).alias("_found"))
+    return out.select(*kept, F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score"))
 
 
 def held_out(id_column: str = "doc_id") -> Column:
