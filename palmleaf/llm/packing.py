@@ -9,6 +9,7 @@ open window; equal windows are handled together. Each remainder finds its place
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palmleaf.llm.workers import lean
 from palmleaf.shared import materialize
 
 WINDOW = 1024
 END_ID = 0
 #: Distinct words whose ids a Python worker remembers.
-CACHE = 300_000
-#: Cells by which equal pieces are ranked.
-RANK_CELLS = 64
+CACHE = 50_000
+#: Least number of cells by which equal pieces are ranked, and pieces that a cell should hold at most.
+RANK_CELLS, CELL_ROWS = 64, 100_000
 #: A space between two non-spaces always starts a new pre-token, so ids of such parts simply follow each other.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -45,8 +47,12 @@ class Words(dict):
         return ids
 
 
-def encoder(ranks_path: str, pattern: str):
-    """Text to ids as little-endian unsigned 32-bit bytes; the same ids as the JSON vocabulary gives without special tokens."""
+def encoder(ranks_path: str, pattern: str, added: dict[str, int]):
+    """Text to ids as little-endian unsigned 32-bit bytes; the ids that the JSON vocabulary gives.
+
+    added: its added tokens, which are cut out of a text first, wherever they stand, the longest of those that begin at one
+    place; what lies between them is encoded by itself.
+    """
     import tiktoken
 
     with open(ranks_path, "rb") as f:
@@ -58,25 +64,45 @@ def encoder(ranks_path: str, pattern: str):
 
     words = Words(raw)
 
-    def ids(text: str) -> bytes:
+    def plain(text: str) -> bytes:
         first, *rest = _CUT.split(text)
         return raw(first) + b"".join(map(words.__getitem__, rest))
 
+    if not added:
+        return plain
+    apart = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
+    whole = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+
+    def ids(text: str) -> bytes:
+        return b"".join(whole[x] if k % 2 else plain(x) for k, x in enumerate(apart.split(text)))
+
     return ids
 
 
-def token_pieces(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, end_id: int = END_ID) -> DataFrame:
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Added tokens of a JSON vocabulary and their ids; those that are more than a string to be found are refused."""
+    with open(json_path, encoding="utf-8") as f:
+        listed = json.load(f)["added_tokens"]
+    odd = [t["content"] for t in listed if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    if odd:
+        raise ValueError(f"added tokens with rules of their own: {odd}")
+    return {t["content"]: t["id"] for t in listed}
+
+
+def token_pieces(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, end_id: int = END_ID, added: dict[str, int] | None = None) -> DataFrame:
     """``(doc_id, start, length, doc_tokens, ids)``: each document's ids and an end id, cut into full windows and a rest.
 
-    ids is binary, little-endian unsigned 32 bits. A null text is empty: its only piece is the end id. ranks_path and
-    pattern name the vocabulary; by default the public byte-level one, looked up on the executor.
+    ids is binary, little-endian unsigned 32 bits. A null text is empty: its only piece is the end id; null and repeated
+    ids are documents of their own. ranks_path, pattern and added (added tokens) name the vocabulary; by default the public
+    byte-level one, looked up on the executor.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers as public
 
-        encode = encoder(ranks_path or public.path("byte_bpe_50k.tiktoken"), pattern or public.PATTERN)
+        own = added if added is not None else {} if ranks_path else added_tokens(public.path("byte_bpe_50k.json"))
+        encode = encoder(ranks_path or public.path("byte_bpe_50k.tiktoken"), pattern or public.PATTERN, own)
         for b in it:
             for at in range(0, b.num_rows, 500):
                 keys, out = b.column(0).slice(at, 500), []
@@ -88,7 +114,7 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
 
     key = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batches, f"doc_id {key}, start bigint, length bigint, doc_tokens bigint, ids binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(batches), f"doc_id {key}, start bigint, length bigint, doc_tokens bigint, ids binary")
 
 
 class Capacities:
@@ -180,8 +206,10 @@ def assign_sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     one task's work. An empty table gives no rows.
     """
     spark = pieces.sparkSession
-    cut = pieces.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "start"), F.lit(RANK_CELLS)).cast("int"))
-    sizes = materialize(cut.groupBy("length", "_cell").agg(F.count("*").alias("n")), "lengths")  # at most window * RANK_CELLS rows
+    most = pieces.groupBy("length").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    cells = min(4096, max(RANK_CELLS, -(-most // CELL_ROWS)))
+    cut = pieces.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "start"), F.lit(cells)).cast("int"))
+    sizes = materialize(cut.groupBy("length", "_cell").agg(F.count("*").alias("n")), "lengths")  # at most window * cells rows
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placed, used = best_fit_decreasing({k: v for k, v in counts.items() if k < window}, window)
     rows = [(p.length, p.rank, p.count, p.first, p.offset, p.each) for p in placed]
@@ -190,7 +218,7 @@ def assign_sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     plan = spark.createDataFrame(rows, "p_length bigint, p_rank bigint, p_count bigint, p_first bigint, p_offset bigint, p_each bigint")
     before = sizes.selectExpr("length as b_length", "_cell as b_cell", "sum(n) over (partition by length order by _cell) - n as before")
     ranked = cut.selectExpr("*", "row_number() over (partition by length, _cell order by doc_id, start) - 1 as _within")
-    ranked = ranked.join(F.broadcast(before), (F.col("length") == F.col("b_length")) & (F.col("_cell") == F.col("b_cell")))
+    ranked = ranked.join(before if cells > RANK_CELLS else F.broadcast(before), (F.col("length") == F.col("b_length")) & (F.col("_cell") == F.col("b_cell")))
     ranked = ranked.withColumn("_rank", F.col("before") + F.col("_within"))
     found = ranked.join(F.broadcast(plan), (F.col("length") == F.col("p_length")) & (F.col("_rank") >= F.col("p_rank")) & (F.col("_rank") < F.col("p_rank") + F.col("p_count")))
     sequence = F.col("p_first") + F.expr("(_rank - p_rank) div p_each")
