@@ -90,8 +90,9 @@ def mix(docs: DataFrame, domain: Column, weights: list[tuple], share: float = 0.
     return row.select("row", *LEVELS, F.explode(epochs).alias("epoch"), "tokens")
 
 
-#: Domains of the given documents by the number in their source's name.
-DOMAIN_SQL = "case when source is null then 'other' when cast(substr(source, 4) as int) = 0 then 'web' when cast(substr(source, 4) as int) < 8 then 'books' when cast(substr(source, 4) as int) < 14 then 'news' else 'forum' end"
+#: Domains of the given documents by the number in their source's name (src0, src1, ...); sources named otherwise, or none, are ``other``.
+_NUMBER = "try_cast(substr(source, 4) as int)"
+DOMAIN_SQL = f"case when source is null or substr(source, 1, 3) != 'src' or length(source) not between 4 and 12 or translate(substr(source, 4), '0123456789', '') != '' then 'other' when {_NUMBER} = 0 then 'web' when {_NUMBER} < 8 then 'books' when {_NUMBER} < 14 then 'news' else 'forum' end"
 WEIGHTS = [("web", None, None, 2.0), ("books", None, None, 4.0), ("news", None, None, 3.0), ("forum", None, None, 1.0), ("books", "en", None, 2.0), ("books", "es", None, 3.0), ("news", "de", None, 2.0), ("news", "de", "src9", 3.0), ("web", "es", None, 0.5)]
 SHARE, SEED, EPOCHS = 0.5, 17, 4
 
