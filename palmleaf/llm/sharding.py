@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from palmleaf.shared import materialize
 
-#: Cells of a bracket in one round, and cells by which rows are numbered within a shard.
-CELLS, SLOT_CELLS = 64, 64
+#: Cells of a bracket in one round, least cells by which rows are numbered within a shard, and rows that such a cell should hold at most.
+CELLS, SLOT_CELLS, CELL_ROWS = 64, 64, 100_000
 #: Keys are hashes of 62 bits, so that differences fit a long.
 TOP = 1 << 62
 
@@ -58,8 +58,8 @@ def _counted(rows: DataFrame, brackets: list[Bracket]) -> dict[int, list]:
 def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int]]:
     """``shards - 1`` boundaries (g, d); a row belongs below one if its (g, d) is smaller.
 
-    Bytes below a boundary differ from its even share by at most ``tolerance`` of a shard, or by the bytes of one key if
-    that is more.
+    Bytes below a boundary differ from its even share by at most ``tolerance`` of a shard, or by the bytes of the group
+    there if that is more. Only a group that is larger than an even share is cut, at its rows' own keys.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     targets = {s: total * s / shards for s in range(1, shards)}
@@ -87,9 +87,9 @@ def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple
                     continue
                 elif lo < hi:
                     open_[s] = Bracket(b.column, lo, hi, below, b.group)
-                elif b.group is None:
+                elif b.group is None and size > total / shards:
                     open_[s] = Bracket("d", 0, TOP - 1, below, lo)
-                else:  # one key, indivisible
+                else:  # one group that a shard can hold, or one key of a larger one: whole, on the side that is nearer
                     done[s] = boundary(lo if at - below < below + size - at else lo + 1)
                 break
             else:
@@ -102,8 +102,8 @@ def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple
 def shard_rows(rows: DataFrame, shards: int = 16, size: Column | None = None, group: list[str] | None = None, row: list[str] | None = None, tolerance: float = 0.001) -> DataFrame:
     """All ``rows`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard); shard bytes near equal.
 
-    size: bytes of a row (default 1, which evens out counts). group: columns whose equal values stay next to each other
-    in the order, so that they share a shard, or neighbouring shards where one shard's bytes cannot hold them. row:
+    size: bytes of a row (default 1, which evens out counts). group: columns whose equal values share a shard; only a group
+    of more bytes than a shard's even share is cut, into neighbouring shards. row:
     columns that tell rows of a group apart. Rows equal in both are one key and stay together. Nulls count as values.
     Input columns named shard or slot are replaced; an empty table gives no rows.
     """
@@ -113,11 +113,12 @@ def shard_rows(rows: DataFrame, shards: int = 16, size: Column | None = None, gr
     keyed = materialize(keyed, "shard-keys")
     past = [(F.col("g") > F.lit(g)) | ((F.col("g") == F.lit(g)) & (F.col("d") >= F.lit(d))) for g, d in find_splitters(keyed.select("g", "d", "size"), shards, tolerance)]
     shard = reduce(lambda a, b: a + b.cast("int"), past, F.lit(0))
-    placed = keyed.select("row", shard.alias("shard"), "d", F.pmod("d", F.lit(SLOT_CELLS)).cast("int").alias("cell"))
+    slots = min(4096, max(SLOT_CELLS, -(-keyed.count() // (shards * CELL_ROWS))))
+    placed = keyed.select("row", shard.alias("shard"), "d", F.pmod("d", F.lit(slots)).cast("int").alias("cell"))
     sizes = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = sizes.selectExpr("shard as s", "cell as c", "sum(n) over (partition by shard order by cell) - n as before")
     numbered = placed.selectExpr("*", "row_number() over (partition by shard, cell order by d) - 1 as within")
-    numbered = numbered.join(F.broadcast(before), (F.col("shard") == F.col("s")) & (F.col("cell") == F.col("c")))  # at most shards * SLOT_CELLS rows
+    numbered = numbered.join(F.broadcast(before), (F.col("shard") == F.col("s")) & (F.col("cell") == F.col("c")))  # at most shards * slots rows
     return numbered.select("row.*", "shard", (F.col("before") + F.col("within")).cast("long").alias("slot"))
 
 
