@@ -1,8 +1,9 @@
 """Main text of web pages by the maximum-scoring contiguous region.
 
 A page is a sequence of words and tags. Words score positive and tags negative, with weights from labelled pages; a
-linear scan finds the region of the highest sum. Words inside elements that are never content (navigation, adverts,
-forms and the like) score as heavily as tags and are left out of the text.
+linear scan finds the region of the highest sum. Words outside the article of a page that has one score negative. What
+lies inside elements that are never content (navigation, adverts, forms and the like) scores nothing, so that a region
+may go on behind it, and is left out of the text.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 from math import log
 
@@ -17,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palmleaf.llm.workers import lean, slices
+
 #: Labelled pages that weights are fitted on, in expectation.
 FIT_PAGES = 2000
 #: Least size of a weight, and weights used where no page is labelled.
-LEAST, WORD_DEFAULT, TAG_DEFAULT, ASIDE_WORD = 0.05, 1.0, -2.0, -3.0
+LEAST, WORD_DEFAULT, TAG_DEFAULT, OUTSIDE_WORD = 0.05, 1.0, -2.0, -3.0
 
-# Fixed values of HTML: elements by role.
+# Fixed values of HTML: elements by role. Elements of other names count as one class, "other".
 HIDDEN = frozenset("head script style noscript template svg math iframe object canvas audio video select option datalist textarea title".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 ASIDE = frozenset("nav footer aside form menu dialog button fieldset label input".split())
@@ -30,76 +34,152 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Words of class, id and role attributes that mark parts that are not content.
-ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies contentinfo disqus footer header menu nav navbar navigation newsletter notice popup promo promoted recommended related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary search".split()
-)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+INLINE = frozenset("a abbr acronym b bdi bdo big caption cite code colgroup data del dfn em font i ins kbd mark map meter optgroup output picture progress q rp rt ruby s samp search slot small span strike strong sub sup time tt u var".split())
+KNOWN = HIDDEN | ASIDE | VOID | BLOCK | INLINE
+#: Elements that hold blocks; class words by halves of a name count for these only.
+CONTAINER = frozenset("div section article main ul ol dl table td aside details figure center header".split())
+#: Words of class, id and role that mark parts that are not content: readers' comments, adverts and their like, and others.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond".split())
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted cookie cookies consent newsletter subscribe popup".split())
+OTHER_WORDS = frozenset("banner breadcrumb breadcrumbs contentinfo footer header menu nav navbar navigation notice recommended related share sharing sidebar social toolbar widget complementary search".split())
+#: Words of names that wrap content, and what before a word says that it is only about it.
+WRAP_WORDS = frozenset("content main article post entry story page wrapper layout container body".split())
+ABOUT = frozenset("no not non without with has have hide show".split())
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s=>/]+(?:\s*=\s*(?:"[^"]*"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|[^\s>]*))?|=)*+)>?""", re.S)
+_NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
-def _marked(attributes: str, in_article: bool) -> bool:
-    words = {w for m in _NAMES.findall(attributes) for w in _PARTS.split("".join(m).lower())} & ASIDE_WORDS
-    return bool(words - {"header"} if in_article else words)
+def mark(name: str, attributes: str, in_article: bool) -> str:
+    """``comment`` or ``aside`` if the class, id or role of an element says so, else nothing.
+
+    A whole name that is such a word counts for any element but headings; a part of one (related-work) only for containers,
+    inside an article only if it speaks of comments or adverts. Ids inside an article count for comments only. A container
+    that is also named as a wrapper of content stays content unless it is named as comments or adverts.
+    """
+    if name[:1] == "h" and name[1:].isdigit():
+        return ""
+    found, wraps = "", False
+    for m in _NAMES.findall(attributes):
+        for token in "".join(m[1:]).lower().split():
+            parts = [p for p in _PARTS.split(token) if p]
+            if not parts or parts[0] in ABOUT:
+                continue
+            words = set(parts if name in CONTAINER else parts[:1] if len(parts) == 1 else ())
+            if words & COMMENT_WORDS:
+                return "comment"
+            if m[0].lower() == "id" and (in_article or name not in CONTAINER):
+                continue
+            if words & ADVERT_WORDS:
+                found = "advert"
+            elif words & OTHER_WORDS and name in CONTAINER and (len(parts) == 1 or not in_article):
+                found = found or "other"
+            else:
+                wraps = wraps or bool(words & WRAP_WORDS)
+    return "aside" if found == "advert" or found and not wraps else ""
+
+
+@dataclass
+class _Open:
+    """An open element, and whether it is an aside (or, in it, readers' comments), an article, a main element."""
+
+    name: str
+    aside: bool
+    comment: bool
+    article: bool
+    main: bool
 
 
-def tokens(html: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, value, aside, labelled) of a page in order: kind is ``text`` or ``tag`` (``/name`` when closing).
+@dataclass(frozen=True, slots=True)
+class Token:
+    """kind: text, space or tag (``/name`` when closing). aside: in an element that is never content. article, main: in such an element."""
 
-    aside: within an element that is never content; labelled: within an article or main element. Hidden elements give
-    their tags only. A missing end tag of an aside element ends with its parent; so does one that was never opened.
+    kind: str
+    value: str
+    aside: bool
+    article: bool
+    main: bool
+
+
+def tokens(html: str) -> Iterator[Token]:
+    """The tokens of a page in order. Hidden elements give their tags only.
+
+    A missing end tag of an aside element ends with its parent, and with the first article of the page unless that lies
+    within it; an end tag that was never opened is nothing but a tag. Readers' comments are no articles.
     """
-    stack: list[tuple[str, bool]] = []  # open elements and whether each is an aside
-    asides = labels = 0
-    at, end = 0, len(html)
+    stack: list[_Open] = []
+    at, end, begun = 0, len(html), False
+
+    where = (False, False, False)
+
+    def seen() -> tuple[bool, bool, bool]:
+        return any(x.aside for x in stack), any(x.article for x in stack), any(x.main for x in stack)
+
     while at < end:
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else end]
-        if text and not text.isspace():
-            yield "text", text, asides > 0, labels > 0
-        elif text:
-            yield "space", text, asides > 0, labels > 0
+        if text:
+            yield Token("space" if text.isspace() else "text", text, *where)
         if not m:
             break
         at, name = m.end(), (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            for closed, aside in stack[depth:] if depth is not None else ():
-                asides -= aside
-                labels -= closed in ("article", "main")
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
             if depth is not None:
                 del stack[depth:]
-            yield "tag", "/" + name, asides > 0, labels > 0
+                where = seen()
+            yield Token("tag", "/" + name, *where)
             continue
-        yield "tag", name, asides > 0, labels > 0
+        yield Token("tag", name, *where)
         if name in RAW and not m[3].endswith("/"):
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = close.end() if close else end
-            yield "tag", "/" + name, asides > 0, labels > 0
+            yield Token("tag", "/" + name, *where)
         elif name not in VOID and not m[3].endswith("/"):
-            # a page header is none of an article's own
-            aside = name in ASIDE or (name == "header" and not labels) or name in HIDDEN or (name not in ("html", "body", "article", "main") and _marked(m[3], labels > 0))
-            if name in ("article", "main"):  # content begins: what an unclosed aside above left open is over
-                asides = 0
-                stack = [(n, False) for n, _ in stack]
-            stack.append((name, aside))
-            asides += aside
-            labels += name in ("article", "main")
+            inside = where[1]
+            said = mark(name, m[3], inside)
+            label = name in ("article", "main") and said != "comment" and not any(x.comment for x in stack)
+            aside = said == "comment" or name in HIDDEN or name in ASIDE or (name == "header" and not inside and not where[2])  # a page header is none of an article's own
+            aside = aside or (bool(said) and name not in ("html", "body") and not label)
+            if label and not begun:
+                begun = True
+                for x in stack:
+                    x.aside = x.aside and x.name in ASIDE and _around(html, at, x.name, name)
+            stack.append(_Open(name, aside, said == "comment", label and name == "article", label and name == "main"))
+            where = seen()
+
+
+def _around(html: str, at: int, outer: str, inner: str) -> bool:
+    """Whether the ``inner`` element that begins at a place ends before ``outer`` does."""
+    ends = [re.compile(rf"</{n}\b", re.I).search(html, at) for n in (inner, outer)]
+    return bool(ends[0] and ends[1] and ends[0].start() < ends[1].start())
+
+
+def labelled(page: list[Token]) -> list[bool]:
+    """Which tokens lie in the article of a page, or where it has none with words, in its main element; none else."""
+    for of in ("article", "main"):
+        got = [getattr(t, of) for t in page]
+        if any(t.kind == "text" and not t.aside and g for t, g in zip(page, got)):
+            return got
+    return [False] * len(page)
+
+
+def _class(t: Token) -> str:
+    bare = t.value.lstrip("/")
+    return t.value if bare in KNOWN else "/other" if t.value[0] == "/" else "other"
 
 
 def class_counts(html: str) -> Counter:
-    """Words and tags by class, inside and outside the labelled region of a page."""
+    """Words and tags by class, inside and outside the labelled region of a page; what asides hold is left out."""
+    page = list(tokens(html))
     out: Counter = Counter()
-    for kind, value, aside, labelled in tokens(html):
-        if kind == "tag":
-            out[value, labelled] += 1
-        elif kind == "text" and not aside:
-            out["word", labelled] += len(value.split())
-        elif kind == "text":
-            out["aside word", labelled] += len(value.split())
+    for t, inside in zip(page, labelled(page)):
+        if t.kind == "tag":
+            out[_class(t), inside] += not t.aside
+        elif t.kind == "text" and not t.aside:
+            out["word", inside] += len(t.value.split())
     return out
 
 
@@ -107,60 +187,77 @@ def fit_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     """Weight of each class: the log of how much likelier it is inside labelled regions than outside.
 
     Labelled pages are those with an article or main element; FIT_PAGES of them in expectation are counted, by hash of
-    the page. Words are held above zero and tags below.
+    the page. There are no more classes than elements in KNOWN, twice, and four. Words are held above zero, tags and words
+    outside an article below.
     """
-    labelled = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.col(html_col).alias("html"))
-    n = labelled.count()
+    known = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.col(html_col).alias("html"))
+    n = known.count()
     if not n:
         return {}
-    sample = labelled.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < F.lit(int(min(1.0, FIT_PAGES / n) * (1 << 30))))
+    sample = known.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < F.lit(int(min(1.0, FIT_PAGES / n) * (1 << 30))))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             total = sum((class_counts(t.as_py()) for t in b.column("html")), Counter())
             keys = list(total)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], ["class", "inside", "n"])
 
-    rows = sample.mapInArrow(count, "class string, inside boolean, n bigint").groupBy("class", "inside").agg(F.sum("n").alias("n"))
-    rows = rows.orderBy(F.desc("n"), "class").limit(2000).collect()  # element names that pages invent are few, and rare ones weigh the default
+    rows = sample.mapInArrow(lean(count), "class string, inside boolean, n bigint").groupBy("class", "inside").agg(F.sum("n").alias("n")).collect()
     inside, outside = ({r["class"]: r["n"] for r in rows if r["inside"] is x} for x in (True, False))
     a, b = sum(inside.values()) + 1, sum(outside.values()) + 1
     ratio = {k: log((inside.get(k, 0) + 0.5) / a) - log((outside.get(k, 0) + 0.5) / b) for k in {*inside, *outside}}
     weights = {k: max(LEAST, v) if k == "word" else min(-LEAST, v) for k, v in ratio.items()}
-    weights["aside word"] = min(ASIDE_WORD, weights.get("aside word", ASIDE_WORD))
+    weights["outside word"] = min(OUTSIDE_WORD, log(0.5 / a) - log((outside.get("word", 0) + 0.5) / b))
     return weights
 
 
-def best_region(html: str, weights: dict[str, float]) -> list[tuple[str, str, bool]]:
-    """Tokens (kind, value, aside) of the contiguous region with the highest sum; the first of equal ones."""
-    kept = [t[:3] for t in tokens(html)]
-    word, aside_word = weights.get("word", WORD_DEFAULT), weights.get("aside word", ASIDE_WORD)
+def scores(page: list[Token], weights: dict[str, float]) -> list[float]:
+    """Score of each token. Spaces, and what asides hold, score nothing; the tags around an aside score as any."""
+    word, outside = weights.get("word", WORD_DEFAULT), weights.get("outside word", OUTSIDE_WORD)
+    inside = labelled(page)
+    known = any(inside)
+    out = []
+    for t, own in zip(page, inside):
+        if t.kind == "space" or t.aside:
+            out.append(0.0)
+        elif t.kind == "tag":
+            out.append(weights.get(_class(t), TAG_DEFAULT))
+        else:
+            out.append(len(t.value.split()) * (word if own or not known else outside))
+    return out
+
+
+def best_region(values: list[float]) -> tuple[int, int]:
+    """Bounds (first, past the last) of the contiguous run with the highest sum, by one linear scan; the first of equal ones.
+
+    Empty, (0, 0), where no run is above zero.
+    """
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
-    for i, (kind, value, aside) in enumerate(kept):
-        if kind == "space":
-            continue
+    for i, v in enumerate(values):
         if total <= 0:
             total, start = 0.0, i
-        total += weights.get(value, TAG_DEFAULT) if kind == "tag" else len(value.split()) * (aside_word if aside else word)
+        total += v
         if total > best:
             best, best_from, best_to = total, start, i + 1
-    return kept[best_from:best_to]
+    return best_from, best_to
 
 
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     """Blocks of the best region, joined by an empty line; references decoded, white space within a block made one space."""
+    page = list(tokens(html or ""))
+    first, past = best_region(scores(page, weights))
     blocks: list[str] = []
     open_: list[str] = []
-    for kind, value, aside in best_region(html or "", weights):
-        if kind == "tag":
-            name = value.lstrip("/")
+    for t in page[first:past]:
+        if t.kind == "tag":
+            name = t.value.lstrip("/")
             if name in BLOCK:
                 blocks.append("".join(open_))
                 open_ = []
             elif name == "br":
                 open_.append(" ")
-        elif not aside:
-            open_.append(value)
+        elif not t.aside:
+            open_.append(t.value)
     blocks.append("".join(open_))
     texts = (" ".join(unescape(b).split()) for b in blocks)
     return "\n\n".join(t for t in texts if t)
@@ -175,13 +272,11 @@ def extract(pages: DataFrame, html_col: str = "html", weights: dict[str, float]
     found = fit_weights(pages, html_col) if weights is None else weights
     kept = [c for c in pages.columns if c not in (html_col, "text")]
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([main_text(h.as_py(), found) for h in b.column(1)], pa.string())], ["row", "text"])
+    @F.arrow_udf("string")
+    def text(html: pa.Array) -> pa.Array:
+        return pa.array([main_text(h.as_py(), found) for h in html], pa.string())
 
-    packed = pages.select(F.struct(F.lit(0).alias("_"), *kept).alias("row"), F.col(html_col).alias("html"))
-    out = packed.mapInArrow(batches, f"row {packed.schema['row'].dataType.simpleString()}, text string")
-    return out.select(*(F.col(f"row.`{c}`") for c in kept), "text")
+    return pages.select(*kept, text(F.col(html_col)).alias("text"))
 
 
 def extraction_report(pages: DataFrame) -> DataFrame:
