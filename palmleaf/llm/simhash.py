@@ -5,8 +5,9 @@ stored vertically are compared with carry-save counters and a block is abandoned
 Only spanning links leave a bucket, never all its pairs.
 
 Two plans of buckets: EXACT (64 bits, radius 3: two of five bit blocks, which three differing bits always leave
-untouched, so no link is lost) and SIMILAR (256 bits for a shingle similarity of 0.8: 110 seeded samples of 16 bits). Groups by SIMILAR are candidates only:
-similar_groups links what has the similarity itself, by the sets of shingles.
+untouched, so no link is lost) and similar_plan (256 bits for a shingle similarity of 0.8: seeded samples of 16 bits or
+more). Groups by the latter are candidates only: similar_groups links what has the similarity itself, by the sets of
+shingles.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from palmleaf.llm.workers import lean, slices
 from palmleaf.operators.components import connected_components
 from palmleaf.shared import materialize
 
@@ -48,14 +50,19 @@ _BLOCKS = [range(0, 13), range(13, 26), range(26, 39), range(39, 52), range(52,
 EXACT = Plan(64, 3, 3, tuple((*a, *b) for a, b in combinations(_BLOCKS, 2)))
 
 
-def similar_plan(similarity: float = 0.8, width: int = 5, bits: int = 256, tables: int = 110, key_bits: int = 16) -> Plan:
-    """Plan for texts whose sets of word shingles have a Jaccard ``similarity`` or more.
+def similar_plan(n: int = 0, similarity: float = 0.8, width: int = 5, bits: int = 256, found: float = 0.993) -> Plan:
+    """Plan for ``n`` texts, those whose sets of word shingles have a Jaccard ``similarity`` or more being near.
 
     Two sets of Jaccard s have cosine 2s / (1 + s); the angle gives the expected share of differing bits. The radius is
-    that number and three standard deviations; found_chance has the probability that radius and tables find a pair.
+    that number and three standard deviations. Keys have 16 bits, and more where a bucket would hold over 64 texts by
+    chance; there are so many tables that radius and keys together find a pair with probability ``found`` (found_chance).
     """
     share = differing_share(similarity)
     radius = round(bits * share + 3 * np.sqrt(bits * share * (1 - share)))
+    key_bits = min(40, max(16, (n // 64).bit_length()))
+    tables = 8
+    while _found(bits, radius, key_bits, tables, share) < found:
+        tables += 1 + tables // 32
     draw = np.random.default_rng(SEED)
     return Plan(bits, width, radius, tuple(tuple(sorted(map(int, draw.choice(bits, key_bits, replace=False)))) for _ in range(tables)))
 
@@ -65,13 +72,17 @@ def differing_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def _found(bits: int, radius: int, key_bits: int, tables: int, share: float) -> float:
+    total = 0.0
+    for k in range(radius + 1):
+        same = comb(bits - k, key_bits) / comb(bits, key_bits)
+        total += comb(bits, k) * share**k * (1 - share) ** (bits - k) * (1 - (1 - same) ** tables)
+    return total
+
+
 def found_chance(plan: Plan, similarity: float) -> float:
     """Probability that a pair at ``similarity`` lies within the radius and shares a key in some table, with independent bits."""
-    share, total = differing_share(similarity), 0.0
-    for k in range(plan.radius + 1):
-        same = comb(plan.bits - k, len(plan.keys[0])) / comb(plan.bits, len(plan.keys[0]))
-        total += comb(plan.bits, k) * share**k * (1 - share) ** (plan.bits - k) * (1 - (1 - same) ** len(plan.keys))
-    return total
+    return _found(plan.bits, plan.radius, len(plan.keys[0]), len(plan.keys), differing_share(similarity))
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -111,13 +122,13 @@ def fingerprints(docs: DataFrame, plan: Plan = EXACT, id_col: str = "doc_id", te
     """``(doc_id, fp)``: one row per input row, the fingerprint as binary."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             texts = b.column(1).cast(pa.large_binary())
             fp = pa.array([fingerprint(t.as_py(), plan.width, plan.bits) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), fp], ["doc_id", "fp"])
 
     key = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batches, f"doc_id {key}, fp binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(batches), f"doc_id {key}, fp binary")
 
 
 def as_matrix(fps: pa.Array) -> np.ndarray:
@@ -139,15 +150,19 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
 
-def within_radius(queries: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarray:
+def within_radius(queries: np.ndarray, planes: np.ndarray, radius: int, own: bool = False) -> np.ndarray:
     """(queries, words) bit masks of the values at ``radius`` or fewer differing bits.
 
     Carry-save counters add one plane of differences to all distances of a block at a time; the carry out of the top
-    counter marks distances that are past the radius, and the block is abandoned when that is all of them.
+    counter marks distances that are past the radius, and the block is abandoned when that is all of them. own: query k is
+    value k itself, which is left out.
     """
     bits, levels = as_bits(queries).astype(np.uint64), int(radius).bit_length()
     counters = np.zeros((levels, len(queries), planes.shape[1]), np.uint64)
     past = np.zeros(counters.shape[1:], np.uint64)
+    if own:
+        each = np.arange(len(queries))
+        past[each, each >> 6] = np.uint64(1) << (each & 63).astype(np.uint64)
     start = (1 << levels) - 1 - radius  # so that the carry leaves the top counter just past the radius
     for k in range(levels):
         if start >> k & 1:
@@ -164,20 +179,29 @@ def within_radius(queries: np.ndarray, planes: np.ndarray, radius: int) -> np.nd
     return ~past
 
 
-def spanning_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and, for each, the first row of its component within ``values``; first rows themselves are left out."""
-    n, planes = len(values), bit_planes(values)
-    near = np.vstack([within_radius(values[i : i + PACK], planes, radius) for i in range(0, n, PACK)])
+def near_pairs(values: np.ndarray, radius: int) -> np.ndarray:
+    """(n, n / 64) bit masks of the other values within the radius of each; blocks of PACK values are compared, and abandoned, by themselves."""
+    n, planes, step = len(values), bit_planes(values), PACK // 64
+    near = np.zeros((n, planes.shape[1]), np.uint64)
+    for i in range(0, n, PACK):
+        for j in range(0, planes.shape[1], step):
+            near[i : i + PACK, j : j + step] = within_radius(values[i : i + PACK], planes[:, j : j + step], radius, i == 64 * j)
     if n % 64:
         near[:, -1] &= np.uint64((1 << n % 64) - 1)
-    busy = np.flatnonzero(np.bitwise_count(near).sum(axis=1, dtype=np.int64) > 1)
+    return near
+
+
+def spanning_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and, for each, the first row of its component within ``values``; first rows themselves are left out."""
+    n, near = len(values), near_pairs(values, radius)
+    busy = np.flatnonzero(near.any(axis=1))
     label = np.arange(n)
     while len(busy):
         new = label.copy()
         for i in range(0, len(busy), PACK):
             rows = busy[i : i + PACK]
             mask = np.unpackbits(near[rows].view(np.uint8), axis=1, count=n, bitorder="little").astype(bool)
-            new[rows] = np.where(mask, label[None, :], n).min(axis=1)
+            new[rows] = np.minimum(label[rows], np.where(mask, label[None, :], n).min(axis=1))
         new = np.minimum(new, new[new])
         if (new == label).all():
             break
@@ -225,7 +249,7 @@ def _bucket_keys(plan: Plan):
             bits = as_bits(as_matrix(b.column(0)))
             for number, places in enumerate(plan.keys):
                 key = bits[:, places].astype(np.int64) @ (np.int64(1) << np.arange(len(places), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key + (number << 48)), b.column(0)], ["bucket", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key + (number << 41)), b.column(0)], ["bucket", "fp"])
 
     return run
 
@@ -236,16 +260,17 @@ def fingerprint_links(fps: DataFrame, plan: Plan = EXACT) -> DataFrame:
     A bucket of more than CHUNK fingerprints is cut by hash into c chunks and compared as c (c + 1) / 2 pairs of chunks
     in as many tasks, so no bucket is gathered whole.
     """
-    rows = fps.select("fp").mapInArrow(_bucket_keys(plan), "bucket bigint, fp binary")
+    rows = fps.select("fp").mapInArrow(lean(_bucket_keys(plan)), "bucket bigint, fp binary")
     large = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
     large = large.select(F.col("bucket").alias("b"), F.ceil(F.col("n") / F.lit(CHUNK // 2)).cast("int").alias("chunks"))
+    large = materialize(large, "large-buckets")  # written, so that Spark knows its size and broadcasts it only if that is small
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("long")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.least(chunk, o.cast("long")) * F.lit(1 << 20) + F.greatest(chunk, o.cast("long")))
     pairs = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
-    dealt = rows.join(large.hint("shuffle_hash"), F.col("bucket") == F.col("b"), "left").select("bucket", "fp", F.explode(pairs).alias("pair"))
+    dealt = rows.join(large, F.col("bucket") == F.col("b"), "left").select("bucket", "fp", F.explode(pairs).alias("pair"))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.select(F.xxhash64("bucket", "pair").alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_compare_buckets(plan.radius), "src binary, dst binary")
+    return dealt.mapInArrow(lean(_compare_buckets(plan.radius)), "src binary, dst binary")
 
 
 def near_duplicate_groups(docs: DataFrame, plan: Plan = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,7 +350,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_
     64-bit hashes of shingles); a group of over VERIFY_CHUNK texts is dealt out as pairs of chunks. Ids, nulls and repeats are as
     in near_duplicate_groups.
     """
-    plan = similar_plan(similarity, width)
+    plan = similar_plan(docs.count(), similarity, width)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5("text")))
     marks = fingerprints(texts.select(F.struct("doc_id", "node").alias("row"), "text"), plan, "row")
     marks = materialize(marks.select("doc_id.doc_id", "doc_id.node", "fp"), "marks")
@@ -338,16 +363,16 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_
     asked = texts.join(open_.hint("merge"), (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("root", "node", "chunks", "text")
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in slices(it):
             held = [np.unique(shingles(t.as_py(), width)).tobytes() for t in b.column(3).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(held, pa.binary())], ["root", "node", "chunks", "shingles"])
 
-    known = asked.mapInArrow(sets, "root binary, node binary, chunks int, shingles binary").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    known = asked.mapInArrow(lean(sets), "root binary, node binary, chunks int, shingles binary").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("a"), F.greatest("chunk", o).alias("b")))
     dealt = known.withColumn("pair", F.explode(pair))
     dealt = dealt.select(F.xxhash64("root", "pair").alias("unit"), "node", "shingles", (F.col("pair.a") != F.col("pair.b")).alias("crossing"), (F.col("chunk") == F.col("pair.a")).alias("side"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = dealt.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_verify(similarity), "src binary, dst binary")
+    links = dealt.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(lean(_verify(similarity)), "src binary, dst binary")
     roots = connected_components(links).withColumnRenamed("node", "m")
     linked = named.join(roots.hint("merge"), F.col("n") == F.col("m"), "left")
     linked = materialize(linked.select("n", "first_id", F.coalesce("component", "n").alias("root")), "similar")
