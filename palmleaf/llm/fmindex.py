@@ -1,4 +1,4 @@
-"""Compressed FM-index over word sequences: wavelet matrix, backward search, matching statistics."""
+"""Compact FM-index over word sequences: wavelet matrix of packed bits, backward search, matching statistics."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ class Bits:
         padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]])
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)[:-1]]).astype(np.int32)
         self.zeros = len(bits) - int(bits.sum())
 
     def ones(self, at: np.ndarray) -> np.ndarray:
@@ -56,12 +56,17 @@ def _ranked(keys: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of sequences of positive symbols, each with a weight (how often it occurs), for patterns of up to ``depth``."""
+    """Index of sequences of positive symbols, each with a weight (how often it occurs), for patterns of up to ``depth``.
+
+    Held are the wavelet matrix of the Burrows-Wheeler transform (as many bits a symbol as symbols need), the sums of
+    weights, and of the suffix order the common prefixes of neighbours (a byte each, cut at ``depth``) with the nearest
+    smaller one before and after each, which give the parent of an interval. The suffix order itself is not kept.
+    """
 
     def __init__(self, sequences: list[np.ndarray], weights: np.ndarray, depth: int):
         ends = np.zeros(1, np.int64)
         text = np.concatenate([x for s in sequences for x in (s, ends)])
-        n, self.depth = len(text), depth
+        self.n = n = len(text)
         # suffix order by prefix doubling from three symbols on, as far as patterns reach
         top = int(text.max())
         after = lambda k: np.concatenate([text[k:], np.zeros(min(k, n), np.int64)])[:n]
@@ -77,16 +82,15 @@ class FMIndex:
             x, y = a + common, b + common
             inside = (x < n) & (y < n)
             common += size * (inside & (rank[np.where(inside, x, 0)] == rank[np.where(inside, y, 0)]))
-        common = np.concatenate([[-1], common, [-1]])
-        at = np.arange(n + 1)
-        self.first = np.empty((depth, n + 1), np.int32)
-        self.past = np.empty((depth, n + 1), np.int32)
-        for d in range(depth):
-            cut = common < d
-            self.first[d] = np.maximum.accumulate(np.where(cut, at, 0))
-            self.past[d] = np.minimum.accumulate(np.where(cut, at, n)[::-1])[::-1]
-        self.common = common
-        self.n = n
+        self.common = np.concatenate([[-1], np.minimum(common, depth), [-1]]).astype(np.int8)
+        at = np.arange(n + 1, dtype=np.int32)
+        self.smaller_before, self.smaller_after = np.zeros(n + 1, np.int32), np.full(n + 1, n, np.int32)
+        for d in range(depth + 1):
+            own = np.flatnonzero(self.common == d)
+            if len(own):
+                cut = self.common < d
+                self.smaller_before[own] = np.maximum.accumulate(np.where(cut, at, 0))[own]
+                self.smaller_after[own] = np.minimum.accumulate(np.where(cut, at, n)[::-1])[::-1][own]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
         self.wavelet = WaveletMatrix(text[suffixes - 1], top)
         per_symbol = np.repeat(weights, [len(s) + 1 for s in sequences])
@@ -97,6 +101,12 @@ class FMIndex:
         both = self.starts[np.tile(symbol, 2)] + self.wavelet.rank(np.tile(symbol, 2), np.concatenate([lo, hi]))
         return both[: len(lo)], both[len(lo) :]
 
+    def parent(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and length of the longest prefix of each pattern that has more rows."""
+        before, after = self.common[lo], self.common[hi]
+        length = np.maximum(before, after)
+        return np.where(before == length, self.smaller_before[lo], lo), np.where(after == length, self.smaller_after[hi], hi), length.astype(np.int64)
+
     def repeated_windows(self, sequences: list[np.ndarray], window: int) -> np.ndarray:
         """(sequences, longest) flags: place i of a row says that the ``window`` symbols from i on weigh two or more in the index.
 
@@ -121,7 +131,9 @@ class FMIndex:
             lo[good], hi[good], length[good] = nl[ok], nh[ok], q[ok] + 1
             full = good[length[good] == window]
             found[full, at[full]] = True
-            lo[full], hi[full] = self.first[window - 1, lo[full]], self.past[window - 1, hi[full]]
+            up_lo, up_hi, up = self.parent(lo[full], hi[full])
+            wider = up == window - 1  # else one symbol less has the same rows
+            lo[full], hi[full] = np.where(wider, up_lo, lo[full]), np.where(wider, up_hi, hi[full])
             length[full] = window - 1
             at[good] -= 1
             # not extended: a shorter match, or no match at this position
@@ -129,8 +141,7 @@ class FMIndex:
             none = live[bad & (q == 0)]
             at[none] -= 1
             some = live[bad & (q > 0)]
-            shorter = np.clip(np.maximum(self.common[lo[some]], self.common[hi[some]]), 0, length[some] - 1)
-            lo[some], hi[some] = self.first[shorter, lo[some]], self.past[shorter, hi[some]]
-            length[some] = shorter
+            lo[some], hi[some], up = self.parent(lo[some], hi[some])
+            length[some] = np.maximum(up, 0)
             live = live[at[live] >= 0]
         return found

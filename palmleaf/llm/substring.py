@@ -1,13 +1,15 @@
-"""Substring deduplication by FM-indexes over shards of the passages that may repeat.
+"""Substring deduplication by FM-indexes over shards of what may repeat.
 
-Every window of words holds an anchor: the gram of least hash in it. Equal windows have equal anchors at equal places, so
-only the surroundings (segments) of grams that are anchors at two places or more can repeat, and segments that share an
-anchor meet in one shard. Equal segments are counted before they move, and move once. Each shard builds an FM-index of its
+Every window of words has an anchor: the gram of least hash in it (the last of equal ones). Windows that follow each other
+and share their anchor's place make a segment, so each window of a document lies in exactly one segment, and equal windows
+have equal anchors. Segments whose anchor stands at one place only cannot repeat; the others are counted where they are
+equal, and each different one moves once, with its weight, to the shard of its anchor. A shard builds an FM-index of its
 segments, streams them through it, and reports the windows that weigh two or more.
 
-An anchor with very many different segments (a passage that many documents quote) is taken apart: its windows are halved by
-their place around it, each half is keyed by all the words that its windows share, and the halves that still have very many
-different segments are halved again. A single window is its own key, so this ends; and no shard gathers such an anchor.
+An anchor with very many different segments (the edge of a passage that many documents quote) is taken apart: the windows of
+its different segments are halved by their place around it, each half is keyed by all the words that its windows share, and
+halves whose key still has very many different ones are halved again. A single window is its own key, so this ends after
+five rounds; no shard gathers such an anchor, and each round makes two rows a segment at most.
 """
 
 from __future__ import annotations
@@ -17,24 +19,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from palmleaf.llm.fmindex import FMIndex
+from palmleaf.llm.workers import lean, slices
 from palmleaf.shared import materialize
 
 WINDOW, GRAM = 35, 10
 REACH = WINDOW - GRAM
 #: Different segments of one anchor that a shard takes whole, and words of the shards a task indexes at a time.
-ANCHOR_MOST, SHARD_WORDS = 1000, 80_000
+ANCHOR_MOST, SHARD_WORDS = 1000, 100_000
 #: Words of a run of segments that moves as one piece.
 RUN_WORDS = 256
-_MEMBERS = pa.list_(pa.struct([("anchor", pa.int64()), ("segment", pa.int64()), ("first", pa.int32()), ("size", pa.int32())]))
+_MEMBERS = pa.list_(pa.struct([("anchor", pa.int64()), ("segment", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("shift", pa.int32())]))
 #: Words hashed at a time.
 SLICE = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,17 +51,8 @@ class WordHashes:
     """Hashes of any run of words in a list, from sums of word hashes times powers of an odd base."""
 
     def __init__(self, words: list[bytes]):
-        self._sum(np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)))
-
-    @classmethod
-    def of_words(cls, own: np.ndarray) -> WordHashes:
-        """From the hashes of the words themselves."""
-        new = cls.__new__(cls)
-        new._sum(own)
-        return new
-
-    def _sum(self, own: np.ndarray) -> None:
-        n, self.own = len(own), own
+        own = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+        n = len(own)
         power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
         self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE, np.uint64)]), dtype=np.uint64)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(own * power[:n], dtype=np.uint64)])
@@ -66,28 +61,30 @@ class WordHashes:
         return _mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
-def _slide(x: np.ndarray, width: int, what) -> np.ndarray:
-    """``what`` (minimum or maximum) over each ``width`` values from a position on."""
+def _slide(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each ``width`` values from a position on."""
     size = 1
     while size * 2 <= width:
-        x = what(x[:-size], x[size:])
+        x = np.minimum(x[:-size], x[size:])
         size *= 2
-    return what(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
+    return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def anchors(lengths: np.ndarray, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of documents of ``lengths`` words that follow each other in a list."""
+def segments(lengths: np.ndarray, hashes: WordHashes) -> tuple[np.ndarray, ...]:
+    """Segments of documents of ``lengths`` words that follow each other in a list: first word, end, place and hash of the anchor."""
     n = int(lengths.sum())
     if n < WINDOW:
-        return np.array([], np.int64), np.array([], np.uint64)
+        return *(np.array([], np.int64) for _ in range(3)), np.array([], np.uint64)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     at = np.arange(n - GRAM + 1)
-    gram = hashes.of(at, at + GRAM) | np.uint64(1)
-    least = _slide(gram, REACH + 1, np.minimum)
-    least = np.where(doc[: len(least)] == doc[WINDOW - 1 :], least, np.uint64(0))  # not across documents
-    padded = np.concatenate([np.zeros(REACH, np.uint64), least, np.zeros(REACH, np.uint64)])
-    found = np.flatnonzero(_slide(padded, REACH + 1, np.maximum)[: len(gram)] == gram)
-    return found, gram[found]
+    gram = hashes.of(at, at + GRAM)
+    # half of each hash, and after it the place, so that the last of equal ones is least: this depends on the words of a window alone
+    least = _slide((gram & ~_LOW) | (_LOW - at.astype(np.uint64)), REACH + 1)
+    window = np.flatnonzero(doc[: len(least)] == doc[WINDOW - 1 :])  # not across documents
+    owner = (_LOW - (least[window] & _LOW)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.array([], np.int64)
+    last = np.append(first[1:], len(owner)) - 1
+    return window[first], window[last] + WINDOW, owner[first], gram[owner[first]]
 
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -104,120 +101,74 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
         yield first, docs
 
 
-def _find_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
+def _find_segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(it, 2000):
         for first, docs in _parts(b.column("text").cast(pa.large_binary())):
             lengths = np.fromiter(map(len, docs), np.int64, len(docs))
             hashes = WordHashes([w for d in docs for w in d])
-            at, gram = anchors(lengths, hashes)
+            lo, hi, at, gram = segments(lengths, hashes)
             ends = np.cumsum(lengths)
-            doc = np.searchsorted(ends, at, side="right")
-            lo, hi = np.maximum(at - REACH, (ends - lengths)[doc]), np.minimum(at + WINDOW, ends[doc])
+            doc = np.searchsorted(ends, lo, side="right")
             segment = hashes.of(lo, hi) + _mix((at - lo).astype(np.uint64))
-            rows = pa.array(first + doc)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(rows), b.column("hash").take(rows), pa.array(gram.view(np.int64)), pa.array(segment.view(np.int64)), pa.array((at - (ends - lengths)[doc]).astype(np.int32))],
-                ["doc_id", "hash", "anchor", "segment", "at"],
-            )
-
-
-def _cut_spans(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each listed anchor of a document the word hashes of the windows in which it is the least gram, the last of equal ones.
-
-    That depends on the words of a window alone, so equal windows go to equal anchors, and each window goes to one.
-    """
-    for b in it:
-        for i, (text, places) in enumerate(zip(b.column("text").cast(pa.large_binary()), b.column("places"))):
-            hashes = WordHashes((text.as_py() or b"").split())
-            at, own = np.arange(len(hashes.own) - GRAM + 1), hashes.own.view(np.int64)
-            gram = hashes.of(at, at + GRAM) | np.uint64(1)
-            least = np.lib.stride_tricks.sliding_window_view(gram, REACH + 1)[:, ::-1].argmin(axis=1)
-            owner = np.arange(len(least)) + REACH - least
-            place = np.sort(np.asarray(places.values, np.int64))
-            first, end = np.searchsorted(owner, place, side="left"), np.searchsorted(owner, place, side="right")
-            place, first, end = (x[end > first] for x in (place, first, end))
-            for k in range(0, len(place), 5000):
-                cut = slice(k, k + 5000)
-                spans = pa.array([own[lo : hi + WINDOW - 1] for lo, hi in zip(first[cut], end[cut])], pa.list_(pa.int64()))
-                rows, zero = pa.array(np.full(len(spans), i)), np.zeros(len(spans), np.int32)
-                ints = (pa.array(x.astype(np.int32)) for x in (place[cut], first[cut], zero, zero + REACH))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("hash").take(rows), *ints, spans], ["doc_id", "hash", "at", "start", "near", "far", "span"])
-
-
-def _halve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both halves of the windows that start ``near`` to ``far`` words before an anchor, each with the words it holds.
-
-    The key of a half (``anchor``) is the hash of the words that all its windows share, and its place around the anchor.
-    """
-    for b in it:
-        if not b.num_rows:
-            continue
-        at, low, near, far = (b.column(c).to_numpy().astype(np.int64) for c in ("at", "start", "near", "far"))
-        spans = b.column("span")
-        sizes, words = np.asarray(spans.value_lengths(), np.int64), spans.flatten()
-        hashes = WordHashes.of_words(words.to_numpy().view(np.uint64))
-        base = np.cumsum(sizes) - sizes - low
-        middle = (near + far) // 2
-        for p, q in ((near, middle), (middle + 1, far)):
-            lo, hi = np.maximum(at - q, low), np.minimum(at - p + WINDOW, low + sizes)
-            rows = np.flatnonzero((hi - lo >= WINDOW) & (p <= q))
-            p, q, lo, hi, place, shift = (x[rows] for x in (p, q, lo, hi, at, base))
-            core = hashes.of(shift + place - p, shift + place - q + WINDOW) + _mix((p * WINDOW + q + 1).astype(np.uint64))
-            segment = hashes.of(shift + lo, shift + hi) + _mix((place - lo).astype(np.uint64))
-            size = hi - lo
-            first = np.cumsum(size) - size
-            inside = np.repeat(shift + lo - first, size) + np.arange(int(size.sum()))
-            part = pa.ListArray.from_arrays(pa.array(np.append(first, size.sum()).astype(np.int32)), words.take(pa.array(inside)))
-            take = pa.array(rows)
-            ints = (pa.array(x.astype(np.int32)) for x in (place, lo, p, q))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("hash").take(take), *ints, part, pa.array(core.view(np.int64)), pa.array(segment.view(np.int64))], ["doc_id", "hash", "at", "start", "near", "far", "span", "anchor", "segment"])
+            rows, start = pa.array(first + doc), lo - (ends - lengths)[doc]
+            ints = (pa.array(x.astype(np.int32)) for x in (start, hi - lo, at - lo))
+            yield pa.RecordBatch.from_arrays([b.column("k1").take(rows), b.column("k2").take(rows), pa.array(gram.view(np.int64)), pa.array(segment.view(np.int64)), *ints], ["k1", "k2", "anchor", "segment", "start", "size", "tag"])
 
 
 def _cut_segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the segments asked for of a document: ``size`` words from ``before`` words before an anchor on.
+    """Words of the segments asked for of a document.
 
-    Anchors that follow each other closely and each have one kind of segment, as in a copied text, go as one run.
-    ``members`` are the segments in a piece: anchor, segment, first word in the piece, words.
+    Segments that follow each other and whose anchors each have one kind of segment, as in a copied text, go as one piece.
+    ``members`` are the segments in a piece: anchor, segment, first word in the piece, words, first word in the segment.
     """
-    for b in it:
+    for b in slices(it, 2000):
         out: list[tuple] = []
         for text, asked in zip(b.column("text").cast(pa.large_binary()), b.column("asked")):
             words = (text.as_py() or b"").split()
-            run: list[dict] = []
-
-            def close() -> None:
-                first, end = run[0]["at"] - run[0]["before"], run[-1]["at"] - run[-1]["before"] + run[-1]["size"]
-                spans = [(a["anchor"], a["segment"], a["at"] - a["before"] - first, a["size"]) for a in run]
-                tag = run[0]["at"] - first if len(run) == 1 else -1
-                out.append((run[0]["anchor"], run[0]["n"], tag, b" ".join(words[first:end]), [dict(zip(("anchor", "segment", "first", "size"), s)) for s in spans]))
-
-            for a in sorted(asked.as_py(), key=lambda a: (a["part"], a["at"])):
-                follows = run and a["alone"] and run[-1]["alone"] and a["n"] == run[-1]["n"] and a["at"] - run[-1]["at"] <= REACH and a["at"] - run[0]["at"] < RUN_WORDS
-                if run and not follows:
-                    close()
-                    run = []
-                run = [*run, a]
-            if run:
-                close()
+            runs: list[list[dict]] = []
+            for a in sorted(asked.as_py(), key=lambda a: a["start"]):
+                r = runs[-1] if runs else None
+                follows = r and a["alone"] and r[-1]["alone"] and a["n"] == r[-1]["n"] and a["start"] == r[-1]["start"] + r[-1]["size"] - WINDOW + 1 and a["start"] - r[0]["start"] < RUN_WORDS
+                if follows:
+                    r.append(a)
+                else:
+                    runs.append([a])
+            for r in runs:
+                first, end = r[0]["start"], r[-1]["start"] + r[-1]["size"]
+                members = [{"anchor": a["anchor"], "segment": a["segment"], "first": a["start"] - first, "size": a["size"], "shift": 0} for a in r]
+                out.append((r[0]["anchor"], r[0]["segment"], r[0]["n"], r[0]["kinds"], r[0]["tag"], b" ".join(words[first:end]), members))
         for k in range(0, len(out), 5000):
             cols = list(zip(*out[k : k + 5000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), _MEMBERS))], ["anchor", "n", "tag", "words", "members"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), _MEMBERS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["anchor", "segment", "n", "kinds", "tag", "words", "members"])
 
 
-def shard_report(n: np.ndarray, anchor: np.ndarray, tag: np.ndarray, pieces: list[list[bytes]]) -> np.ndarray:
-    """(pieces, words) flags of the words of each piece that repeated windows cover.
+def _halve(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both halves of the windows of a segment that start ``near`` to ``far`` words before its anchor, each with the words it holds.
 
-    In a piece with one anchor the word at ``tag``, the anchor's first, is told apart by the anchor, so a window counts
-    once for each place in the corpus however many pieces hold it.
+    The key of a half is the hash of the words that all windows at such places share. ``shift`` is where the words begin
+    in the segment, ``tag`` the place of the anchor in them.
     """
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    names = ["anchor", "segment", "n", "shift", "tag", "near", "far", "words", "key", "part"]
+    for b in slices(it, 2000):
+        out: list[tuple] = []
+        for r in b.select(names[:8]).to_pylist():
+            words, middle = r["words"].split(), (r["near"] + r["far"]) // 2
+            hashes = WordHashes(words)
+            for p, q in ((r["near"], middle), (middle + 1, r["far"])):
+                lo, hi = max(0, r["tag"] - q), min(len(words), r["tag"] - p + WINDOW)
+                if p <= q and hi - lo >= WINDOW:
+                    core, part = hashes.of(np.array([r["tag"] - p, lo]), np.array([r["tag"] - q + WINDOW, hi])) + _mix(np.array([p * WINDOW + q + 1, r["tag"] - lo]).astype(np.uint64))
+                    out.append((r["anchor"], r["segment"], r["n"], r["shift"] + lo, r["tag"] - lo, p, q, b" ".join(words[lo:hi]), int(core.view(np.int64)), int(part.view(np.int64))))
+        if out:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), *(pa.int32(),) * 4, pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+
+def shard_report(n: np.ndarray, pieces: list[list[bytes]]) -> np.ndarray:
+    """(pieces, words) flags of the words of each piece that repeated windows cover; ``n``: how often a piece occurs."""
     symbol = pd.factorize(np.array([w for s in pieces for w in s], object))[0].astype(np.int64) + 1
-    starts = np.cumsum(lengths) - lengths
-    one = tag >= 0
-    tagged = starts[one] + tag[one]
-    group = pd.factorize(anchor[one])[0].astype(np.int64)
-    symbol[tagged] = symbol.max() + 1 + pd.factorize(group * (symbol.max() + 1) + symbol[tagged])[0]
-    sequences = np.split(symbol, starts[1:])
+    sequences = np.split(symbol, np.cumsum(list(map(len, pieces)))[:-1])
     windows = FMIndex(sequences, n, WINDOW).repeated_windows(sequences, WINDOW)
     upto = np.cumsum(np.pad(windows, ((0, 0), (WINDOW, 64))), axis=1, dtype=np.int32)
     return upto[:, WINDOW:] > upto[:, :-WINDOW]
@@ -229,11 +180,11 @@ def _report(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def done() -> pd.DataFrame:
         rows = pd.concat(held, ignore_index=True)
-        covered = shard_report(*(rows[c].to_numpy() for c in ("n", "anchor", "tag")), [w.split() for w in rows["words"]])
-        members = [(k, *(m[c] for c in ("anchor", "segment", "first", "size"))) for k, ms in enumerate(rows["members"]) for m in ms]
-        row, anchor, segment, first, size = (np.array(x, np.int64) for x in zip(*members))
-        place = np.arange(64)
-        bits = covered[row[:, None], np.minimum(first[:, None] + place, covered.shape[1] - 1)] & (place < size[:, None])
+        covered = shard_report(rows["n"].to_numpy(), [w.split() for w in rows["words"]])
+        members = [(k, *(m[c] for c in ("anchor", "segment", "first", "size", "shift"))) for k, ms in enumerate(rows["members"]) for m in ms]
+        row, anchor, segment, first, size, shift = (np.array(x, np.int64) for x in zip(*members))
+        place = np.arange(64) - shift[:, None]
+        bits = covered[row[:, None], np.clip(first[:, None] + place, 0, covered.shape[1] - 1)] & (place >= 0) & (place < size[:, None])
         cover = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
         return pd.DataFrame({"anchor": anchor, "segment": segment, "cover": cover})[cover != 0]
 
@@ -242,7 +193,7 @@ def _report(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
         if not len(pdf):
             continue
-        key, words = pdf["anchor"].to_numpy(), np.cumsum(np.fromiter(map(len, pdf["words"]), np.int64, len(pdf)) // 6)
+        key, words = pdf["shard"].to_numpy(), np.cumsum(np.fromiter(map(len, pdf["words"]), np.int64, len(pdf)) // 6)
         last = 0
         for c in (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist():
             grown = int(words[c - 1] - (words[last - 1] if last else 0))
@@ -256,56 +207,62 @@ def _report(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield done()
 
 
-def _same_document(a: str, b: str) -> Column:
-    return F.col("hash").eqNullSafe(F.col(b)) & F.col("doc_id").eqNullSafe(F.col(a))
-
-
-def _count_segments(found: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-    """Equal segments with how often (``n``) and where one is; and of each anchor (``a``) its ``kinds`` of segment and ``total``."""
-    segments = materialize(found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "hash", "at", *more)).alias("one")), "segments")
-    kinds = segments.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
-    return segments, materialize(kinds.withColumnRenamed("anchor", "a"), "kinds")
-
-
-def _narrow(segments: DataFrame, kinds: DataFrame) -> DataFrame:
-    return segments.join(kinds.where(F.col("kinds") <= ANCHOR_MOST).hint("merge"), F.col("anchor") == F.col("a"))
+def _wide_parts(pieces: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Of the segments of anchors with over ANCHOR_MOST kinds: pieces (shard, n, words, members) of halves that a shard can
+    take whole, and ``(shard, part, anchor, segment, shift)``, which segments a part stands for; None, None without such anchors."""
+    wide = materialize(pieces.where(F.col("kinds") > ANCHOR_MOST).select("anchor", "segment", "n", F.lit(0).alias("shift"), "tag", F.lit(0).alias("near"), F.lit(REACH).alias("far"), "words"), "wide")
+    if wide.isEmpty():
+        return None, None
+    own, names = "anchor bigint, segment bigint, n bigint, shift int, tag int, near int, far int, words binary", ["anchor", "segment", "n", "shift", "tag", "near", "far", "words"]
+    ready, stands = None, None
+    while wide is not None:
+        halves = materialize(wide.mapInArrow(lean(_halve), f"{own}, key bigint, part bigint"), "halves")
+        parts = materialize(halves.groupBy("key", "part").agg(F.sum("n").alias("n"), F.min("words").alias("words")), "parts")
+        kinds = materialize(parts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1").withColumnRenamed("key", "k"), "part-kinds")
+        taken = parts.join(kinds.where(F.col("kinds") <= ANCHOR_MOST).hint("merge"), F.col("key") == F.col("k"))
+        member = F.struct(F.col("key").alias("anchor"), F.col("part").alias("segment"), F.lit(0).alias("first"), F.regexp_count(F.col("words").cast("string"), F.lit("[^ ]+")).alias("size"), F.lit(0).alias("shift"))
+        taken = taken.select(F.col("key").alias("shard"), "n", "words", F.array(member).alias("members"))
+        which = halves.select("key", "part", "anchor", "segment", "shift")
+        ready = taken if ready is None else ready.unionByName(taken)
+        stands = which if stands is None else stands.unionByName(which)
+        left = kinds.where(F.col("kinds") > ANCHOR_MOST).select("k")
+        wide = None if left.isEmpty() else halves.join(left.hint("merge"), F.col("key") == F.col("k")).select(*names)
+    return ready, stands
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, hash, cover)`` of documents with repeated windows: cover lists (start, mask) pairs, bit i of a mask standing
-    for word start + i. hash is xxhash64 of the text; rows of equal id and text are told apart only in counting."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).where("text is not null")
-    kind = docs.schema[id_col].dataType.simpleString()
-    own = f"doc_id {kind}, hash bigint"
-    found = materialize(texts.mapInArrow(_find_anchors, f"{own}, anchor bigint, segment bigint, at int"), "anchors")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("a"))
-    found = materialize(found.join(twice.hint("merge"), F.col("anchor") == F.col("a")).drop("a"), "repeated-anchors")
-    segments, kinds = _count_segments(found)
-    before = F.least(F.col("one.at"), F.lit(REACH))
-    asked = _narrow(segments, kinds).select("anchor", "segment", "n", "one", before.alias("before"), (before + WINDOW).alias("size"), F.lit(False).alias("part"), (F.col("kinds") == 1).alias("alone"))
-    places = found.select("doc_id", "hash", "anchor", "segment", F.greatest(F.col("at") - REACH, F.lit(0)).alias("start"))
-    wide = kinds.where(F.col("kinds") > ANCHOR_MOST).select("a")
-    if not wide.isEmpty():
-        listed = found.join(wide.hint("merge"), F.col("anchor") == F.col("a")).groupBy("doc_id", "hash").agg(F.collect_set("at").alias("places"))
-        whole = texts.join(listed.withColumnsRenamed({"doc_id": "w_id", "hash": "w_hash"}).hint("merge"), _same_document("w_id", "w_hash")).select("doc_id", "hash", "text", "places")
-        spans = f"{own}, at int, start int, near int, far int, span array<bigint>"
-        left = whole.mapInArrow(_cut_spans, spans)
-        while left is not None:
-            halves = materialize(left.mapInArrow(_halve, f"{spans}, anchor bigint, segment bigint"), "halves")
-            segments, kinds = _count_segments(halves.withColumn("size", F.size("span")), "start", "size")
-            asked = asked.unionByName(_narrow(segments, kinds).select("anchor", "segment", "n", F.struct("one.doc_id", "one.hash", "one.at").alias("one"), (F.col("one.at") - F.col("one.start")).alias("before"), F.col("one.size").alias("size"), F.lit(True).alias("part"), F.lit(False).alias("alone")))
-            places = places.unionByName(halves.select("doc_id", "hash", "anchor", "segment", "start"))
-            wide = kinds.where(F.col("kinds") > ANCHOR_MOST).select("a")
-            left = None if wide.isEmpty() else halves.join(wide.hint("merge"), F.col("anchor") == F.col("a")).select("doc_id", "hash", "at", "start", "near", "far", "span")
-    asked = asked.select(F.col("one.doc_id").alias("q_id"), F.col("one.hash").alias("q_hash"), F.struct("anchor", "segment", "n", F.col("one.at").alias("at"), "before", "size", "part", "alone").alias("ask"))
-    asked = asked.groupBy("q_id", "q_hash").agg(F.collect_list("ask").alias("asked"))
-    cut = texts.join(asked.hint("merge"), _same_document("q_id", "q_hash")).select("text", "asked", "doc_id", "hash").dropDuplicates(["doc_id", "hash"])
-    pieces = cut.select("text", "asked").mapInArrow(_cut_segments, "anchor bigint, n bigint, tag int, words binary, members array<struct<anchor: bigint, segment: bigint, first: int, size: int>>")
+    """``(k1, k2, cover)`` of documents with repeated windows: cover lists (start, mask) pairs, bit i of a mask standing for
+    word start + i. k1 and k2 are xxhash64 of id and text; rows of equal id and text are told apart only in counting."""
+    texts = docs.select(F.xxhash64(id_col).alias("k1"), F.xxhash64(text_col).alias("k2"), F.col(text_col).alias("text")).where("text is not null")
+    found = materialize(texts.mapInArrow(lean(_find_segments), "k1 bigint, k2 bigint, anchor bigint, segment bigint, start int, size int, tag int"), "segments")
+    # written out, so that a join on an anchor that very many documents hold can be split where it is skewed
+    twice = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("a")), "repeated-anchors")
+    found = materialize(found.join(twice.hint("merge"), F.col("anchor") == F.col("a")).drop("a"), "repeated-segments")
+    different = materialize(found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "size", "tag")).alias("one")), "different-segments")
+    kinds = materialize(different.groupBy("anchor").agg(F.count("*").alias("kinds")).withColumnRenamed("anchor", "a"), "kinds")
+    asked = different.join(kinds.hint("merge"), F.col("anchor") == F.col("a"))
+    ask = F.struct("anchor", "segment", "n", "kinds", "one.start", "one.size", "one.tag", (F.col("kinds") == 1).alias("alone"))
+    asked = asked.groupBy(F.col("one.k1").alias("q1"), F.col("one.k2").alias("q2")).agg(F.collect_list(ask).alias("asked"))
+    cut = texts.join(asked.hint("merge"), (F.col("k1") == F.col("q1")) & (F.col("k2") == F.col("q2")))
+    cut = cut.withColumn("again", F.expr("row_number() over (partition by k1, k2 order by k1)")).where("again = 1")  # a repeated row
+    pieces = cut.select("text", "asked").mapInArrow(lean(_cut_segments), "anchor bigint, segment bigint, n bigint, kinds bigint, tag int, words binary, members array<struct<anchor: bigint, segment: bigint, first: int, size: int, shift: int>>")
+    pieces = materialize(pieces, "pieces")
+    ready = pieces.where(F.col("kinds") <= ANCHOR_MOST).select(F.col("anchor").alias("shard"), "n", "words", "members")
+    more, stands = _wide_parts(pieces)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    covers = pieces.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInPandas(_report, "anchor bigint, segment bigint, cover bigint")
-    covers = materialize(covers, "covers").withColumnsRenamed({"anchor": "c_anchor", "segment": "c_segment"})
-    around = places.join(covers.hint("merge"), (F.col("anchor") == F.col("c_anchor")) & (F.col("segment") == F.col("c_segment")))
-    return around.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("start", "cover")).alias("cover"))
+
+    def covers_of(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(parts, "shard").sortWithinPartitions("shard")
+        return materialize(rows.mapInPandas(lean(_report), "anchor bigint, segment bigint, cover bigint"), "covers")
+
+    covers = covers_of(ready).select(F.col("anchor").alias("c_anchor"), F.col("segment").alias("c_segment"), F.lit(0).alias("shift"), "cover")
+    if more is not None:
+        part = covers_of(more).withColumnsRenamed({"anchor": "p_key", "segment": "p_part"})
+        part = stands.join(part.hint("merge"), (F.col("key") == F.col("p_key")) & (F.col("part") == F.col("p_part")))
+        covers = covers.unionByName(part.select(F.col("anchor").alias("c_anchor"), F.col("segment").alias("c_segment"), "shift", "cover"))
+        covers = materialize(covers, "all-covers")
+    around = found.select("k1", "k2", "anchor", "segment", "start").join(covers.hint("merge"), (F.col("anchor") == F.col("c_anchor")) & (F.col("segment") == F.col("c_segment")))
+    return around.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("start") + F.col("shift")).alias("start"), "cover")).alias("cover"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,30 +274,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     added = ("kept", "n_words", "n_removed")
     names = [c for c in docs.columns if c not in added]
-    cover = repeated_words(docs, id_col, text_col).withColumnsRenamed({"doc_id": "_c_id", "hash": "_c_hash"})
-    packed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.struct(F.lit(0).alias("_"), *(c for c in names if c != text_col)).alias("row"), F.col(text_col).alias("text"))
-    joined = packed.join(cover.hint("merge"), _same_document("_c_id", "_c_hash"), "left").select("row", "text", "cover")
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out: list[tuple] = []
-            for text, marks in zip(b.column("text").cast(pa.large_binary()), b.column("cover")):
-                words = (text.as_py() or b"").split()
-                gone = np.zeros(len(words) + 64, bool)
-                if marks.is_valid:
-                    start, mask = (np.asarray(marks.values.field(k)) for k in (0, 1))
-                    row, bit = np.nonzero(np.unpackbits(mask.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-                    gone[start[row] + bit] = True
-                    kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
-                else:
-                    kept = b" ".join(words)
-                out.append((kept.decode(), len(words), int(gone.sum())))
-            kept, n, removed = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["row", "text", *added])
-
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, text string, kept string, n_words bigint, n_removed bigint"
-    out = joined.mapInArrow(batches, schema)
-    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names), *added)
+    cover = repeated_words(docs, id_col, text_col).withColumnsRenamed({"k1": "_c1", "k2": "_c2", "cover": "_cover"})
+    keyed = docs.select(*names).join(cover.hint("merge"), (F.xxhash64(id_col) == F.col("_c1")) & (F.xxhash64(text_col) == F.col("_c2")), "left")
+
+    @F.arrow_udf("struct<kept: string, n_words: bigint, n_removed: bigint>")
+    def without(texts: pa.Array, covers: pa.Array) -> pa.Array:
+        out: list[tuple] = []
+        for text, marks in zip(texts.cast(pa.large_binary()), covers):
+            words = (text.as_py() or b"").split()
+            gone = np.zeros(len(words) + 64, bool)
+            if marks.is_valid:
+                start, mask = (np.asarray(marks.values.field(k)) for k in (0, 1))
+                row, bit = np.nonzero(np.unpackbits(mask.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                gone[start[row] + bit] = True
+                out.append((b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode(), len(words), int(gone.sum())))
+            else:
+                out.append((b" ".join(words).decode(), len(words), 0))
+        kept, n, removed = zip(*out) if out else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], list(added))
+
+    out = keyed.select(*names, without(F.col(text_col), F.col("_cover")).alias("_out"))
+    return out.select(*names, *(F.col(f"_out.{c}").alias(c) for c in added))
 
 
 def substring_report(docs: DataFrame) -> DataFrame:
