@@ -20,9 +20,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     memory. The edge table is written to the shared folder after each round; rounds grow with the logarithm of the size.
     Edges with a null end are ignored, self-loops give a component of one node, an empty table gives an empty result.
     """
-    known = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
-    loops = known.where(F.col(src) == F.col(dst)).select(F.col(src).alias("node"), F.col(src).alias("component"))
-    now = materialize(known.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "edges")
+    known = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
+    known = materialize(known.distinct(), "edges")  # read twice
+    loops = known.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    now = known.where("u != v")
     before = _signature(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
