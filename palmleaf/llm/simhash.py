@@ -30,8 +30,10 @@ from palmleaf.shared import materialize
 SEED = 42
 #: Distinct fingerprints of a bucket that one task compares; larger buckets are dealt out as pairs of chunks.
 CHUNK = 2048
-#: Rows of small buckets that are compared together.
+#: Values of a block that are compared together.
 PACK = 512
+#: Rows up to which a bucket is small: its pairs go side by side with those of other small buckets, so many to a block.
+SMALL, LANES = 64, 1 << 14
 #: Texts of a proposed group that one task verifies; larger groups are dealt out as pairs of chunks.
 VERIFY_CHUNK = 512
 
@@ -210,37 +212,94 @@ def spanning_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndar
     return own, label[own]
 
 
+def lanes_within(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs (one a lane) differ in ``radius`` or fewer bits: planes of differences, one bit a pair, go into carry-save
+    counters; a block of LANES pairs is abandoned once all are past the radius."""
+    out, levels = np.zeros(len(left), bool), int(radius).bit_length()
+    start = (1 << levels) - 1 - radius
+    for at in range(0, len(left), LANES):
+        planes = bit_planes(left[at : at + LANES] ^ right[at : at + LANES])
+        counters = np.zeros((levels, planes.shape[1]), np.uint64)
+        counters[[k for k in range(levels) if start >> k & 1]] = ~np.uint64(0)
+        past = np.zeros(planes.shape[1], np.uint64)
+        n = min(LANES, len(left) - at)
+        if n % 64:
+            past[-1] = ~np.uint64((1 << n % 64) - 1)
+        for b, carry in enumerate(planes):
+            for k in range(levels):
+                held = counters[k] & carry
+                counters[k] ^= carry
+                carry = held
+            past |= carry
+            if b % 8 == 7 and (past == ~np.uint64(0)).all():
+                break
+        out[at : at + n] = np.unpackbits((~past).view(np.uint8), count=n, bitorder="little").astype(bool)
+    return out
+
+
+def small_bucket_links(values: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As spanning_links, for buckets of ``sizes`` values that follow each other; only values of one bucket are compared."""
+    bucket, each = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(values))
+    pairs = [each[:-d][bucket[d:] == bucket[:-d]] for d in range(1, int(sizes.max()))]
+    a = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+    b = a + np.repeat(np.arange(1, len(pairs) + 1), list(map(len, pairs)))
+    near = lanes_within(values[a], values[b], radius)
+    a, b, label = a[near], b[near], each.copy()
+    while len(a):
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != each)
+    return own, label[own]
+
+
 def _compare_buckets(radius: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket. Whole small buckets are packed together, a large one stands alone."""
+        """Rows come sorted by bucket. Small buckets are compared side by side, a large one by itself."""
 
-        def links(parts: list[pa.Array]) -> pa.RecordBatch:
-            fps = pa.concat_arrays(parts).unique()
-            own, first = spanning_links(as_matrix(fps), radius)
+        def batch(fps: pa.Array, own: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([fps.take(pa.array(own)), fps.take(pa.array(first))], ["src", "dst"])
 
-        held, size, key, rows = [], 0, None, []
-        for b in it:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
+        def small() -> pa.RecordBatch:
+            fps = pa.concat_arrays(held)
+            return batch(fps, *small_bucket_links(as_matrix(fps), np.array(sizes), radius))
+
+        held, sizes, pairs, key, rows = [], [], 0, None, []
+        for b in _ended(it):
+            keys = b.column(0).to_numpy(zero_copy_only=False) if b is not None else np.zeros(1, np.int64)
             cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
             for lo, hi in zip(cuts, cuts[1:]):
-                if rows and keys[lo] != key:
-                    if (n := sum(map(len, rows))) > 1:
-                        held, size = held + rows, size + n
-                        if size >= PACK:
-                            yield links(held)
-                            held, size = [], 0
+                if rows and (b is None or keys[lo] != key):
+                    n = sum(map(len, rows))
+                    if n > SMALL:
+                        fps = pa.concat_arrays(rows)
+                        yield batch(fps, *spanning_links(as_matrix(fps), radius))
+                    elif n > 1:
+                        held, pairs = held + rows, pairs + n * (n - 1) // 2
+                        sizes.append(n)
+                        if pairs >= LANES:
+                            yield small()
+                            held, sizes, pairs = [], [], 0
                     rows = []
-                key = keys[lo]
-                rows.append(b.column(1).slice(lo, hi - lo))
-        if sum(map(len, rows)) > 1:
-            held = held + rows
+                if b is not None:
+                    key = keys[lo]
+                    rows.append(b.column(1).slice(lo, hi - lo))
         if held:
-            yield links(held)
+            yield small()
 
     return run
 
 
+def _ended(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, and None behind the last one."""
+    yield from it
+    yield None
+
+
 def _bucket_keys(plan: Plan):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
