@@ -1,10 +1,14 @@
-"""Chat formatting: speaker roles of raw transcripts by a hidden Markov model, then canonical turns.
+"""Chat formatting: turns and speaker roles of raw transcripts by a hidden Markov model, then canonical turns.
 
-A transcript is lines in order. Each line has a speaker marker class and a few line features; roles are the hidden
-states. Start, transition and feature probabilities are counted from labelled lines, and Viterbi finds the likeliest
-roles. Long transcripts are decoded in blocks: each block gives the best score from any role before it to any role at its
-end (max-plus products compose), these small tables are combined per transcript, and blocks are then decoded between
-their known ends, so no transcript is gathered whole and the result is that of one pass.
+A transcript is the physical lines of a text, in order; nothing says where a turn begins. The hidden states of a line are
+its speaker's role and whether it begins a turn or goes on with one. Each line has a speaker-marker class and a few line
+features; start, transition and feature probabilities are counted from labelled lines, and Viterbi finds the likeliest
+states. Lines from one beginning to the next are a turn; a marker goes only where the model takes its line for the beginning
+of a turn by the speaker it names.
+
+Long transcripts are decoded in blocks: each block gives the best score from any state before it to any state at its end
+(max-plus products compose), these small tables are combined per transcript, and blocks are then decoded between their
+known ends, so no transcript is gathered whole and the result is that of one pass.
 """
 
 from __future__ import annotations
@@ -14,89 +18,113 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palmleaf.llm.workers import lean
 from palmleaf.shared import materialize
 
 ROLES = ("system", "user", "assistant")
-#: Lines a task decodes together, and conversations the model is fitted on, in expectation.
-BLOCK, FIT_LINES = 512, 20_000
+#: States: each role beginning a turn, then each role going on with one.
+STATES = 2 * len(ROLES)
+#: Lines a task decodes together, and lines the model is fitted on, in expectation.
+BLOCK, FIT_LINES = 512, 60_000
 
 # Names that transcripts give their speakers.
 MARKERS = {
-    "system": ("system", "sys", "instruction", "instructions", "context"),
-    "user": ("user", "human", "customer", "question", "q", "me", "you", "client", "prompter"),
-    "assistant": ("assistant", "ai", "bot", "gpt", "model", "answer", "a", "agent", "support"),
+    "system": ("system", "sys", "instruction", "instructions"),
+    "user": ("user", "human", "customer", "question", "q", "prompter"),
+    "assistant": ("assistant", "ai", "bot", "gpt", "answer", "a", "agent"),
 }
 _SPEAKER = {name: role for role, names in MARKERS.items() for name in names}
-_MARKER = re.compile(r"\A\s*(?:#{1,6}\s*|<\|?|\[|\*\*|>\s*)?([A-Za-z]{1,14})(?:\s?\d{1,2})?\s*(?:\|?>|\]|\*\*)?\s*(?::|>|\n|\||-\s|(?<=\]))\s*(?:\*\*)?\s*")
-#: Features of a line: marker class, is it first, length, and how it ends.
-FEATURES = (4, 2, 8, 4)
+#: Forms of a marker: a name and a colon or angle, a name in brackets, and a heading that is the whole line.
+_MARKER = re.compile(r"(?:\*\*([A-Za-z]{1,14}):?\*\*:?|([A-Za-z]{1,14})[:>]|\[([A-Za-z]{1,14})\]|<\|([A-Za-z]{1,14})\|>)(?: |\Z)")
+_HEADING = re.compile(r"#{1,6} ?([A-Za-z]{1,14}):?\Z")
+#: Features of a line: marker class, length, how it begins and how it ends.
+FEATURES = (4, 10, 4, 5)
+
 
+def split_marker(line: str) -> tuple[str | None, str, str | None]:
+    """Role that a line's speaker marker names (None without a known marker), the marker, and the rest of the line.
 
-def split_marker(line: str) -> tuple[str | None, str]:
-    """Role that a line's speaker marker names (None without a known marker) and the line without it."""
+    Marker and rest make up the line. The rest is None where a heading is the whole line, and so no line of the turn.
+    """
+    m = _HEADING.match(line)
+    if m and m[1].lower() in _SPEAKER:
+        return _SPEAKER[m[1].lower()], line, None
     m = _MARKER.match(line)
-    role = _SPEAKER.get(m[1].lower()) if m else None
-    return (role, line[m.end() :]) if role else (None, line)
+    role = _SPEAKER.get(next(g for g in m.groups() if g).lower()) if m else None
+    return (role, m[0], line[m.end() :]) if m and role else (None, "", line)
 
 
-def line_features(line: str, first: bool) -> tuple[int, int, int, int]:
+def line_features(line: str) -> tuple[int, int, int, int]:
     """Feature values of a line, each below the FEATURES entry at its place."""
-    role, rest = split_marker(line)
-    rest = rest.strip()
-    ends = 0 if not rest else 1 if rest[-1] in "?¿？" else 2 if rest[-1] in ".!。" else 3
-    return (1 + ROLES.index(role) if role else 0), int(first), min(7, len(rest).bit_length() * 2 // 3), ends
+    role, _, rest = split_marker(line)
+    rest = (rest or "").strip()
+    ends = 0 if not rest else 1 if rest[-1] in "?¿？" else 2 if rest[-1] in ".!。" else 3 if rest[-1].isalnum() else 4
+    begins = 0 if not rest else 1 if rest[0].isupper() else 2 if rest[0].isalpha() else 3
+    return (1 + ROLES.index(role) if role else 0), min(9, len(rest).bit_length()), begins, ends
+
+
+def _key(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
 def fit(lines: DataFrame) -> dict[str, np.ndarray]:
-    """Log probabilities counted from labelled lines (conv, pos, role, line): ``start``, ``step`` and ``feature0..``.
+    """Log probabilities counted from labelled lines (conv, pos, role, begins, line): ``start``, ``step`` and ``feature0..``.
 
-    Fitted on FIT_LINES lines in expectation, whole conversations by hash of their id. Roles other than the three, and
-    null ones, are left out.
+    pos is gapless from 0 in each conv. Fitted on FIT_LINES lines in expectation, whole conversations by hash of their id.
+    Roles other than the three, and null ones, are left out. A line's predecessor is looked up by its position, so no
+    conversation is gathered.
     """
     lines = lines.where(F.col("role").isin(*ROLES) & F.col("line").isNotNull())
     n = lines.count()
     lines = lines.where(F.pmod(F.xxhash64("conv"), F.lit(1 << 30)) < F.lit(int(min(1.0, FIT_LINES / max(n, 1)) * (1 << 30))))
-    lines = lines.selectExpr("*", "lag(role) over (partition by conv order by pos) as before")
+    lines = materialize(lines.select("conv", "pos", "role", "begins", "line"), "labelled-lines")
+    before = lines.select(F.col("conv").alias("b_conv"), (F.col("pos") + 1).alias("b_pos"), F.col("role").alias("before"))
+    lines = lines.join(before.hint("merge"), F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("pos") == F.col("b_pos")), "left")
 
-    def observe(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            got = np.array([line_features(x, b is None or b != b) for x, b in zip(pdf["line"], pdf["before"])]).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"role": pdf["role"], "before": pdf["before"], **{f"f{k}": got[:, k] for k in range(len(FEATURES))}})
+    @F.arrow_udf("array<int>")
+    def observed(column):
+        import pyarrow as pa
 
-    schema = "role string, before string, " + ", ".join(f"f{k} int" for k in range(len(FEATURES)))
-    seen = lines.select("role", "before", "line").mapInPandas(observe, schema).groupBy("role", "before", *(f"f{k}" for k in range(len(FEATURES)))).count().collect()
+        return pa.array([line_features(x.as_py()) for x in column], pa.list_(pa.int32()))
+
+    seen = lines.select("role", "begins", "before", observed("line").alias("f"))
+    seen = seen.groupBy("role", "begins", "before", "f").count().collect()  # at most states x roles x products of FEATURES
     r = {name: i for i, name in enumerate(ROLES)}
-    start, step, feature = np.full(3, 0.5), np.full((3, 3), 0.5), [np.full((3, size), 0.5) for size in FEATURES]
+    start, step, feature = np.full(STATES, 1e-9), np.full((len(ROLES), STATES), 0.05), [np.full((STATES, size), 0.5) for size in FEATURES]
+    start[: len(ROLES)] = 0.5
     for row in seen:
+        state = r[row["role"]] + (0 if row["begins"] else len(ROLES))
         if row["before"] is None:
-            start[r[row["role"]]] += row["count"]
+            start[state] += row["count"]
         else:
-            step[r[row["before"]], r[row["role"]]] += row["count"]
-        for k in range(len(FEATURES)):
-            feature[k][r[row["role"]], row[f"f{k}"]] += row["count"]
+            step[r[row["before"]], state] += row["count"]
+        for k, v in enumerate(row["f"]):
+            feature[k][state, v] += row["count"]
+    for a in range(len(ROLES)):  # a turn goes on with its own speaker only
+        step[a, [len(ROLES) + b for b in range(len(ROLES)) if b != a]] = 1e-12
     log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-    return {"start": log(start), "step": log(step), **{f"feature{k}": log(x) for k, x in enumerate(feature)}}
+    return {"start": log(start), "step": np.vstack([log(step)] * 2), **{f"feature{k}": log(x) for k, x in enumerate(feature)}}
 
 
-def emissions(model: dict[str, np.ndarray], lines: list[str], first: bool) -> np.ndarray:
-    """(lines, roles) log probabilities of the features; ``first``: the first line begins the transcript."""
-    got = [line_features(x, first and i == 0) for i, x in enumerate(lines)]
-    return np.array([sum(model[f"feature{k}"][:, v] for k, v in enumerate(f)) for f in got])
+def emissions(model: dict[str, np.ndarray], lines: list[str]) -> np.ndarray:
+    """(lines, states) log probabilities of the features."""
+    got = np.array([line_features(x) for x in lines])
+    return sum(model[f"feature{k}"][:, got[:, k]].T for k in range(len(FEATURES)))
 
 
 def block_scores(model: dict[str, np.ndarray], seen: np.ndarray, first: bool) -> np.ndarray:
-    """(before, last) best log score of a block for each role before it (any row if ``first``) and each role at its end."""
-    score = (np.tile(model["start"], (3, 1)) if first else model["step"]) + seen[0]
+    """(before, last) best log score of a block for each state before it (any row if ``first``) and each state at its end."""
+    score = (np.tile(model["start"], (STATES, 1)) if first else model["step"]) + seen[0]
     for e in seen[1:]:
         score = (score[:, :, None] + model["step"][None]).max(axis=1) + e
     return score
 
 
 def viterbi(model: dict[str, np.ndarray], seen: np.ndarray, before: int | None, last: int | None) -> list[int]:
-    """Likeliest roles of a block given the role before it (None: it begins the transcript) and at its end (None: any)."""
+    """Likeliest states of a block given the state before it (None: it begins the transcript) and at its end (None: any)."""
     score = (model["start"] if before is None else model["step"][before]) + seen[0]
     back = []
     for e in seen[1:]:
@@ -126,9 +154,11 @@ def _blocks(it: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
 
 
 def recover_roles(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """``(conv, pos, role_pred, marker_role, content)`` from ``(conv, pos, line)``, pos gapless from 0 in each conv.
+    """``(conv, pos, block, role_pred, begins, marker, content)`` from ``(conv, pos, line)``, pos gapless from 0 in each conv.
 
-    A null line is empty. content is the line without its speaker marker. An empty table gives no rows.
+    A null line is empty; a null conv is one of its own, apart from the empty string. marker and content make up the line;
+    a marker is told apart only where the line begins a turn of the role it names. content is null for a heading that is
+    nothing but a marker. An empty table gives no rows.
     """
     kind = dict(lines.dtypes)["conv"]
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -137,20 +167,19 @@ def recover_roles(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     def together(df: DataFrame) -> DataFrame:
         """Lines of a block side by side and in order; key is unique to it within its partition's order."""
         df = df.repartition(parts, "conv", "block").sortWithinPartitions("conv", "block", "pos")
-        return df.withColumn("key", F.concat_ws("|", F.coalesce(F.col("conv").cast("string"), F.lit("")), F.col("block").cast("string")))
+        return df.withColumn("key", F.concat_ws("|", F.col("conv").isNull().cast("string"), _key("conv"), F.col("block").cast("string")))
 
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for groups in _blocks(it):
-            firsts = [g["block"].iloc[0] == 0 for g in groups]
-            scores = [block_scores(model, emissions(model, list(g["line"]), f), f).ravel().tolist() for g, f in zip(groups, firsts)]
+            scores = [block_scores(model, emissions(model, list(g["line"])), g["block"].iloc[0] == 0).ravel().tolist() for g in groups]
             yield pd.DataFrame({"conv": [g["conv"].iloc[0] for g in groups], "block": [g["block"].iloc[0] for g in groups], "scores": scores})
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Roles before and at the end of each block of a transcript: Viterbi over blocks."""
+        """States before and at the end of each block of a transcript: Viterbi over blocks."""
         pdf = pdf.sort_values("block")
         total, back = None, []
         for s in pdf["scores"]:
-            ways = np.array(s).reshape(3, 3) if total is None else total[:, None] + np.array(s).reshape(3, 3)
+            ways = np.array(s).reshape(STATES, STATES) if total is None else total[:, None] + np.array(s).reshape(STATES, STATES)
             back.append(ways.argmax(axis=0))
             total = ways.max(axis=0)
         at, out = int(total.argmax()), []
@@ -165,31 +194,47 @@ def recover_roles(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             path: list[int] = []
             for g in groups:
                 first, before, last = g["block"].iloc[0] == 0, g["before"].iloc[0], g["last"].iloc[0]
-                path += viterbi(model, emissions(model, list(g["line"]), first), None if first else int(before), None if last < 0 else int(last))
+                path += viterbi(model, emissions(model, list(g["line"])), None if first else int(before), None if last < 0 else int(last))
             pdf = pd.concat(groups)
-            marks, contents = zip(*map(split_marker, pdf["line"]))
-            yield pd.DataFrame({"conv": pdf["conv"], "pos": pdf["pos"], "role_pred": [ROLES[p] for p in path], "marker_role": marks, "content": contents})
+            roles, begins = [ROLES[p % len(ROLES)] for p in path], [p < len(ROLES) for p in path]
+            found = []
+            for line, role, new in zip(pdf["line"], roles, begins):
+                named, marker, rest = split_marker(line)
+                found.append((marker, rest) if new and named == role else ("", line))
+            marks, contents = zip(*found)
+            yield pd.DataFrame({"conv": pdf["conv"], "pos": pdf["pos"], "block": pdf["block"], "role_pred": roles, "begins": begins, "marker": marks, "content": contents})
 
     # only transcripts of more than one block have ends to agree on
     several = lines.where(F.col("pos") == BLOCK).select(F.col("conv").alias("c"))
     long_ = lines.join(several.hint("merge"), F.col("conv").eqNullSafe(F.col("c")), "left_semi")
-    blocks = together(long_).mapInPandas(score, f"conv {kind}, block bigint, scores array<double>")
-    known = blocks.groupBy("conv").applyInPandas(ends, f"conv {kind}, block bigint, before int, last int")  # nine numbers for BLOCK lines
+    blocks = together(long_).mapInPandas(lean(score), f"conv {kind}, block bigint, scores array<double>")
+    known = blocks.groupBy("conv").applyInPandas(ends, f"conv {kind}, block bigint, before int, last int")  # one small table for BLOCK lines
     known = known.select(F.col("conv").alias("k_conv"), F.col("block").alias("k_block"), "before", "last")
     joined = lines.join(known.hint("merge"), F.col("conv").eqNullSafe(F.col("k_conv")) & (F.col("block") == F.col("k_block")), "left")
     joined = joined.select("conv", "pos", "line", "block", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("last", F.lit(-1)).alias("last"))
-    return together(joined).mapInPandas(decode, f"conv {kind}, pos bigint, role_pred string, marker_role string, content string")
-
+    return together(joined).mapInPandas(lean(decode), f"conv {kind}, pos bigint, block bigint, role_pred string, begins boolean, marker string, content string")
 
-def render(role, content):
-    """Canonical turn."""
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.trim(content), F.lit("\n<|end|>"))
 
+def render_turns(found: DataFrame) -> DataFrame:
+    """``(conv, turn_no, part, role_pred, first_pos, n_lines, content, rendered)``: lines of recover_roles joined into turns.
 
-def numbered_lines(transcript: DataFrame, conv: str, order: list[str], line: str) -> DataFrame:
-    """``conv, pos, line`` and the other columns: positions gapless from 0, nulls of the order last, ties by the line."""
-    by = [F.col(c).asc_nulls_last() for c in [*order, line]]
-    return transcript.withColumn("pos", (F.row_number().over(Window.partitionBy(conv).orderBy(*by)) - 1).cast("long"))
+    A turn that goes on over the end of a block of BLOCK lines comes in several parts, numbered by their block; only its
+    first opens it and only its last closes it, so parts in order, joined by a line break, are the canonical text. Lines that
+    are nothing but a marker are no lines of a turn.
+    """
+    found = materialize(found, "roles").withColumn("in_block", F.expr("sum(cast(begins as int)) over (partition by conv, block order by pos)"))
+    pieces = found.groupBy("conv", "block", "in_block").agg(
+        F.min("pos").alias("first_pos"), F.count("*").alias("n_lines"), F.max("begins").alias("opens"), F.first("role_pred").alias("role_pred"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("pos", "content")))), lambda x: x["content"]), "\n").alias("content"),
+    )
+    pieces = materialize(pieces, "pieces")
+    # one row a block: turns before it, and whether the next block goes on with its last turn
+    blocks = pieces.groupBy("conv", "block").agg(F.sum(F.col("opens").cast("int")).alias("turns"), F.max("in_block").alias("last_piece"), F.min(F.struct("first_pos", "opens"))["opens"].alias("opens_first"))
+    blocks = blocks.selectExpr("conv as b_conv", "block as b_block", "last_piece", "sum(turns) over (partition by conv order by block) - turns as turns_before", "not coalesce(lead(opens_first) over (partition by conv order by block), true) as goes_on")
+    joined = pieces.join(blocks.hint("merge"), F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block")))
+    closes = ~(F.col("goes_on") & (F.col("in_block") == F.col("last_piece")))
+    rendered = F.concat(F.when(F.col("opens"), F.concat(F.lit("<|"), F.col("role_pred"), F.lit("|>\n"))).otherwise(""), F.col("content"), F.when(closes, F.lit("\n<|end|>")).otherwise(""))
+    return joined.select("conv", (F.col("turns_before") + F.col("in_block") - 1).cast("long").alias("turn_no"), F.col("block").alias("part"), "role_pred", "first_pos", "n_lines", "content", rendered.alias("rendered"))
 
 
 #: Speaker names of the transcript styles of raw_transcripts, for system, user and assistant.
@@ -197,11 +242,12 @@ STYLES = (("System: ", "User: ", "Assistant: "), ("[sys] ", "[human] ", "[bot] "
 
 
 def raw_transcripts(conversations: DataFrame) -> DataFrame:
-    """``(conv, pos, role, line)``: the conversations as raw transcript lines.
+    """``(conv, pos, turn, role, begins, line)``: the physical lines of conversations written as raw transcripts.
 
-    The style of a conversation follows from the CRC-32 of its id (the last style has no markers at all), and one line in
-    five, by the CRC-32 of id and turn, has lost its marker. Null ids, turns, roles and texts are kept; a null id is one
-    conversation.
+    The style of a conversation follows from the CRC-32 of its id (the last style has no markers at all), and one turn in
+    five, by the CRC-32 of id and turn, has lost its marker. Texts are split at their line breaks. role and begins are the
+    truth, which no prediction reads. Null ids, turns, roles and texts are kept; a null id is one conversation. Lines are
+    numbered by turn, nulls last, ties by text: first within runs of turns, then over the sums of the runs.
     """
     text = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).cast("binary")
     style = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % len(STYLES)
@@ -210,18 +256,26 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
         for role, name in zip(ROLES, names):
             marker = F.when((style == k) & (F.col("role") == role), F.lit(name)).otherwise(marker)
     marker = F.when(F.crc32(text) % 5 == 0, F.lit("")).otherwise(marker)
-    lines = conversations.select(F.col("conv_id").alias("conv"), "turn", "role", F.concat(marker, F.coalesce("text", F.lit(""))).alias("line"))
-    return numbered_lines(lines, "conv", ["turn"], "line")
+    turns = conversations.select(F.col("conv_id").alias("conv"), "turn", "role", F.split(F.concat(marker, F.coalesce("text", F.lit(""))), "\n").alias("lines"))
+    turns = materialize(turns.withColumn("run", F.expr("turn div 64")), "turns")
+    sizes = turns.groupBy("conv", "run").agg(F.sum(F.size("lines")).alias("n"))
+    sizes = sizes.selectExpr("conv as r_conv", "run as r_run", "sum(n) over (partition by conv order by run nulls last) - n as lines_before")
+    joined = turns.join(sizes.hint("merge"), F.col("conv").eqNullSafe(F.col("r_conv")) & F.col("run").eqNullSafe(F.col("r_run")))
+    placed = joined.selectExpr("conv", "turn", "role", "lines", "lines_before + sum(size(lines)) over (partition by conv, run order by turn nulls last, lines, role rows unbounded preceding) - size(lines) as at")
+    return placed.select("conv", "turn", "role", "at", F.posexplode("lines").alias("k", "line")).select("conv", (F.col("at") + F.col("k")).alias("pos"), "turn", "role", (F.col("k") == 0).alias("begins"), "line")
+
+
+def is_held_out(conv: str = "conv") -> Column:
+    """Conversations never learned from: CRC-32 of the id as text, modulo 4, is 2."""
+    return F.coalesce(F.crc32(F.col(conv).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
-    """``(conv_id, pos, turn, role, held_out, role_pred, rendered)`` of every line.
+    """``(conv_id, turn_no, part, role_pred, first_pos, n_lines, rendered, held_out)`` of every recovered turn.
 
     The model learns from conversations whose id's CRC-32, modulo 4, is not 2.
     """
     lines = materialize(raw_transcripts(conversations), "transcript")
-    held = F.coalesce(F.crc32(F.col("conv").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    found = recover_roles(lines.select("conv", "pos", "line"), fit(lines.where(~held).select("conv", "pos", "role", "line")))
-    found = found.select(F.col("conv").alias("c"), F.col("pos").alias("p"), "role_pred", "content")
-    out = lines.join(found.hint("merge"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("p")))
-    return out.select(F.col("conv").alias("conv_id"), "pos", "turn", "role", held.alias("held_out"), "role_pred", render(F.col("role_pred"), F.col("content")).alias("rendered"))
+    found = recover_roles(lines.select("conv", "pos", "line"), fit(lines.where(~is_held_out())))
+    out = render_turns(found)
+    return out.select(F.col("conv").alias("conv_id"), "turn_no", "part", "role_pred", "first_pos", "n_lines", "rendered", is_held_out().alias("held_out"))

@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on frames with nulls, ties, repeats, clashing names and nothing at all."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -247,18 +248,51 @@ def test_shards(spark, docs):
     assert sharding.shard_report(docs.limit(0)).count() == 0
 
 
-def test_chat(spark):
-    rows = [(1, 0, "user", "hi?"), (1, 1, "assistant", "Yes."), (1, 1, "assistant", "Yes."), (None, None, None, None), (2, 0, "user", ""), (3, 0, "system", "rules")]
+def test_chat(spark, monkeypatch):
+    rows = [(1, 0, "user", "hi?"), (1, 1, "assistant", "Yes."), (1, 1, "assistant", "Yes."), (None, None, None, None), (2, 0, "user", ""), (3, 0, "system", "rules"), (4, None, "user", "a\n\nb")]
     conv = spark.createDataFrame([r + ("x",) for r in rows], "conv_id long, turn long, role string, text string, pos string")
-    assert chat.chat_report(conv).count() == len(rows)
+    lines = chat.raw_transcripts(conv).toPandas()
+    for _, g in lines.groupby("conv", dropna=False):
+        assert sorted(g.pos) == list(range(len(g)))
+    assert chat.chat_report(conv).agg(F.sum("n_lines")).first()[0] == len(lines)
     assert chat.chat_report(conv.limit(0)).count() == 0
     rng = np.random.default_rng(1)
-    shapes = {"start": (3,), "step": (3, 3), **{f"feature{k}": (3, n) for k, n in enumerate(chat.FEATURES)}}
+    shapes = {"start": (6,), "step": (6, 6), **{f"feature{k}": (6, n) for k, n in enumerate(chat.FEATURES)}}
     model = {k: np.log(rng.dirichlet(np.ones(v[-1]), v[:-1])) for k, v in shapes.items()}
-    lines = [random.Random(i).choice(["User: hi?", "A: ok.", "plain", "sys: z"]) for i in range(1500)]
-    one = chat.viterbi(model, chat.emissions(model, lines, True), None, None)
+    lines = [random.Random(i).choice(["User: hi?", "A: ok.", "plain", "### AI", "Sys: z", "- x", ""]) for i in range(1500)]
+    one = chat.viterbi(model, chat.emissions(model, lines), None, None)
+    # brute force over all paths of a short transcript
+    seen = chat.emissions(model, lines[:5])
+    score = lambda path: model["start"][path[0]] + sum(model["step"][a, b] for a, b in zip(path, path[1:])) + sum(seen[i, x] for i, x in enumerate(path))
+    best = max(itertools.product(range(6), repeat=5), key=score)
+    assert tuple(chat.viterbi(model, seen, None, None)) == best
     df = spark.createDataFrame([(7, i, x) for i, x in enumerate(lines)], "conv long, pos long, line string")
-    assert [r.role_pred for r in chat.recover_roles(df, model).orderBy("pos").collect()] == [chat.ROLES[k] for k in one]
+    found = chat.recover_roles(df, model)
+    got = found.orderBy("pos").collect()
+    assert [(r.role_pred, r.begins) for r in got] == [(chat.ROLES[k % 3], k < 3) for k in one]
+    assert all(r.marker + (r.content or "") == x for r, x in zip(got, lines))  # nothing is lost
+    turns = chat.render_turns(found).orderBy("first_pos").toPandas()
+    whole = "\n".join(turns.rendered)
+    monkeypatch.setattr(chat, "BLOCK", 10_000)
+    assert whole == "\n".join(chat.render_turns(chat.recover_roles(df, model)).orderBy("first_pos").toPandas().rendered)
+    assert turns.turn_no.nunique() == sum(k < 3 for k in one) and whole.count("<|end|>") == turns.turn_no.nunique()
+
+
+def test_markers():
+    for line in ("You must read this", "a - b", "Note: what", "user", "A lot: of", "agent007: x"):
+        assert chat.split_marker(line) == (None, "", line)
+    assert chat.split_marker("### Human") == ("user", "### Human", None) and chat.split_marker("[bot]  two") == ("assistant", "[bot] ", " two")
+
+
+def test_chat_accuracy(spark):
+    """Roles and turn borders of conversations not learned from, with and without markers."""
+    lines = chat.raw_transcripts(spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")).cache()
+    model = chat.fit(lines.where(~chat.is_held_out()))
+    got = chat.recover_roles(lines.select("conv", "pos", "line"), model).select("conv", "pos", "role_pred", F.col("begins").alias("new"))
+    got = got.join(lines.where(chat.is_held_out()), ["conv", "pos"]).withColumn("style", F.crc32(F.col("conv").cast("string").cast("binary")) % len(chat.STYLES))
+    got = got.groupBy((F.col("style") == len(chat.STYLES) - 1).alias("bare")).agg(F.avg((F.col("role") == F.col("role_pred")).cast("int")).alias("roles"), F.avg((F.col("new") == F.col("begins")).cast("int")).alias("borders")).toPandas().set_index("bare")
+    print(got)
+    assert got.roles[False] > 0.85 and got.borders[False] > 0.85
 
 
 def test_html(spark):
