@@ -45,19 +45,22 @@ def repeated_words(counts: DataFrame, times: int = 5) -> DataFrame:
     return counts.where((F.length("token") >= 3) & (F.col("n") >= times)).select("essay_id", "token", "n")
 
 
-def mattr_parts(words: Column, window: int = WINDOW) -> tuple[Column, Column]:
-    """Sum of the distinct words of all windows, and the words in all windows: their ratio is the moving type-token ratio."""
-    n = F.size(words)
-    slides = F.aggregate(F.sequence(F.lit(1), n - window + 1), F.lit(0).cast("long"), lambda a, i: a + F.size(F.array_distinct(F.slice(words, i, window))))
-    short = n < window
-    return F.when(short, F.size(F.array_distinct(words)).cast("long")).otherwise(slides), F.when(short, n.cast("long")).otherwise((n - window + 1).cast("long") * window)
-
-
 def mattr(essays: DataFrame, window: int = WINDOW, script: str = T.LETTERS) -> DataFrame:
-    """``(essay_id, distinct_sum, window_words)``; texts shorter than a window give their plain type-token ratio."""
-    words = essays.select("essay_id", T.tokens(F.coalesce("text", F.lit("")), script).alias("words"))
-    a, b = mattr_parts(F.col("words"), window)
-    return words.select("essay_id", a.alias("distinct_sum"), b.alias("window_words"))
+    """``(essay_id, distinct_sum, window_words)``: distinct words of all windows of ``window`` words, and the words in them; their ratio
+    is the moving type-token ratio. Texts shorter than a window give their plain type-token ratio.
+
+    One pass: a word counts as distinct once in each window that holds it, there by its first place, so at place i with the same
+    word last at place p it counts in the windows that begin after p and hold i. Repeated ids count as one text.
+    """
+    words = T.tokens(F.coalesce("text", F.lit("")), script)
+    rows = essays.select("essay_id", F.size(words).alias("n"), F.posexplode(words).alias("pos", "token"))
+    rows = rows.withColumn("before", F.coalesce(F.lag("pos").over(Window.partitionBy("essay_id", "token").orderBy("pos")), F.lit(-1)))
+    first = F.greatest(F.col("before") + 1, F.col("pos") - (window - 1), F.lit(0))
+    last = F.least(F.col("pos"), F.greatest(F.col("n") - window, F.lit(0)))
+    sums = rows.groupBy("essay_id").agg(F.sum(F.greatest(last - first + 1, F.lit(0))).cast("long").alias("distinct_sum"), F.max("n").alias("n"))
+    sums = sums.select(F.col("essay_id").alias("_id"), "distinct_sum", F.when(F.col("n") < window, F.col("n").cast("long")).otherwise((F.col("n") - window + 1).cast("long") * window).alias("window_words"))
+    out = essays.select("essay_id").join(sums.hint("shuffle_hash"), F.col("essay_id").eqNullSafe(F.col("_id")), "left")
+    return out.select("essay_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("distinct_sum", "window_words")))
 
 
 def discourse(text: Column, markers: dict[str, list[str]]) -> Column:
