@@ -85,6 +85,35 @@ def test_language(spark, docs):
     assert langid.identify(docs.limit(0), {}).count() == 0
 
 
+def test_language_slices(monkeypatch):
+    """Counts of n-grams against brute force, whatever the slices."""
+    text = "Ab ab, Ñandú  12 x-yz…\n" * 7 + "q" * 11
+    bare = "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = " " + " ".join(bare.split()) + " "
+    want = Counter(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1))
+    want = Counter({g: n for g, n in want.items() if g.strip() and " " not in g[1:-1] and g != " "})
+    code = lambda g: sum((1 if c == " " else ord(c)) << 21 * k for k, c in enumerate(reversed(g)))
+    for size in (1, 2, 3, 5, 24, 1 << 20):
+        monkeypatch.setattr(langid, "SLICE", size)
+        codes, counts = langid.gram_counts(text)
+        assert dict(zip(codes.tolist(), counts.tolist())) == {code(g): n for g, n in want.items()}
+
+
+def test_language_brute_force(spark, docs):
+    """Distances by their definition."""
+    profiles = langid.fit_profiles(docs.where(~langid.held_out()))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.language_report(docs).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        codes, counts = langid.gram_counts(r.text or "")
+        own = [c for _, c in sorted(zip((-counts).tolist(), codes.tolist()))][: langid.PROFILE]
+        if not own:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        far = {k: sum(abs(v.index(c) - i) if c in v else langid.PROFILE for i, c in enumerate(own)) for k, v in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[r.doc_id][0] == best and abs(got[r.doc_id][1] - (1 - far[best] / langid.PROFILE / len(own))) < 1e-12
+
+
 def test_language_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     j = langid.language_report(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -195,17 +224,22 @@ def test_fm_index():
 
 
 def test_packing(spark, docs):
+    """Whole ids against the JSON vocabulary, its added token included; null and repeated ids are documents of their own."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    ids = {r.doc_id: np.array(t.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4") for r in rows.collect()}
+    odd = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a<|endoftext|", " <|endoftext|>\n<|startoftext|>", "  two  spaces \t end ", "tail \u00a0 x\u200d", ""]
+    extra = spark.createDataFrame([(700 + i, x) for i, x in enumerate(odd)] + [(700, odd[0]), (None, odd[1]), (None, None)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(extra)
+    key = lambda v: -1 if pd.isna(v) else int(v)
+    want = Counter((key(r.doc_id), np.array(t.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for r in rows.collect())
+    pieces = packing.pack_documents(rows).toPandas()
+    # pieces of documents of one id are told apart by their whole sequence of ids only, so compare them piece by piece
+    cut = lambda ids: [(s // 4, ids[s : s + 4096]) for s in range(0, len(ids), 4096)]
+    assert Counter((key(p.doc_id), p.start, bytes(p.ids), p.doc_tokens) for p in pieces.itertuples()) == Counter((k, s, x, len(ids) // 4) for (k, ids), n in want.items() for _ in range(n) for s, x in cut(ids))
     got = packing.packing_report(rows).toPandas()
-    assert got.length.sum() == sum(map(len, ids.values()))
-    for r in got.itertuples():
-        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    assert Counter(map(zlib.crc32, map(bytes, pieces.ids))) == Counter(got.ids_crc32)
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g.offset == g.length.cumsum() - g.length).all() and g.length.sum() <= 1024
     assert packing.packing_report(docs.limit(0)).count() == 0
@@ -235,6 +269,8 @@ def test_mixing(spark, docs, tmp_path):
 
     docs.select("doc_id", "text", "lang", "source").write.parquet(str(tmp_path / "d"))
     want = duckdb.connect().execute(mixing.mixture_sql(f"read_parquet('{tmp_path}/d/*.parquet')")).fetchall()
+    named = docs.withColumn("source", F.when(F.col("doc_id") % 7 == 0, "wiki").when(F.col("doc_id") % 7 == 1, "src 1").when(F.col("doc_id") % 7 == 2, "src").otherwise(F.col("source")))
+    assert mixing.mixture_report(named).where("source = 'wiki'").select("domain").distinct().collect()[0][0] == "other"
     got = mixing.mixture_report(docs).select("doc_id", *mixing.LEVELS, "epoch", "tokens").collect()
     assert Counter(map(tuple, got)) == Counter(want)
     assert mixing.mixture_report(docs.limit(0)).count() == 0
@@ -248,6 +284,22 @@ def test_shards(spark, docs):
     assert sharding.shard_report(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 1500])
+def test_shard_bytes_and_groups(spark, hot):
+    """Groups of equal texts stay whole unless larger than an even share; bytes against the even share."""
+    rnd = random.Random(4)
+    texts = [f"{rnd.randrange(400)} " * rnd.randrange(1, 60) for _ in range(3000)] + ["hot text " * 20] * hot + [None, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.shard_report(df).toPandas().sort_values("doc_id")
+    size = np.array([len((t or "").encode()) + 1 for t in texts])
+    assert (got["size"].to_numpy() == size).all() and [zlib.crc32((t or "").encode()) for t in texts] == got.text_crc32.tolist()
+    share = size.sum() / 16
+    for t, g in pd.DataFrame({"t": texts, "shard": got.shard.to_numpy(), "size": size}).groupby("t", dropna=False):
+        assert g.shard.nunique() == 1 or g["size"].sum() > share
+    largest = max(g for g in (pd.Series(size).groupby(pd.Series(texts), dropna=False).sum()) if g <= share)
+    assert (abs(np.bincount(got.shard, size, 16) - share) <= largest + share * 0.01).all()
+
+
 def test_chat(spark, monkeypatch):
     rows = [(1, 0, "user", "hi?"), (1, 1, "assistant", "Yes."), (1, 1, "assistant", "Yes."), (None, None, None, None), (2, 0, "user", ""), (3, 0, "system", "rules"), (4, None, "user", "a\n\nb")]
     conv = spark.createDataFrame([r + ("x",) for r in rows], "conv_id long, turn long, role string, text string, pos string")
@@ -304,6 +356,36 @@ def test_html(spark):
     assert htmltext.extraction_report(df.limit(0)).count() == 0 and htmltext.extraction_report(df).count() == 6
 
 
+def test_best_region():
+    """Against all contiguous runs."""
+    rnd = random.Random(2)
+    for _ in range(200):
+        values = [rnd.choice([-3, -2, -1, 0, 1, 2, 3]) for _ in range(rnd.randint(0, 14))]
+        first, past = htmltext.best_region([float(v) for v in values])
+        assert sum(values[first:past]) == max([0, *(sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1))])
+
+
+def test_html_parts():
+    weights = {"word": 8.0, "article": -9.0, "/article": -9.0, "div": -9.0, "/div": -9.0, "nav": -9.0, "/nav": -9.0, "p": -0.1, "/p": -0.1}
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    long = " ".join(f"x{i}" for i in range(180))
+    for html, want in [
+        (f"<article><p>{a}</p><aside>{long}</aside><p>{b}</p></article>", f"{a}\n\n{b}"),
+        (f"<article><p>{a}</p></article><section><article class='comment'><p>{long}</p></article></section>", a),
+        (f"<article><p>{a}</p><article class='comment'><p>{long}</p></article></article>", a),
+        (f"<section id=comments><article><p>{long}</p></article></section><article><p>{a}</p></article>", a),
+        (f"<p title=it's>{a}</p>", a),
+        (f'<article><p title="abc>{a}</p><p class="x">{b}</p></article>', f"{a}\n\n{b}"),
+        (f"<article><h2 id='related-work'>{a}</h2><p class='social'>{b}</p></article>", f"{a}\n\n{b}"),
+        (f"<div class='content no-sidebar'><p>{a}</p></div>", a),
+        (f"<div class='has-sidebar'><nav><a href=/>home</a></nav><article><p>{a}</p></article></div>", a),
+        (f"<article><p>{a}</article><aside><article><p>{b}</p></article></aside>", a),
+        (f"<nav><p>{b}<article><p>{a}", a),
+        ("<p>" * 3000 + a, a),
+    ]:
+        assert htmltext.main_text(html, weights) == want, html[:80]
+
+
 def test_pipeline(spark, docs):
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
     step = base
