@@ -24,9 +24,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group at a similarity of 0.8 of 5-word shingles, the document of smallest id stays; a repeated row stays once."""
     groups = simhash.similar_groups(docs)
-    first = groups.select(F.col("component_id").alias("_first")).distinct()
-    kept = docs.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    first = groups.select(F.xxhash64("component_id").alias("_key"), F.col("component_id").alias("_first")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    kept = rows.join(first.hint("merge"), (F.col("_id") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    once = kept.withColumn("_again", F.expr("row_number() over (partition by _id, doc_id, _text order by _id)")).where("_again = 1")
+    return once.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
