@@ -328,7 +328,7 @@ def fingerprint_links(fps: DataFrame, plan: Plan = EXACT) -> DataFrame:
     pairs = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
     dealt = rows.join(large, F.col("bucket") == F.col("b"), "left").select("bucket", "fp", F.explode(pairs).alias("pair"))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select(F.xxhash64("bucket", "pair").alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key")
+    dealt = dealt.select(F.xxhash64("bucket", "pair").alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key", "fp")  # the first of a component is its least, so links of many buckets are the same
     return dealt.mapInArrow(lean(_compare_buckets(plan.radius)), "src binary, dst binary")
 
 
@@ -431,7 +431,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_
     dealt = known.withColumn("pair", F.explode(pair))
     dealt = dealt.select(F.xxhash64("root", "pair").alias("unit"), "node", "shingles", (F.col("pair.a") != F.col("pair.b")).alias("crossing"), (F.col("chunk") == F.col("pair.a")).alias("side"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = dealt.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(lean(_verify(similarity)), "src binary, dst binary")
+    links = dealt.repartition(parts, "unit").sortWithinPartitions("unit", "node").mapInArrow(lean(_verify(similarity)), "src binary, dst binary")
     roots = connected_components(links).withColumnRenamed("node", "m")
     linked = named.join(roots.hint("merge"), F.col("n") == F.col("m"), "left")
     linked = materialize(linked.select("n", "first_id", F.coalesce("component", "n").alias("root")), "similar")
