@@ -51,9 +51,10 @@ def claim_sentences(text: Column) -> Column:
 def batch_sentences(essays: DataFrame, text_col: str = "text", id_col: str = "essay_id", n: int = 6) -> DataFrame:
     """One row per batch of up to ``n`` consecutive claim sentences: essay_id, batch_no from 1, sentences, n_batches."""
     parts = claim_sentences(F.col(text_col))
-    count = F.ceil(F.size(parts) / F.lit(n)).cast("int")
-    numbers = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    rows = essays.select(F.col(id_col).alias("essay_id"), parts.alias("parts"), count.alias("n_batches"), F.explode(numbers).alias("batch_no"))
+    rows = essays.select(F.col(id_col).alias("essay_id"), parts.alias("parts"))  # split once a text, before rows are made of it
+    rows = rows.select("essay_id", "parts", F.ceil(F.size("parts") / F.lit(n)).cast("int").alias("n_batches"))
+    numbers = F.when(F.col("n_batches") > 0, F.sequence(F.lit(1), "n_batches")).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("essay_id", "parts", "n_batches", F.explode(numbers).alias("batch_no"))
     return rows.select("essay_id", "batch_no", F.slice("parts", (F.col("batch_no") - 1) * n + 1, F.lit(n)).alias("sentences"), "n_batches")
 
 
@@ -103,9 +104,15 @@ def sanitize_relation(relation: Column) -> Column:
     return F.nullif(F.regexp_replace(joined, "[^A-Z0-9_]", ""), F.lit(""))
 
 
+@F.pandas_udf(StringType())
+def nfkd(names: pd.Series) -> pd.Series:
+    """Compatibility decomposition without combining marks."""
+    return names.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
+
+
 def slug(name: Column, default: str = "essay") -> Column:
-    """Up to 24 characters of A-Z a-z 0-9 _ -, others as -; the default if nothing is left."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), "[^A-Za-z0-9_-]+", "-"), "^-+|-+$", "")
+    """Up to 24 characters of A-Z a-z 0-9 _ - after nfkd, others as -; the default if nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(nfkd(F.coalesce(name, F.lit(""))), "[^A-Za-z0-9_-]+", "-"), "^-+|-+$", "")
     return F.when(bare == "", F.lit(default)).otherwise(F.left(bare, F.lit(24)))
 
 
@@ -113,6 +120,20 @@ def preview(text: Column, n: int = 70) -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("…"))).otherwise(text)
 
 
+def place_spans(text: Column, entities: Column) -> Column:
+    """Spans (start, end, label) of ``entities`` (entity, label, start, end): by their places where those hold the entity, else where it
+    first occurs; one that does not occur is left out."""
+
+    def place(e: Column) -> Column:
+        given = text.substr(e["start"] + 1, e["end"] - e["start"]) == e["entity"]
+        first = F.instr(text, e["entity"]) - 1
+        return F.when(F.coalesce(given, F.lit(False)), F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"))).when(
+            (first >= 0) & (F.length(e["entity"]) > 0), F.struct(first.alias("start"), (first + F.length(e["entity"])).alias("end"), e["label"].alias("label"))
+        )
+
+    return F.array_compact(F.transform(entities, place))
+
+
 def annotate_spans(text: Column, spans: Column) -> Column:
     """Text with [span](label) for each span (start, end, label; 0-based), by start; a span that begins inside an earlier one is skipped."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -127,10 +148,15 @@ def annotate_spans(text: Column, spans: Column) -> Column:
 
 def clean_label(label: Column) -> Column:
     """Entity class of a BIO tag; null if it is none of the known ones."""
-    bare = F.upper(F.regexp_replace(label, "^[BIbi]-", ""))
+    bare = F.upper(F.regexp_replace(strip_ws(label), "^[BIbi]-", ""))
     return F.when(bare.isin(*ENTITY_LABELS), bare)
 
 
+def clean_piece(piece: Column) -> Column:
+    """A tagged piece of a word without the mark of its tokenizer."""
+    return strip_ws(F.regexp_replace(piece, "^(##|\u2581)", ""))
+
+
 def map_rename(m: Column, names: dict[str, str]) -> Column:
     known = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
     return F.transform_keys(m, lambda k, v: F.coalesce(F.try_element_at(known, k), k))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
+from palmleaf.operators.names import canonical_entity, resolve_tiers
+from palmleaf.shared import materialize
 
 # Relations that come first when facts are many, and limits of grading.
 PRIORITY = ("BUILT", "DEFEATED", "RULED", "UNITED", "FATHER_OF", "MOTHER_OF", "SON_OF", "BROTHER_OF", "MARRIED", "WIFE_OF", "BORN_IN", "DIED_AT", "ALSO_KNOWN_AS")
@@ -37,11 +39,22 @@ def format_facts(facts: DataFrame, most: int = FACTS_MOST) -> DataFrame:
     return rows.groupBy("essay_id").agg(F.max("n").alias("n_facts"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])).alias("text"))
 
 
-def build_requests(batches: DataFrame, facts_text: DataFrame) -> DataFrame:
-    """Request text of each sentence batch: facts, then numbered sentences, then which batch it is."""
+def build_requests(batches: DataFrame, facts_text: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
+    """Request text of each sentence batch: subject and other names where given, facts, then numbered sentences, then which batch it is."""
     numbered = F.concat_ws("\n", F.transform("sentences", lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)))
-    j = batches.join(facts_text.select("essay_id", F.col("text").alias("facts")), "essay_id", "left")
-    return j.select("essay_id", "batch_no", F.concat_ws("\n\n", F.coalesce("facts", F.lit("(no facts)")), numbered, F.format_string("batch %d of %d", "batch_no", "n_batches")).alias("request"))
+    j = batches.join(facts_text.select("essay_id", F.col("text").alias("facts")).hint("merge"), "essay_id", "left")
+    who = [F.lit(None).cast("string")]
+    if subjects is not None:
+        s = subjects.select("essay_id", F.concat(F.lit("subject: "), "subject", F.when(F.size("others") > 1, F.concat(F.lit("; others: "), F.array_join(F.array_except("others", F.array("subject")), ", "))).otherwise("")).alias("who"))
+        j, who = j.join(s.hint("merge"), "essay_id", "left"), [F.col("who")]
+    return j.select("essay_id", "batch_no", F.concat_ws("\n\n", *who, F.coalesce("facts", F.lit("(no facts)")), numbered, F.format_string("batch %d of %d", "batch_no", "n_batches")).alias("request"))
+
+
+def sentence_requests(sentences: DataFrame, tags: DataFrame) -> DataFrame:
+    """``(sent_id, request)``: each sentence (sent_id, text) that passes the gate, with its tags in order of name; a sentence's tags are few."""
+    listed = tags.groupBy("sent_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat("entity", F.lit(" ("), "label", F.lit(")")))), ", ").alias("tags"))
+    j = sentences.join(extraction_gate(tags).select("sent_id").hint("merge"), "sent_id").join(listed.hint("merge"), "sent_id")
+    return j.select("sent_id", F.concat_ws("\n", "text", "tags").alias("request"))
 
 
 def _objects(reply: str | None, key: str | None) -> list[dict]:
@@ -86,6 +99,55 @@ def validate_triples(triples: DataFrame, dates: DataFrame) -> DataFrame:
     return rows
 
 
+def extract_relations(tags: DataFrame, replies: DataFrame, surface_forms: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``(sent_id, subject, relation, object, period)`` from tags (sent_id, entity, label) and replies (sent_id, reply).
+
+    Replies of sentences that pass the gate are parsed; ends that stand for a tag of their sentence become it, others stay as they are;
+    then ends are made canonical, dates and bad relations go. Each triple of a sentence comes once.
+    """
+    open_ = replies.join(extraction_gate(tags).select("sent_id").hint("merge"), "sent_id", "left_semi")
+    raw = parse_replies(open_, TRIPLE).select("sent_id", F.explode("parsed").alias("t")).select("sent_id", "t.*")
+    raw = materialize(raw.where("subject is not null and object is not null"), "raw-triples")
+    ends = raw.select("sent_id", F.col("subject").alias("candidate")).unionByName(raw.select("sent_id", F.col("object").alias("candidate"))).distinct()
+    named = tags.where(F.col("label") != "DATE_ERA").select("sent_id", "entity")
+    known = materialize(resolve_tiers(ends, named).select("sent_id", "candidate", "entity"), "ends")
+    for end in ("subject", "object"):
+        k = known.select(F.col("sent_id").alias("k_sent"), F.col("candidate").alias("k_end"), F.col("entity").alias("k_tag"))
+        raw = raw.join(k.hint("merge"), (F.col("sent_id") == F.col("k_sent")) & (F.col(end) == F.col("k_end")), "left")
+        raw = raw.withColumn(end, F.coalesce("k_tag", end)).drop("k_sent", "k_end", "k_tag")
+    clean = validate_triples(raw, tags.where(F.col("label") == "DATE_ERA").select("sent_id", "entity"))
+    for end in ("subject", "object"):
+        clean = canonical_entity(clean, surface_forms, aliases, end).withColumn(end, F.col("canonical")).drop("canonical")
+    return clean.distinct()
+
+
+def collect_triples(sentences: DataFrame, triples: DataFrame) -> DataFrame:
+    """``(sent_id, source, subject, relation, object, period)``: triples with their sentence (sent_id, text) as source; a sentence without any gives
+    one row of nulls, so that none is lost."""
+    j = sentences.join(triples.withColumnRenamed("sent_id", "t_sent").hint("merge"), F.col("sent_id") == F.col("t_sent"), "left")
+    return j.select("sent_id", F.col("text").alias("source"), "subject", "relation", "object", "period")
+
+
+def check_essays(essays: DataFrame, subjects: DataFrame, facts: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests, claims and accuracy rows of all essays (essay_id, text) at once.
+
+    subjects: (essay_id, subject, others) of essay_subject; facts: (entity, subject, relation, object, period); replies: (essay_id, batch_no,
+    reply), null for a failed call. Essays without a subject have no requests and no claims, and an empty accuracy row.
+    """
+    known = subjects.where("subject is not null")
+    entities = known.select("essay_id", F.posexplode("others").alias("order", "entity"))
+    pooled = pool_facts(entities, facts)
+    seq = Window.partitionBy("essay_id").orderBy("order", "relation", "subject", "object")
+    text = materialize(format_facts(pooled.withColumn("seq", F.row_number().over(seq))), "facts")
+    batches = T.batch_sentences(essays.join(known.select("essay_id").hint("merge"), "essay_id", "left_semi"))
+    batches = materialize(batches, "batches")
+    requests = build_requests(batches, text, known)
+    got = parse_replies(replies.join(batches.select("essay_id", "batch_no").hint("merge"), ["essay_id", "batch_no"], "left_semi"), CLAIM, "claims")
+    claims = got.select("essay_id", "batch_no", F.posexplode("parsed").alias("pos", "c")).select("essay_id", "batch_no", "pos", "c.*")
+    claims = materialize(pad_claims(batches, normalize_claims(claims)), "claims")
+    return requests, claims, aggregate_accuracy(essays, claims)
+
+
 def normalize_claims(claims: DataFrame) -> DataFrame:
     """Claims with consistent type, verdict, reason and feedback."""
     kind = F.when(F.upper("claim_type") == "EDITORIAL", "EDITORIAL").otherwise("FACTUAL")
@@ -99,7 +161,7 @@ def pad_claims(batches: DataFrame, claims: DataFrame) -> DataFrame:
     """Claims, and for sentences without one (a short or failed reply) a factual, unverifiable claim without reason."""
     want = batches.select("essay_id", "batch_no", F.posexplode("sentences").alias("pos", "sentence"))
     have = claims.groupBy("essay_id", "batch_no").agg(F.count("*").alias("n"))
-    short = want.join(have, ["essay_id", "batch_no"], "left").where(F.col("pos") >= F.coalesce("n", F.lit(0)))
+    short = want.join(have.hint("merge"), ["essay_id", "batch_no"], "left").where(F.col("pos") >= F.coalesce("n", F.lit(0)))
     pad = {"claim_text": F.col("sentence"), "claim_type": F.lit("FACTUAL"), "verdict": F.lit("UNVERIFIABLE")}
     return claims.unionByName(short.select(*(pad.get(c, F.col(c) if c in ("essay_id", "batch_no", "pos") else F.lit(None)).cast(t).alias(c) for c, t in claims.dtypes)))
 
@@ -143,11 +205,11 @@ def concat_in_order(rows: DataFrame, key: str, order: str, text: str, separator:
 
 def facts_with_fallback(primary: DataFrame, static: DataFrame) -> DataFrame:
     """Primary facts (entity, ...), and static ones of entities that have none."""
-    return primary.unionByName(static.join(primary.select("entity").distinct(), "entity", "left_anti"))
+    return primary.unionByName(static.join(primary.select("entity").distinct().hint("merge"), "entity", "left_anti"))
 
 
 def pool_facts(essay_entities: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts of all entities of each essay, each (subject, relation, object) once, as the first entity (order) brings it."""
-    j = essay_entities.join(facts, "entity")
+    j = essay_entities.join(facts.hint("merge"), "entity")
     best = j.groupBy("essay_id", "subject", "relation", "object").agg(F.min(F.struct("order", "entity", "period")).alias("m"))
     return best.select("essay_id", "subject", "relation", "object", F.col("m.period").alias("period"), F.col("m.order").alias("order"))

@@ -31,7 +31,7 @@ def token_counts(essays: DataFrame, script: str = T.LETTERS) -> DataFrame:
 def lexical(essays: DataFrame, counts: DataFrame, vocabulary: DataFrame, informal: list[str]) -> DataFrame:
     """``(essay_id, n_tokens, n_types, n_repeated, n_academic, n_informal)``; vocabulary has the column token."""
     known = vocabulary.select(F.col("token").alias("v")).distinct()
-    marked = counts.join(known, F.col("token") == F.col("v"), "left")
+    marked = counts.join(known.hint("shuffle_hash"), F.col("token") == F.col("v"), "left")
     sums = marked.groupBy("essay_id").agg(
         F.sum("n").alias("n_tokens"), F.count("*").alias("n_types"), F.count_if((F.length("token") >= 3) & (F.col("n") >= 5)).alias("n_repeated"),
         F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("n_academic"), F.sum(F.when(F.col("token").isin(*informal), F.col("n")).otherwise(0)).alias("n_informal"),
@@ -53,7 +53,8 @@ def mattr(essays: DataFrame, window: int = WINDOW, script: str = T.LETTERS) -> D
     word last at place p it counts in the windows that begin after p and hold i. Repeated ids count as one text.
     """
     words = T.tokens(F.coalesce("text", F.lit("")), script)
-    rows = essays.select("essay_id", F.size(words).alias("n"), F.posexplode(words).alias("pos", "token"))
+    rows = essays.select("essay_id", words.alias("words")).select("essay_id", F.size("words").alias("n"), "words")  # n before the rows are made, not for each of them
+    rows = rows.select("essay_id", "n", F.posexplode("words").alias("pos", "token"))
     rows = rows.withColumn("before", F.coalesce(F.lag("pos").over(Window.partitionBy("essay_id", "token").orderBy("pos")), F.lit(-1)))
     first = F.greatest(F.col("before") + 1, F.col("pos") - (window - 1), F.lit(0))
     last = F.least(F.col("pos"), F.greatest(F.col("n") - window, F.lit(0)))
@@ -119,3 +120,27 @@ def passages(paragraphs: DataFrame, prefix: str = "p", longer_than: int = 80, cu
 def label_span_counts(tags: DataFrame) -> DataFrame:
     """``(label, n)``: spans (B- tags) of each class in a table of one token a row with column tag."""
     return tags.where(F.startswith("tag", F.lit("B-"))).groupBy(F.substring("tag", 3, 100).alias("label")).agg(F.count("*").alias("n"))
+
+
+def type_token_ratio(essays: DataFrame, script: str = T.LETTERS) -> DataFrame:
+    """``(essay_id, ttr)``: different words of all, 4 places; 0 without words."""
+    words = T.tokens(F.coalesce("text", F.lit("")), script)
+    return essays.select("essay_id", F.coalesce(F.round(F.size(F.array_distinct(words)) / F.nullif(F.size(words), F.lit(0)), 4), F.lit(0.0)).alias("ttr"))
+
+
+def word_samples(counts: DataFrame, vocabulary: DataFrame, most: int = 20) -> DataFrame:
+    """``(essay_id, sample)``: the first ``most`` different words of each essay that are in ``vocabulary`` (token), in order; counts as of token_counts."""
+    known = vocabulary.select(F.col("token").alias("v")).distinct()
+    rows = counts.join(known.hint("shuffle_hash"), F.col("token") == F.col("v"), "left_semi")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("essay_id").orderBy("first"))).where(F.col("rank") <= most)
+    return rows.groupBy("essay_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]).alias("sample"))
+
+
+def extract_features(essays: DataFrame, vocabulary: DataFrame, informal: list[str], markers: dict[str, list[str]], signals: tuple[list[str], list[str], list[str]], separator: str = r"\n\s*\n") -> DataFrame:
+    """One row an essay (ids are unique): counts of lexical, the ratios mattr, academic_density, informal_ratio and repeated_ratio (4 places),
+    discourse types, n_paragraphs and the flags of structure, and the sentence variance. signals: intro, thesis, conclusion."""
+    ratio = lambda a, b: F.coalesce(F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 4), F.lit(0.0))
+    out = lexical(essays, token_counts(essays), vocabulary, informal).join(mattr(essays), "essay_id").join(sentence_variance(essays), "essay_id")
+    own = essays.select("essay_id", discourse(F.lower(F.coalesce("text", F.lit(""))), markers).alias("types"), structure(F.coalesce("text", F.lit("")), *signals, separator).alias("s"))
+    out = out.join(own.select("essay_id", "types", "s.*"), "essay_id")
+    return out.withColumns({"mattr": ratio("distinct_sum", "window_words"), "academic_density": ratio("n_academic", "n_tokens"), "informal_ratio": ratio("n_informal", "n_tokens"), "repeated_ratio": ratio("n_repeated", "n_types")})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
 from palmleaf.operators.components import connected_components
+from palmleaf.operators.names import canonical_entity
 from palmleaf.shared import materialize
 
 # Node labels, and the label of each entity class (dates are none).
@@ -23,7 +24,7 @@ def find_node(names: DataFrame, nodes: DataFrame, name: str = "name") -> DataFra
     """``names`` with ``node_id``: by exact name, else by any alias (smallest id); null if unknown."""
     keys = nodes.select(F.col("name").alias("k"), F.lit(0).alias("p"), "node_id").unionByName(nodes.select(F.explode("aliases").alias("k"), F.lit(1).alias("p"), "node_id"))
     best = keys.groupBy("k").agg(F.min(F.struct("p", "node_id"))["node_id"].alias("node_id"))
-    return names.join(best, F.col(name) == F.col("k"), "left").drop("k")
+    return names.join(best.hint("shuffle_hash"), F.col(name) == F.col("k"), "left").drop("k")
 
 
 def upsert_nodes(nodes: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -56,14 +57,39 @@ def upsert_edges(edges: DataFrame, nodes: DataFrame, triples: DataFrame) -> tupl
     return edges.unionByName(fresh), t.select("subject", "relation", "object", "status")
 
 
-def save_extraction(nodes: DataFrame, edges: DataFrame, tags: DataFrame, triples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tags (entity, label, aliases) become nodes, dates left out; then triples become edges."""
+def save_extraction(nodes: DataFrame, edges: DataFrame, tags: DataFrame, triples: DataFrame, surface_forms: DataFrame | None = None, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tags (entity, label, aliases) become nodes, dates left out; then triples become edges.
+
+    With lookup tables (both) names of tags and ends of triples are made canonical first, and a tagged form that differs from its canonical
+    name becomes an alias. Returned: nodes, edges, and the status of each triple; save_counts sums them up.
+    """
     known = F.create_map(*(F.lit(x) for kv in LABEL_OF.items() for x in kv))
-    rows = tags.select(F.col("entity").alias("name"), F.try_element_at(known, F.col("label")).alias("label"), "aliases").where("label is not null and length(name) > 0")
+    rows = tags.select(F.col("entity").alias("name"), F.try_element_at(known, F.col("label")).alias("label"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")).where("label is not null and length(name) > 0")
+    if surface_forms is not None and aliases is not None:
+        rows = canonical_entity(rows, surface_forms, aliases).where("length(canonical) > 0")
+        rows = rows.select(F.col("canonical").alias("name"), "label", F.array_except(F.array_union("aliases", F.array("name")), F.array("canonical")).alias("aliases"))
+        for end in ("subject", "object"):
+            triples = canonical_entity(triples, surface_forms, aliases, end).withColumn(end, F.col("canonical")).drop("canonical")
     new = materialize(upsert_nodes(nodes, rows), "nodes")
     return (new, *upsert_edges(edges, new, triples))
 
 
+def save_counts(before: DataFrame, after: DataFrame, status: DataFrame) -> DataFrame:
+    """``(what, n)`` of a save: nodes created, and triples by status."""
+    created = after.join(before.select("node_id").hint("merge"), "node_id", "left_anti").agg(F.lit("nodes created").alias("what"), F.count("*").alias("n"))
+    return created.unionByName(status.groupBy(F.concat(F.lit("triples "), "status").alias("what")).agg(F.count("*").alias("n")))
+
+
+def node_names(nodes: DataFrame) -> DataFrame:
+    """``(name, label)`` of all nodes; a caller that shows them sorts."""
+    return nodes.select("name", "label")
+
+
+def focus(triples: DataFrame, name: str) -> DataFrame:
+    """Triples whose subject or object is ``name``."""
+    return triples.where((F.col("subject") == name) | (F.col("object") == name))
+
+
 def with_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with subject, object and the labels of both ends."""
     a = nodes.select(F.col("node_id").alias("src_id"), F.col("name").alias("subject"), F.col("label").alias("subject_label"))
@@ -147,9 +173,14 @@ def also_known_as(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return with_names(edges.where(F.col("relation") == ALIAS), nodes).select("subject", "object")
 
 
-def node_detail(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with sorted lists of outgoing and incoming facts."""
-    named = with_names(edges, nodes)
+def node_detail(nodes: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Nodes with sorted lists of outgoing and incoming facts: for the few nodes that are looked at (``names``: all nodes, for the other ends).
+
+    A hub's facts become one row; whoever wants all facts of all nodes takes with_names.
+    """
+    own = nodes.select(F.col("node_id").alias("own"))
+    touched = edges.join(own.hint("shuffle_hash"), (F.col("src_id") == F.col("own")), "left_semi").unionByName(edges.join(own.hint("shuffle_hash"), (F.col("dst_id") == F.col("own")), "left_semi")).distinct() if names is not None else edges
+    named = with_names(touched, nodes if names is None else names)
     out = named.groupBy(F.col("src_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("relation", F.col("object").alias("name"), "period"))).alias("outgoing"))
     into = named.groupBy(F.col("dst_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("relation", F.col("subject").alias("name"), "period"))).alias("incoming"))
     return nodes.join(out, "node_id", "left").join(into, "node_id", "left")
@@ -214,19 +245,26 @@ def entity_facts(edges: DataFrame, nodes: DataFrame, names: DataFrame) -> DataFr
 
 
 def facts_by_relation(triples: DataFrame, relation: str) -> DataFrame:
-    return triples.where(F.col("relation") == relation).orderBy("period", "subject", "object")
+    """Triples of a relation; a caller that shows them sorts by period."""
+    return triples.where(F.col("relation") == relation)
 
 
 def dated_facts(triples: DataFrame) -> DataFrame:
-    return triples.where(F.length("period") > 0).orderBy("period", "subject", "relation", "object")
+    """Triples with a period; a caller that shows them sorts by it."""
+    return triples.where(F.length("period") > 0)
 
 
 def name_cluster(start: DataFrame, alias_edges: DataFrame, hops: int | None = 10) -> DataFrame:
     """``(start, node)``: nodes within ``hops`` undirected alias edges (src, dst) of each start (column start); None: all reachable."""
+    if hops is None:
+        comp = materialize(connected_components(alias_edges), "clusters")
+        own = start.select("start").distinct().join(comp.hint("merge"), F.col("start") == F.col("node"), "left").select("start", F.coalesce("component", "start").alias("c"))
+        members = own.join(comp.select(F.col("node").alias("m"), "component").hint("merge"), F.col("c") == F.col("component"), "left")
+        return members.select("start", F.coalesce("m", "start").alias("node"))
     both = materialize(alias_edges.select("src", "dst").unionByName(alias_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "aliases")
     seen = materialize(start.select("start", F.col("start").alias("node"), F.lit(0).alias("hop")).distinct(), "cluster")
     hop = 0
-    while hops is None or hop < hops:
+    while hop < hops:
         edge = seen.where(F.col("hop") == hop)
         new = edge.join(both, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
         hop += 1

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
 from palmleaf.operators.components import connected_components
+from palmleaf.shared import materialize
 
 # Endings that may follow a name, titles tried in a lookup, and the closed list of relations.
 LOOKUP_SUFFIXES = (" රජු", " රාජ", " රාජා", " හිමි", " හාමුදුරුවෝ", " හාමුදුරුවන්", " හිමිණිය", " ආචාර්ය", "ගේ", "ෙහි")
@@ -47,7 +48,7 @@ def normalize_entity(names: DataFrame, surface_forms: DataFrame, name: str = "na
         tries.append(F.when(bare.endswith(s), F.struct(F.lit(i).alias("p"), T.strip_ws(bare.substr(F.lit(1), F.length(bare) - F.lit(len(s)))).alias("k"))))
     numbered = names.withColumn("_row", F.monotonically_increasing_id())
     hits = numbered.select("_row", F.explode(F.array_compact(F.array(*tries))).alias("t")).select("_row", "t.p", "t.k")
-    hits = hits.join(surface_forms.select(F.col("surface").alias("s"), "canonical"), F.col("k") == F.col("s")).groupBy("_row").agg(F.min_by("canonical", F.struct("p", "canonical")).alias("_hit"))
+    hits = hits.join(surface_forms.select(F.col("surface").alias("s"), "canonical").hint("shuffle_hash"), F.col("k") == F.col("s")).groupBy("_row").agg(F.min_by("canonical", F.struct("p", "canonical")).alias("_hit"))
     return numbered.join(hits, "_row", "left").withColumn("normal", F.coalesce("_hit", bare)).drop("_row", "_hit")
 
 
@@ -71,6 +72,14 @@ def normalize_triples(triples: DataFrame, surface_forms: DataFrame, synonyms: Da
     return rel.where((F.length("subject") > 0) & (F.length("object") > 0) & F.col("relation").isNotNull()).withColumn("period", F.coalesce("period", F.lit("")))
 
 
+def canonical_entity(names: DataFrame, surface_forms: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
+    """``names`` (name and any other columns but ``canonical``) with ``canonical``: composed and trimmed, without a case ending, looked up among
+    surface forms, then among aliases. Null stays null; repeated rows stay."""
+    rows = names.withColumn("_bare", T.strip_suffix(T.nfc(F.col(name))))
+    rows = normalize_entity(rows, surface_forms, "_bare")
+    return resolve_to_canonical(rows, aliases, "normal").drop("_bare", "normal")
+
+
 def name_index(sources: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """``(key, canonical)`` from (priority, seq, name, canonical): names and their title-stripped forms; the first registration wins."""
     rows = sources if excluded is None else sources.join(excluded.select(F.col("canonical").alias("x")), F.col("canonical") == F.col("x"), "left_anti")
@@ -131,8 +140,8 @@ def find_mentions_fuzzy(texts: DataFrame, names: list[tuple[str, str]], exact: D
 
     Only names whose length can reach the ratio are compared.
     """
-    rest = texts.join(exact.select("text_id").distinct(), "text_id", "left_anti")
-    each = rest.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({script})"), F.lit(1)))).alias("token"))
+    rest = texts.join(exact.select("text_id").distinct().hint("merge"), "text_id", "left_anti")
+    each = materialize(rest.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({script})"), F.lit(1)))).alias("token")), "tokens")
 
     def best(token: str) -> tuple[str | None, float]:
         found, top = None, 0.0
@@ -146,12 +155,13 @@ def find_mentions_fuzzy(texts: DataFrame, names: list[tuple[str, str]], exact: D
 
     def run(it):
         for pdf in it:
-            got = [best(t) for t in pdf["token"]]
-            out = pd.DataFrame({"text_id": pdf["text_id"], "token": pdf["token"], "canonical": [g[0] for g in got], "ratio": [g[1] for g in got]})
+            got = [best(t) for t in pdf["t"]]
+            out = pd.DataFrame({"t": pdf["t"], "canonical": [g[0] for g in got], "ratio": [g[1] for g in got]})
             yield out[out["canonical"].notna()]
 
-    kind = dict(texts.dtypes)["text_id"]
-    return each.mapInPandas(run, f"text_id {kind}, token string, canonical string, ratio double")
+    # each different token of all texts is compared once
+    found = each.select(F.col("token").alias("t")).distinct().mapInPandas(run, "t string, canonical string, ratio double")
+    return each.join(materialize(found, "alike").hint("merge"), F.col("token") == F.col("t")).drop("t")
 
 
 def resolve_tiers(candidates: DataFrame, tags: DataFrame, suffixes: tuple[str, ...] = T.CASE_SUFFIXES, markers: tuple[str, ...] = RELATIONAL_MARKERS) -> DataFrame:
@@ -179,7 +189,7 @@ def essay_subject(mentions: DataFrame, facts: DataFrame) -> DataFrame:
     """``(essay_id, subject, others)`` from mentions (essay_id, name, at): names by how often they come, then where first; the first
     that has facts (facts.name) is the subject, else the first. others: all names by first place."""
     ranked = mentions.groupBy("essay_id", "name").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    ranked = ranked.join(facts.select(F.col("name").alias("f")).distinct(), F.col("name") == F.col("f"), "left")
+    ranked = ranked.join(facts.select(F.col("name").alias("f")).distinct().hint("merge"), F.col("name") == F.col("f"), "left")
     order = F.struct(F.when(F.col("f").isNotNull(), 0).otherwise(1), -F.col("n"), "first", "name")
     names = F.transform(F.array_sort(F.collect_list(F.struct("first", (-F.col("n")).alias("m"), "name"))), lambda x: x["name"])
     return ranked.groupBy("essay_id").agg(F.min_by("name", order).alias("subject"), names.alias("others"))

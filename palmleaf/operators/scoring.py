@@ -69,17 +69,34 @@ def summary_band(mean: Column) -> Column:
     return F.when(mean >= 4, "strong").when(mean >= 3, "fair").otherwise("weak")
 
 
+def note(findings: list[tuple[Column, str, str]]) -> Column:
+    """Struct what_wrong, how_to_improve: the texts of the findings that hold, joined by a bar; empty where none does."""
+    pick = lambda k: F.concat_ws(" | ", *(F.when(f[0], F.lit(f[k])) for f in findings))
+    return F.struct(pick(1).alias("what_wrong"), pick(2).alias("how_to_improve"))
+
+
+def coherence_note(types: Column, all_types: list[str]) -> Column:
+    """Note of D2: each kind of linking word that is absent."""
+    return note([(~F.array_contains(types, t), f"{t}: none", f"link with {t}") for t in all_types])
+
+
 def vocabulary_note(mattr: Column, academic: Column, n_informal: Column, n_repeated: Column) -> Column:
-    """What is wrong and how to improve the vocabulary."""
-    wrong = F.concat_ws(" | ", F.when(mattr < 0.45, "High repetition"), F.when(academic < 0.05, "Very low academic vocabulary density"), F.when(n_informal > 0, "Informal words"))
-    advice = F.concat_ws(" | ", F.when(n_repeated > 0, "Replace repeated words with synonyms"), F.when(academic < 0.10, "Add academic terms"), F.when(n_informal > 0, "Use formal language"))
-    return F.struct(F.when(wrong == "", "Vocabulary is acceptable.").otherwise(wrong).alias("what_wrong"), F.when(advice == "", "Maintain current vocabulary level.").otherwise(advice).alias("how_to_improve"))
+    """Note of D3."""
+    return note([(mattr < 0.45, "words come again and again", "vary the words"), (academic < 0.05, "hardly any subject terms", "name things by subject terms"), (n_informal > 0, "colloquial words", "choose written forms"), (n_repeated > 0, "some words five times or more", "use other words for them")])
 
 
-def accuracy_note(ok: Column, accuracy: Column, n_correct: Column, n_incorrect: Column) -> Column:
-    """Note of D1 from an accuracy row: failed, nothing to verify, or the counts."""
+def structure_note(has_intro: Column, has_thesis: Column, n_paragraphs: Column, has_conclusion: Column) -> Column:
+    """Note of D4."""
+    return note([(~has_intro, "no opening", "open with the subject"), (~has_thesis, "no claim", "say early what is argued"), (n_paragraphs < 4, "short body", "give each argument a paragraph"), (~has_conclusion, "no close", "close with a summary")])
+
+
+def accuracy_note(ok: Column, accuracy: Column, n_correct: Column, n_incorrect: Column, error: Column | None = None, claims: Column | None = None) -> Column:
+    """Note of D1 from an accuracy row: the check failed (with its error, where given), was not made (null), found nothing to verify, or the counts;
+    then the texts of wrong claims, where given (array)."""
     counted = F.format_string("%d correct, %d incorrect: %.1f%%", n_correct.cast("int"), n_incorrect.cast("int"), accuracy.cast("double"))
-    return F.when(~F.coalesce(ok, F.lit(False)), "Fact check unavailable.").when(accuracy.isNull(), "No verifiable claims.").otherwise(counted)
+    failed = F.concat_ws(": ", F.lit("check failed"), error) if error is not None else F.lit("check failed")
+    base = F.when(ok.isNull(), "not checked").when(~ok, failed).when(accuracy.isNull(), "nothing to verify").otherwise(counted)
+    return base if claims is None else F.concat_ws(" | ", base, F.array_join(claims, " | "))
 
 
 def long_scores(scored: DataFrame, id_col: str, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
@@ -99,6 +116,12 @@ def recommendations(notes: DataFrame, focus: Column) -> DataFrame:
     return notes.where(F.length("advice") > 0).withColumn("rank", F.row_number().over(order))
 
 
+def review_progress(rows: DataFrame) -> DataFrame:
+    """``(n, n_reviewed, percent)`` of an overlay; 0 percent of nothing."""
+    out = rows.agg(F.count("*").alias("n"), F.count_if("reviewed").alias("n_reviewed"))
+    return out.withColumn("percent", F.coalesce(F.round(F.col("n_reviewed") * 100 / F.nullif("n", F.lit(0))), F.lit(0.0)).cast("int"))
+
+
 def review_overlay(auto: DataFrame, reviews: DataFrame, id_col: str, dimensions: tuple[str, ...]) -> DataFrame:
     """Reviewed scores in place of automatic ones, with ``reviewed``; reviews: id and any of the dimensions."""
     r = reviews.select(F.col(id_col).alias("_id"), *(F.col(d).alias(f"_{d}") for d in dimensions))

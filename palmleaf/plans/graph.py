@@ -144,10 +144,10 @@ def filter_triples(spark, sf):
     return kg.filter_triples(triples(spark, sf), ["Person", "Place"], ["LOCATED_IN", "SUPPLIED"]).select("subject", "relation", "object")
 
 
-HIT = "hit as (select node_id as h from nodes where contains(lower(name), 'asia')), near as (select h from hit union select dst_id from edges where src_id in (select h from hit) union select src_id from edges where dst_id in (select h from hit))"
+HIT = "e as materialized (select src_id, relation, dst_id from edges), hit as materialized (select node_id as h from nodes where contains(lower(name), 'asia')), near as materialized (select h from hit union select dst_id from e join hit on src_id = h union select src_id from e join hit on dst_id = h)"
 
 
-@query(f", {HIT} select src_id, relation, dst_id from edges where src_id in (select h from near) and dst_id in (select h from near)")
+@query(f", {HIT} select src_id, relation, dst_id from e join near a on src_id = a.h join near b on dst_id = b.h")
 def neighbourhood(spark, sf):
     return kg.neighbourhood(*graph(spark, sf), "asia").select("src_id", "relation", "dst_id")
 

@@ -53,9 +53,9 @@ def normalized_claims(spark, sf):
     return normal_claims(spark, sf).select("essay_id", "pos", "claim_type", "verdict", "unverifiable_reason")
 
 
-@query(CLAIMS + f", g as (select e.essay_id, {COUNTS} from (select distinct source as essay_id from documents) e left join claims using (essay_id) group by all) select *, round(n_correct * 100 / nullif(n_correct + n_incorrect, 0)::double, 1) as accuracy, case when n_correct + n_incorrect >= 5 then 'HIGH' when n_correct + n_incorrect >= 1 then 'LOW' else 'INSUFFICIENT_KG' end as confidence from g")
+@query(CLAIMS + f", g as (select e.essay_id, {COUNTS} from (select distinct source as essay_id from documents) e left join claims using (essay_id) group by all) select *, round(n_correct * 100 / nullif(n_correct + n_incorrect, 0)::double, 1) as accuracy, coalesce(round((n_correct + n_incorrect)::double / nullif(n_factual, 0), 4), 0) as coverage, coalesce(round((n_correct + n_incorrect)::double / nullif(n_factual, 0), 4), 0) < 0.3 as low_coverage, case when n_correct + n_incorrect >= 5 then 'HIGH' when n_correct + n_incorrect >= 1 then 'LOW' else 'INSUFFICIENT_KG' end as confidence from g")
 def accuracy_results(spark, sf):
-    return results(spark, sf).drop("n_not_factual", "coverage", "low_coverage")
+    return results(spark, sf).drop("n_not_factual")
 
 
 @query(CLAIMS + f", g as (select essay_id, {COUNTS} from (select distinct source as essay_id from documents) e left join claims using (essay_id) group by all), a as (select essay_id, round(n_correct * 100 / nullif(n_correct + n_incorrect, 0)::double, 1) as x from g) select essay_id, cast(case when x is null then null when x >= 90 then 5 when x >= 75 then 4 when x >= 60 then 3 when x >= 40 then 2 else 1 end as int) as D1 from a")
@@ -83,10 +83,10 @@ def raw_log_concat(spark, sf):
     return claims.concat_in_order(table(spark, sf, "conversations"), "conv_id", "turn", "text")
 
 
-@query(graph.SQL_GRAPH + ", f as (select src_id as essay_id, row_number() over (partition by src_id order by relation, object, period) as seq, count(*) over (partition by src_id) as n, * from named where src_id >= 2000000000000 and src_id < 3000000000000), r as (select *, row_number() over (partition by essay_id order by case when n > 80 then case relation when 'ALSO_KNOWN_AS' then 13 else 14 end else 0 end, seq) as rank from f) select essay_id, max(n) as n_facts, string_agg(rank::varchar || '. ' || subject || ' ' || relation || ' ' || object || case when period != '' then ' (' || period || ')' else '' end, chr(10) order by rank) as text from r where rank <= 80 group by all")
+@query(graph.SQL_GRAPH + ", f as (select src_id as essay_id, row_number() over (partition by src_id order by relation, object, period) as seq, count(*) over (partition by src_id) as n, * from named  ), r as (select *, row_number() over (partition by essay_id order by case when n > 80 then case relation when 'ALSO_KNOWN_AS' then 13 else 14 end else 0 end, seq) as rank from f) select essay_id, max(n) as n_facts, string_agg(rank::varchar || '. ' || subject || ' ' || relation || ' ' || object || case when period != '' then ' (' || period || ')' else '' end, chr(10) order by rank) as text from r where rank <= 80 group by all")
 def format_facts(spark, sf):
     n, e = graph.graph(spark, sf)
-    rows = kg.with_names(e, n).where("src_id >= 2000000000000 and src_id < 3000000000000")
+    rows = kg.with_names(e, n)
     facts = rows.selectExpr("src_id as essay_id", "row_number() over (partition by src_id order by relation, object, period) as seq", "subject", "relation", "object", "period")
     return claims.format_facts(facts)
 
@@ -134,10 +134,10 @@ def parse_props(spark, sf):
     return io.parse_submissions(run_rows(spark, sf).select("run_id", "props"), "k int, tag string", [], "props").select("run_id", F.col("parsed").isNull().alias("bad"))
 
 
-@query()
+@query("select conv_id, turn, 1 as n, coalesce(text, '') as first from conversations")
 def claim_reply_salvage(spark, sf):
     """Conversation texts as a reply cut off in the middle: the complete objects are kept."""
-    text = F.to_json(F.struct(F.col("text").alias("claim_text"), F.lit("FACTUAL").alias("claim_type")))
+    text = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("claim_text"), F.lit("FACTUAL").alias("claim_type")))
     reply = F.concat(F.lit('```json\n{"claims": ['), text, F.lit(', {"claim_text": "cut'))
     rows = table(spark, sf, "conversations").select("conv_id", "turn", reply.alias("reply"))
     return claims.parse_replies(rows, claims.CLAIM, "claims").select("conv_id", "turn", F.size("parsed").alias("n"), F.element_at("parsed", 1)["claim_text"].alias("first"))

@@ -50,6 +50,11 @@ def read_triples_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRIPLE).option("multiLine", "true").option("mode", "PERMISSIVE").json(path).where("subject is not null or object is not null")
 
 
+def read_triples(spark: SparkSession, path: str) -> DataFrame:
+    """Flat triples, one JSON object a line, as write_json leaves them; rows without both ends are left out."""
+    return spark.read.schema(TRIPLE).option("mode", "PERMISSIVE").json(path).where("subject is not null or object is not null")
+
+
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(T.strip_ws(F.col("value")).alias("sentence")).where("sentence != ''")
 

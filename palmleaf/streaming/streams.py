@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palmleaf.functions import text as T
-from palmleaf.operators import features, scoring
+from palmleaf.operators import features, kg, scoring
 
 
 def score_essays(essays: DataFrame, markers: dict[str, list[str]]) -> DataFrame:
@@ -27,6 +27,35 @@ def upsert_stream(triples: DataFrame, save: Callable[[DataFrame, int], None], ch
     return triples.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_into(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+    """A ``save`` for upsert_stream: merges triples (subject, relation, object, period, source, label) into the graph tables under ``path``.
+
+    Each batch writes a new version of nodes and edges in a folder named by its id, over the version before it; a batch that comes again
+    after its version is whole does nothing, and one that was cut off is written anew.
+    """
+
+    def table(version: int, name: str, schema: str) -> DataFrame:
+        if version < 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{path}/v{version}/{name}")
+
+    def whole(version: int) -> bool:
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{version}/edges/_SUCCESS")
+        return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        if whole(batch_id):
+            return
+        nodes = table(batch_id - 1, "nodes", "node_id bigint, name string, label string, aliases array<string>")
+        edges = table(batch_id - 1, "edges", "src_id bigint, relation string, dst_id bigint, period string, source_citation string, confidence double")
+        ends = batch.select(F.explode(F.array("subject", "object")).alias("entity"), "label", F.array().cast("array<string>").alias("aliases"))
+        new_nodes, new_edges, _ = kg.save_extraction(nodes, edges, ends, batch.select("subject", "relation", "object", "period", "source"))
+        new_nodes.write.mode("overwrite").parquet(f"{path}/v{batch_id}/nodes")
+        new_edges.write.mode("overwrite").parquet(f"{path}/v{batch_id}/edges")
+
+    return save
+
+
 def run_stats(runs: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Runs and mean score a window (run_id, ts, score); repeated run_ids within the watermark and later rows are dropped."""
     once = runs.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id"])
