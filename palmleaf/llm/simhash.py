@@ -329,7 +329,11 @@ def fingerprint_links(fps: DataFrame, plan: Plan = EXACT) -> DataFrame:
     dealt = rows.join(large, F.col("bucket") == F.col("b"), "left").select("bucket", "fp", F.explode(pairs).alias("pair"))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.select(F.xxhash64("bucket", "pair").alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key", "fp")  # the first of a component is its least, so links of many buckets are the same
-    return dealt.mapInArrow(lean(_compare_buckets(plan.radius)), "src binary, dst binary")
+    found = dealt.mapInArrow(lean(_compare_buckets(plan.radius)), "src binary, dst binary")
+    # a fingerprint has one link a bucket at most; its others hang on the least of them, and then most are the same
+    near = found.groupBy("src").agg(F.collect_set("dst").alias("others")).withColumn("least", F.array_min("others"))
+    hung = F.concat(F.array("src"), F.array_except("others", F.array("least")))
+    return near.select(F.explode(hung).alias("src"), F.col("least").alias("dst")).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, plan: Plan = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
