@@ -12,10 +12,13 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors: ``spark.checkpoint.dir``; where that is unset (tests, local mode) a new temporary one."""
+    """Folder shared by driver and executors: ``spark.checkpoint.dir``; where that is unset, a new temporary one in local mode, as in tests; on a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-palmleaf-")
