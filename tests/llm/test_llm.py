@@ -168,6 +168,26 @@ def test_neighbours(spark):
     assert neighbours.neighbours_report(df.where("vec_id in (50, 3, 9001)")).count() == 1
 
 
+def test_neighbours_of_small_lists_keep_their_recall(spark):
+    """No clusters, 75 lists: the ratio is measured, so the lists that hold the neighbours are read."""
+    x = np.random.default_rng(4).standard_normal((3000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest_neighbours(df, df.where("vec_id % 10 = 0"), settings=neighbours.Settings(list_size=40)).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = u[::10] @ u.T
+    cos[np.arange(300), np.arange(0, 3000, 10)] = -3
+    true = np.argsort(-cos, axis=1)[:, :5]
+    found = got.groupby("query_id").vec_id.apply(set).to_dict()
+    assert np.mean([len(found[10 * i] & set(t.tolist())) / 5 for i, t in enumerate(true)]) >= 0.93
+
+
+def test_neighbours_of_ties_repeats_and_null_ids(spark):
+    rows = [(0, [1.0, 0.0]), (3, [2.0, 0.0]), (2, [4.0, 0.0]), (2, [4.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 0.0]), (50, [0.0, 3.0]), (0, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, 7, "x", 1.0, 9) for r in rows], "vec_id long, embedding array<float>, list int, trial string, score double, l int")
+    got = {(r.query_id, r.rank): (r.vec_id, round(r.score, 6)) for r in neighbours.neighbours_report(df).collect()}
+    assert got == {(0, 1): (2, 1.0), (0, 2): (3, 1.0), (0, 3): (50, 0.0), (50, 1): (2, 1.0), (50, 2): (0, 0.0), (50, 3): (3, 0.0)}
+
+
 def test_embedding_dedup(spark, monkeypatch):
     df, cos = vectors(spark)
     near = cos >= 0.9
