@@ -24,27 +24,21 @@ from palmleaf.shared import materialize
 
 WINDOW = 1024
 END_ID = 0
-#: Distinct words whose ids a Python worker remembers.
-CACHE = 50_000
+#: Characters of a long text that are encoded at a time, so that lists of ids stay short.
+BLOCK = 1 << 16
 #: Least number of cells by which equal pieces are ranked, and pieces that a cell should hold at most.
 RANK_CELLS, CELL_ROWS = 64, 100_000
 #: A space between two non-spaces always starts a new pre-token, so ids of such parts simply follow each other.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-class Words(dict):
-    """Ids, as bytes, of a part of a text that follows a space."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.encode(" " + part)
-        if len(part) < 40:
-            if len(self) >= CACHE:
-                self.clear()
-            self[part] = ids
-        return ids
+def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
+    """``text`` in blocks of ``size`` characters and as many more as it takes to the next place where it may be cut."""
+    at = 0
+    while len(text) - at > size and (cut := _CUT.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
 def encoder(ranks_path: str, pattern: str, added: dict[str, int]):
@@ -62,11 +56,8 @@ def encoder(ranks_path: str, pattern: str, added: dict[str, int]):
     def raw(text: str) -> bytes:
         return np.array(encode(text), "<u4").tobytes()
 
-    words = Words(raw)
-
     def plain(text: str) -> bytes:
-        first, *rest = _CUT.split(text)
-        return raw(first) + b"".join(map(words.__getitem__, rest))
+        return b"".join(map(raw, blocks(text)))
 
     if not added:
         return plain

@@ -265,6 +265,22 @@ def test_packing(spark, docs):
     assert packing.packing_report(docs.limit(0)).count() == 0
 
 
+def test_blocks_of_a_text():
+    """Blocks of a long text, encoded one by one, give the ids of the whole; nothing is lost where no cut is allowed."""
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    encode = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={}).encode_ordinary
+    rnd = random.Random(9)
+    for size in (1, 3, 7, 50):
+        for _ in range(100):
+            text = "".join(rnd.choice(["a", "It's", " ", "  ", "\n", "\t", "7", "\u00a0", "\x1c", "naïve", "!?"]) for _ in range(rnd.randint(0, 80)))
+            parts = list(packing.blocks(text, size))
+            assert "".join(parts) == text and [i for p in parts for i in encode(p)] == encode(text)
+    assert list(packing.blocks("x" * 99, 10)) == ["x" * 99]
+
+
 def test_best_fit_decreasing():
     rnd = random.Random(3)
     for _ in range(60):
