@@ -7,8 +7,8 @@ states. Lines from one beginning to the next are a turn; a marker goes only wher
 of a turn by the speaker it names.
 
 Long transcripts are decoded in blocks: each block gives the best score from any state before it to any state at its end
-(max-plus products compose), these small tables are combined per transcript, and blocks are then decoded between their
-known ends, so no transcript is gathered whole and the result is that of one pass.
+(max-plus products compose), these small tables are combined, some hundreds at a time and level by level, and blocks are then
+decoded between their known ends, so no transcript is gathered whole and the result is that of one pass.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)
 #: Lines a task decodes together, and lines the model is fitted on, in expectation.
 BLOCK, FIT_LINES = 512, 60_000
+#: Blocks of a transcript, or groups of them, whose ends are agreed on in one task.
+FAN = 1024
 
 # Names that transcripts give their speakers.
 MARKERS = {
@@ -153,6 +155,50 @@ def _blocks(it: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
         yield [held]
 
 
+def _product(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Scores of neighbouring blocks as those of one."""
+    tables = [np.reshape(s, (STATES, STATES)) for s in pdf.sort_values("block")["scores"]]
+    total = tables[0]
+    for t in tables[1:]:
+        total = (total[:, :, None] + t[None]).max(axis=1)
+    return pd.DataFrame({"conv": pdf["conv"].iloc[:1], "block": pdf["above"].iloc[:1], "scores": [total.ravel().tolist()]})
+
+
+def _agree(pdf: pd.DataFrame) -> pd.DataFrame:
+    """States before and at the end of each of neighbouring blocks, between the states enter and leave (-1: any): Viterbi over blocks."""
+    pdf = pdf.sort_values("block")
+    enter, leave = int(pdf["enter"].iloc[0]), int(pdf["leave"].iloc[0])
+    total, back, out = np.where((np.arange(STATES) == enter) | (enter < 0), 0.0, -np.inf), [], []
+    for s in pdf["scores"]:
+        ways = total[:, None] + np.reshape(s, (STATES, STATES))
+        back.append(ways.argmax(axis=0))
+        total = ways.max(axis=0)
+    at = leave if leave >= 0 else int(total.argmax())
+    for b in reversed(back):
+        out.append((int(b[at]), at))
+        at = int(b[at])
+    before, last = zip(*out[::-1])
+    return pd.DataFrame({"conv": pdf["conv"], "block": pdf["block"], "before": before, "last": last})
+
+
+def block_ends(blocks: DataFrame) -> DataFrame:
+    """``(conv, block, before, last)``: states before and at the end of each block on its transcript's best path.
+
+    blocks: (conv, block, scores), a stored table, block gapless from 0 in each conv. FAN blocks at most meet in a task:
+    where a transcript has more, each FAN of them become one block of a shorter table, which is agreed on first. A null conv
+    is a transcript of its own; an empty table gives no rows.
+    """
+    kind = dict(blocks.dtypes)["conv"]
+    ends = f"conv {kind}, block bigint, before int, last int"
+    if (blocks.agg(F.max("block")).first()[0] or 0) < FAN:
+        return blocks.withColumns({"enter": F.lit(-1), "leave": F.lit(-1)}).groupBy("conv").applyInPandas(_agree, ends)
+    blocks = blocks.withColumn("above", F.floor(F.col("block") / F.lit(FAN)).cast("long"))
+    wide = materialize(blocks.groupBy("conv", "above").applyInPandas(_product, f"conv {kind}, block bigint, scores array<double>"), "block-scores")
+    known = block_ends(wide).select(F.col("conv").alias("k_conv"), F.col("block").alias("k_block"), F.col("before").alias("enter"), F.col("last").alias("leave"))
+    joined = blocks.join(known.hint("merge"), F.col("conv").eqNullSafe(F.col("k_conv")) & (F.col("above") == F.col("k_block")))
+    return joined.select("conv", "block", "scores", "above", "enter", "leave").groupBy("conv", "above").applyInPandas(_agree, ends)
+
+
 def recover_roles(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """``(conv, pos, block, role_pred, begins, marker, content)`` from ``(conv, pos, line)``, pos gapless from 0 in each conv.
 
@@ -174,21 +220,6 @@ def recover_roles(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             scores = [block_scores(model, emissions(model, list(g["line"])), g["block"].iloc[0] == 0).ravel().tolist() for g in groups]
             yield pd.DataFrame({"conv": [g["conv"].iloc[0] for g in groups], "block": [g["block"].iloc[0] for g in groups], "scores": scores})
 
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        """States before and at the end of each block of a transcript: Viterbi over blocks."""
-        pdf = pdf.sort_values("block")
-        total, back = None, []
-        for s in pdf["scores"]:
-            ways = np.array(s).reshape(STATES, STATES) if total is None else total[:, None] + np.array(s).reshape(STATES, STATES)
-            back.append(ways.argmax(axis=0))
-            total = ways.max(axis=0)
-        at, out = int(total.argmax()), []
-        for b in reversed(back):
-            out.append((int(b[at]), at))
-            at = int(b[at])
-        before, last = zip(*out[::-1])
-        return pd.DataFrame({"conv": pdf["conv"], "block": pdf["block"], "before": before, "last": last})
-
     def decode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for groups in _blocks(it):
             path: list[int] = []
@@ -208,8 +239,7 @@ def recover_roles(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     several = lines.where(F.col("pos") == BLOCK).select(F.col("conv").alias("c"))
     long_ = lines.join(several.hint("merge"), F.col("conv").eqNullSafe(F.col("c")), "left_semi")
     blocks = together(long_).mapInPandas(lean(score), f"conv {kind}, block bigint, scores array<double>")
-    known = blocks.groupBy("conv").applyInPandas(ends, f"conv {kind}, block bigint, before int, last int")  # one small table for BLOCK lines
-    known = known.select(F.col("conv").alias("k_conv"), F.col("block").alias("k_block"), "before", "last")
+    known = block_ends(materialize(blocks, "block-scores")).select(F.col("conv").alias("k_conv"), F.col("block").alias("k_block"), "before", "last")
     joined = lines.join(known.hint("merge"), F.col("conv").eqNullSafe(F.col("k_conv")) & (F.col("block") == F.col("k_block")), "left")
     joined = joined.select("conv", "pos", "line", "block", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("last", F.lit(-1)).alias("last"))
     return together(joined).mapInPandas(lean(decode), f"conv {kind}, pos bigint, block bigint, role_pred string, begins boolean, marker string, content string")

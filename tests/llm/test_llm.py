@@ -359,6 +359,16 @@ def test_chat(spark, monkeypatch):
     got = found.orderBy("pos").collect()
     assert [(r.role_pred, r.begins) for r in got] == [(chat.ROLES[k % 3], k < 3) for k in one]
     assert all(r.marker + (r.content or "") == x for r, x in zip(got, lines))  # nothing is lost
+    # many short blocks, whose ends are agreed on over three levels; a second transcript has a null id
+    both = df.unionByName(df.where("pos < 40").withColumn("conv", F.lit(None).cast("long")))
+    with monkeypatch.context() as m:
+        m.setattr(chat, "BLOCK", 40)
+        m.setattr(chat, "FAN", 5)
+        leveled = chat.recover_roles(both, model).collect()
+    flat = [(r.role_pred, r.begins) for r in got]
+    assert [(r.role_pred, r.begins) for r in sorted((r for r in leveled if r.conv == 7), key=lambda r: r.pos)] == flat
+    short = chat.viterbi(model, chat.emissions(model, lines[:40]), None, None)
+    assert [(r.role_pred, r.begins) for r in sorted((r for r in leveled if r.conv is None), key=lambda r: r.pos)] == [(chat.ROLES[k % 3], k < 3) for k in short]
     turns = chat.render_turns(found).orderBy("first_pos").toPandas()
     whole = "\n".join(turns.rendered)
     monkeypatch.setattr(chat, "BLOCK", 10_000)
