@@ -105,30 +105,33 @@ def find_mentions(texts: DataFrame, names: list[tuple[str, str]], script: str =
     """``(text_id, canonical, start)``: all non-overlapping mentions of ``names`` (name, canonical) in texts (text_id, text).
 
     Longest names first, then in the order given; a mention begins outside a run of the script and ends outside one or
-    before a known ending; a hit that fails this covers nothing. Works a batch of texts at a time; no text meets another.
+    before a known ending; a hit that fails this covers nothing. One automaton of all names reads a text once, however many
+    names there are; no text meets another.
     """
-    order = sorted(range(len(names)), key=lambda i: (-len(names[i][0]), i))
+    first = {}
+    for rank, (name, canonical) in enumerate(sorted((n for n in names if n[0]), key=lambda n: -len(n[0]))):
+        first.setdefault(name, (rank, len(name), canonical))
     inside = re.compile(f"[{script}]")
 
-    def scan(text: str) -> list[tuple[str, int]]:
+    def scan(found, text: str) -> list[tuple[str, int]]:
         covered, out = bytearray(len(text)), []
-        for i in order:
-            name, canonical = names[i]
-            at = text.find(name) if name else -1
-            while at >= 0:
-                end = at + len(name)
-                clean = not (at and inside.match(text[at - 1])) and not (end < len(text) and inside.match(text[end]) and not text.startswith(continuations, end))
-                if clean and not any(covered[at:end]):
-                    covered[at:end] = b"\1" * (end - at)
-                    out.append((canonical, at))
-                    at = text.find(name, end)
-                else:
-                    at = text.find(name, at + 1)
+        hits = sorted((rank, last + 1 - size, last + 1, canonical) for last, (rank, size, canonical) in found.iter(text))
+        for _, at, end, canonical in hits:
+            clean = not (at and inside.match(text[at - 1])) and not (end < len(text) and inside.match(text[end]) and not text.startswith(continuations, end))
+            if clean and not any(covered[at:end]):
+                covered[at:end] = b"\1" * (end - at)
+                out.append((canonical, at))
         return sorted(out, key=lambda x: x[1])
 
     def run(it):
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for name, value in first.items():
+            found.add_word(name, value)
+        found.make_automaton()
         for pdf in it:
-            rows = [(k, c, s) for k, t in zip(pdf["text_id"], pdf["text"]) if t for c, s in scan(t)]
+            rows = [(k, c, s) for k, t in zip(pdf["text_id"], pdf["text"]) if t and first for c, s in scan(found, t)]
             yield pd.DataFrame(rows, columns=["text_id", "canonical", "start"])
 
     kind = dict(texts.dtypes)["text_id"]
