@@ -1,8 +1,8 @@
-"""The queries of the ten operators over the given tables."""
+"""The queries of the thirteen operators over the given tables."""
 
 from __future__ import annotations
 
-from palmleaf.llm import capfilters, chat, htmltext, langid, mixing, neighbours, packing, sharding, simhash, substring
+from palmleaf.llm import capfilters, chat, htmltext, langid, licenses, mixing, neighbours, packing, repair, sharding, simhash, substring, whitening
 from palmleaf.shared import table
 
 QUERIES = {
@@ -16,5 +16,8 @@ QUERIES = {
     "op8_embedding_dedup": lambda spark, sf: capfilters.near_duplicates(table(spark, sf, "embeddings")),
     "op9_html_text": lambda spark, sf: htmltext.extraction_report(table(spark, sf, "pages")),
     "op10_sharding": lambda spark, sf: sharding.shard_report(table(spark, sf, "documents")),
+    "op11_conversation_repair": lambda spark, sf: repair.repair_report(table(spark, sf, "conversations")),
+    "op12_whitening": lambda spark, sf: whitening.whitening_report(table(spark, sf, "embeddings")),
+    "op13_licenses": lambda spark, sf: licenses.license_report(table(spark, sf, "documents")),
 }
-ORACLE = {"op6_mixing": mixing.mixture_sql()}
+ORACLE = {"op6_mixing": mixing.mixture_sql(), "op11_conversation_repair": repair.repair_sql(), "op13_licenses": licenses.license_sql()}
