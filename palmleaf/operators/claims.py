@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
-from palmleaf.operators.names import canonical_entity, resolve_tiers
+from palmleaf.operators.names import canonical_ends, resolve_tiers
 from palmleaf.shared import materialize
 
 # Relations that come first when facts are many, and limits of grading.
@@ -116,9 +116,7 @@ def extract_relations(tags: DataFrame, replies: DataFrame, surface_forms: DataFr
         raw = raw.join(k.hint("merge"), (F.col("sent_id") == F.col("k_sent")) & (F.col(end) == F.col("k_end")), "left")
         raw = raw.withColumn(end, F.coalesce("k_tag", end)).drop("k_sent", "k_end", "k_tag")
     clean = validate_triples(raw, tags.where(F.col("label") == "DATE_ERA").select("sent_id", "entity"))
-    for end in ("subject", "object"):
-        clean = canonical_entity(clean, surface_forms, aliases, end).withColumn(end, F.col("canonical")).drop("canonical")
-    return clean.distinct()
+    return canonical_ends(clean, surface_forms, aliases).distinct()
 
 
 def collect_triples(sentences: DataFrame, triples: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
 from palmleaf.operators.components import connected_components
-from palmleaf.operators.names import canonical_entity
+from palmleaf.operators.names import canonical_ends, canonical_entity
 from palmleaf.shared import materialize
 
 # Node labels, and the label of each entity class (dates are none).
@@ -68,8 +68,7 @@ def save_extraction(nodes: DataFrame, edges: DataFrame, tags: DataFrame, triples
     if surface_forms is not None and aliases is not None:
         rows = canonical_entity(rows, surface_forms, aliases).where("length(canonical) > 0")
         rows = rows.select(F.col("canonical").alias("name"), "label", F.array_except(F.array_union("aliases", F.array("name")), F.array("canonical")).alias("aliases"))
-        for end in ("subject", "object"):
-            triples = canonical_entity(triples, surface_forms, aliases, end).withColumn(end, F.col("canonical")).drop("canonical")
+        triples = canonical_ends(triples, surface_forms, aliases)
     new = materialize(upsert_nodes(nodes, rows), "nodes")
     return (new, *upsert_edges(edges, new, triples))
 

@@ -37,19 +37,51 @@ def aliases_for(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy("canonical").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "alias"))), lambda x: x["alias"]).alias("alternates"))
 
 
-def normalize_entity(names: DataFrame, surface_forms: DataFrame, name: str = "name", suffixes: tuple[str, ...] = LOOKUP_SUFFIXES) -> DataFrame:
-    """``names`` with ``normal``: looked up as it is, else without the first suffix that leaves a known name, else trimmed.
-
-    Rows of ``names`` are told apart by all their columns, so repeated rows come out once each.
-    """
-    bare = T.strip_ws(F.col(name))
+def _looked_up(rows: DataFrame, surface_forms: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+    """``(name, normal)`` of rows (name, bare), each name once: bare itself among the surface forms, else without the first suffix that leaves one, else bare."""
+    bare = F.col("bare")
     tries = [F.struct(F.lit(0).alias("p"), bare.alias("k"))]
     for i, s in enumerate(suffixes, 1):
         tries.append(F.when(bare.endswith(s), F.struct(F.lit(i).alias("p"), T.strip_ws(bare.substr(F.lit(1), F.length(bare) - F.lit(len(s)))).alias("k"))))
-    numbered = names.withColumn("_row", F.monotonically_increasing_id())
-    hits = numbered.select("_row", F.explode(F.array_compact(F.array(*tries))).alias("t")).select("_row", "t.p", "t.k")
-    hits = hits.join(surface_forms.select(F.col("surface").alias("s"), "canonical").hint("shuffle_hash"), F.col("k") == F.col("s")).groupBy("_row").agg(F.min_by("canonical", F.struct("p", "canonical")).alias("_hit"))
-    return numbered.join(hits, "_row", "left").withColumn("normal", F.coalesce("_hit", bare)).drop("_row", "_hit")
+    each = rows.select("name", "bare", F.explode(F.array_compact(F.array(*tries))).alias("t"))
+    forms = surface_forms.select(F.col("surface").alias("s"), F.col("canonical").alias("c")).where("c is not null")
+    hits = each.join(forms.hint("shuffle_hash"), F.col("t.k") == F.col("s"), "left")
+    best = F.min(F.when(F.col("c").isNotNull(), F.struct(F.col("t.p").alias("p"), "c")))["c"]
+    return hits.groupBy("name").agg(F.coalesce(best, F.first("bare")).alias("normal"))
+
+
+def _different(names: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Each name of the columns once; a name that a third of all rows hold is one row from here on."""
+    out = names.select(F.col(columns[0]).alias("name"))
+    for c in columns[1:]:
+        out = out.unionByName(names.select(F.col(c).alias("name")))
+    return out.where("name is not null").distinct()
+
+
+def normal_forms(names: DataFrame, surface_forms: DataFrame, columns: tuple[str, ...] = ("name",), suffixes: tuple[str, ...] = LOOKUP_SUFFIXES) -> DataFrame:
+    """Dictionary ``(name, normal)`` of all different names of the columns, written once and of known size."""
+    rows = _different(names, columns).withColumn("bare", T.strip_ws(F.col("name")))
+    return materialize(_looked_up(rows, surface_forms, suffixes), "normal-forms")
+
+
+def canonical_forms(names: DataFrame, surface_forms: DataFrame, aliases: DataFrame, columns: tuple[str, ...] = ("name",)) -> DataFrame:
+    """Dictionary ``(name, canonical)``: composed and trimmed, without a case ending, looked up among surface forms, then among aliases."""
+    rows = _different(names, columns).withColumn("bare", T.strip_suffix(T.nfc(F.col("name"))))
+    out = resolve_to_canonical(_looked_up(rows, surface_forms, LOOKUP_SUFFIXES), aliases, "normal")
+    return materialize(out.select("name", "canonical"), "canonical-forms")
+
+
+def with_form(rows: DataFrame, forms: DataFrame, column: str, form: str) -> DataFrame:
+    """``rows`` with the column ``form`` that the dictionary (name, form) has for ``column``; null for null. Rows are found by the name
+    itself, so neither their order nor where they lie matters, and repeated rows stay."""
+    found = forms.select(F.col("name").alias("_name"), F.col(form).alias("_form"))
+    return rows.join(found, F.col(column) == F.col("_name"), "left").withColumn(form, F.col("_form")).drop("_name", "_form")
+
+
+def normalize_entity(names: DataFrame, surface_forms: DataFrame, name: str = "name", suffixes: tuple[str, ...] = LOOKUP_SUFFIXES) -> DataFrame:
+    """``names`` with ``normal``: looked up as it is, else without the first suffix that leaves a known name, else trimmed; a column
+    ``normal`` of before is replaced. Null stays null and repeated rows stay; of several canonical names of a form the least is taken."""
+    return with_form(names, normal_forms(names, surface_forms, (name,), suffixes), name, "normal")
 
 
 def normalize_relation(rows: DataFrame, synonyms: DataFrame, relation: str = "relation", allowed: tuple[str, ...] = ALLOWED_RELATIONS) -> DataFrame:
@@ -65,19 +97,26 @@ def normalize_relation(rows: DataFrame, synonyms: DataFrame, relation: str = "re
 
 def normalize_triples(triples: DataFrame, surface_forms: DataFrame, synonyms: DataFrame, strict: bool = True) -> DataFrame:
     """Triples (subject, relation, object, period) with normal ends and relations; without an end, or (strict) with an unknown relation, they go."""
-    ends = normalize_entity(triples, surface_forms, "subject").withColumn("subject", F.col("normal")).drop("normal")
-    ends = normalize_entity(ends, surface_forms, "object").withColumn("object", F.col("normal")).drop("normal")
+    forms = normal_forms(triples, surface_forms, ("subject", "object"))
+    ends = triples
+    for end in ("subject", "object"):
+        ends = with_form(ends, forms, end, "normal").withColumn(end, F.col("normal")).drop("normal")
     rel = normalize_relation(ends, synonyms) if strict else ends.withColumn("normal_relation", T.sanitize_relation(F.col("relation")))
     rel = rel.withColumn("relation", F.col("normal_relation")).drop("normal_relation")
     return rel.where((F.length("subject") > 0) & (F.length("object") > 0) & F.col("relation").isNotNull()).withColumn("period", F.coalesce("period", F.lit("")))
 
 
 def canonical_entity(names: DataFrame, surface_forms: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
-    """``names`` (name and any other columns but ``canonical``) with ``canonical``: composed and trimmed, without a case ending, looked up among
-    surface forms, then among aliases. Null stays null; repeated rows stay."""
-    rows = names.withColumn("_bare", T.strip_suffix(T.nfc(F.col(name))))
-    rows = normalize_entity(rows, surface_forms, "_bare")
-    return resolve_to_canonical(rows, aliases, "normal").drop("_bare", "normal")
+    """``names`` with ``canonical``, as canonical_forms has it. Null stays null; repeated rows stay."""
+    return with_form(names, canonical_forms(names, surface_forms, aliases, (name,)), name, "canonical")
+
+
+def canonical_ends(triples: DataFrame, surface_forms: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Triples with canonical subjects and objects, from one dictionary of both."""
+    forms = canonical_forms(triples, surface_forms, aliases, ("subject", "object"))
+    for end in ("subject", "object"):
+        triples = with_form(triples, forms, end, "canonical").withColumn(end, F.col("canonical")).drop("canonical")
+    return triples
 
 
 def name_index(sources: DataFrame, excluded: DataFrame | None = None) -> DataFrame:

@@ -129,6 +129,22 @@ def normalized_entities(spark, sf):
     return names.normalize_entity(rows, surface_forms(spark, sf)).select("c_custkey", "normal")
 
 
+JOINED_NAMES = """
+select o_orderkey, case when c_custkey % 2 = 0 and o_orderkey % 3 != 2 then 'C' || c_custkey::varchar
+  when o_orderkey % 3 = 0 then c_name || ' රජු' when o_orderkey % 3 = 1 then c_name || 'ගේ' else c_name || ' xx' end as normal
+from orders join customer on o_custkey = c_custkey"""
+
+
+@query(JOINED_NAMES)
+def joined_entities(spark, sf):
+    """Names of orders' customers, a customer's name once in the dictionary however many orders have it: the rows come out of a shuffle."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    rows = orders.join(customers(spark, sf).hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
+    ending = F.when(F.col("o_orderkey") % 3 == 0, " රජු").when(F.col("o_orderkey") % 3 == 1, "ගේ").otherwise(" xx")
+    rows = rows.withColumn("name", F.concat("c_name", ending))
+    return names.normalize_entity(rows, surface_forms(spark, sf)).select("o_orderkey", "normal")
+
+
 @query("select c_custkey, case when c_custkey % 2 = 0 then 'C' || c_custkey::varchar when c_custkey % 3 = 0 then r_name else c_name end as canonical from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def canonical_entities(spark, sf):
     """Case ending off, then surface forms, then aliases (some customers are named by their nation, an alias of its region)."""
