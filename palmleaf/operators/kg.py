@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
 from palmleaf.operators.components import connected_components
+from palmleaf.operators.pointers import chain_ends
 from palmleaf.operators.names import canonical_ends, canonical_entity
 from palmleaf.shared import materialize
 
@@ -30,17 +31,46 @@ def find_node(names: DataFrame, nodes: DataFrame, name: str = "name") -> DataFra
 def upsert_nodes(nodes: DataFrame, incoming: DataFrame) -> DataFrame:
     """Nodes after (name, label, aliases) came in: known ones gain new aliases, others are added once with the next ids.
 
-    Rows of one name are joined first; the first label by name order wins. Aliases learned in the same batch do not match within it.
+    The result is that of taking the rows one after another: a row goes to the node of its name, else to the one that had its
+    name as an alias first (a node of before, the smallest id first; else the one to which the earliest row brought it), else
+    it makes a node with its label. With a column ``seq`` rows come in its order (rows of one seq together, by name); without it
+    those whose name is nobody's alias come first, then by name. A name that is an alias from an earlier row points to
+    that row's name, which came earlier still, so pointers have no circles; they are followed by doubling. Rows without a name
+    are left out.
     """
-    batch = incoming.groupBy("name").agg(F.min("label").alias("label"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array().cast("array<string>"))))).alias("new"))
-    found = find_node(batch, nodes)
-    gain = found.where("node_id is not null").groupBy("node_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("new")))).alias("new"))
-    old = nodes.join(gain, "node_id", "left").select("node_id", "name", "label", F.array_union("aliases", F.coalesce("new", F.array().cast("array<string>"))).alias("aliases"))
+    none = F.array().cast("array<string>")
+    rows = incoming.where("name is not null").withColumn("aliases", F.coalesce("aliases", none))
+    if "seq" in incoming.columns:
+        rows = rows.select("name", "label", "aliases", F.struct(F.col("seq").cast("long").alias("a"), F.col("name").alias("b")).alias("turn"))
+    else:
+        other = rows.select(F.explode("aliases").alias("alias"), F.col("name").alias("by")).where("alias != by").select("alias").distinct()
+        rows = rows.join(other.hint("merge"), F.col("name") == F.col("alias"), "left")
+        rows = rows.select("name", "label", "aliases", F.struct(F.col("alias").isNotNull().cast("long").alias("a"), F.col("name").alias("b")).alias("turn"))
+    rows = materialize(rows, "incoming-nodes")
+    # a label at the first turn, ties to the least
+    first = rows.groupBy("name").agg(F.min("turn").alias("first"), F.min(F.struct("turn", "label"))["label"].alias("label"))
+    first = materialize(find_node(first, nodes), "first-turns")
+    brought = rows.select(F.explode("aliases").alias("alias"), F.col("name").alias("holder"), "turn")
+    brought = brought.groupBy("alias").agg(F.min(F.struct("turn", "holder")).alias("b"))  # who brings an alias first
+    links = first.where("node_id is null").join(brought.hint("merge"), F.col("name") == F.col("alias")).where(F.col("b.turn") < F.col("first"))
+    ends = chain_ends(links.select(F.col("name").alias("f"), F.col("b.holder").alias("t")))
+    home = first.select(F.col("name").alias("n"), "node_id", "label").join(ends.hint("merge"), F.col("n") == F.col("f"), "left")
+    home = home.select("n", "node_id", "label", F.coalesce("t", "n").alias("root"))
+    of_root = home.select(F.col("n").alias("r"), F.col("node_id").alias("root_id"))
+    home = materialize(home.join(of_root.hint("merge"), F.col("root") == F.col("r")).select("n", "root", "root_id", "label"), "homes")
+    gain = rows.select("name", "turn", F.posexplode("aliases").alias("place", "alias")).join(home.hint("merge"), F.col("name") == F.col("n"))
+    gain = gain.select(F.when(F.col("root_id").isNull(), F.col("root")).alias("g"), F.col("root_id").alias("g_id"), "alias", F.struct("turn", "place").alias("at"))
+    gain = gain.where("alias is not null").groupBy("g", "g_id", "alias").agg(F.min("at").alias("at"))
+    gain = gain.groupBy("g", "g_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "alias"))), lambda x: x["alias"]).alias("new"))
+    gain = materialize(gain, "gained-aliases")
+    old = nodes.join(gain.where("g_id is not null").hint("merge"), F.col("node_id") == F.col("g_id"), "left")
+    old = old.select("node_id", "name", "label", F.array_union(F.coalesce("aliases", none), F.coalesce("new", none)).alias("aliases"))
     top = nodes.agg(F.coalesce(F.max("node_id"), F.lit(-1)).alias("top"))
-    fresh = found.where("node_id is null").crossJoin(F.broadcast(top))  # one row
+    fresh = home.where("n = root and root_id is null").join(gain.where("g_id is null").select("g", "new").hint("merge"), F.col("n") == F.col("g"), "left")
+    fresh = fresh.select(F.col("n").alias("name"), "label", F.coalesce("new", none).alias("aliases")).crossJoin(F.broadcast(top))  # one row
     fresh = materialize(fresh.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "new-nodes")
     sizes = fresh.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("first")).selectExpr("_p as p", "first", "sum(n) over (order by _p) - n as before")
-    fresh = fresh.join(sizes, F.col("_p") == F.col("p")).select((F.col("top") + 1 + F.col("before") + F.col("_i") - F.col("first")).alias("node_id"), "name", "label", F.col("new").alias("aliases"))
+    fresh = fresh.join(sizes, F.col("_p") == F.col("p")).select((F.col("top") + 1 + F.col("before") + F.col("_i") - F.col("first")).alias("node_id"), "name", "label", "aliases")
     return old.unionByName(fresh)
 
 
@@ -105,12 +135,20 @@ def delete_edges(edges: DataFrame, nodes: DataFrame, wanted: DataFrame, by_alias
 
 
 def update_edges(edges: DataFrame, changes: DataFrame) -> DataFrame:
-    """Edges after changes (src_id, relation, dst_id, new_relation, period, source_citation): where the new edge exists already, that one stays."""
-    c = changes.select(*(F.col(x).alias(f"c_{x}") for x in [*EDGE, "new_relation", "period", "source_citation"]))
-    j = edges.join(c, (F.col("src_id") == F.col("c_src_id")) & (F.col("relation") == F.col("c_relation")) & (F.col("dst_id") == F.col("c_dst_id")), "left")
-    hit = F.col("c_src_id").isNotNull()
-    moved = hit & (F.coalesce("c_new_relation", "relation") != F.col("relation"))
-    rows = j.select("src_id", F.when(hit, F.coalesce("c_new_relation", "relation")).otherwise(F.col("relation")).alias("relation"), "dst_id", F.when(hit, F.col("c_period")).otherwise(F.col("period")).alias("period"), F.when(hit, F.col("c_source_citation")).otherwise(F.col("source_citation")).alias("source_citation"), "confidence", moved.cast("int").alias("moved"))
+    """Edges after changes (src_id, relation, dst_id, new_relation, period, source_citation): where the new edge exists already, that one stays.
+
+    A null new_relation, period or source_citation keeps what the edge has. Of several changes of one edge the one with the
+    greatest ``seq`` counts, alone; without that column, or among equal ones, the greatest (new_relation, period,
+    source_citation), nulls being least.
+    """
+    new = F.struct("new_relation", "period", "source_citation")
+    order = F.struct("seq", new) if "seq" in changes.columns else new
+    c = changes.groupBy(*(F.col(x).alias(f"c_{x}") for x in EDGE)).agg(F.max_by(new, order).alias("c"))
+    same = [F.col(x) == F.col(f"c_{x}") for x in EDGE]
+    j = edges.join(c.hint("merge"), same[0] & same[1] & same[2], "left")
+    relation = F.coalesce("c.new_relation", "relation")
+    moved = F.col("c_src_id").isNotNull() & (relation != F.col("relation"))
+    rows = j.select("src_id", relation.alias("relation"), "dst_id", F.coalesce("c.period", "period").alias("period"), F.coalesce("c.source_citation", "source_citation").alias("source_citation"), "confidence", moved.cast("int").alias("moved"))
     best = rows.groupBy(*EDGE).agg(F.min_by(F.struct("period", "source_citation", "confidence"), F.struct("moved", "period", "source_citation")).alias("m"))
     return best.select(*EDGE, "m.*")
 
@@ -122,10 +160,19 @@ def update_labels(nodes: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def merge_nodes(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges after each from_id went into to_id: edges move, self-loops and duplicates go (the target's own edge stays), the old name becomes an alias."""
-    m = merges.select(F.col("from_id").alias("f"), F.col("to_id").alias("t"))
-    gain = m.join(nodes, F.col("f") == F.col("node_id")).groupBy("t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("name"), "aliases"))))).alias("new"))
-    left = nodes.join(m, F.col("node_id") == F.col("f"), "left_anti").join(gain, F.col("node_id") == F.col("t"), "left")
+    """Nodes and edges after each from_id went into to_id: edges move, self-loops and duplicates go (the target's own edge stays), the old name and
+    its aliases become aliases.
+
+    Merges are one after another in effect: of a->b and b->c everything ends in c. Of several targets of a node the smallest
+    counts; merges of a node into itself, and those with an end that is no node, do nothing; a circle is refused.
+    """
+    ids = nodes.select(F.col("node_id").alias("i"))
+    m = merges.where("from_id != to_id").groupBy(F.col("from_id").alias("f")).agg(F.min("to_id").alias("t"))
+    m = m.join(ids.hint("shuffle_hash"), F.col("f") == F.col("i"), "left_semi").join(ids.hint("shuffle_hash"), F.col("t") == F.col("i"), "left_semi")
+    m = chain_ends(m)
+    gain = m.join(nodes, F.col("f") == F.col("node_id")).select("t", F.explode(F.concat(F.array("name"), "aliases")).alias("alias")).where("alias is not null").distinct()
+    gain = materialize(gain.groupBy("t").agg(F.array_sort(F.collect_list("alias")).alias("new")), "merged-names")
+    left = nodes.join(m.select("f"), F.col("node_id") == F.col("f"), "left_anti").join(gain, F.col("node_id") == F.col("t"), "left")
     left = left.select("node_id", "name", "label", F.array_except(F.array_union("aliases", F.coalesce("new", F.array().cast("array<string>"))), F.array("name")).alias("aliases"))
     e = edges.join(m.select(F.col("f").alias("f1"), F.col("t").alias("t1")), F.col("src_id") == F.col("f1"), "left").join(m.select(F.col("f").alias("f2"), F.col("t").alias("t2")), F.col("dst_id") == F.col("f2"), "left")
     moved = F.col("f1").isNotNull() | F.col("f2").isNotNull()

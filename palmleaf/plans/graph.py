@@ -208,10 +208,10 @@ def delete_edges(spark, sf):
     return kg.delete_edges(e, n, gone).select("src_id", "relation", "dst_id")
 
 
-@query("select src_id, case when relation = 'SUPPLIED' then 'BUILT' else relation end as relation, dst_id, case when relation = 'SUPPLIED' then 'now' else period end as period from edges")
+@query("select src_id, case when relation = 'SUPPLIED' then 'BUILT' else relation end as relation, dst_id, case when relation = 'SUPPLIED' and dst_id % 2 = 0 then 'now' else period end as period from edges")
 def update_edges(spark, sf):
     e = edges(spark, sf)
-    change = e.where("relation = 'SUPPLIED'").select("src_id", "relation", "dst_id", F.lit("BUILT").alias("new_relation"), F.lit("now").alias("period"), F.lit("edit").alias("source_citation"))
+    change = e.where("relation = 'SUPPLIED'").select("src_id", "relation", "dst_id", F.lit("BUILT").alias("new_relation"), F.when(F.col("dst_id") % 2 == 0, "now").alias("period"), F.lit("edit").alias("source_citation"))
     return kg.update_edges(e, change).select("src_id", "relation", "dst_id", "period")
 
 
@@ -222,6 +222,41 @@ def merge_nodes(spark, sf):
     return kg.merge_nodes(n, e, m)[1].groupBy("relation").agg(F.count("*").alias("n"))
 
 
+CHAINS = f""", homes as (
+  select {2 * STEP} + s.s_suppkey as f, {2 * STEP} + min(e.s_suppkey) as t from supplier s join supplier e
+  on e.s_suppkey >= s.s_suppkey and e.s_suppkey < s.s_suppkey + 4 and (e.s_suppkey % 4 = 3 or e.s_suppkey + 1 not in (select s_suppkey from supplier))
+  group by s.s_suppkey),
+moved as (
+  select coalesce(a.t, src_id) as s, relation, coalesce(b.t, dst_id) as d, period,
+    case when coalesce(a.t, src_id) != src_id or coalesce(b.t, dst_id) != dst_id then 1 else 0 end as m
+  from edges left join homes a on a.f = src_id left join homes b on b.f = dst_id)
+select s as src_id, relation, d as dst_id, first(period order by m, period) as period from moved where m = 0 or s != d group by s, relation, d"""
+
+
+@query(CHAINS)
+def merged_chains(spark, sf):
+    """Suppliers in chains of four, each merged into the next: all edges end at the last of a chain."""
+    n, e = graph(spark, sf)
+    supplier = table(spark, sf, "supplier").select("s_suppkey")
+    after = supplier.select((F.col("s_suppkey") - 1).alias("before"))
+    links = supplier.where("s_suppkey % 4 != 3").join(after, F.col("s_suppkey") == F.col("before"))
+    m = links.select((F.lit(2 * STEP) + F.col("s_suppkey")).alias("from_id"), (F.lit(2 * STEP + 1) + F.col("s_suppkey")).alias("to_id"))
+    return kg.merge_nodes(n, e, m)[1].select("src_id", "relation", "dst_id", "period")
+
+
+@query(f" select case when node_id < {5 * STEP} then node_id end as node_id, name, label, n_aliases from (select node_id, name, label, 1 + case when label = 'Place' and node_id < {STEP} then 2 else 0 end as n_aliases from nodes union all select {5 * STEP}, 'new of ' || r_name, 'Battle', 2 from region)")
+def upserted_batch(spark, sf):
+    """A batch that speaks of its own names: of each region a new node with an alias, then a row of that alias, and aliases for the region itself, once by its name and once by its alias."""
+    n, region = nodes(spark, sf), table(spark, sf, "region")
+    row = lambda seq, name, label, *aliases: F.struct(F.lit(seq).alias("seq"), name.alias("name"), F.lit(label).alias("label"), F.array(*aliases).cast("array<string>").alias("aliases"))
+    name = F.col("r_name")
+    word = lambda w: F.concat(F.lit(w), name)
+    rows = [row(1, word("new of "), "Battle", word("other ")), row(2, word("other "), "Monk", word("third ")), row(3, name, "King", word("once ")), row(4, F.lower(name), "King", word("again "), word("once "))]
+    batch = region.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    out = kg.upsert_nodes(n, batch)
+    return out.select(F.when(~F.startswith("name", F.lit("new of ")), F.col("node_id")).alias("node_id"), "name", "label", F.size("aliases").cast("long").alias("n_aliases"))
+
+
 @query(f"select relation, count(*) as n from edges where src_id < {3 * STEP} or src_id >= {4 * STEP} group by all")
 def delete_nodes(spark, sf):
     n, e = graph(spark, sf)
