@@ -6,14 +6,11 @@ Lookup tables are joined as given; Spark broadcasts them where their size is kno
 
 from __future__ import annotations
 
-import re
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
+from palmleaf.operators import mentions
 from palmleaf.operators.components import connected_components
 from palmleaf.shared import materialize
 
@@ -140,70 +137,9 @@ def alias_clusters(edges: DataFrame, canonical: DataFrame | None = None) -> Data
     return comp.join(best, "component").select("name", "representative")
 
 
-def find_mentions(texts: DataFrame, names: list[tuple[str, str]], script: str = "඀-෿", continuations: tuple[str, ...] = CONTINUATIONS) -> DataFrame:
-    """``(text_id, canonical, start)``: all non-overlapping mentions of ``names`` (name, canonical) in texts (text_id, text).
-
-    Longest names first, then in the order given; a mention begins outside a run of the script and ends outside one or
-    before a known ending; a hit that fails this covers nothing. One automaton of all names reads a text once, however many
-    names there are; no text meets another.
-    """
-    first = {}
-    for rank, (name, canonical) in enumerate(sorted((n for n in names if n[0]), key=lambda n: -len(n[0]))):
-        first.setdefault(name, (rank, len(name), canonical))
-    inside = re.compile(f"[{script}]")
-
-    def scan(found, text: str) -> list[tuple[str, int]]:
-        covered, out = bytearray(len(text)), []
-        hits = sorted((rank, last + 1 - size, last + 1, canonical) for last, (rank, size, canonical) in found.iter(text))
-        for _, at, end, canonical in hits:
-            clean = not (at and inside.match(text[at - 1])) and not (end < len(text) and inside.match(text[end]) and not text.startswith(continuations, end))
-            if clean and not any(covered[at:end]):
-                covered[at:end] = b"\1" * (end - at)
-                out.append((canonical, at))
-        return sorted(out, key=lambda x: x[1])
-
-    def run(it):
-        import ahocorasick
-
-        found = ahocorasick.Automaton()
-        for name, value in first.items():
-            found.add_word(name, value)
-        found.make_automaton()
-        for pdf in it:
-            rows = [(k, c, s) for k, t in zip(pdf["text_id"], pdf["text"]) if t and first for c, s in scan(found, t)]
-            yield pd.DataFrame(rows, columns=["text_id", "canonical", "start"])
-
-    kind = dict(texts.dtypes)["text_id"]
-    return texts.select("text_id", "text").mapInPandas(run, f"text_id {kind}, canonical string, start int")
-
-
-def find_mentions_fuzzy(texts: DataFrame, names: list[tuple[str, str]], exact: DataFrame, ratio: float = 0.85, script: str = T.SINHALA) -> DataFrame:
-    """``(text_id, token, canonical, ratio)`` for texts without exact mentions: each token's best name by matching-block ratio, the first of equal ones.
-
-    Only names whose length can reach the ratio are compared.
-    """
-    rest = texts.join(exact.select("text_id").distinct().hint("merge"), "text_id", "left_anti")
-    each = materialize(rest.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({script})"), F.lit(1)))).alias("token")), "tokens")
-
-    def best(token: str) -> tuple[str | None, float]:
-        found, top = None, 0.0
-        for name, canonical in names:
-            if 2 * min(len(name), len(token)) / max(1, len(name) + len(token)) < ratio:
-                continue
-            r = SequenceMatcher(None, token, name).ratio()
-            if r >= ratio and r > top:
-                found, top = canonical, r
-        return found, top
-
-    def run(it):
-        for pdf in it:
-            got = [best(t) for t in pdf["t"]]
-            out = pd.DataFrame({"t": pdf["t"], "canonical": [g[0] for g in got], "ratio": [g[1] for g in got]})
-            yield out[out["canonical"].notna()]
-
-    # each different token of all texts is compared once
-    found = each.select(F.col("token").alias("t")).distinct().mapInPandas(run, "t string, canonical string, ratio double")
-    return each.join(materialize(found, "alike").hint("merge"), F.col("token") == F.col("t")).drop("t")
+def find_mentions(texts: DataFrame, names: DataFrame, script: str = "඀-෿", continuations: tuple[str, ...] = CONTINUATIONS) -> DataFrame:
+    """``mentions.find_mentions`` with the endings that may follow a name."""
+    return mentions.find_mentions(texts, names, script, continuations)
 
 
 def resolve_tiers(candidates: DataFrame, tags: DataFrame, suffixes: tuple[str, ...] = T.CASE_SUFFIXES, markers: tuple[str, ...] = RELATIONAL_MARKERS) -> DataFrame:
@@ -227,10 +163,10 @@ def resolve_tiers(candidates: DataFrame, tags: DataFrame, suffixes: tuple[str, .
     return candidates.join(best, ["sent_id", "candidate"], "left")
 
 
-def essay_subject(mentions: DataFrame, facts: DataFrame) -> DataFrame:
-    """``(essay_id, subject, others)`` from mentions (essay_id, name, at): names by how often they come, then where first; the first
+def essay_subject(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """``(essay_id, subject, others)`` from found (essay_id, name, at): names by how often they come, then where first; the first
     that has facts (facts.name) is the subject, else the first. others: all names by first place."""
-    ranked = mentions.groupBy("essay_id", "name").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    ranked = found.groupBy("essay_id", "name").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     ranked = ranked.join(facts.select(F.col("name").alias("f")).distinct().hint("merge"), F.col("name") == F.col("f"), "left")
     order = F.struct(F.when(F.col("f").isNotNull(), 0).otherwise(1), -F.col("n"), "first", "name")
     names = F.transform(F.array_sort(F.collect_list(F.struct("first", (-F.col("n")).alias("m"), "name"))), lambda x: x["name"])

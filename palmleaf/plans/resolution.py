@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
-from palmleaf.operators import features, kg, names
+from palmleaf.operators import features, kg, mentions, names
 from palmleaf.plans import essays, graph
 from palmleaf.shared import table
 
@@ -189,7 +189,8 @@ RUNS = "with runs as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|
 def mentions_exact(spark, sf):
     """Whole words of a short list in the documents."""
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    return names.find_mentions(texts, [(w, w.upper()) for w in essays.INFORMAL], "A-Za-z", ())
+    listed = spark.createDataFrame([(i, w, w.upper()) for i, w in enumerate(essays.INFORMAL)], "seq int, name string, canonical string")
+    return names.find_mentions(texts, listed, "A-Za-z", ())
 
 
 @query(RUNS + ", r as (select text_id as essay_id, canonical as name, count(*) as n, min(start) as first from m group by all) select essay_id, first(name order by case when name in ('THE', 'LA') then 0 else 1 end, n desc, first, name) as subject, string_agg(name, ',' order by first, n desc, name) as others from r group by all")
@@ -203,7 +204,35 @@ def essay_subjects(spark, sf):
 def mentions_fuzzy(spark, sf):
     """Tokens alike to a name, of texts without exact mentions; with ratio 1 only equal ones are."""
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    return names.find_mentions_fuzzy(texts, [("que", "XQZ")], mentions_exact(spark, sf).where("canonical = 'DIE'"), 1.0, "[A-Za-z]+")
+    listed = spark.createDataFrame([("que", "XQZ")], "name string, canonical string")
+    out = mentions.find_mentions_fuzzy(texts, listed, mentions_exact(spark, sf).where("canonical = 'DIE'"), 1.0, "[A-Za-z]+")
+    return out.select("text_id", "token", "canonical", "ratio").distinct()
+
+
+def benchmark_names(spark, sf) -> DataFrame:
+    """Different words of five letters and more of the benchmark texts as names, in alphabetical order."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{5,})"), F.lit(1))).alias("name"))
+    return words.distinct().select("name", F.upper("name").alias("canonical"), F.lit(0).alias("seq"))
+
+
+@query("""
+with known as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) as w from benchmark),
+runs as (
+  select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+')) as w,
+    generate_subscripts(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+'), 1) as k from documents),
+placed as (select doc_id, w, sum(length(w)) over (partition by doc_id order by k) - length(w) as start from runs)
+select doc_id as text_id, upper(w) as canonical, cast(start as int) as start from placed where w in (select w from known)""")
+def mentions_of_many(spark, sf):
+    """Whole words of the documents that are among all words of the benchmark."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return mentions.find_mentions(texts, benchmark_names(spark, sf), "A-Za-z", ())
+
+
+@query()
+def mentions_misspelt(spark, sf):
+    """Words at a ratio of 0.85 to a word of the benchmark, in documents that hold none exactly; tests hold the operator against all pairs."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return mentions.find_mentions_fuzzy(texts, benchmark_names(spark, sf), mentions_of_many(spark, sf), 0.85, "[A-Za-z]+")
 
 
 @query("select n_nationkey as sent_id, unnest([n_name, n_name || 'ගේ', left(n_name, 3), 'x විසින් ' || n_name, 'zzz']) as candidate, unnest([n_name, n_name, n_name, n_name, null]) as entity, unnest([1, 2, 3, 5, null]) as tier from nation where length(n_name) > 3")
