@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
 from palmleaf.operators.components import connected_components
+from palmleaf.operators.paths import shortest_paths
 from palmleaf.operators.pointers import chain_ends
 from palmleaf.operators.names import canonical_ends, canonical_entity
-from palmleaf.shared import materialize
+from palmleaf.shared import materialize, numbered
 
 # Node labels, and the label of each entity class (dates are none).
 NODE_LABELS = ("King", "Monk", "Person", "Place", "Monument", "Dynasty", "Battle", "Chronicle", "Relic", "Era", "Technology", "Animal")
@@ -222,7 +223,7 @@ def also_known_as(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def node_detail(nodes: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Nodes with sorted lists of outgoing and incoming facts: for the few nodes that are looked at (``names``: all nodes, for the other ends).
 
-    A hub's facts become one row; whoever wants all facts of all nodes takes with_names.
+    A hub's facts become one row; for hubs, and for all nodes, there is node_facts, page by page.
     """
     own = nodes.select(F.col("node_id").alias("own"))
     touched = edges.join(own.hint("shuffle_hash"), (F.col("src_id") == F.col("own")), "left_semi").unionByName(edges.join(own.hint("shuffle_hash"), (F.col("dst_id") == F.col("own")), "left_semi")).distinct() if names is not None else edges
@@ -232,6 +233,26 @@ def node_detail(nodes: DataFrame, edges: DataFrame, names: DataFrame | None = No
     return nodes.join(out, "node_id", "left").join(into, "node_id", "left")
 
 
+def node_facts(nodes: DataFrame, edges: DataFrame, asked: DataFrame, page: int = 1, rows: int = 20) -> DataFrame:
+    """``(node_id, place, direction, relation, name, period)``: one page of the facts of each asked node (node_id), places counted from 1.
+
+    Outgoing facts come first, then by relation, other name and period; a self-loop comes in both directions. Facts are dealt by
+    ranges of this order, so a hub lies in many tasks, and numbered from the sizes of the ranges: no node's facts become one row or one
+    group. Repeated edges are repeated facts, asked nodes without facts give no row.
+    """
+    wanted = asked.select(F.col("node_id").alias("own")).where("own is not null").distinct()
+    name = nodes.select(F.col("node_id").alias("other"), "name")
+    out = edges.select(F.col("src_id").alias("node_id"), F.lit("out").alias("direction"), "relation", F.col("dst_id").alias("far"), "period")
+    into = edges.select(F.col("dst_id").alias("node_id"), F.lit("in").alias("direction"), "relation", F.col("src_id").alias("far"), "period")
+    facts = out.unionByName(into).join(wanted, F.col("node_id") == F.col("own"), "left_semi")
+    facts = facts.join(name, F.col("far") == F.col("other")).select("node_id", "direction", "relation", "name", "period")
+    order = [F.col("node_id"), F.col("direction").desc(), F.col("relation"), F.col("name"), F.col("period")]
+    placed = numbered(facts, order)
+    first = placed.groupBy(F.col("node_id").alias("n")).agg(F.min("g").alias("first"))
+    placed = placed.join(first, F.col("node_id") == F.col("n")).withColumn("place", F.col("g") - F.col("first") + 1).drop("n", "g", "first")
+    return placed.where(F.col("place").between((page - 1) * rows + 1, page * rows)).select("node_id", "place", "direction", "relation", "name", "period")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame, loops_twice: bool = False) -> DataFrame:
     """``(node_id, name, degree)``; isolated nodes have 0; a self-loop counts once, or twice as in a multigraph."""
     ends = edges.select(F.col("src_id").alias("n")).unionByName(edges.where("true" if loops_twice else "src_id != dst_id").select(F.col("dst_id").alias("n")))
@@ -328,16 +349,6 @@ def facts_for_entities(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, a: int, b: int, most: int = 5) -> DataFrame:
-    """``(hops, path)``: a shortest undirected path of up to ``most`` edges between two nodes; of equal ones the smallest; no row without one."""
-    both = materialize(edges.select(F.col("src_id").alias("s"), F.col("dst_id").alias("d")).unionByName(edges.select(F.col("dst_id").alias("s"), F.col("src_id").alias("d"))).where("s != d").distinct(), "ways")
-    spark = edges.sparkSession
-    front = spark.range(1).select(F.lit(a).cast("long").alias("node"), F.array(F.lit(a).cast("long")).alias("path"))
-    seen = front.select("node")
-    for hop in range(most + 1):
-        hit = front.where(F.col("node") == b).select(F.lit(hop).alias("hops"), "path")
-        if hop == most or not hit.isEmpty():
-            return hit
-        new = front.join(both, F.col("node") == F.col("s")).select(F.col("d").alias("node"), F.concat("path", F.array("d")).alias("path")).join(seen, "node", "left_anti")
-        front = materialize(new.groupBy("node").agg(F.min("path").alias("path")), "front")
-        seen = materialize(seen.unionByName(front.select("node")), "seen")
-    return front.limit(0).select(F.lit(0).alias("hops"), "path")
+    """``(hops, path)`` of one pair, as shortest_paths; no row without a path."""
+    pair = edges.sparkSession.createDataFrame([(a, b)], "a long, b long")
+    return shortest_paths(edges, pair, most).select("hops", "path")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palmleaf.operators import kg, names
+from palmleaf.operators import kg, names, paths
 from palmleaf.shared import table
 
 QUERIES: dict = {}
@@ -183,6 +183,36 @@ def shortest_path(spark, sf):
     return kg.shortest_path(edges(spark, sf), STEP + a, STEP + b).select("hops")
 
 
+PAIRS = f"""
+, c as (select {3 * STEP} + c_custkey as a, {STEP} + c_nationkey as n, n_regionkey as r from customer join nation on c_nationkey = n_nationkey),
+s as (select {2 * STEP} + s_suppkey as b, {STEP} + s_nationkey as n, n_regionkey as r, s_suppkey from supplier join nation on s_nationkey = n_nationkey),
+p as (select c.*, s.b, s.n as sn, s.r as sr from c join s on (c.a % (select count(*) from supplier)) = s.s_suppkey % (select count(*) from supplier))
+select a, b, case when n = sn then 2 else 4 end as hops, case when n = sn then a || ',' || n || ',' || b else a || ',' || n || ',' || r || ',' || sn || ',' || b end as path
+from p where n = sn or r = sr"""
+
+
+@query(PAIRS)
+def shortest_paths(spark, sf):
+    """From each customer to a supplier, through nations and regions: two edges, four, or no path."""
+    n = table(spark, sf, "supplier").count()
+    c = table(spark, sf, "customer").select((F.lit(3 * STEP) + F.col("c_custkey")).alias("a"))
+    s = table(spark, sf, "supplier").select((F.lit(2 * STEP) + F.col("s_suppkey")).alias("b"), (F.col("s_suppkey") % n).alias("k"))
+    pairs = c.join(s, F.col("a") % n == F.col("k")).select("a", "b")
+    out = paths.shortest_paths(edges(spark, sf).where("relation = 'LOCATED_IN'"), pairs)
+    return out.select("a", "b", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
+@query(f""", facts as (
+  select src_id as node_id, 'out' as direction, relation, object as name, period from named
+  union all select dst_id, 'in', relation, subject, period from named),
+placed as (select *, row_number() over (partition by node_id order by direction desc, relation, name, period) as place from facts)
+select node_id, place, direction, relation, name, period from placed where place between 21 and 40""")
+def node_pages(spark, sf):
+    """The second page of the facts of every node: nations hold all their customers, parts all their orders."""
+    n, e = graph(spark, sf)
+    return kg.node_facts(n, e, n, 2)
+
+
 @query("select node_id, name, label, case when label = 'Person' then 2 else 1 end as n_aliases from nodes union all select null, 'brand new ' || r_name, 'Place', 1 from region")
 def upsert_nodes(spark, sf):
     n = nodes(spark, sf)
