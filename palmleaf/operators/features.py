@@ -22,10 +22,51 @@ def gate(essays: DataFrame, least_chars: int = 30, least_words: int = 10, script
     return essays.withColumn("reason", reason)
 
 
+def word_places(words: Column) -> Column:
+    """Array of (w, i): the words of an array with their places, by word, then place; what follows is made of it within a row, without a shuffle."""
+    return F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+
+def run_starts(places: Column) -> Column:
+    """Where in the column of word_places each different word begins, and at last its size."""
+    starts = F.filter(F.transform(places, lambda x, k: F.when((k == 0) | (F.get(places, k - 1)["w"] != x["w"]), k)), lambda k: k.isNotNull())
+    return F.array_append(starts, F.size(places))
+
+
+def word_runs(places: Column, starts: Column) -> Column:
+    """Array of (token, n, first), each different word once, from the columns of word_places and run_starts: columns, for an expression would be made again for each word."""
+    run = lambda k, j: F.when(j < F.size(starts) - 1, F.struct(F.get(places, k)["w"].alias("token"), (F.get(starts, j + 1) - k).cast("long").alias("n"), F.get(places, k)["i"].alias("first")))
+    return F.array_compact(F.transform(starts, run))
+
+
+def moving_types(places: Column, window: int = WINDOW) -> Column:
+    """Struct (distinct_sum, window_words) from the column of word_places: distinct words of all windows of ``window`` words, and the words in them.
+
+    A word counts as distinct once in each window that holds it, there by its first place, so at place i with the same word last at
+    place p it counts in the windows that begin after p and hold i.
+    """
+    n = F.size(places)
+
+    def windows(x: Column, k: Column) -> Column:
+        before = F.when((k > 0) & (F.get(places, k - 1)["w"] == x["w"]), F.get(places, k - 1)["i"]).otherwise(-1)
+        first = F.greatest(before + 1, x["i"] - (window - 1), F.lit(0))
+        return F.greatest(F.least(x["i"], F.greatest(n - window, F.lit(0))) - first + 1, F.lit(0)).cast("long")
+
+    total = F.aggregate(F.transform(places, windows), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.struct(total.alias("distinct_sum"), F.when(n < window, n.cast("long")).otherwise((n - window + 1).cast("long") * window).alias("window_words"))
+
+
+def _with_places(essays: DataFrame, script: str, *columns: str) -> DataFrame:
+    return essays.select("essay_id", *columns, word_places(T.tokens(F.coalesce("text", F.lit("")), script)).alias("places"))
+
+
 def token_counts(essays: DataFrame, script: str = T.LETTERS) -> DataFrame:
-    """``(essay_id, token, n, first)``: occurrences and first place of each token of each essay."""
-    rows = essays.select("essay_id", F.posexplode(T.tokens(F.col("text"), script)).alias("pos", "token"))
-    return rows.groupBy("essay_id", "token").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    """``(essay_id, token, n, first)``: occurrences and first place of each token of each essay; texts of one id are taken together."""
+    rows = _with_places(essays, script).withColumn("starts", run_starts(F.col("places")))
+    rows = rows.select("essay_id", word_runs(F.col("places"), F.col("starts")).alias("runs"))
+    # outer, for a plain explode gets a filter on the size of its array, which is made again for that below all columns here
+    rows = rows.select("essay_id", F.explode_outer("runs").alias("r")).where("r is not null")
+    return rows.groupBy("essay_id", "r.token").agg(F.sum("r.n").alias("n"), F.min("r.first").alias("first"))
 
 
 def lexical(essays: DataFrame, counts: DataFrame, vocabulary: DataFrame, informal: list[str]) -> DataFrame:
@@ -46,22 +87,9 @@ def repeated_words(counts: DataFrame, times: int = 5) -> DataFrame:
 
 
 def mattr(essays: DataFrame, window: int = WINDOW, script: str = T.LETTERS) -> DataFrame:
-    """``(essay_id, distinct_sum, window_words)``: distinct words of all windows of ``window`` words, and the words in them; their ratio
-    is the moving type-token ratio. Texts shorter than a window give their plain type-token ratio.
-
-    One pass: a word counts as distinct once in each window that holds it, there by its first place, so at place i with the same
-    word last at place p it counts in the windows that begin after p and hold i. Repeated ids count as one text.
-    """
-    words = T.tokens(F.coalesce("text", F.lit("")), script)
-    rows = essays.select("essay_id", words.alias("words")).select("essay_id", F.size("words").alias("n"), "words")  # n before the rows are made, not for each of them
-    rows = rows.select("essay_id", "n", F.posexplode("words").alias("pos", "token"))
-    rows = rows.withColumn("before", F.coalesce(F.lag("pos").over(Window.partitionBy("essay_id", "token").orderBy("pos")), F.lit(-1)))
-    first = F.greatest(F.col("before") + 1, F.col("pos") - (window - 1), F.lit(0))
-    last = F.least(F.col("pos"), F.greatest(F.col("n") - window, F.lit(0)))
-    sums = rows.groupBy("essay_id").agg(F.sum(F.greatest(last - first + 1, F.lit(0))).cast("long").alias("distinct_sum"), F.max("n").alias("n"))
-    sums = sums.select(F.col("essay_id").alias("_id"), "distinct_sum", F.when(F.col("n") < window, F.col("n").cast("long")).otherwise((F.col("n") - window + 1).cast("long") * window).alias("window_words"))
-    out = essays.select("essay_id").join(sums.hint("shuffle_hash"), F.col("essay_id").eqNullSafe(F.col("_id")), "left")
-    return out.select("essay_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("distinct_sum", "window_words")))
+    """``(essay_id, distinct_sum, window_words)``; their ratio is the moving type-token ratio. Texts shorter than a window give their plain
+    type-token ratio. One row a row of essays."""
+    return _with_places(essays, script).select("essay_id", moving_types(F.col("places"), window).alias("m")).select("essay_id", "m.*")
 
 
 def discourse(text: Column, markers: dict[str, list[str]]) -> Column:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palmleaf.functions import text as T
+from palmleaf.operators import features
+from palmleaf.shared import materialize
+
 # Weights and thresholds of the dimension scores.
 VOCABULARY = {"mattr": 0.35, "academic": 0.40, "repetition": 0.25, "mattr_full": 0.70, "academic_full": 0.15, "informal_most": 0.30}
 STRUCTURE = {"intro": 0.25, "thesis": 0.25, "body": 0.30, "conclusion": 0.20}
@@ -39,6 +43,45 @@ def structure_score(n_paragraphs: Column, has_intro: Column, has_thesis: Column,
     return _to_five(w["intro"] * has_intro.cast("int") + w["thesis"] * has_thesis.cast("int") + w["body"] * body + w["conclusion"] * has_conclusion.cast("int"))
 
 
+def ratio(a: str, b: str) -> Column:
+    """a / b, 0 over nothing."""
+    return F.coalesce(F.col(a) / F.nullif(b, F.lit(0)), F.lit(0.0))
+
+
+def score_texts(essays: DataFrame, vocabulary: DataFrame, informal: list[str], markers: dict[str, list[str]], signals: tuple[list[str], list[str], list[str]], separator: str = r"\n\s*\n", script: str = T.LETTERS) -> DataFrame:
+    """``(essay_id, n_tokens, D2, D3, D4)`` of every essay (ids are unique; a null text is empty); vocabulary has the column token.
+
+    A text is split once; moving ratios and word counts are made within its row. Its different words meet the vocabulary, which is
+    written first, so that Spark sends it to all tasks only where it is small; then one grouping puts an essay together.
+    """
+    known = materialize(vocabulary.select(F.col("token").alias("v")).distinct(), "vocabulary")
+    text = F.coalesce("text", F.lit(""))
+    own = F.struct(
+        coherence_score(F.size(features.discourse(F.lower(text), markers))).alias("D2"), features.structure(text, *signals, separator).alias("s"), features.moving_types(F.col("places")).alias("m"),
+    )
+    rows = essays.select("essay_id", "text", features.word_places(T.tokens(text, script)).alias("places"))
+    rows = rows.select("essay_id", own.alias("own"), "places", features.run_starts(F.col("places")).alias("starts"))
+    rows = rows.select("essay_id", "own", features.word_runs(F.col("places"), F.col("starts")).alias("runs"))  # made once a text, before there is a row for each word
+    each = rows.select("essay_id", "own", F.explode_outer("runs").alias("r")).select("essay_id", "own", "r.token", "r.n")
+    marked = each.join(known, F.col("token") == F.col("v"), "left")
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    out = marked.groupBy("essay_id").agg(
+        F.first("own").alias("own"), n(F.col("token").isNotNull()).alias("n_tokens"), F.count("token").alias("n_types"), F.count_if((F.length("token") >= 3) & (F.col("n") >= 5)).alias("n_repeated"),
+        n(F.col("v").isNotNull()).alias("n_academic"), n(F.col("token").isin(*informal)).alias("n_informal"),
+    ).select("*", "own.m.*", "own.s.*")
+    d3 = vocabulary_score(ratio("distinct_sum", "window_words"), ratio("n_academic", "n_tokens"), ratio("n_repeated", "n_types"), ratio("n_informal", "n_tokens"))
+    d4 = structure_score(F.col("n_paragraphs"), F.col("has_intro"), F.col("has_thesis"), F.col("has_conclusion"))
+    return out.select("essay_id", "n_tokens", F.col("own.D2").alias("D2"), d3.alias("D3"), d4.alias("D4"))
+
+
+def batch_auto_score(essays: DataFrame, vocabulary: DataFrame, informal: list[str], markers: dict[str, list[str]], signals: tuple[list[str], list[str], list[str]], separator: str = r"\n\s*\n", script: str = T.LETTERS) -> DataFrame:
+    """``(essay_id, reason, n_tokens, D2, D3, D4)``, every essay once: scores of those that can be scored, the reason of the others."""
+    gated = features.gate(essays, script=script).select(F.col("essay_id").alias("_id"), "reason")
+    scored = score_texts(essays, vocabulary, informal, markers, signals, separator, script)
+    out = gated.join(scored.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("essay_id")))
+    return out.select("essay_id", "reason", "n_tokens", *(F.when(F.col("reason").isNull(), F.col(d)).alias(d) for d in ("D2", "D3", "D4")))
+
+
 def missing(parts: dict[str, Column]) -> Column:
     """Names of the parts that are false."""
     return F.array_compact(F.array(*(F.when(~c, F.lit(n)) for n, c in parts.items())))

@@ -65,24 +65,18 @@ d4 as (select *, cast(greatest(1, least(5, round_even(4 * ({S['intro']}::double
 CTE_ALL = f"{CTE_D3}, {CTE_D2}, {CTE_D4}, sc as (select essay_id, D2, D3, D4 from d3 join d2 using (essay_id) join d4 using (essay_id))"
 
 
-def ratio(a: str, b: str):
-    return F.coalesce(F.col(a) / F.nullif(b, F.lit(0)), F.lit(0.0))
-
-
 def lexical(spark: SparkSession, sf: str) -> DataFrame:
     e = essays(spark, sf)
     return features.lexical(e, features.token_counts(e), features.academic_vocabulary(paragraph_table(spark, sf)), INFORMAL)
 
 
+SIGNALS = (INTRO, THESIS, CONCLUSION)
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """``(essay_id, D2, D3, D4)`` of every document."""
-    e = essays(spark, sf)
-    j = lexical(spark, sf).join(features.mattr(e), "essay_id")
-    d3 = j.select("essay_id", scoring.vocabulary_score(ratio("distinct_sum", "window_words"), ratio("n_academic", "n_tokens"), ratio("n_repeated", "n_types"), ratio("n_informal", "n_tokens")).alias("D3"))
-    st = features.structure(F.col("text"), INTRO, THESIS, CONCLUSION, NEWLINE)
-    rest = e.select("essay_id", scoring.coherence_score(F.size(features.discourse(F.lower("text"), MARKERS))).alias("D2"), st.alias("s"))
-    rest = rest.select("essay_id", "D2", scoring.structure_score(F.col("s.n_paragraphs"), F.col("s.has_intro"), F.col("s.has_thesis"), F.col("s.has_conclusion")).alias("D4"))
-    return d3.join(rest, "essay_id").select("essay_id", "D2", "D3", "D4")
+    out = scoring.score_texts(essays(spark, sf), features.academic_vocabulary(paragraph_table(spark, sf)), INFORMAL, MARKERS, SIGNALS, NEWLINE)
+    return out.select("essay_id", "D2", "D3", "D4")
 
 
 @query(f"with {CTE_D3} select lang, D3 as score, count(*) as n from d3 join documents on doc_id = essay_id group by all")

@@ -242,9 +242,8 @@ def dimension_notes(spark, sf):
 @query(f"with {essays.CTE_ALL}, b as (select doc_id as essay_id, {essays.STRIP(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} as t from documents), g as (select essay_id, case when length(t) = 0 then 'blank' when length(t) < 30 then 'too short' when len(regexp_extract_all(lower(t), '[\\p{{L}}]+')) = 0 then 'no script tokens' when len(string_split_regex(t, '\\s+')) < 10 then 'too few words' end as reason from b) select essay_id, reason, case when reason is null then D2 end as D2, case when reason is null then D3 end as D3, case when reason is null then D4 end as D4 from g join sc using (essay_id)")
 def batch_scores(spark, sf):
     """Every essay once: scores of those that can be scored, the reason of the others."""
-    gated = features.gate(essays.essays(spark, sf)).select("essay_id", "reason")
-    scored = essays.scored(spark, sf).hint("shuffle_hash")
-    return gated.join(scored, "essay_id").select("essay_id", "reason", *(F.when(F.col("reason").isNull(), F.col(d)).alias(d) for d in ("D2", "D3", "D4")))
+    e = essays.essays(spark, sf)
+    return scoring.batch_auto_score(e, features.academic_vocabulary(essays.paragraph_table(spark, sf)), essays.INFORMAL, essays.MARKERS, essays.SIGNALS, essays.NEWLINE).drop("n_tokens")
 
 
 @query("select doc_id, case when toxic is null then 'not checked' when toxic = 1 then 'check failed: no answer | claim 1' when quality = 0 then 'nothing to verify | claim 1' else '3 correct, 1 incorrect: 75.0% | claim 1' end as note from labels")
