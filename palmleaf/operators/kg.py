@@ -29,7 +29,7 @@ def find_node(names: DataFrame, nodes: DataFrame, name: str = "name") -> DataFra
     return names.join(best.hint("shuffle_hash"), F.col(name) == F.col("k"), "left").drop("k")
 
 
-def upsert_nodes(nodes: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_nodes(nodes: DataFrame, incoming: DataFrame, next_id: int | None = None) -> DataFrame:
     """Nodes after (name, label, aliases) came in: known ones gain new aliases, others are added once with the next ids.
 
     The result is that of taking the rows one after another: a row goes to the node of its name, else to the one that had its
@@ -37,7 +37,7 @@ def upsert_nodes(nodes: DataFrame, incoming: DataFrame) -> DataFrame:
     it makes a node with its label. With a column ``seq`` rows come in its order (rows of one seq together, by name); without it
     those whose name is nobody's alias come first, then by name. A name that is an alias from an earlier row points to
     that row's name, which came earlier still, so pointers have no circles; they are followed by doubling. Rows without a name
-    are left out.
+    are left out. ``next_id``: the first new id, where ``nodes`` are only those that the rows can touch.
     """
     none = F.array().cast("array<string>")
     rows = incoming.where("name is not null").withColumn("aliases", F.coalesce("aliases", none))
@@ -66,7 +66,7 @@ def upsert_nodes(nodes: DataFrame, incoming: DataFrame) -> DataFrame:
     gain = materialize(gain, "gained-aliases")
     old = nodes.join(gain.where("g_id is not null").hint("merge"), F.col("node_id") == F.col("g_id"), "left")
     old = old.select("node_id", "name", "label", F.array_union(F.coalesce("aliases", none), F.coalesce("new", none)).alias("aliases"))
-    top = nodes.agg(F.coalesce(F.max("node_id"), F.lit(-1)).alias("top"))
+    top = nodes.agg((F.coalesce(F.max("node_id"), F.lit(-1)) if next_id is None else F.lit(next_id - 1)).alias("top"))
     fresh = home.where("n = root and root_id is null").join(gain.where("g_id is null").select("g", "new").hint("merge"), F.col("n") == F.col("g"), "left")
     fresh = fresh.select(F.col("n").alias("name"), "label", F.coalesce("new", none).alias("aliases")).crossJoin(F.broadcast(top))  # one row
     fresh = materialize(fresh.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "new-nodes")

@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from palmleaf.functions import text as T
-from palmleaf.operators import features, kg, scoring
 
+def score_stream(essays: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Essays (essay_id, text) of a stream scored as scoring.batch_auto_score scores a batch, whatever the size of its vocabulary.
 
-def score_essays(essays: DataFrame, markers: dict[str, list[str]]) -> DataFrame:
-    """Stream of (essay_id, text) with token count and coherence score; no state."""
-    found = features.discourse(F.lower("text"), markers)
-    return essays.select("essay_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"), scoring.coherence_score(F.size(found)).alias("D2"))
+    ``score`` makes the result of a micro-batch; it lies in its own folder ``batch=<id>`` under ``path``, so that one that comes again
+    replaces itself. An essay's scores need no other essay, so batches give the rows that one batch of all would.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return essays.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_essays(spark: SparkSession, path: str) -> DataFrame:
@@ -23,40 +27,18 @@ def read_essays(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert_stream(triples: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Micro-batches of triples go to ``save(batch, batch_id)``, which makes a repeated batch id do nothing."""
+    """Micro-batches of triples go to ``save(batch, batch_id)``, such as GraphStore.save(), which makes a repeated batch id do nothing."""
     return triples.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merge_into(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """A ``save`` for upsert_stream: merges triples (subject, relation, object, period, source, label) into the graph tables under ``path``.
-
-    Each batch writes a new version of nodes and edges in a folder named by its id, over the version before it; a batch that comes again
-    after its version is whole does nothing, and one that was cut off is written anew.
-    """
-
-    def table(version: int, name: str, schema: str) -> DataFrame:
-        if version < 0:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(f"{path}/v{version}/{name}")
-
-    def whole(version: int) -> bool:
-        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{version}/edges/_SUCCESS")
-        return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        if whole(batch_id):
-            return
-        nodes = table(batch_id - 1, "nodes", "node_id bigint, name string, label string, aliases array<string>")
-        edges = table(batch_id - 1, "edges", "src_id bigint, relation string, dst_id bigint, period string, source_citation string, confidence double")
-        ends = batch.select(F.explode(F.array("subject", "object")).alias("entity"), "label", F.array().cast("array<string>").alias("aliases"))
-        new_nodes, new_edges, _ = kg.save_extraction(nodes, edges, ends, batch.select("subject", "relation", "object", "period", "source"))
-        new_nodes.write.mode("overwrite").parquet(f"{path}/v{batch_id}/nodes")
-        new_edges.write.mode("overwrite").parquet(f"{path}/v{batch_id}/edges")
-
-    return save
-
-
 def run_stats(runs: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Runs and mean score a window (run_id, ts, score); repeated run_ids within the watermark and later rows are dropped."""
+    """Runs, mean and total score a window (run_id, ts, score); repeated run_ids within the watermark and later rows are dropped."""
     once = runs.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id"])
-    return once.groupBy(F.window("ts", window).alias("w")).agg(F.count("*").alias("n_runs"), F.avg("score").alias("mean")).select("w.start", "w.end", "n_runs", "mean")
+    return once.groupBy(F.window("ts", window).alias("w")).agg(F.count("*").alias("n_runs"), F.avg("score").alias("mean"), F.sum("score").alias("total")).select("w.start", "w.end", "n_runs", "mean", "total")
+
+
+def run_to_end(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """A stream run over all that is there now, into Parquet under ``path``, and read back."""
+    query = rows.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
