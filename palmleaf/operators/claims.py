@@ -9,11 +9,12 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
-from palmleaf.operators.names import canonical_ends, resolve_tiers
+from palmleaf.operators import kg, mentions
+from palmleaf.operators.names import CONTINUATIONS, SINHALA_CLASS, canonical_ends, essay_subject, normal_forms, resolve_tiers, with_form
 from palmleaf.shared import materialize
 
 # Relations that come first when facts are many, and limits of grading.
@@ -102,7 +103,7 @@ def validate_triples(triples: DataFrame, dates: DataFrame) -> DataFrame:
 def extract_relations(tags: DataFrame, replies: DataFrame, surface_forms: DataFrame, aliases: DataFrame) -> DataFrame:
     """``(sent_id, subject, relation, object, period)`` from tags (sent_id, entity, label) and replies (sent_id, reply).
 
-    Replies of sentences that pass the gate are parsed; ends that stand for a tag of their sentence become it, others stay as they are;
+    Replies of sentences that pass the gate are parsed; ends that stand for a tag of their sentence, also by its normal form, become it, others stay as they are;
     then ends are made canonical, dates and bad relations go. Each triple of a sentence comes once.
     """
     open_ = replies.join(extraction_gate(tags).select("sent_id").hint("merge"), "sent_id", "left_semi")
@@ -110,6 +111,9 @@ def extract_relations(tags: DataFrame, replies: DataFrame, surface_forms: DataFr
     raw = materialize(raw.where("subject is not null and object is not null"), "raw-triples")
     ends = raw.select("sent_id", F.col("subject").alias("candidate")).unionByName(raw.select("sent_id", F.col("object").alias("candidate"))).distinct()
     named = tags.where(F.col("label") != "DATE_ERA").select("sent_id", "entity")
+    both = ends.select(F.col("candidate").alias("name")).unionByName(named.select(F.col("entity").alias("name")))
+    forms = normal_forms(both, surface_forms)
+    ends, named = with_form(ends, forms, "candidate", "normal"), with_form(named, forms, "entity", "normal")
     known = materialize(resolve_tiers(ends, named).select("sent_id", "candidate", "entity"), "ends")
     for end in ("subject", "object"):
         k = known.select(F.col("sent_id").alias("k_sent"), F.col("candidate").alias("k_end"), F.col("entity").alias("k_tag"))
@@ -126,6 +130,70 @@ def collect_triples(sentences: DataFrame, triples: DataFrame) -> DataFrame:
     return j.select("sent_id", F.col("text").alias("source"), "subject", "relation", "object", "period")
 
 
+def essay_mentions(essays: DataFrame, tags: DataFrame, names: DataFrame, script: str = SINHALA_CLASS, continuations: tuple[str, ...] = CONTINUATIONS, one_unit: bool = False) -> DataFrame:
+    """``(essay_id, name, at)``: every mention of a name (name, canonical) in the person tags of an essay's first five sentences and in its text.
+
+    tags: (essay_id, sent_no from 0 among the claim sentences, entity, label). Texts without an exact mention are searched for misspelt
+    ones. ``at`` of a tag is its sentence's number and of a text its place in characters; with ``one_unit`` a tag's place is that of
+    its entity in the text, by the places at which its sentence and the entity in it first come. Different entities are searched once.
+    """
+    tagged = tags.where(F.col("label").isin("PERSON_KING", "PERSON_MONK") & (F.col("sent_no") < 5)).select("essay_id", "sent_no", "entity")
+    tagged = materialize(tagged, "person-tags")
+
+    def search(texts: DataFrame) -> DataFrame:
+        exact = materialize(mentions.find_mentions(texts, names, script, continuations), "mentions")
+        fuzzy = mentions.find_mentions_fuzzy(texts, names, exact, script=f"[{script}]+")
+        return exact.unionByName(fuzzy.select("text_id", "canonical", "start"))
+
+    of_tags = search(tagged.select(F.col("entity").alias("text_id"), F.col("entity").alias("text")).where("text is not null").distinct())
+    hits = tagged.join(materialize(of_tags, "tag-mentions").hint("merge"), F.col("entity") == F.col("text_id"))
+    at = F.col("sent_no").cast("int")
+    if one_unit:
+        parts = essays.select(F.col("essay_id").alias("e"), "text", T.claim_sentences(F.col("text")).alias("sentences"))
+        hits = hits.join(parts.hint("merge"), F.col("essay_id") == F.col("e"))
+        sentence = F.get("sentences", F.col("sent_no"))
+        at = begins_in(sentence, F.col("text")) + begins_in(F.col("entity"), sentence)
+    of_texts = search(essays.select(F.col("essay_id").alias("text_id"), "text"))
+    return hits.select("essay_id", F.col("canonical").alias("name"), at.alias("at")).unionByName(of_texts.select(F.col("text_id").alias("essay_id"), F.col("canonical").alias("name"), F.col("start").alias("at")))
+
+
+def begins_in(inner: Column, outer: Column) -> Column:
+    """Place from 0 at which ``inner`` first stands in ``outer``; 0 where it does not, or either is null."""
+    return F.coalesce(F.greatest(F.instr(outer, inner) - 1, F.lit(0)), F.lit(0))
+
+
+def facts_of_entities(entities: DataFrame, nodes: DataFrame, edges: DataFrame, aliases: DataFrame, static: DataFrame | None = None, hops: int = 10) -> DataFrame:
+    """``(entity, subject, relation, object, period)``: facts that touch any node of the entity's name, its aliases (canonical, alias) or what up to
+    ``hops`` alias edges join to these; static facts (subject, relation, object, period) of its names where the graph has none."""
+    entities = entities.select("entity").where("entity is not null").distinct()
+    other = aliases.select(F.col("canonical").alias("c"), "alias").where("alias is not null")
+    seeds = entities.select("entity", F.col("entity").alias("name")).unionByName(entities.join(other, F.col("entity") == F.col("c")).select("entity", F.col("alias").alias("name")))
+    seeds = materialize(seeds.distinct(), "seeds")
+    starts = materialize(kg.find_node(seeds, nodes).where("node_id is not null").select("entity", F.col("node_id").alias("start")).distinct(), "starts")
+    links = edges.where(F.col("relation") == kg.ALIAS).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
+    cluster = kg.name_cluster(starts.select("start").distinct(), links, hops)
+    own = materialize(starts.join(cluster.hint("merge"), "start").select("entity", "node").distinct(), "clusters")
+    touched = edges.join(own.hint("merge"), F.col("src_id") == F.col("node")).unionByName(edges.join(own.hint("merge"), F.col("dst_id") == F.col("node")))
+    touched = touched.select("entity", "src_id", "relation", "dst_id", "period").distinct()
+    facts = materialize(kg.with_names(touched, nodes).select("entity", "subject", "relation", "object", "period"), "facts")
+    if static is None:
+        return facts
+    kept = static.select("subject", "relation", "object", "period")
+    of_names = kept.join(seeds.hint("merge"), F.col("subject") == F.col("name")).unionByName(kept.join(seeds.hint("merge"), F.col("object") == F.col("name")))
+    return materialize(facts_with_fallback(facts, of_names.select("entity", "subject", "relation", "object", "period").distinct()), "facts")
+
+
+def assess_essays(essays: DataFrame, tags: DataFrame, names: DataFrame, nodes: DataFrame, edges: DataFrame, aliases: DataFrame, replies: DataFrame, static: DataFrame | None = None, script: str = SINHALA_CLASS, continuations: tuple[str, ...] = CONTINUATIONS, one_unit: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Subjects, requests, claims and accuracy of all essays (essay_id, text), from tags, names, the graph and replies alone.
+
+    Mentions, facts of their name clusters with the static ones behind them, the subject of each essay, then check_essays.
+    """
+    found = materialize(essay_mentions(essays, tags, names, script, continuations, one_unit), "essay-mentions")
+    facts = facts_of_entities(found.select(F.col("name").alias("entity")), nodes, edges, aliases, static)
+    subjects = materialize(essay_subject(found, facts.select(F.col("entity").alias("name"))), "subjects")
+    return (subjects, *check_essays(essays, subjects, facts, replies))
+
+
 def check_essays(essays: DataFrame, subjects: DataFrame, facts: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Requests, claims and accuracy rows of all essays (essay_id, text) at once.
 

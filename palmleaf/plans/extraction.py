@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palmleaf.operators import claims, features, kg, runs, scoring
 from palmleaf.plans import essays, graph, history, resolution
-from palmleaf.shared import scratch_dir, table
+from palmleaf.shared import materialize, scratch_dir, table
 from palmleaf.sources import io
 
 QUERIES: dict = {}
@@ -131,6 +131,35 @@ def grading_requests(spark, sf):
     return checked(spark, sf)[0]
 
 
+ASSESSED = graph.SQL_GRAPH + f""",
+pairs as (select c_custkey, c_name, s_name, s_suppkey from customer join supplier on c_custkey % (select count(*) from supplier) = s_suppkey % (select count(*) from supplier)),
+touching as (select node, count(*) as n from (select src_id as node from edges union all select dst_id from edges) group by node)
+select c_custkey as essay_id, s_name as subject, s_name || ',' || c_name as others, least(80, a.n + coalesce(b.n, 0))::bigint as n_facts,
+  3::bigint as n_claims, 1::bigint as n_correct, 2::bigint as n_unverifiable, 100.0::double as accuracy, 0.3333::double as coverage, false as low_coverage, 'LOW' as confidence
+from pairs join touching a on a.node = {2 * graph.STEP} + s_suppkey left join touching b on b.node = {3 * graph.STEP} + c_custkey"""
+
+
+@query(ASSESSED)
+def assessed_essays(spark, sf):
+    """An essay a customer, on a supplier that its first sentence names and a tag marks: from essays, tags, names, graph and replies to accuracy."""
+    n_suppliers = table(spark, sf, "supplier").count()
+    s = table(spark, sf, "supplier").select((F.col("s_suppkey") % n_suppliers).alias("k"), "s_name")
+    c = table(spark, sf, "customer").join(s, F.col("c_custkey") % n_suppliers == F.col("k")).select(F.col("c_custkey").alias("essay_id"), "c_name", "s_name")
+    e = c.select("essay_id", F.concat(F.lit("Notes on "), "s_name", F.lit(". "), "s_name", F.lit(" sold to "), "c_name", F.lit(". The end.")).alias("text"))
+    tags = c.select("essay_id", F.explode(F.array(F.struct(F.lit(0).alias("sent_no"), F.col("s_name").alias("entity"), F.lit("PERSON_KING").alias("label")), F.struct(F.lit(0).alias("sent_no"), F.col("c_name").alias("entity"), F.lit("LOCATION").alias("label")))).alias("t")).select("essay_id", "t.*")
+    people = table(spark, sf, "supplier").select(F.col("s_name").alias("name")).unionByName(table(spark, sf, "customer").select(F.col("c_name").alias("name")))
+    people = people.withColumn("canonical", F.col("name"))
+    claim = F.array(F.struct(F.lit("first").alias("claim_text"), F.lit("FACTUAL").alias("claim_type"), F.lit("CORRECT").alias("verdict")))
+    replies = e.select("essay_id", F.lit(1).alias("batch_no"), F.to_json(F.struct(claim.alias("claims"))).alias("reply"))
+    n, edges = graph.graph(spark, sf)
+    edges = materialize(edges, "edges")  # read many times
+    none = table(spark, sf, "region").limit(0).select(F.col("r_name").alias("canonical"), F.col("r_name").alias("alias"))
+    subjects, requests, _, accuracy = claims.assess_essays(e, tags, people, n, edges, none, replies, script="A-Za-z0-9#", continuations=())
+    facts = requests.select("essay_id", F.size(F.regexp_extract_all("request", F.lit(r"(?m)^(\d+\. \S+ [A-Z_]+ )"), F.lit(1))).cast("long").alias("n_facts"))
+    out = subjects.select("essay_id", "subject", F.array_join("others", ",").alias("others")).join(facts, "essay_id").join(accuracy, "essay_id")
+    return out.select("essay_id", "subject", "others", "n_facts", "n_claims", "n_correct", "n_unverifiable", "accuracy", "coverage", "low_coverage", "confidence")
+
+
 @query(f"with {BATCHES} select essay_id, batch_no, i - 1 as pos, part[i] as claim_text from (select essay_id, batch_no, part, unnest(range(2, len(part) + 1)) as i from b)")
 def padded_claims(spark, sf):
     """Each batch has a claim for its first sentence; the others are padded."""

@@ -235,11 +235,18 @@ def mentions_misspelt(spark, sf):
     return mentions.find_mentions_fuzzy(texts, benchmark_names(spark, sf), mentions_of_many(spark, sf), 0.85, "[A-Za-z]+")
 
 
-@query("select n_nationkey as sent_id, unnest([n_name, n_name || 'ගේ', left(n_name, 3), 'x විසින් ' || n_name, 'zzz']) as candidate, unnest([n_name, n_name, n_name, n_name, null]) as entity, unnest([1, 2, 3, 5, null]) as tier from nation where length(n_name) > 3")
+@query("""
+select n_nationkey as sent_id, unnest([n_name, n_name || 'ගේ', left(n_name, 3), 'the same ' || n_nationkey, 'x විසින් ' || n_name, 'zzz']) as candidate,
+  unnest([n_name, n_name, n_name, n_name, n_name, null]) as entity, unnest([1, 2, 3, 4, 5, null]) as tier
+from nation where length(n_name) > 3""")
 def resolved_tags(spark, sf):
     n = table(spark, sf, "nation").where("length(n_name) > 3")
-    forms = F.array(F.col("n_name"), F.concat("n_name", F.lit("ගේ")), F.left("n_name", F.lit(3)), F.concat(F.lit("x විසින් "), "n_name"), F.lit("zzz"))
-    return names.resolve_tiers(n.select(F.col("n_nationkey").alias("sent_id"), F.explode(forms).alias("candidate")), n.select(F.col("n_nationkey").alias("sent_id"), F.col("n_name").alias("entity")))
+    forms = F.array(F.col("n_name"), F.concat("n_name", F.lit("ගේ")), F.left("n_name", F.lit(3)), F.concat(F.lit("the same "), F.col("n_nationkey").cast("string")), F.concat(F.lit("x විසින් "), "n_name"), F.lit("zzz"))
+    candidates = n.select(F.col("n_nationkey").alias("sent_id"), F.explode(forms).alias("candidate"))
+    surface = n.select(F.concat(F.lit("the same "), F.col("n_nationkey").cast("string")).alias("surface"), F.col("n_name").alias("canonical"))
+    candidates = names.with_form(candidates, names.normal_forms(candidates, surface, ("candidate",)), "candidate", "normal")
+    tags = n.select(F.col("n_nationkey").alias("sent_id"), F.col("n_name").alias("entity"), F.col("n_name").alias("normal"))
+    return names.resolve_tiers(candidates, tags).drop("normal")
 
 
 @query(graph.SQL_GRAPH + "select name, label from nodes")
