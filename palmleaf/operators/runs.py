@@ -96,8 +96,15 @@ def export_payload(scored: DataFrame, id_col: str, body: Column, names: dict[str
     return scored.select(T.slug(F.col(id_col).cast("string")).alias("slug"), F.date_format("ts", "yyyyMMdd_HHmmss").alias("version"), F.to_date("ts").alias("run_date"), F.to_json(F.struct(*parts)).alias("payload"))
 
 
-def export_summary(scored: DataFrame, id_col: str, dimensions: tuple[str, ...]) -> DataFrame:
-    """``(id, summary)``: a readable text block an essay: its id, a line a dimension (a dash for none), total and weakest."""
-    lines = [F.concat(F.lit(f"{d}: "), F.coalesce(F.col(d).cast("string"), F.lit("-"))) for d in dimensions]
+def export_summary(scored: DataFrame, id_col: str, dimensions: tuple[str, ...], notes: dict[str, Column] | None = None) -> DataFrame:
+    """``(id, summary)``: a readable text block an essay: its id, a line a dimension (a dash for none), total and weakest; behind a dimension's
+    line those of its note (struct of strings, such as scoring's notes have), indented, where there are any."""
+    lines = []
+    for d in dimensions:
+        lines.append(F.concat(F.lit(f"{d}: "), F.coalesce(F.col(d).cast("string"), F.lit("-"))))
+        if notes and d in notes:
+            part = lambda f: F.nullif(F.coalesce(notes[d][f], F.lit("")), F.lit(""))
+            lines += [F.concat(F.lit(f"  {label}: "), part(f)) for f, label in (("what_wrong", "wrong"), ("how_to_improve", "better"))]
     d = {k: F.col(k) for k in dimensions}
-    return scored.select(F.col(id_col).alias("id"), F.concat_ws("\n", F.concat(F.lit("essay "), F.col(id_col).cast("string")), *lines, F.concat(F.lit("total: "), scoring.total(d).cast("string")), F.concat(F.lit("weakest: "), scoring.weakest(d))).alias("summary"))
+    tail = [F.concat(F.lit("total: "), scoring.total(d).cast("string")), F.concat(F.lit("weakest: "), scoring.weakest(d))]
+    return scored.select(F.col(id_col).alias("id"), F.concat_ws("\n", F.concat(F.lit("essay "), F.col(id_col).cast("string")), *lines, *tail).alias("summary"))

@@ -166,10 +166,11 @@ def review_progress(rows: DataFrame) -> DataFrame:
 
 
 def review_overlay(auto: DataFrame, reviews: DataFrame, id_col: str, dimensions: tuple[str, ...]) -> DataFrame:
-    """Reviewed scores in place of automatic ones, with ``reviewed``; reviews: id and any of the dimensions."""
-    r = reviews.select(F.col(id_col).alias("_id"), *(F.col(d).alias(f"_{d}") for d in dimensions))
+    """Reviewed scores in place of automatic ones, with ``reviewed``; reviews: id and any of the dimensions, and annotator where given, which is kept then."""
+    more = ["annotator"] if "annotator" in reviews.columns else []
+    r = reviews.select(F.col(id_col).alias("_id"), *(F.col(d).alias(f"_{d}") for d in [*dimensions, *more]))
     out = auto.join(r, F.col(id_col) == F.col("_id"), "left")
-    return out.select(id_col, *(F.coalesce(f"_{d}", d).alias(d) for d in dimensions), F.col("_id").isNotNull().alias("reviewed"))
+    return out.select(id_col, *(F.coalesce(f"_{d}", d).alias(d) for d in dimensions), F.col("_id").isNotNull().alias("reviewed"), *(F.col(f"_{c}").alias(c) for c in more))
 
 
 def weighted_kappa(pairs: DataFrame, a: str = "a", b: str = "b", levels: int = 5) -> DataFrame:

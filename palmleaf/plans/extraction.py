@@ -230,6 +230,92 @@ def export_summaries(spark, sf):
     return runs.export_summary(combined(spark, sf), "doc_id", ("D1", "D2"))
 
 
+NOTED = """
+select doc_id as id, 'essay ' || doc_id || chr(10) || 'D2: ' || coalesce((quality * 2 + 1)::varchar, '-')
+  || case when quality = 0 then chr(10) || '  wrong: cause: none' || chr(10) || '  better: link with cause' else '' end
+  || chr(10) || 'D4: ' || coalesce((5 - toxic)::varchar, '-') || chr(10) || '  wrong: no close' || chr(10) || '  better: close with a summary'
+  || chr(10) || 'total: ' || (coalesce(quality * 2 + 1, 0) + coalesce(5 - toxic, 0))
+  || chr(10) || 'weakest: ' || case when quality is null and toxic is not null or quality * 2 + 1 > 5 - toxic then 'D4' else 'D2' end as summary
+from labels"""
+
+
+@query(NOTED)
+def noted_summaries(spark, sf):
+    """Export texts with the notes of two dimensions."""
+    rows = table(spark, sf, "labels").withColumns({"D2": (F.col("quality") * 2 + 1).cast("int"), "D4": (5 - F.col("toxic")).cast("int")})
+    found = F.when(F.coalesce(F.col("quality") == 0, F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit("cause")))
+    yes = F.lit(True)
+    notes = {"D2": scoring.coherence_note(found, ["cause"]), "D4": scoring.structure_note(yes, yes, F.lit(5), F.lit(False))}
+    return runs.export_summary(rows, "doc_id", ("D2", "D4"), notes)
+
+
+@query("select doc_id as essay_id, coalesce(quality + 1, 3)::int as D2, l.doc_id is not null as reviewed, case when l.doc_id is not null then 'reader ' || (l.doc_id % 3) end as annotator from documents d left join labels l using (doc_id)")
+def annotated_reviews(spark, sf):
+    """Reviews with who made them."""
+    auto = table(spark, sf, "documents").select(F.col("doc_id").alias("essay_id"), F.lit(3).alias("D2"))
+    reviews = table(spark, sf, "labels").select(F.col("doc_id").alias("essay_id"), (F.col("quality") + 1).cast("int").alias("D2"), F.concat(F.lit("reader "), (F.col("doc_id") % 3).cast("string")).alias("annotator"))
+    return scoring.review_overlay(auto, reviews, "essay_id", ("D2",))
+
+
+def file_each(rows: DataFrame, key: str, path: str) -> str:
+    """Column ``value`` as texts, a file for each key."""
+    rows.select(key, "value").repartition(key).write.partitionBy(key).text(path)
+    return path
+
+
+@query("""
+select 'Of ' || s_name || ' it is said that much was sold' as sentence, 0 as para, 0 as pos from supplier
+union all select 'The supplier number ' || s_suppkey || ' is still there today', 0, 1 from supplier
+union all select 'A second paragraph about ' || s_name || ' that is as long as the first', 1, 0 from supplier""")
+def corpus_sentences(spark, sf):
+    """A text file a supplier, of two paragraphs and a short one."""
+    name = F.col("s_name")
+    text = F.concat(F.lit("Of "), name, F.lit(" it is said that much was sold. Short. The supplier number "), F.col("s_suppkey").cast("string"), F.lit(" is still there today!\n\ntoo short\n\nA second paragraph about "), name, F.lit(" that is as long as the first."))
+    path = file_each(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), text.alias("value")), "k", fresh(spark, "corpus"))
+    return io.read_corpus(spark, path).select("sentence", "para", "pos")
+
+
+@query("""
+select case when c_custkey % 2 = 0 then c_name else 'essay_' || lpad(row_number() over (partition by c_nationkey order by c_custkey)::varchar, 3, '0') end as essay_id,
+  c_mktsegment as topic, 'text of ' || c_name as text from customer""")
+def essays_read(spark, sf):
+    """A JSON array a nation; every second essay has no id."""
+    row = F.struct("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("id"), F.concat(F.lit("text of "), "c_name").alias("text"), F.col("c_mktsegment").alias("topic"))
+    listed = F.to_json(F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"), x["topic"].alias("topic"))))
+    rows = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(listed.alias("value"))
+    return io.read_essays_json(spark, file_each(rows, "k", fresh(spark, "essays")))
+
+
+@query("select distinct p_brand as token from part union select distinct p_type from part")
+def lexicon_read(spark, sf):
+    """A list of brands, an object with the types as keys, and a file that is not there."""
+    part, paths = table(spark, sf, "part"), [fresh(spark, "lexicon") for _ in range(3)]
+    part.agg(F.to_json(F.collect_set("p_brand")).alias("value")).write.text(paths[0])
+    kinds = part.select("p_type").distinct().select(F.struct(F.col("p_type").alias("k"), F.lit(1).alias("v")).alias("e"))
+    kinds.agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).write.text(paths[1])
+    return io.read_lexicon(spark, paths)
+
+
+@query("select c_name as subject, 'LOCATED_IN' as relation, n_name as object from customer join nation on c_nationkey = n_nationkey")
+def triple_arrays_read(spark, sf):
+    """A JSON array of triples a nation, with an object of another kind in each."""
+    row = F.struct(F.col("c_name").alias("subject"), F.lit("LOCATED_IN").alias("relation"), F.col("n_name").alias("object"))
+    other = F.array(F.struct(*(F.lit(None).cast("string").alias(c) for c in ("subject", "relation", "object"))))
+    rows = located(spark, sf).groupBy(F.col("c_nationkey").alias("k")).agg(F.to_json(F.concat(F.collect_list(row), other)).alias("value"))
+    return io.read_triples_json(spark, file_each(rows, "k", fresh(spark, "arrays"))).select("subject", "relation", "object")
+
+
+@query("select label, count(*) as n from (select case when c_custkey % 3 = 0 then 'PERSON_KING' else 'PERSON_MONK' end as label from customer union all select 'LOCATION' from customer) group by all")
+def conll_spans(spark, sf):
+    """Two sentences of tagged tokens a customer, read back by blocks; a span goes on over two tokens."""
+    who = F.when(F.col("c_custkey") % 3 == 0, "PERSON_KING").otherwise("PERSON_MONK")
+    first = F.concat(F.lit("the O\n"), "c_name", F.lit("\tB-"), who, F.lit("\nII I-"), who, F.lit("\n\n"))
+    rows = table(spark, sf, "customer").select(F.concat(first, F.lit("in O\n"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")), F.lit(" B-LOCATION\n")).alias("value"))
+    path = fresh(spark, "conll")
+    rows.write.text(path)
+    return features.label_span_counts(io.read_conll(spark, path))
+
+
 @query("select essay_id, round(n_types::double / n_tokens, 4) as ttr from (with " + essays.CTE_TOKENS + " select essay_id, sum(n) as n_tokens, count(*) as n_types from tc group by all) union all select doc_id, 0.0 from documents where len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}]+')) = 0")
 def type_token_ratios(spark, sf):
     return features.type_token_ratio(essays.essays(spark, sf))

@@ -58,6 +58,16 @@ def accuracy_results(spark, sf):
     return results(spark, sf).drop("n_not_factual")
 
 
+@query(CLAIMS + """
+select e.essay_id, count(*) filter (unverifiable_reason = 'NOT_FACTUAL') as n_not_factual,
+  coalesce(round(count(*) filter (claim_type = 'FACTUAL' and verdict in ('CORRECT', 'INCORRECT'))::double / nullif(count(*) filter (claim_type = 'FACTUAL'), 0), 4), 0) as coverage,
+  coalesce(round(count(*) filter (claim_type = 'FACTUAL' and verdict in ('CORRECT', 'INCORRECT'))::double / nullif(count(*) filter (claim_type = 'FACTUAL'), 0), 4), 0) < 0.3 as low_coverage
+from (select distinct source as essay_id from documents) e left join claims using (essay_id) group by all""")
+def coverage_results(spark, sf):
+    """What is left out of accuracy_results: claims that are no facts, coverage and its warning."""
+    return results(spark, sf).select("essay_id", "n_not_factual", "coverage", "low_coverage")
+
+
 @query(CLAIMS + f", g as (select essay_id, {COUNTS} from (select distinct source as essay_id from documents) e left join claims using (essay_id) group by all), a as (select essay_id, round(n_correct * 100 / nullif(n_correct + n_incorrect, 0)::double, 1) as x from g) select essay_id, cast(case when x is null then null when x >= 90 then 5 when x >= 75 then 4 when x >= 60 then 3 when x >= 40 then 2 else 1 end as int) as D1 from a")
 def accuracy_band(spark, sf):
     return results(spark, sf).select("essay_id", T.accuracy_band(F.col("accuracy")).alias("D1"))

@@ -277,17 +277,48 @@ def delete_edges_by_alias(spark, sf):
 
 @query(graph.SQL_GRAPH + ", s as (select src_id, subject, object, src_id % 3 as k from named where relation = 'LOCATED_IN' and src_id >= 3000000000000) select case k when 0 then subject when 1 then subject else '' end as subject, case k when 0 then 'RULED' when 1 then 'LOCATED_IN' else 'RULED' end as relation, object, case k when 0 then 'created' when 1 then 'no change' else 'missing field' end as status from s")
 def edited_triples(spark, sf):
+    return edited(spark, sf)[2]
+
+
+def edited(spark, sf):
+    """Nodes, edges and statuses after edits of the customers' places."""
     n, e = graph.graph(spark, sf)
     n = n.withColumn("aliases", F.array().cast("array<string>"))
     old = kg.with_names(e.where("relation = 'LOCATED_IN' and src_id >= 3000000000000"), n)
     k = F.col("src_id") % 3
     edits = old.select(F.col("subject").alias("old_subject"), F.col("relation").alias("old_relation"), F.col("object").alias("old_object"), F.when(k == 2, "").otherwise(F.col("subject")).alias("subject"), F.when(k == 1, "LOCATED_IN").otherwise("RULED").alias("relation"), "object", F.lit("").alias("period"))
-    return kg.edit_triples(n, e, edits)[2]
+    return kg.edit_triples(n, e, edits)
+
+
+@query(graph.SQL_GRAPH + """
+, s as (select subject, object, src_id % 3 as k from named where relation = 'LOCATED_IN' and src_id >= 3000000000000)
+select subject, relation, object, source_citation from (
+  select subject, relation, object, 'tables' as source_citation, src_id from named) t
+where not (relation = 'LOCATED_IN' and src_id >= 3000000000000 and src_id % 3 = 0)
+union all select subject, 'RULED', object, '[manual]' from s where k = 0""")
+def edited_edges(spark, sf):
+    """The edges that edited_triples leaves, by the names of their ends."""
+    n, e, _ = edited(spark, sf)
+    return kg.with_names(e, n).select("subject", "relation", "object", "source_citation")
+
+
+@query("""
+select 'C' || c_custkey::varchar as subject, 'LOCATED_IN' as relation, r_name as object
+from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_custkey % 2 = 0""")
+def saved_edges(spark, sf):
+    """The edges that saved_extraction makes, by the names of their ends."""
+    n, _, after, edges, _ = saved(spark, sf)
+    return kg.with_names(edges, after).select("subject", "relation", "object")
 
 
 @query("select 'nodes created' as what, (select count(*) from customer where c_custkey % 2 = 0) + (select count(distinct r_name) from region) as n union all select 'triples created', count(*) from customer where c_custkey % 2 = 0 union all select 'triples missing node', count(*) from customer where c_custkey % 2 = 1 and c_custkey % 5 != 0 union all select 'triples duplicate', count(*) from customer where false having count(*) > 0")
 def saved_extraction(spark, sf):
-    """Customers and nations as tags over an empty graph but for the other customers of every fifth key: ends of triples become canonical names."""
+    n, _, after, _, status = saved(spark, sf)
+    return kg.save_counts(n, after, status)
+
+
+def saved(spark, sf):
+    """Customers and nations as tags over an empty graph: ends of triples become canonical names. Before, after and the statuses."""
     c = customers(spark, sf).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     none = F.array().cast("array<string>")
     tags = c.where("c_custkey % 2 = 0").select(F.concat("c_name", F.lit("ගේ")).alias("entity"), F.lit("PERSON_KING").alias("label"), none.alias("aliases"))
@@ -295,8 +326,7 @@ def saved_extraction(spark, sf):
     dates = table(spark, sf, "nation").select(F.lit("1815").alias("entity"), F.lit("DATE_ERA").alias("label"), none.alias("aliases"))
     triples = c.where("c_custkey % 2 = 0 or c_custkey % 5 != 0").select(F.col("c_name").alias("subject"), F.lit("LOCATED_IN").alias("relation"), F.col("n_name").alias("object"), F.lit("").alias("period"), F.lit("s").alias("source"))
     n, e = (x.limit(0) for x in graph.graph(spark, sf))
-    after, _, status = kg.save_extraction(n, e, tags.unionByName(places).unionByName(dates), triples, surface_forms(spark, sf), alias_table(spark, sf))
-    return kg.save_counts(n, after, status)
+    return n, e, *kg.save_extraction(n, e, tags.unionByName(places).unionByName(dates), triples, surface_forms(spark, sf), alias_table(spark, sf))
 
 
 @query(graph.SQL_GRAPH + ", pos as (select *, src_id * 10 as p from named where relation = 'LOCATED_IN') select name, min(p) as first from (select subject as name, p from pos union all select object, p from pos) where contains(lower(name), 'a') group by all")

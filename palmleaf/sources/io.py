@@ -78,3 +78,13 @@ def parse_submissions(raw: DataFrame, schema: str, required: list[str], column:
     gaps = F.array_compact(F.array(*(F.when(F.col(f"parsed.{c}").isNull(), F.lit(c)) for c in required)))
     bad = F.col("parsed").isNull() | (F.size(gaps) == len(required))
     return rows.withColumn("error", F.when(bad, "invalid body").when(F.size(gaps) > 0, F.concat(F.lit("missing: "), F.concat_ws(", ", gaps))))
+
+
+def read_conll(spark: SparkSession, path: str) -> DataFrame:
+    """``(block, pos, token, tag)`` of files with a token and its tag a line and an empty line between sentences.
+
+    Files are cut at empty lines, so a large one is read by many tasks; the tag is what stands behind the last white space of a line.
+    """
+    blocks = spark.read.option("lineSep", "\n\n").text(path).where(F.length(F.trim("value")) > 0).select(F.monotonically_increasing_id().alias("block"), "value")
+    lines = blocks.select("block", F.posexplode(F.filter(F.transform(F.split("value", r"\r?\n"), T.strip_ws), lambda x: F.length(x) > 0)).alias("pos", "line"))
+    return lines.select("block", "pos", F.regexp_extract("line", r"^(\S+)", 1).alias("token"), F.regexp_extract("line", r"(\S+)$", 1).alias("tag"))
