@@ -168,7 +168,7 @@ def extract_features(essays: DataFrame, vocabulary: DataFrame, informal: list[st
     """One row an essay (ids are unique): counts of lexical, the ratios mattr, academic_density, informal_ratio and repeated_ratio (4 places),
     discourse types, n_paragraphs and the flags of structure, and the sentence variance. signals: intro, thesis, conclusion."""
     ratio = lambda a, b: F.coalesce(F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 4), F.lit(0.0))
-    out = lexical(essays, token_counts(essays), vocabulary, informal).join(mattr(essays), "essay_id").join(sentence_variance(essays), "essay_id")
+    out = lexical(essays, token_counts(essays), vocabulary, informal).join(mattr(essays).hint("merge"), "essay_id").join(sentence_variance(essays).hint("merge"), "essay_id")
     own = essays.select("essay_id", discourse(F.lower(F.coalesce("text", F.lit(""))), markers).alias("types"), structure(F.coalesce("text", F.lit("")), *signals, separator).alias("s"))
-    out = out.join(own.select("essay_id", "types", "s.*"), "essay_id")
+    out = out.join(own.select("essay_id", "types", "s.*").hint("merge"), "essay_id")
     return out.withColumns({"mattr": ratio("distinct_sum", "window_words"), "academic_density": ratio("n_academic", "n_tokens"), "informal_ratio": ratio("n_informal", "n_tokens"), "repeated_ratio": ratio("n_repeated", "n_types")})

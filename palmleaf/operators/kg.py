@@ -80,7 +80,7 @@ def upsert_edges(edges: DataFrame, nodes: DataFrame, triples: DataFrame) -> tupl
     t = find_node(triples, nodes, "subject").withColumnRenamed("node_id", "src_id")
     t = find_node(t, nodes, "object").withColumnRenamed("node_id", "dst_id")
     have = edges.select(*(F.col(c).alias(f"h_{c}") for c in EDGE)).distinct()
-    t = t.join(have, (F.col("src_id") == F.col("h_src_id")) & (F.col("relation") == F.col("h_relation")) & (F.col("dst_id") == F.col("h_dst_id")), "left")
+    t = t.join(have.hint("merge"), (F.col("src_id") == F.col("h_src_id")) & (F.col("relation") == F.col("h_relation")) & (F.col("dst_id") == F.col("h_dst_id")), "left")
     status = F.when(F.col("src_id").isNull() | F.col("dst_id").isNull(), "missing node").when(F.col("h_src_id").isNotNull(), "duplicate").otherwise("created")
     t = t.withColumn("status", status)
     fresh = t.where("status = 'created'").groupBy(*EDGE).agg(F.min(F.struct(F.coalesce("period", F.lit("")).alias("period"), F.coalesce("source", F.lit("")).alias("source"))).alias("m"))
@@ -132,7 +132,7 @@ def delete_edges(edges: DataFrame, nodes: DataFrame, wanted: DataFrame, by_alias
     look = nodes if by_alias else nodes.withColumn("aliases", F.array().cast("array<string>"))
     w = find_node(wanted, look, "subject").withColumnRenamed("node_id", "src_id")
     w = find_node(w, look, "object").withColumnRenamed("node_id", "dst_id").where("src_id is not null and dst_id is not null").select(*EDGE)
-    return edges.join(w, EDGE, "left_anti")
+    return edges.join(w.hint("merge"), EDGE, "left_anti")
 
 
 def update_edges(edges: DataFrame, changes: DataFrame) -> DataFrame:
@@ -208,7 +208,8 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def relation_types(edges: DataFrame) -> DataFrame:
-    return edges.select("relation").distinct().orderBy("relation")
+    """``(relation)``, each once; a caller that shows them sorts."""
+    return edges.select("relation").distinct()
 
 
 def all_triples(edges: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
@@ -307,7 +308,7 @@ def entity_facts(edges: DataFrame, nodes: DataFrame, names: DataFrame) -> DataFr
     """All triples that touch any of ``names`` (by name or alias), with the asked ``entity``."""
     ids = find_node(names, nodes).where("node_id is not null").select(F.col("name").alias("entity"), F.col("node_id").alias("i"))
     e = with_names(edges, nodes)
-    both = e.join(ids, F.col("src_id") == F.col("i")).unionByName(e.join(ids, (F.col("dst_id") == F.col("i")) & (F.col("src_id") != F.col("dst_id"))))
+    both = e.join(ids.hint("merge"), F.col("src_id") == F.col("i")).unionByName(e.join(ids.hint("merge"), (F.col("dst_id") == F.col("i")) & (F.col("src_id") != F.col("dst_id"))))
     return both.select("entity", "subject", "relation", "object", "period")
 
 
