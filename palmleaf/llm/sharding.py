@@ -28,13 +28,14 @@ def hash_key(*columns: Column | str) -> Column:
 
 @dataclass(frozen=True)
 class Bracket:
-    """Keys lo to hi (inclusive) of ``column``, within the group ``group`` if given; ``below`` bytes come before lo."""
+    """Keys lo to hi (inclusive) of ``column``, within the group ``group`` and its row key ``key`` if given; ``below`` bytes come before lo."""
 
     column: str
     lo: int
     hi: int
     below: int
     group: int | None = None
+    key: int | None = None
 
     def cell(self) -> Column:
         step = -(-(self.hi - self.lo + 1) // CELLS)
@@ -42,7 +43,12 @@ class Bracket:
 
     def holds(self) -> Column:
         inside = F.col(self.column).between(self.lo, self.hi)
-        return inside if self.group is None else inside & (F.col("g") == F.lit(self.group))
+        inside = inside if self.group is None else inside & (F.col("g") == F.lit(self.group))
+        return inside if self.key is None else inside & (F.col("d") == F.lit(self.key))
+
+    def boundary(self, key: int) -> tuple[int, int, int]:
+        """(g, d, e) of the first row at or above ``key``."""
+        return (key, 0, 0) if self.column == "g" else (self.group, key, 0) if self.column == "d" else (self.group, self.key, key)
 
 
 def _counted(rows: DataFrame, brackets: list[Bracket]) -> dict[int, list]:
@@ -55,28 +61,25 @@ def _counted(rows: DataFrame, brackets: list[Bracket]) -> dict[int, list]:
     return {k: sorted(v) for k, v in out.items()}
 
 
-def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int]]:
-    """``shards - 1`` boundaries (g, d); a row belongs below one if its (g, d) is smaller.
+def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int, int]]:
+    """``shards - 1`` boundaries (g, d, e); a row belongs below one if its (g, d, e) is smaller.
 
     Bytes below a boundary differ from its even share by at most ``tolerance`` of a shard, or by the bytes of the group
-    there if that is more. Only a group that is larger than an even share is cut, at its rows' own keys.
+    there if that is more. Only a group that is larger than an even share is cut, at its rows' own keys, and only a key that
+    is larger than one, of rows repeated that often, at the numbers e of its rows.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     targets = {s: total * s / shards for s in range(1, shards)}
     if not total:
-        return [(TOP, 0)] * (shards - 1)
+        return [(TOP, 0, 0)] * (shards - 1)
     slack = tolerance * total / shards
-    done: dict[int, tuple[int, int]] = {}
+    done: dict[int, tuple[int, int, int]] = {}
     open_: dict[int, Bracket] = {s: Bracket("g", 0, TOP - 1, 0) for s in targets}
     while open_:
-        brackets = sorted(set(open_.values()), key=lambda b: (b.group is not None, b.group or 0, b.lo, b.below))
+        brackets = sorted(set(open_.values()), key=lambda b: (b.column, b.group or 0, b.key or 0, b.lo, b.below))
         cells = _counted(rows, brackets)
         for s, b in list(open_.items()):
-            at, below = targets[s], b.below
-
-            def boundary(key: int, b: Bracket = b) -> tuple[int, int]:
-                return (key, 0) if b.group is None else (b.group, key)
-
+            at, below, boundary = targets[s], b.below, b.boundary
             for lo, hi, size in cells[brackets.index(b)]:
                 if abs(below - at) <= slack:
                     done[s] = boundary(lo)
@@ -86,14 +89,16 @@ def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple
                     below += size
                     continue
                 elif lo < hi:
-                    open_[s] = Bracket(b.column, lo, hi, below, b.group)
-                elif b.group is None and size > total / shards:
+                    open_[s] = Bracket(b.column, lo, hi, below, b.group, b.key)
+                elif b.column == "g" and size > total / shards:
                     open_[s] = Bracket("d", 0, TOP - 1, below, lo)
-                else:  # one group that a shard can hold, or one key of a larger one: whole, on the side that is nearer
+                elif b.column == "d" and size > total / shards:
+                    open_[s] = Bracket("e", 0, TOP - 1, below, b.group, lo)
+                else:  # one group or key that a shard can hold, or one row: whole, on the side that is nearer
                     done[s] = boundary(lo if at - below < below + size - at else lo + 1)
                 break
             else:
-                done[s] = (TOP, 0)
+                done[s] = (TOP, 0, 0)
             if s in done:
                 open_.pop(s)
     return [done[s] for s in sorted(done)]
@@ -104,20 +109,22 @@ def shard_rows(rows: DataFrame, shards: int = 16, size: Column | None = None, gr
 
     size: bytes of a row (default 1, which evens out counts). group: columns whose equal values share a shard; only a group
     of more bytes than a shard's even share is cut, into neighbouring shards. row:
-    columns that tell rows of a group apart. Rows equal in both are one key and stay together. Nulls count as values.
+    columns that tell rows of a group apart. Rows equal in both are one key and stay together, unless they hold more bytes than a
+    shard's even share: then they are cut, too, at numbers that they got when the keys were written. Nulls count as values.
     Input columns named shard or slot are replaced; an empty table gives no rows.
     """
     names = [c for c in rows.columns if c not in ("shard", "slot")]
     group, row = group or names, row or names
     keyed = rows.select(F.struct(*names).alias("row"), hash_key(*group).alias("g"), hash_key(*row).alias("d"), (F.lit(1) if size is None else size).cast("long").alias("size"))
-    keyed = materialize(keyed, "shard-keys")
-    past = [(F.col("g") > F.lit(g)) | ((F.col("g") == F.lit(g)) & (F.col("d") >= F.lit(d))) for g, d in find_splitters(keyed.select("g", "d", "size"), shards, tolerance)]
+    keyed = materialize(keyed.withColumn("e", hash_key(F.monotonically_increasing_id())), "shard-keys")
+    g_, d_, e_ = F.col("g"), F.col("d"), F.col("e")
+    past = [(g_ > g) | ((g_ == g) & ((d_ > d) | ((d_ == d) & (e_ >= e)))) for g, d, e in find_splitters(keyed.select("g", "d", "e", "size"), shards, tolerance)]
     shard = reduce(lambda a, b: a + b.cast("int"), past, F.lit(0))
     slots = min(4096, max(SLOT_CELLS, -(-keyed.count() // (shards * CELL_ROWS))))
-    placed = keyed.select("row", shard.alias("shard"), "d", F.pmod("d", F.lit(slots)).cast("int").alias("cell"))
+    placed = keyed.select("row", shard.alias("shard"), "d", "e", F.pmod("e", F.lit(slots)).cast("int").alias("cell"))  # by the rows' own numbers: no key fills a cell
     sizes = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = sizes.selectExpr("shard as s", "cell as c", "sum(n) over (partition by shard order by cell) - n as before")
-    numbered = placed.selectExpr("*", "row_number() over (partition by shard, cell order by d) - 1 as within")
+    numbered = placed.selectExpr("*", "row_number() over (partition by shard, cell order by d, e) - 1 as within")
     numbered = numbered.join(F.broadcast(before), (F.col("shard") == F.col("s")) & (F.col("cell") == F.col("c")))  # at most shards * slots rows
     return numbered.select("row.*", "shard", (F.col("before") + F.col("within")).cast("long").alias("slot"))
 
