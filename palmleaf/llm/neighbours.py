@@ -28,6 +28,8 @@ TRIALS = 512
 NEAREST = 1e-3
 #: Vectors of a list, and queries of a list, that one task compares; larger lists are cut.
 LIST_CHUNK, QUERY_CHUNK = 16_384, 4_096
+#: Nearest lists that a query reads first if those within the ratio hold too few vectors, and by which factor that grows.
+WIDER = 16
 
 
 @dataclass(frozen=True)
@@ -140,7 +142,12 @@ class CentroidGraph:
     def within(self, rows: np.ndarray, most: int | None, ratio: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, centroid) pairs: the nearest centroid of each row, and those whose distance is at most ``ratio`` times as
         large: all that a walk of ``beam`` finds, or ``most`` of them, no one nearer to a chosen one than to the row."""
-        ids, sims = self.nearest(rows, beam)
+        if beam < len(self.points):
+            ids, sims = self.nearest(rows, beam)
+        else:  # all of them, walks or not
+            sims = rows.astype(np.float32) @ self.points.T
+            ids = np.argsort(-sims, axis=1, kind="stable").astype(np.int32)
+            sims = np.take_along_axis(sims, ids, 1)
         away = reach(sims)
         ok = (ids >= 0) & (away <= np.maximum(away[:, :1], NEAREST) * ratio)
         if most is None:
@@ -256,6 +263,20 @@ def _best(k: int, dim: int):
     return run
 
 
+def _read_lists(asked: DataFrame, filed: DataFrame, k: int, dim: int) -> DataFrame:
+    """``(query_id, vec_id, score)``, each pair once: the ``k`` nearest of each list to each query (query_id, embedding, list) that reads it."""
+    # cut long lists, and lists that many queries read; one row a list, CENTROIDS_MOST at most
+    cuts = filed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(LIST_CHUNK)).cast("int").alias("v_cuts"))
+    cuts = cuts.join(asked.groupBy("list").agg(F.ceil(F.count("*") / F.lit(QUERY_CHUNK)).cast("int").alias("q_cuts")).hint("merge"), "list")
+    cuts = materialize(cuts.withColumnRenamed("list", "l"), "cuts")
+    steps = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
+    left = asked.join(F.broadcast(cuts), F.col("list") == F.col("l")).select("list", "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.col("q_cuts")).cast("int").alias("q_cut"), steps("v_cuts").alias("v_cut"))
+    right = filed.join(F.broadcast(cuts), F.col("list") == F.col("l")).select("list", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.col("v_cuts")).cast("int").alias("v_cut"), steps("q_cuts").alias("q_cut"))
+    unit_of = ["list", "q_cut", "v_cut"]
+    found = left.groupBy(*unit_of).cogroup(right.groupBy(*unit_of)).applyInPandas(_best(k, dim), "query_id bigint, vec_id bigint, score double")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, settings: Settings = Settings(), dim: int | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query the ``k`` nearest vectors found by cosine, its own id left out.
 
@@ -285,16 +306,20 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, setti
     ratio, beam = fitted_probes(vectors, queries, built, k, dim, s)
     asked = queries.mapInArrow(_file_under(graph, None, ratio, beam, dim), schema)
     asked = materialize(asked.withColumnRenamed("vec_id", "query_id"), "probes")
-    # cut long lists, and lists that many queries read; one row a list, CENTROIDS_MOST at most
-    cuts = filed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(LIST_CHUNK)).cast("int").alias("v_cuts"))
-    cuts = cuts.join(asked.groupBy("list").agg(F.ceil(F.count("*") / F.lit(QUERY_CHUNK)).cast("int").alias("q_cuts")).hint("merge"), "list")
-    cuts = materialize(cuts.withColumnRenamed("list", "l"), "cuts")
-    steps = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
-    left = asked.join(F.broadcast(cuts), F.col("list") == F.col("l")).select("list", "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.col("q_cuts")).cast("int").alias("q_cut"), steps("v_cuts").alias("v_cut"))
-    right = filed.join(F.broadcast(cuts), F.col("list") == F.col("l")).select("list", "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.col("v_cuts")).cast("int").alias("v_cut"), steps("q_cuts").alias("q_cut"))
-    unit_of = ["list", "q_cut", "v_cut"]
-    found = left.groupBy(*unit_of).cogroup(right.groupBy(*unit_of)).applyInPandas(_best(k, dim), "query_id bigint, vec_id bigint, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    once = materialize(_read_lists(asked, filed, k, dim), "found")
+    wide = WIDER
+    while True:  # queries whose lists hold fewer than k vectors read their next lists, all of them if need be
+        full = once.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+        short = materialize(queries.join(full.hint("merge"), "vec_id", "left_anti"), "short")
+        if short.isEmpty():
+            break
+        wide = min(wide, len(built.points))
+        more = short.mapInArrow(_file_under(graph, None, float("inf"), wide, dim), schema).withColumnRenamed("vec_id", "query_id")
+        more = _read_lists(materialize(more, "probes"), filed, k, dim)
+        once = materialize(once.unionByName(more).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+        if wide == len(built.points):
+            break
+        wide *= WIDER
     ranked = once.selectExpr("query_id", "cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank", "vec_id", "score")
     return ranked.where(F.col("rank") <= k)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from palmleaf.llm import licenses, repair, whitening
+from palmleaf.llm import licenses, neighbours, repair, sharding, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -163,3 +163,34 @@ def test_licenses(spark):
     by_text = {t: (la, s) for t, la, s in zip([t for _, t in sorted(((-1 if i is None else i), t) for i, t in rows)], got.sort_values("doc_id", na_position="first").labels, got.sort_values("doc_id", na_position="first").score)}
     assert by_text["Released under the MIT License"] == ("mit", 1.0) and by_text["reserved"] == ("", 0.0)
     assert licenses.license_report(df.limit(0)).count() == 0
+
+
+def test_neighbours_are_never_short(spark):
+    """Clusters of fewer than k vectors, apart from a large one, and rows that repeat: each query gets k rows where there are k candidates."""
+    rnd = np.random.default_rng(3)
+    parts, at = [], 0
+    for size in (600, 3, 3, 3, 2, 2, 1):
+        centre = rnd.standard_normal(32) * 10
+        parts += [(at + i, (centre + 0.01 * rnd.standard_normal(32)).tolist()) for i in range(size)]
+        at += size
+    parts += [parts[600]] * 20 + [parts[603]] * 10
+    df = spark.createDataFrame(parts, "vec_id long, embedding array<float>")
+    settings = neighbours.Settings(list_size=8)
+    queries = df.where("vec_id >= 590").distinct()
+    got = neighbours.nearest_neighbours(df, queries, 5, settings).toPandas()
+    assert (got.groupby("query_id").size() == 5).all() and got.query_id.nunique() == at - 590
+    assert not got.duplicated(["query_id", "vec_id"]).any() and (got.query_id != got.vec_id).all()
+    few = spark.createDataFrame(parts[:3], "vec_id long, embedding array<float>")
+    assert neighbours.nearest_neighbours(few, few, 5).count() == 6
+
+
+def test_sharding_of_hot_rows(spark):
+    """A row that repeats more often than a shard holds, ids and texts alike, is cut; other equal texts stay together."""
+    rows = [(None, "same text")] * 500 + [(i, f"t{i // 4} " + "x" * (i // 4 % 30)) for i in range(500)] + [(7, "an id that repeats")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sharding.shard_report(df).toPandas()
+    bytes_of = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and len(bytes_of) == 16 and bytes_of.max() - bytes_of.min() < 0.25 * bytes_of.mean()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    apart = got.groupby("text_crc32").shard.nunique()
+    assert (apart > 1).sum() == 2
