@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from html import unescape
 from math import log
 
@@ -51,11 +51,11 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 def mark(name: str, attributes: str, in_article: bool) -> str:
-    """``comment`` or ``aside`` if the class, id or role of an element says so, else nothing.
+    """``comment``, ``advert``, ``other`` or ``part`` if the class, id or role of an element says so, else nothing.
 
-    A whole name that is such a word counts for any element but headings; a part of one (related-work) only for containers,
-    inside an article only if it speaks of comments or adverts. Ids inside an article count for comments only. A container
-    that is also named as a wrapper of content stays content unless it is named as comments or adverts.
+    A whole name that is such a word counts for any element but headings; a part of one (related-links) only for containers, and
+    inside an article as ``part``, which is settled by what the element holds. Ids inside an article count for comments only. A
+    container that is also named as a wrapper of content stays content unless it is named as comments or adverts.
     """
     if name[:1] == "h" and name[1:].isdigit():
         return ""
@@ -72,22 +72,23 @@ def mark(name: str, attributes: str, in_article: bool) -> str:
                 continue
             if words & ADVERT_WORDS:
                 found = "advert"
-            elif words & OTHER_WORDS and name in CONTAINER and (len(parts) == 1 or not in_article):
-                found = found or "other"
+            elif words & OTHER_WORDS and name in CONTAINER:
+                found = found or ("part" if in_article and len(parts) > 1 else "other")
             else:
                 wraps = wraps or bool(words & WRAP_WORDS)
-    return "aside" if found == "advert" or found and not wraps else ""
+    return found if found == "advert" or not wraps else ""
 
 
 @dataclass
 class _Open:
-    """An open element, and whether it is an aside (or, in it, readers' comments), an article, a main element."""
+    """An open element, and whether it is an aside (or, in it, readers' comments), an article, a main element; held: the number of an element that may be an aside."""
 
     name: str
     aside: bool
     comment: bool
     article: bool
     main: bool
+    held: int = -1
 
 
 @dataclass(frozen=True, slots=True)
@@ -101,8 +102,39 @@ class Token:
     main: bool
 
 
-def tokens(html: str) -> Iterator[Token]:
-    """The tokens of a page in order. Hidden elements give their tags only.
+@dataclass(slots=True)
+class _Held:
+    """What an element that its name alone makes an aside holds: words, and those of them in links."""
+
+    kind: str
+    words: int = 0
+    linked: int = 0
+
+    def is_aside(self, total: int) -> bool:
+        """Whether it is one on a page of ``total`` words: not if it holds most of them; by a part of its name in an article, if it is short or mostly links."""
+        if 2 * self.words > total:
+            return False
+        return self.kind == "other" or 2 * self.linked >= self.words or 10 * self.words < total
+
+
+def tokens(html: str) -> list[Token]:
+    """The tokens of a page in order. Elements that only their names make asides are settled at the end, by what share of the page they hold."""
+    held: list[_Held] = []
+    drawn = list(_drawn(html, held))
+    total = 0
+    for t, within, linked in drawn:
+        if t.kind == "text" and not t.aside:
+            n = len(t.value.split())
+            total += n
+            for k in within:
+                held[k].words += n
+                held[k].linked += n * linked
+    out = [h.is_aside(total) for h in held]
+    return [replace(t, aside=True) if any(out[k] for k in within) and not t.aside else t for t, within, _ in drawn]
+
+
+def _drawn(html: str, held: list[_Held]) -> Iterator[tuple[Token, tuple[int, ...], bool]]:
+    """The tokens of a page in order, each with the numbers in ``held`` of the elements around it, and whether it lies in a link. Hidden elements give their tags only.
 
     A missing end tag of an aside element ends with its parent, and with the first article of the page unless that lies
     within it; an end tag that was never opened is nothing but a tag. Readers' comments are no articles.
@@ -110,16 +142,19 @@ def tokens(html: str) -> Iterator[Token]:
     stack: list[_Open] = []
     at, end, begun = 0, len(html), False
 
-    where = (False, False, False)
+    where: tuple[bool, bool, bool] = (False, False, False)
+    within: tuple[int, ...] = ()
+    linked = False
 
-    def seen() -> tuple[bool, bool, bool]:
-        return any(x.aside for x in stack), any(x.article for x in stack), any(x.main for x in stack)
+    def seen() -> tuple[tuple[bool, bool, bool], tuple[int, ...], bool]:
+        flags = any(x.aside for x in stack), any(x.article for x in stack), any(x.main for x in stack)
+        return flags, tuple(x.held for x in stack if x.held >= 0), any(x.name in ("a", "button") for x in stack)
 
     while at < end:
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else end]
         if text:
-            yield Token("space" if text.isspace() else "text", text, *where)
+            yield Token("space" if text.isspace() else "text", text, *where), within, linked
         if not m:
             break
         at, name = m.end(), (m[2] or "").lower()
@@ -129,26 +164,31 @@ def tokens(html: str) -> Iterator[Token]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
             if depth is not None:
                 del stack[depth:]
-                where = seen()
-            yield Token("tag", "/" + name, *where)
+                where, within, linked = seen()
+            yield Token("tag", "/" + name, *where), within, linked
             continue
-        yield Token("tag", name, *where)
+        yield Token("tag", name, *where), within, linked
         if name in RAW and not m[3].endswith("/"):
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = close.end() if close else end
-            yield Token("tag", "/" + name, *where)
+            yield Token("tag", "/" + name, *where), within, linked
         elif name not in VOID and not m[3].endswith("/"):
             inside = where[1]
             said = mark(name, m[3], inside)
             label = name in ("article", "main") and said != "comment" and not any(x.comment for x in stack)
             aside = said == "comment" or name in HIDDEN or name in ASIDE or (name == "header" and not inside and not where[2])  # a page header is none of an article's own
-            aside = aside or (bool(said) and name not in ("html", "body") and not label)
+            named = bool(said) and name not in ("html", "body") and not label
+            aside = aside or (named and said == "advert")
             if label and not begun:
                 begun = True
                 for x in stack:
                     x.aside = x.aside and x.name in ASIDE and _around(html, at, x.name, name)
-            stack.append(_Open(name, aside, said == "comment", label and name == "article", label and name == "main"))
-            where = seen()
+            number = -1
+            if named and said in ("other", "part"):
+                number = len(held)
+                held.append(_Held(said))
+            stack.append(_Open(name, aside, said == "comment", label and name == "article", label and name == "main", number))
+            where, within, linked = seen()
 
 
 def _around(html: str, at: int, outer: str, inner: str) -> bool:
@@ -173,7 +213,7 @@ def _class(t: Token) -> str:
 
 def class_counts(html: str) -> Counter:
     """Words and tags by class, inside and outside the labelled region of a page; what asides hold is left out."""
-    page = list(tokens(html))
+    page = tokens(html)
     out: Counter = Counter()
     for t, inside in zip(page, labelled(page)):
         if t.kind == "tag":
@@ -244,11 +284,13 @@ def best_region(values: list[float]) -> tuple[int, int]:
 
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     """Blocks of the best region, joined by an empty line; references decoded, white space within a block made one space."""
-    page = list(tokens(html or ""))
+    page = tokens(html or "")
+    own = labelled(page)
+    known = any(own)
     first, past = best_region(scores(page, weights))
     blocks: list[str] = []
     open_: list[str] = []
-    for t in page[first:past]:
+    for t, inside in zip(page[first:past], own[first:past]):
         if t.kind == "tag":
             name = t.value.lstrip("/")
             if name in BLOCK:
@@ -256,7 +298,7 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
                 open_ = []
             elif name == "br":
                 open_.append(" ")
-        elif not t.aside:
+        elif not t.aside and (inside or not known):  # words between two articles are of neither
             open_.append(t.value)
     blocks.append("".join(open_))
     texts = (" ".join(unescape(b).split()) for b in blocks)

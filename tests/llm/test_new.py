@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from palmleaf.llm import licenses, neighbours, repair, sharding, whitening
+from palmleaf.llm import htmltext, licenses, neighbours, repair, sharding, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -194,3 +194,19 @@ def test_sharding_of_hot_rows(spark):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
     apart = got.groupby("text_crc32").shard.nunique()
     assert (apart > 1).sum() == 2
+
+
+def test_asides_by_what_they_hold(spark):
+    """With weights fitted on the given pages: wrappers named after a sidebar, teasers in one, parts of articles named after links, and text between articles."""
+    weights = htmltext.fit_weights(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    long, more = " ".join(f"word{i}" for i in range(60)), " ".join(f"other{i}" for i in range(60))
+    body = f"<p>{long}.</p><p>{more}.</p>"
+    want = f"{long}.\n\n{more}."
+    page = lambda inner: htmltext.main_text(f"<html><body>{inner}</body></html>", weights)
+    for name in ("content-sidebar-wrap", "page-with-sidebar", "widget-area", "notice"):
+        assert page(f'<nav><a href="/">Home</a></nav><div class="{name}"><div class="entry">{body}</div></div>') == want
+    assert page(f'<div class="sidebar"><article>A teaser of few words</article></div><div class="content">{body}</div>') == want
+    for inner in ('<div class="share-buttons"><a>Mail it</a> <a>Print it</a></div>', '<ul class="related-links"><li><a>One more page</a></li></ul>', '<div class="site-notice">We close on Monday</div>', '<div class="comments"><p>I liked it very much</p></div>'):
+        assert page(f"<article><p>{long}.</p>{inner}<p>{more}.</p></article>") == want
+    assert page(f"<article><p>{long}.</p></article><p>Of neither.</p><article><p>{more}.</p></article>") == want
+    assert page(f'<article><p>{long}.</p><section class="related-work"><p>{more}.</p></section></article>') == want
