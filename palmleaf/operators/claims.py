@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,15 +79,26 @@ def parse_replies(replies: DataFrame, schema: str, key: str | None = None) -> Da
     """``replies`` (with column reply) with ``parsed``, an array of structs: every complete object of the reply.
 
     A list, a single object, an object that holds a list under ``key``, text around it and an end cut off are all read;
-    a null or unreadable reply gives an empty array.
+    a null or unreadable reply gives an empty array. Replies that are a list of objects and nothing else are read by Spark's own
+    parser; only the others go to Python, which gives back the array itself.
     """
     names = re.findall(r"(\w+): string", schema)
-
-    def run(col: pd.Series) -> pd.Series:
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in names]))
+    reply = F.col("reply")
+    plain = F.from_json(reply, schema, {"mode": "PERMISSIVE"})
+    # a whole list whose entries are all objects with fields of these: anything else may hold more than the parser sees
+    clean = F.coalesce(reply.rlike(r"^\s*\[\s*\{") & F.json_array_length(reply).eqNullSafe(F.size(plain)) & F.forall(plain, lambda o: o.isNotNull() & F.coalesce(*(o[n] for n in names)).isNotNull()), F.lit(False))
+    if key:
+        clean = clean & ~F.contains(reply, F.lit(f'"{key}"'))
+
+    @F.arrow_udf(schema)
+    def salvaged(texts: pa.Array) -> pa.Array:
         text = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-        return col.map(lambda r: json.dumps([{n: text(o.get(n)) for n in names} for o in _objects(r, key)], ensure_ascii=False))
+        return pa.array([[{n: text(o.get(n)) for n in names} for o in _objects(r, key)] for r in texts.to_pylist()], kind)
 
-    return replies.withColumn("parsed", F.from_json(F.pandas_udf(run, "string")("reply"), schema))
+    rows = replies.withColumn("_plain", F.when(clean, plain))
+    rows = rows.withColumn("_salvaged", salvaged(F.when(F.col("_plain").isNull(), reply)))
+    return rows.withColumn("parsed", F.coalesce("_plain", "_salvaged")).drop("_plain", "_salvaged")
 
 
 def validate_triples(triples: DataFrame, dates: DataFrame) -> DataFrame:

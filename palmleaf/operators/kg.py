@@ -329,17 +329,17 @@ def name_cluster(start: DataFrame, alias_edges: DataFrame, hops: int | None = 10
         own = start.select("start").distinct().join(comp.hint("merge"), F.col("start") == F.col("node"), "left").select("start", F.coalesce("component", "start").alias("c"))
         members = own.join(comp.select(F.col("node").alias("m"), "component").hint("merge"), F.col("c") == F.col("component"), "left")
         return members.select("start", F.coalesce("m", "start").alias("node"))
-    both = materialize(alias_edges.select("src", "dst").unionByName(alias_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "aliases")
-    seen = materialize(start.select("start", F.col("start").alias("node"), F.lit(0).alias("hop")).distinct(), "cluster")
-    hop = 0
-    while hop < hops:
-        edge = seen.where(F.col("hop") == hop)
-        new = edge.join(both, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        hop += 1
-        new = materialize(new.withColumn("hop", F.lit(hop)), "frontier")
+    both = materialize(alias_edges.select("src", "dst").unionByName(alias_edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct(), "aliases")
+    front = materialize(start.select("start", F.col("start").alias("node")).distinct(), "frontier")
+    before, seen = front.limit(0), front
+    for _ in range(hops):
+        # what a node of one hop leads to lies in that hop, the one before or the next: no more of what was seen has to be looked at
+        known = front.unionByName(before)
+        step = front.join(both.hint("merge"), F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        new = materialize(step.join(known.hint("merge"), ["start", "node"], "left_anti"), "frontier")
         if new.isEmpty():
             break
-        seen = materialize(seen.unionByName(new), "cluster")
+        before, front, seen = front, new, seen.unionByName(new)
     return seen.select("start", "node")
 
 

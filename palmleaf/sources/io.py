@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
+from palmleaf.shared import materialize, numbered
 
+#: Rows of a file whose sums one task runs over.
+CELL = 10_000
 ESSAY = "id string, text string, topic string"
 TRIPLE = "subject string, relation string, object string, period string, source string"
 
@@ -18,10 +24,60 @@ def read_corpus(spark: SparkSession, path: str, paragraph_over: int = 50, senten
     return paras.select("doc", "para", F.posexplode(F.filter(F.transform(F.split("text", r"[.!?।]"), T.strip_ws), lambda s: F.length(s) > sentence_over)).alias("pos", "sentence"))
 
 
+def _running(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """``rows`` (file, g, ...) with ``out``: the sum of ``value`` over the rows of the file before. Summed by cells of CELL rows first, so that no window takes a file."""
+    cell = F.floor(F.col("g") / CELL)
+    sums = rows.groupBy("file", cell.alias("_cell")).agg(F.sum(value).alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("file").orderBy("_cell")) - F.col("_sum")).drop("_sum")
+    within = F.sum(value).over(Window.partitionBy("file", "_cell").orderBy("g")) - F.col(value)
+    rows = rows.withColumn("_cell", cell).withColumn("_within", within)
+    return rows.join(before.hint("merge"), ["file", "_cell"]).withColumn(out, F.col("_before") + F.col("_within")).drop("_cell", "_before", "_within")
+
+
+def json_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, pos, record)``: the objects of JSON files, each of which is an array of them (or has one after the other), as texts in order.
+
+    Files are read by lines, which many tasks share: a JSON text ends no string at a line's end, so each line tells by itself how
+    many brackets it opens; sums over the lines before say how deep it begins, and objects are cut where they close. A file
+    that is one line is cut by one task. What stands between objects is left out.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = numbered(lines.where(F.length(T.strip_ws(F.col("value"))) > 0), ["file", "block", "at"])
+    bare = F.regexp_replace("value", r'"(?:[^"\\]|\\.)*"', "")
+    count = lambda signs: F.length(bare) - F.length(F.translate(bare, signs, ""))
+    lines = _running(lines.withColumn("delta", (count("{[") - count("}]")).cast("long")), "delta", "depth")
+    first = lines.groupBy(F.col("file").alias("f")).agg(F.min_by(F.left(F.ltrim("value"), F.lit(1)), "g").alias("opens"))
+    lines = lines.join(first.hint("merge"), F.col("file") == F.col("f")).select("file", "g", "value", "depth", F.when(F.col("opens") == "[", 1).otherwise(0).alias("base"))
+    mark = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]')
+
+    def cut(it):
+        for pdf in it:
+            out = []
+            for file, g, value, depth, base in zip(pdf["file"], pdf["g"], pdf["value"], pdf["depth"], pdf["base"]):
+                since = 0 if depth > base else None
+                for m in mark.finditer(value):
+                    if m[0] in "{[":
+                        since = m.start() if m[0] == "{" and depth == base else since
+                        depth += 1
+                    elif m[0] in "}]":
+                        depth -= 1
+                        if depth == base and since is not None and m[0] == "}":
+                            out.append((file, g, m.start(), value[since : m.end()], 1))
+                            since = None
+                if since is not None and depth > base:
+                    out.append((file, g, len(value), value[since:], 0))
+            yield pd.DataFrame(out, columns=["file", "line", "place", "part", "closes"])
+
+    parts = materialize(lines.mapInPandas(cut, "file string, line long, place int, part string, closes long"), "parts")
+    parts = _running(numbered(parts, ["file", "line", "place"]), "closes", "pos")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "part"))), lambda x: x["part"]), "\n")  # lines of one object
+    return parts.groupBy("file", "pos").agg(joined.alias("record"))
+
+
 def read_essays_json(spark: SparkSession, path: str) -> DataFrame:
     """``(essay_id, topic, text)`` of JSON arrays; a missing id is essay_NNN by its place in the file."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{ESSAY.replace(' string', ': string')}>>")).alias("pos", "e"))
-    return raw.select(F.coalesce("e.id", F.format_string("essay_%03d", F.col("pos") + 1)).alias("essay_id"), F.col("e.topic").alias("topic"), F.col("e.text").alias("text"))
+    rows = json_records(spark, path).select("pos", F.from_json("record", ESSAY).alias("e"))
+    return rows.select(F.coalesce("e.id", F.format_string("essay_%03d", F.col("pos") + 1)).alias("essay_id"), F.col("e.topic").alias("topic"), F.col("e.text").alias("text"))
 
 
 def read_lexicon(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -46,8 +102,9 @@ def read_name_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_triples_json(spark: SparkSession, path: str) -> DataFrame:
-    """Flat triples; rows that are no objects are left out."""
-    return spark.read.schema(TRIPLE).option("multiLine", "true").option("mode", "PERMISSIVE").json(path).where("subject is not null or object is not null")
+    """Flat triples of JSON arrays; objects without both ends are left out."""
+    rows = json_records(spark, path).select(F.from_json("record", TRIPLE).alias("t")).select("t.*")
+    return rows.where("subject is not null or object is not null")
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
