@@ -29,6 +29,8 @@ ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)
 #: Lines a task decodes together, and lines the model is fitted on, in expectation.
 BLOCK, FIT_LINES = 512, 60_000
+#: Characters of a turn that one row of rendered turns begins to hold at most.
+PART_CHARS = 1 << 20
 #: Blocks of a transcript, or groups of them, whose ends are agreed on in one task.
 FAN = 1024
 
@@ -245,26 +247,33 @@ def recover_roles(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     return together(joined).mapInPandas(lean(decode), f"conv {kind}, pos bigint, block bigint, role_pred string, begins boolean, marker string, content string")
 
 
-def render_turns(found: DataFrame) -> DataFrame:
+def render_turns(found: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """``(conv, turn_no, part, role_pred, first_pos, n_lines, content, rendered)``: lines of recover_roles joined into turns.
 
-    A turn that goes on over the end of a block of BLOCK lines comes in several parts, numbered by their block; only its
-    first opens it and only its last closes it, so parts in order, joined by a line break, are the canonical text. Lines that
-    are nothing but a marker are no lines of a turn.
+    A turn is one row, part 0, wherever its blocks end; only one of over ``part_chars`` characters comes in parts, a line in that
+    one in which it begins. Only the first part opens the turn and only the last closes it, so parts in order, joined by a line
+    break, are the canonical text. Lines that are nothing but a marker are no lines of a turn.
     """
-    found = materialize(found, "roles").withColumn("in_block", F.expr("sum(cast(begins as int)) over (partition by conv, block order by pos)"))
-    pieces = found.groupBy("conv", "block", "in_block").agg(
+    found = materialize(found, "roles")
+    size = F.coalesce(F.length("content") + 1, F.lit(0)).cast("long")
+    found = found.withColumn("size", size).selectExpr("*", "sum(cast(begins as int)) over (partition by conv, block order by pos) as in_block")
+    # one row a turn or part of one in a block of BLOCK lines: turns before it, and characters of its turn before it
+    pieces = found.groupBy("conv", "block", "in_block").agg(F.sum("size").alias("n"), F.max("begins").cast("int").alias("opens"))
+    pieces = materialize(pieces, "pieces")
+    blocks = pieces.groupBy("conv", "block").agg(F.sum("opens").alias("turns"))
+    blocks = blocks.selectExpr("conv as b_conv", "block as b_block", "sum(turns) over (partition by conv order by block) - turns as turns_before")
+    pieces = pieces.join(blocks.hint("merge"), F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block")))
+    pieces = pieces.selectExpr("conv as p_conv", "block as p_block", "in_block as p_in", "cast(turns_before + in_block - 1 as bigint) as turn_no", "n")
+    pieces = pieces.selectExpr("p_conv", "p_block", "p_in", "turn_no", "sum(n) over (partition by p_conv, turn_no order by p_block) - n as chars_before")
+    joined = found.join(materialize(pieces, "pieces").hint("merge"), F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("block") == F.col("p_block")) & (F.col("in_block") == F.col("p_in")))
+    lines = joined.selectExpr("conv", "turn_no", "pos", "begins", "role_pred", "content", f"(chars_before + sum(size) over (partition by conv, block, in_block order by pos) - size) div {part_chars} as part")
+    parts = lines.groupBy("conv", "turn_no", "part").agg(
         F.min("pos").alias("first_pos"), F.count("*").alias("n_lines"), F.max("begins").alias("opens"), F.first("role_pred").alias("role_pred"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("pos", "content")))), lambda x: x["content"]), "\n").alias("content"),
     )
-    pieces = materialize(pieces, "pieces")
-    # one row a block: turns before it, and whether the next block goes on with its last turn
-    blocks = pieces.groupBy("conv", "block").agg(F.sum(F.col("opens").cast("int")).alias("turns"), F.max("in_block").alias("last_piece"), F.min(F.struct("first_pos", "opens"))["opens"].alias("opens_first"))
-    blocks = blocks.selectExpr("conv as b_conv", "block as b_block", "last_piece", "sum(turns) over (partition by conv order by block) - turns as turns_before", "not coalesce(lead(opens_first) over (partition by conv order by block), true) as goes_on")
-    joined = pieces.join(blocks.hint("merge"), F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block")))
-    closes = ~(F.col("goes_on") & (F.col("in_block") == F.col("last_piece")))
-    rendered = F.concat(F.when(F.col("opens"), F.concat(F.lit("<|"), F.col("role_pred"), F.lit("|>\n"))).otherwise(""), F.col("content"), F.when(closes, F.lit("\n<|end|>")).otherwise(""))
-    return joined.select("conv", (F.col("turns_before") + F.col("in_block") - 1).cast("long").alias("turn_no"), F.col("block").alias("part"), "role_pred", "first_pos", "n_lines", "content", rendered.alias("rendered"))
+    parts = parts.selectExpr("*", "part = max(part) over (partition by conv, turn_no) as closes")
+    rendered = F.concat(F.when(F.col("opens"), F.concat(F.lit("<|"), F.col("role_pred"), F.lit("|>\n"))).otherwise(""), F.col("content"), F.when(F.col("closes"), F.lit("\n<|end|>")).otherwise(""))
+    return parts.select("conv", "turn_no", "part", "role_pred", "first_pos", "n_lines", "content", rendered.alias("rendered"))
 
 
 #: Speaker names of the transcript styles of raw_transcripts, for system, user and assistant.
