@@ -254,26 +254,30 @@ def render_turns(found: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     one in which it begins. Only the first part opens the turn and only the last closes it, so parts in order, joined by a line
     break, are the canonical text. Lines that are nothing but a marker are no lines of a turn.
     """
-    found = materialize(found, "roles")
-    size = F.coalesce(F.length("content") + 1, F.lit(0)).cast("long")
-    found = found.withColumn("size", size).selectExpr("*", "sum(cast(begins as int)) over (partition by conv, block order by pos) as in_block")
-    # one row a turn or part of one in a block of BLOCK lines: turns before it, and characters of its turn before it
-    pieces = found.groupBy("conv", "block", "in_block").agg(F.sum("size").alias("n"), F.max("begins").cast("int").alias("opens"))
+    found = materialize(found, "roles").withColumn("in_block", F.expr("sum(cast(begins as int)) over (partition by conv, block order by pos)"))
+    text = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct(order, "content")))), lambda x: x["content"]), "\n")
+    facts = [F.min("pos").alias("first_pos"), F.count("*").alias("n_lines"), F.max("begins").alias("opens"), F.first("role_pred").alias("role_pred"), F.count("content").alias("n_texts")]
+    pieces = found.groupBy("conv", "block", "in_block").agg(*facts, text("pos").alias("content"))  # of BLOCK lines at most
     pieces = materialize(pieces, "pieces")
-    blocks = pieces.groupBy("conv", "block").agg(F.sum("opens").alias("turns"))
-    blocks = blocks.selectExpr("conv as b_conv", "block as b_block", "sum(turns) over (partition by conv order by block) - turns as turns_before")
-    pieces = pieces.join(blocks.hint("merge"), F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block")))
-    pieces = pieces.selectExpr("conv as p_conv", "block as p_block", "in_block as p_in", "cast(turns_before + in_block - 1 as bigint) as turn_no", "n")
-    pieces = pieces.selectExpr("p_conv", "p_block", "p_in", "turn_no", "sum(n) over (partition by p_conv, turn_no order by p_block) - n as chars_before")
-    joined = found.join(materialize(pieces, "pieces").hint("merge"), F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("block") == F.col("p_block")) & (F.col("in_block") == F.col("p_in")))
-    lines = joined.selectExpr("conv", "turn_no", "pos", "begins", "role_pred", "content", f"(chars_before + sum(size) over (partition by conv, block, in_block order by pos) - size) div {part_chars} as part")
-    parts = lines.groupBy("conv", "turn_no", "part").agg(
-        F.min("pos").alias("first_pos"), F.count("*").alias("n_lines"), F.max("begins").alias("opens"), F.first("role_pred").alias("role_pred"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("pos", "content")))), lambda x: x["content"]), "\n").alias("content"),
-    )
-    parts = parts.selectExpr("*", "part = max(part) over (partition by conv, turn_no) as closes")
+    # one row a block: turns before it, and whether its first and last turn lie in others, too
+    blocks = pieces.groupBy("conv", "block").agg(F.sum(F.col("opens").cast("int")).alias("turns"), F.max("in_block").alias("last_piece"), F.min(F.struct("first_pos", "opens"))["opens"].alias("opens_first"))
+    blocks = blocks.selectExpr("conv as b_conv", "block as b_block", "last_piece", "sum(turns) over (partition by conv order by block) - turns as turns_before", "not coalesce(lead(opens_first) over (partition by conv order by block), true) as goes_on")
+    joined = pieces.join(blocks.hint("merge"), F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block")))
+    spread = ~F.col("opens") | (F.col("goes_on") & (F.col("in_block") == F.col("last_piece")))
+    joined = joined.withColumns({"turn_no": (F.col("turns_before") + F.col("in_block") - 1).cast("long"), "spread": spread, "size": F.length("content").cast("long")})
+    names = ["conv", "turn_no", "part", "first_pos", "n_lines", "opens", "role_pred", "content", "closes"]
+    small = joined.where((~F.col("spread")) & (F.col("size") <= part_chars)).withColumns({"part": F.lit(0).cast("long"), "closes": F.lit(True)}).select(*names)
+    # turns over several blocks, or of many characters: few lines, placed by the characters of their turn before them
+    rest = materialize(joined.where(F.col("spread") | (F.col("size") > part_chars)).select("conv", "block", "in_block", "turn_no", F.when(F.col("n_texts") > 0, F.col("size") + 1).otherwise(0).alias("n")), "spread-turns")
+    rest = rest.selectExpr("conv as p_conv", "block as p_block", "in_block as p_in", "turn_no", "sum(n) over (partition by conv, turn_no order by block) - n as chars_before")
+    lines = found.join(rest.hint("merge"), F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("block") == F.col("p_block")) & (F.col("in_block") == F.col("p_in")))
+    size = "coalesce(length(content) + 1, 0)"
+    lines = lines.selectExpr("conv", "turn_no", "pos", "begins", "role_pred", "content", f"cast((chars_before + sum({size}) over (partition by conv, block, in_block order by pos) - {size}) div {part_chars} as bigint) as part")
+    parts = lines.groupBy("conv", "turn_no", "part").agg(*facts, text("pos").alias("content"))
+    parts = parts.selectExpr("*", "part = max(part) over (partition by conv, turn_no) as closes").select(*names)
+    out = small.unionByName(parts)
     rendered = F.concat(F.when(F.col("opens"), F.concat(F.lit("<|"), F.col("role_pred"), F.lit("|>\n"))).otherwise(""), F.col("content"), F.when(F.col("closes"), F.lit("\n<|end|>")).otherwise(""))
-    return parts.select("conv", "turn_no", "part", "role_pred", "first_pos", "n_lines", "content", rendered.alias("rendered"))
+    return out.select("conv", "turn_no", "part", "role_pred", "first_pos", "n_lines", "content", rendered.alias("rendered"))
 
 
 #: Speaker names of the transcript styles of raw_transcripts, for system, user and assistant.

@@ -373,7 +373,7 @@ def test_chat(spark, monkeypatch):
     whole = "\n".join(turns.rendered)
     assert (turns.part == 0).all() and not turns.turn_no.duplicated().any()  # turns go over ends of blocks in one row
     cut = chat.render_turns(found, 40).orderBy("turn_no", "part").toPandas()
-    assert "\n".join(cut.rendered) == whole and cut.turn_no.duplicated().any() and all(len(g) == 1 or g.content.str.len().iloc[:-1].max() >= 0 for _, g in cut.groupby("turn_no"))
+    assert cut.turn_no.duplicated().any() and ["\n".join(g.rendered) for _, g in cut.groupby("turn_no")] == list(turns.rendered)
     monkeypatch.setattr(chat, "BLOCK", 10_000)
     assert whole == "\n".join(chat.render_turns(chat.recover_roles(df, model)).orderBy("first_pos").toPandas().rendered)
     assert turns.turn_no.nunique() == sum(k < 3 for k in one) and whole.count("<|end|>") == turns.turn_no.nunique()
