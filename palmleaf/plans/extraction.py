@@ -216,7 +216,11 @@ def combined(spark, sf) -> DataFrame:
 
 @query("select doc_id, (case when toxic = 0 then 5 else 0 end + coalesce(quality * 2 + 1, 0) + 6)::int as total, case when quality * 2 + 1 <= 2 then 'D2' else 'D3' end as weakest from labels")
 def combined_runs(spark, sf):
-    return combined(spark, sf).select("doc_id", "total", "weakest")
+    """Appended to the history in two goes, and read back."""
+    path, rows = fresh(spark, "combined"), combined(spark, sf)
+    for half in (0, 1):
+        runs.append(rows.where(F.pmod("doc_id", F.lit(2)) == half).withColumn("run_id", F.col("doc_id")), path)
+    return spark.read.parquet(path).select("doc_id", "total", "weakest")
 
 
 @query("select doc_id::varchar as slug, '20240506_070809' as version, '{\"body\":{\"total\":' || total::varchar || '},\"scores\":{\"Coherence\":' || d2::varchar || '},\"weakest_area\":\"' || case when d2 <= 2 then 'D2' else 'D3' end || '\"}' as payload from (select doc_id, quality * 2 + 1 as d2, case when toxic = 0 then 5 else 0 end + quality * 2 + 1 + 6 as total from labels where quality is not null)")
@@ -354,6 +358,21 @@ def dimension_notes(spark, sf):
     return f.select("essay_id", d3.alias("d3_wrong"), d4.alias("d4_advice"), F.when(d2 == "", 0).otherwise(F.size(F.split(d2, r" \| "))).cast("long").alias("n_d2"))
 
 
+_ABSENT = lambda text: _LIST(*((f"not {essays._any('lower(text)', words)}", text(t)) for t, words in essays.MARKERS.items()))
+D3_ADVICE = (("mattr < 0.45", "vary the words"), ("academic_density < 0.05", "name things by subject terms"), ("n_informal > 0", "choose written forms"), ("n_repeated > 0", "use other words for them"))
+D4_WRONG = (("not has_intro", "no opening"), ("not has_thesis", "no claim"), ("n_paragraphs < 4", "short body"), ("not has_conclusion", "no close"))
+
+
+@query(FEATURES + f" select essay_id, {_ABSENT(lambda t: t + ': none')} as d2_wrong, {_ABSENT(lambda t: 'link with ' + t)} as d2_advice, {_LIST(*D3_ADVICE)} as d3_advice, {_LIST(*D4_WRONG)} as d4_wrong from ft join documents on doc_id = essay_id")
+def note_texts(spark, sf):
+    """The other texts of the notes of dimension_notes."""
+    f = frame(spark, sf)
+    d2 = scoring.coherence_note(F.col("types"), list(essays.MARKERS))
+    d3 = scoring.vocabulary_note(F.col("mattr"), F.col("academic_density"), F.col("n_informal"), F.col("n_repeated"))
+    d4 = scoring.structure_note(F.col("has_intro"), F.col("has_thesis"), F.col("n_paragraphs"), F.col("has_conclusion"))
+    return f.select("essay_id", d2["what_wrong"].alias("d2_wrong"), d2["how_to_improve"].alias("d2_advice"), d3["how_to_improve"].alias("d3_advice"), d4["what_wrong"].alias("d4_wrong"))
+
+
 @query(f"with {essays.CTE_ALL}, b as (select doc_id as essay_id, {essays.STRIP(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} as t from documents), g as (select essay_id, case when length(t) = 0 then 'blank' when length(t) < 30 then 'too short' when len(regexp_extract_all(lower(t), '[\\p{{L}}]+')) = 0 then 'no script tokens' when len(string_split_regex(t, '\\s+')) < 10 then 'too few words' end as reason from b) select essay_id, reason, case when reason is null then D2 end as D2, case when reason is null then D3 end as D3, case when reason is null then D4 end as D4 from g join sc using (essay_id)")
 def batch_scores(spark, sf):
     """Every essay once: scores of those that can be scored, the reason of the others."""
@@ -361,10 +380,12 @@ def batch_scores(spark, sf):
     return scoring.batch_auto_score(e, features.academic_vocabulary(essays.paragraph_table(spark, sf)), essays.INFORMAL, essays.MARKERS, essays.SIGNALS, essays.NEWLINE).drop("n_tokens")
 
 
-@query("select doc_id, case when toxic is null then 'not checked' when toxic = 1 then 'check failed: no answer | claim 1' when quality = 0 then 'nothing to verify | claim 1' else '3 correct, 1 incorrect: 75.0% | claim 1' end as note from labels")
+@query("select doc_id, case when toxic is null then 'not checked' when toxic = 1 then 'check failed: no answer | claim 1' when quality = 0 then 'nothing to verify | claim 1' else (doc_id % 3 + 1) || ' correct, ' || (doc_id % 2) || ' incorrect: ' || case doc_id % 6 when 0 then '100.0' when 1 then '66.7' when 2 then '100.0' when 3 then '50.0' when 4 then '100.0' else '75.0' end || '% | claim 1' end as note from labels")
 def d1_notes(spark, sf):
     ok = F.when(F.col("toxic").isNotNull(), F.col("toxic") != 1)
-    note = scoring.accuracy_note(ok, F.when(F.col("quality") != 0, 75.0), F.lit(3), F.lit(1), F.lit("no answer"), F.array(F.lit("claim 1")))
+    good, bad = F.col("doc_id") % 3 + 1, F.col("doc_id") % 2
+    accuracy = F.when(F.col("quality") != 0, F.round(good * 100 / (good + bad), 1))
+    note = scoring.accuracy_note(ok, accuracy, good, bad, F.lit("no answer"), F.array(F.lit("claim 1")))
     return table(spark, sf, "labels").select("doc_id", F.when(ok.isNull(), "not checked").otherwise(note).alias("note"))
 
 
