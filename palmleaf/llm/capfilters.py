@@ -10,7 +10,8 @@ leave a direction's bucket.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 from math import ceil, cos, pi, sqrt
 
 import numpy as np
@@ -67,11 +68,19 @@ def cap_law(dim: int, cosine: float, share: float) -> tuple[float, float]:
 
 @dataclass(frozen=True)
 class Caps:
-    """Code sets, each a turn, the codes of both halves and the partners that each first code has among the second ones,
-    and the least inner product of a direction's cap."""
+    """``sets`` code sets over vectors of ``dim`` components: each a turn, ``each`` codes of both halves and ``places`` partners that
+    a first code has among the second ones; ``least`` is the least inner product of a direction's cap.
 
-    sets: tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...]
+    Codes are drawn from ``seed`` and the number of their set wherever they are needed, and partners follow from a start and
+    a step of each first code, so that these six numbers are all that tasks are sent, however many directions there are.
+    """
+
+    dim: int
+    each: int
+    places: int
     least: float
+    sets: int
+    seed: int = 11
 
     @classmethod
     def fit(cls, n: int, dim: int, cosine: float, miss: float = 1e-7, seed: int = 11) -> Caps:
@@ -79,9 +88,10 @@ class Caps:
         with probability ``miss`` only.
 
         The share of vectors in a cap is BUCKET / n (SHARE_MOST at most, but more where a pair would hardly ever share
-        one). Directions of one set are not independent, so the miss of each set is measured, on drawn pairs at exactly
-        ``cosine`` decoded with its codes, and bounded from above. Sets are turned independently, so that for any one
-        pair the misses of sets multiply.
+        one). Codes of a half are at least as many as a code's partners, so that no direction stands twice. Directions of
+        one set are not independent, so the miss of each set is measured, on drawn pairs at exactly ``cosine`` decoded with
+        its codes, and bounded from above. Sets are turned independently, so that for any one pair the misses of sets
+        multiply.
         """
         share = min(SHARE_MOST, BUCKET / max(n, 1))
         least, both = cap_law(dim, cosine, share)
@@ -89,31 +99,41 @@ class Caps:
             share = min(1.0, 2 * share)
             least, both = cap_law(dim, cosine, share)
         directions = SHARED / both
-        each = min(ceil(directions / PARTNERS), CODES)
-        cut = dim - dim // 2
-        draw, pairs = np.random.default_rng(seed), np.random.default_rng(seed + 1)
-        sets: list[tuple] = []
-        left = 1.0
+        each = max(min(ceil(directions / PARTNERS), CODES), ceil(sqrt(directions)))
+        pairs, sets, left = np.random.default_rng(seed + 1), 0, 1.0
+        found = cls(dim, each, ceil(directions / each), least, 0, seed)
         while left > miss:
-            turn = np.linalg.qr(draw.standard_normal((dim, dim)))[0]
-            turn = turn * draw.choice([-1.0, 1.0], dim)
-            first, second = (unit(draw.standard_normal((each, k))) * sqrt(k / dim) if k else np.zeros((each, 0)) for k in (cut, dim - cut))
-            sets.append((turn, first, second, draw.integers(0, each, (each, ceil(directions / each)), np.int32)))
-            left *= cls(tuple(sets[-1:]), least).missed(cosine, pairs)
-        return cls(tuple(sets), least)
+            left *= found.missed(sets, cosine, pairs)
+            sets += 1
+        return replace(found, sets=sets)
 
     @property
     def size(self) -> int:
         """Directions of all sets."""
-        return sum(partners.size for *_, partners in self.sets)
+        return self.sets * self.each * self.places
+
+    @cached_property
+    def _drawn(self) -> dict[int, tuple[np.ndarray, ...]]:
+        return {}
+
+    def codes(self, number: int) -> tuple[np.ndarray, ...]:
+        """Turn, codes of both halves, and the start and step of each first code's partners, of one set; steps have no
+        factor in common with the number of codes, so that a code's partners differ."""
+        if number not in self._drawn:
+            draw, dim, each = np.random.default_rng([self.seed, number]), self.dim, self.each
+            turn = np.linalg.qr(draw.standard_normal((dim, dim)))[0] * draw.choice([-1.0, 1.0], dim)
+            halves = [unit(draw.standard_normal((each, k))) * sqrt(k / dim) if k else np.zeros((each, 0)) for k in (dim - dim // 2, dim // 2)]
+            steps = np.flatnonzero(np.gcd(np.arange(each + 1), each) == 1)
+            self._drawn[number] = (turn, *halves, draw.integers(0, each, each), draw.choice(steps, each))
+        return self._drawn[number]
 
-    def missed(self, cosine: float, draw: np.random.Generator, pairs: int = PAIRS) -> float:
-        """Upper bound (three standard deviations) of the probability that a pair at ``cosine`` shares no direction."""
+    def missed(self, number: int, cosine: float, draw: np.random.Generator, pairs: int = PAIRS) -> float:
+        """Upper bound (three standard deviations) of the probability that a pair at ``cosine`` shares no direction of one set."""
         lost = 0
         for at in range(0, pairs, 256):
             n = min(256, pairs - at)
-            x, y = pairs_at(cosine, n, len(self.sets[0][0]), draw)
-            a, b = (np.stack(self.decode(v), axis=1) for v in (x, y))
+            x, y = pairs_at(cosine, n, self.dim, draw)
+            a, b = (np.stack(self._decode_set(v, number), axis=1) for v in (x, y))
             both = np.concatenate([a, b])
             both = both[np.lexsort((both[:, 1], both[:, 0]))]
             lost += n - len(np.unique(both[1:][(both[1:] == both[:-1]).all(axis=1), 0]))
@@ -121,23 +141,22 @@ class Caps:
 
     def decode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, direction) of all caps that hold a row, by row and direction; directions are numbered through all sets."""
-        found, first = [], 0
-        for turn, *codes in self.sets:
-            row, direction = self._decode_set(rows @ turn, *codes)
-            found.append((row, direction + first))
-            first += codes[-1].size
+        found = [self._decode_set(rows, number) for number in range(self.sets)]
         row, direction = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(row, kind="stable")  # within a row and set they are found in order already
         return row[order], direction[order]
 
-    def _decode_set(self, turned: np.ndarray, first: np.ndarray, second: np.ndarray, partners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cut, step, parts = first.shape[1], max(1, CELLS // partners.shape[1]), []
+    def _decode_set(self, rows: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+        turn, first, second, start, stride = self.codes(number)
+        turned, cut, step, parts = rows @ turn, first.shape[1], max(1, CELLS // self.places), []
         left, right = turned[:, :cut] @ first.T, turned[:, cut:] @ second.T
         row, code = np.nonzero(left >= self.least - right.max(axis=1, keepdims=True))
+        place = np.arange(self.places)
         for i in range(0, len(row), step):
             r, c = row[i : i + step], code[i : i + step]
-            at, place = np.nonzero(left[r, c][:, None] + right[r[:, None], partners[c]] >= self.least)
-            parts.append((r[at], c[at] * partners.shape[1] + place))
+            partner = (start[c][:, None] + stride[c][:, None] * place) % self.each
+            at, p = np.nonzero(left[r, c][:, None] + right[r[:, None], partner] >= self.least)
+            parts.append((r[at], (number * self.each + c[at]) * self.places + p))
         found = zip(*parts) if parts else (([row], [code]))
         return tuple(np.concatenate(x) for x in found)  # type: ignore[return-value]
 
@@ -151,9 +170,8 @@ def pairs_at(cosine: float, n: int, dim: int, draw: np.random.Generator) -> tupl
     return x, cosine * x + sqrt(max(0.0, 1 - cosine**2)) * y
 
 
-def _decoded(caps, dim: int):
+def _decoded(c: Caps, dim: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Caps(*caps.value)
         for b in it:
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
@@ -238,9 +256,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, dim: int | None
     distinct = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
     distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("key"), "first_id", "n", "embedding"), "distinct-vectors")
     caps = Caps.fit(distinct.count(), max(dim, 1), cosine)
-    shared = spark.sparkContext.broadcast((caps.sets, caps.least))
+    caps = Caps(caps.dim, caps.each, caps.places, caps.least, caps.sets, caps.seed)  # without the codes drawn here; tasks draw their own
     kind = dict(distinct.dtypes)["embedding"]
-    met = distinct.select("key", "n", "embedding").mapInArrow(_decoded(shared, dim), f"direction bigint, key bigint, n bigint, embedding {kind}, earlier array<{'int' if caps.size < 1 << 31 else 'bigint'}>")
+    met = distinct.select("key", "n", "embedding").mapInArrow(_decoded(caps, dim), f"direction bigint, key bigint, n bigint, embedding {kind}, earlier array<{'int' if caps.size < 1 << 31 else 'bigint'}>")
     met = materialize(met, "directions")
     large = met.groupBy("direction").agg(F.count("*").alias("rows")).where(F.col("rows") > CHUNK)
     large = large.select(F.col("direction").alias("d"), F.ceil(F.col("rows") / F.lit(CHUNK // 2)).cast("int").alias("chunks"))
