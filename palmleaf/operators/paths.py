@@ -14,10 +14,16 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 5) -> DataFra
     Each round takes one step for every open pair, from that of its ends with fewer nodes in front; the fronts of all pairs are one
     table. Since every node within the steps of its side has been seen, a pair is done when its fronts first meet. A front keeps for each
     node the least way to it (from a), or from it (to b): at most ``most`` + 1 nodes; the least path is the least way to a
-    meeting node and on. Pairs that are done leave. Pairs with a null end have no path; a node is joined to itself by no edge.
+    meeting node and on. A node of one neighbour is on a path as its end only, so others do not step there: a hub's leaves are
+    not dealt to every pair that comes by it. Pairs that are done leave. Pairs with a null end have no path; a node is joined to
+    itself by no edge.
     """
     both = edges.select(F.col("src_id").alias("s"), F.col("dst_id").alias("d")).where("s != d")
     ways = materialize(both.unionByName(both.select(F.col("d").alias("s"), F.col("s").alias("d"))).distinct(), "ways")
+    leaves = ways.groupBy("s").agg(F.count("*").alias("n")).where("n = 1").select(F.col("s").alias("leaf")).hint("merge")
+    to_leaf = F.col("d") == F.col("leaf")
+    through = materialize(ways.join(leaves, to_leaf, "left_anti"), "ways")
+    ending = materialize(ways.join(leaves, to_leaf, "left_semi"), "ways")
     asked = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null").distinct()
     done = asked.where("a = b").select("a", "b", F.lit(0).alias("hops"), F.array("a").alias("path"))
     asked = materialize(asked.where("a != b"), "pairs")
@@ -31,7 +37,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 5) -> DataFra
         turn = sizes.where("n_a > 0 and n_b > 0").select(F.col("a").alias("p"), F.col("b").alias("q"), F.when(F.col("n_a") <= F.col("n_b"), "a").otherwise("b").alias("turn"))
         here = materialize(front.join(turn.hint("merge"), (F.col("a") == F.col("p")) & (F.col("b") == F.col("q"))).drop("p", "q"), "fronts")
         going, waiting = here.where("side = turn"), here.where("side != turn").drop("turn")
-        step = going.join(ways.hint("merge"), F.col("node") == F.col("s"))
+        goal = F.when(F.col("side") == "a", F.col("b")).otherwise(F.col("a"))
+        step = going.join(through.hint("merge"), F.col("node") == F.col("s"))
+        step = step.unionByName(going.join(ending.hint("merge"), (F.col("node") == F.col("s")) & (goal == F.col("d"))))
         way = F.when(F.col("side") == "a", F.concat("way", F.array("d"))).otherwise(F.concat(F.array("d"), "way"))
         step = step.select("a", "b", "side", F.col("d").alias("node"), way.alias("way")).groupBy("a", "b", "side", "node").agg(F.min("way").alias("way"))
         new = materialize(step.join(seen.hint("merge"), ["a", "b", "side", "node"], "left_anti"), "fronts")
