@@ -29,12 +29,28 @@ def extraction_gate(tags: DataFrame) -> DataFrame:
     return tags.where(F.col("label") != "DATE_ERA").groupBy("sent_id").agg(F.count("*").alias("n")).where("n >= 2")
 
 
+def relation_rank() -> Column:
+    """Place of ``relation`` among the priority relations; all others share the last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(r) for r in PRIORITY)), F.col("relation")), F.lit(0)), F.lit(len(PRIORITY) + 1))
+
+
+def leading_facts(facts: DataFrame, most: int = FACTS_MOST) -> DataFrame:
+    """Of each entity's facts (entity, subject, relation, object, period), each (subject, relation, object) once, the first ``most`` + 1
+    by priority relation, then relation, subject and object.
+
+    format_facts shows an essay nothing else: ``most`` facts of one entity that come before another of it do so in any essay,
+    and ``most`` + 1 still tell that there are more. So facts are cut an entity, before essays multiply them.
+    """
+    once = facts.groupBy("entity", "subject", "relation", "object").agg(F.min(F.struct("period")).alias("p"))
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(relation_rank(), "relation", "subject", "object"))
+    return once.withColumn("place", place).where(F.col("place") <= most + 1).select("entity", "subject", "relation", "object", "p.period")
+
+
 def format_facts(facts: DataFrame, most: int = FACTS_MOST) -> DataFrame:
     """``(essay_id, n_facts, text)``: numbered lines of each essay's facts (essay_id, seq, subject, relation, object, period); where there
     are more than ``most``, the first of them by priority relation, then seq; else by seq."""
-    first = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(r) for r in PRIORITY)), F.col("relation")), F.lit(0)), F.lit(len(PRIORITY) + 1))
     rows = facts.withColumn("n", F.count("*").over(Window.partitionBy("essay_id")))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("essay_id").orderBy(F.when(F.col("n") > most, first).otherwise(0), "seq"))).where(F.col("rank") <= most)
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("essay_id").orderBy(F.when(F.col("n") > most, relation_rank()).otherwise(0), "seq"))).where(F.col("rank") <= most)
     period = F.when(F.length("period") > 0, F.concat(F.lit(" ("), "period", F.lit(")"))).otherwise("")
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), "subject", F.lit(" "), "relation", F.lit(" "), "object", period)
     return rows.groupBy("essay_id").agg(F.max("n").alias("n_facts"), F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])).alias("text"))
@@ -213,7 +229,7 @@ def check_essays(essays: DataFrame, subjects: DataFrame, facts: DataFrame, repli
     """
     known = subjects.where("subject is not null")
     entities = known.select("essay_id", F.posexplode("others").alias("order", "entity"))
-    pooled = pool_facts(entities, facts)
+    pooled = pool_facts(entities, materialize(leading_facts(facts), "leading-facts"))
     seq = Window.partitionBy("essay_id").orderBy("order", "relation", "subject", "object")
     text = materialize(format_facts(pooled.withColumn("seq", F.row_number().over(seq))), "facts")
     batches = T.batch_sentences(essays.join(known.select("essay_id").hint("merge"), "essay_id", "left_semi"))

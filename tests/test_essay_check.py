@@ -1,6 +1,11 @@
 """The essay check from tags and graph to accuracy, and the fourth tier of tags."""
 
 import json
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from palmleaf.operators import claims
 
@@ -47,3 +52,19 @@ def test_tags_by_normal_form(spark):
     none = spark.createDataFrame([], "seq int, canonical string, alias string")
     got = claims.extract_relations(tags, replies, forms.where("canonical != ''"), none).collect()
     assert [(r.subject, r.object) for r in got] == [("First", "Town")]
+
+
+@pytest.mark.parametrize("n_facts", [30, 80, 81, 300])
+def test_facts_cut_an_entity_show_an_essay_the_same(spark, n_facts):
+    rnd = random.Random(n_facts)
+    relations = ["RULED", "BUILT", "LIKED", "ANSWERED", None]
+    facts = [(e, f"s{rnd.randrange(9)}", rnd.choice(relations), f"o{rnd.randrange(40)}", rnd.choice([None, "", "1050"])) for e in ("x", "y", "z") for _ in range(n_facts if e != "z" else 10)]
+    facts = spark.createDataFrame(facts, "entity string, subject string, relation string, object string, period string")
+    entities = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (2, 0, "y"), (2, 1, "x"), (2, 2, "z"), (3, 0, "z"), (4, 0, "none")], "essay_id int, order int, entity string")
+    seq = Window.partitionBy("essay_id").orderBy("order", "relation", "subject", "object")
+
+    def shown(rows):
+        pooled = claims.pool_facts(entities, rows).withColumn("seq", F.row_number().over(seq))
+        return {r.essay_id: r.text for r in claims.format_facts(pooled).collect()}
+
+    assert shown(facts) == shown(claims.leading_facts(facts))
