@@ -167,7 +167,8 @@ def gram_size(ratio: float, longest: int) -> int:
 def _grams(name: Column, q: int) -> Column:
     """Grams of a string, the n-th of equal ones with its n, so that sets of them are compared as bags."""
     bare = F.when(F.length(name) >= q, F.transform(F.sequence(F.lit(1), F.length(name) - q + 1), lambda i: F.substr(name, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
-    return F.transform(bare, lambda g, i: F.concat(g, F.lit("\0"), F.size(F.filter(F.slice(bare, F.lit(1), i), lambda h: h == g)).cast("string")))
+    numbered = lambda held: F.transform(held, lambda g, i: F.concat(g, F.lit("\0"), F.size(F.filter(F.slice(held, F.lit(1), i), lambda h: h == g)).cast("string")))
+    return F.transform(F.array(bare), numbered)[0]  # an array of one, so that the grams are cut once a string, not once for each of them
 
 
 def alike(tokens: DataFrame, names: DataFrame, ratio: float) -> DataFrame:
