@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
+from palmleaf.shared import materialize
 
 WINDOW = 50
 
@@ -69,6 +70,56 @@ def token_counts(essays: DataFrame, script: str = T.LETTERS) -> DataFrame:
     return rows.groupBy("essay_id", "r.token").agg(F.sum("r.n").alias("n"), F.min("r.first").alias("first"))
 
 
+def words_of(essays: DataFrame, script: str = T.LETTERS, *columns: str) -> DataFrame:
+    """``(essay_id, words)`` and ``columns``: the words of each row as an array; a null text has none."""
+    return essays.select("essay_id", *columns, T.tokens(F.coalesce("text", F.lit("")), script).alias("words"))
+
+
+def again(words: Column, times: int = 5) -> Column:
+    """From a sorted array the words of three letters or more from their ``times``-th place on: a word that comes n times is left n - times + 1 times."""
+    return F.filter(words, lambda w, k: (k >= times - 1) & (F.get(words, k - (times - 1)) == w) & (F.length(w) >= 3))
+
+
+def by_id(essays: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Essays whose id comes once, and those of ids that come again, None if there are none: only these need their words grouped by id, for words of one row are counted within it."""
+    repeated = essays.groupBy(F.col("essay_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    repeated = materialize(repeated, "repeated-ids")
+    if repeated.isEmpty():
+        return essays, None
+    same = F.col("essay_id").eqNullSafe(F.col("_id"))
+    return essays.join(repeated, same, "left_anti"), essays.join(repeated, same, "left_semi")
+
+
+def token_stats(essays: DataFrame, script: str = T.LETTERS) -> DataFrame:
+    """``(essay_id, n_tokens, n_types)`` of essays with words; texts of one id are taken together."""
+    once, more = by_id(essays)
+    out = words_of(once, script).select("essay_id", F.size("words").cast("long").alias("n_tokens"), F.size(F.array_distinct("words")).cast("long").alias("n_types")).where("n_tokens > 0")
+    return out if more is None else out.unionByName(token_counts(more, script).groupBy("essay_id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_types")))
+
+
+def words_again(essays: DataFrame, times: int = 5, script: str = T.LETTERS) -> DataFrame:
+    """repeated_words of the essays themselves: only words that come ``times`` times become rows."""
+    once, more = by_id(essays)
+    rows = words_of(once, script).select("essay_id", F.sort_array("words").alias("words")).select("essay_id", again(F.col("words"), times).alias("words"))
+    rows = rows.select("essay_id", F.explode_outer("words").alias("token")).where("token is not null")
+    out = rows.groupBy("essay_id", "token").agg((F.count("*") + (times - 1)).alias("n"))
+    return out if more is None else out.unionByName(repeated_words(token_counts(more, script), times))
+
+
+def lexical_counts(essays: DataFrame, vocabulary: DataFrame, informal: list[str], script: str = T.LETTERS) -> DataFrame:
+    """As lexical, of the essays themselves: different and repeated words are counted within a row; its words meet the vocabulary, which is
+    written first, so that Spark sends it to all tasks only where it is small."""
+    once, more = by_id(essays)
+    known = materialize(vocabulary.select(F.col("token").alias("v")).distinct(), "vocabulary")
+    rows = words_of(once, script).select("essay_id", "words", F.sort_array("words").alias("sorted"))
+    rows = rows.select("essay_id", "words", F.size(F.array_distinct("words")).cast("long").alias("n_types"), F.size(F.array_distinct(again(F.col("sorted")))).cast("long").alias("n_repeated"))
+    marked = rows.select("essay_id", "n_types", "n_repeated", F.explode_outer("words").alias("token")).join(known, F.col("token") == F.col("v"), "left")
+    out = marked.groupBy("essay_id").agg(
+        F.count("token").alias("n_tokens"), F.first("n_types").alias("n_types"), F.first("n_repeated").alias("n_repeated"), F.count("v").alias("n_academic"), F.count_if(F.col("token").isin(*informal)).alias("n_informal")
+    )
+    return out if more is None else out.unionByName(lexical(more, token_counts(more, script), known.withColumnRenamed("v", "token"), informal))
+
+
 def lexical(essays: DataFrame, counts: DataFrame, vocabulary: DataFrame, informal: list[str]) -> DataFrame:
     """``(essay_id, n_tokens, n_types, n_repeated, n_academic, n_informal)``; vocabulary has the column token."""
     known = vocabulary.select(F.col("token").alias("v")).distinct()
@@ -116,18 +167,20 @@ def sentence_variance(essays: DataFrame, script: str = T.LETTERS) -> DataFrame:
 
 def academic_vocabulary(paragraphs: DataFrame, least_paragraphs: int = 3, least_length: int = 4, script: str = T.LETTERS) -> DataFrame:
     """``(token, n_paragraphs)`` of tokens in that many paragraphs or more; paragraphs has para_id and text."""
-    rows = paragraphs.select("para_id", F.explode(F.array_distinct(T.tokens(F.col("text"), script))).alias("token"))
-    return rows.groupBy("token").agg(F.count("*").alias("n_paragraphs")).where((F.col("n_paragraphs") >= least_paragraphs) & (F.length("token") >= least_length))
+    rows = paragraphs.select(F.array_distinct(T.tokens(F.col("text"), script)).alias("words"))
+    rows = rows.select(F.explode_outer("words").alias("token")).where(F.length("token") >= least_length)  # outer, as in token_counts
+    return rows.groupBy("token").agg(F.count("*").alias("n_paragraphs")).where(F.col("n_paragraphs") >= least_paragraphs)
 
 
 def extract_entities(docs: DataFrame, after: list[str], inside: list[str]) -> DataFrame:
     """Distinct ``(kind, entity)``: the word before and a word of ``after``; words that hold one of ``inside`` and are longer by two."""
     words = docs.select(F.split(T.strip_ws(F.col("text")), r"\s+").alias("w"))
-    each = words.select("w", F.posexplode("w").alias("i", "word"))
-    named = each.where(F.col("word").isin(*after) & (F.col("i") > 0)).select(F.lit("named").alias("kind"), F.concat_ws(" ", F.get("w", F.col("i") - 1), "word").alias("entity"))
-    holds = reduce(lambda a, m: a | (F.contains("word", F.lit(m)) & (F.length("word") > len(m) + 1)), inside, F.lit(False))
-    places = each.where(holds).select(F.lit("place").alias("kind"), F.col("word").alias("entity"))
-    return named.unionByName(places).distinct()
+    named = lambda x, i: F.when(x.isin(*after) & (i > 0), F.struct(F.lit("named").alias("kind"), F.concat_ws(" ", F.get("w", i - 1), x).alias("entity")))
+    holds = lambda x: reduce(lambda a, m: a | (F.contains(x, F.lit(m)) & (F.length(x) > len(m) + 1)), inside, F.lit(False))
+    place = F.transform(F.filter("w", holds), lambda x: F.struct(F.lit("place").alias("kind"), x.alias("entity")))
+    # picked within the row, so that no array of words goes with each word
+    found = words.select(F.array_distinct(F.concat(F.array_compact(F.transform("w", named)), place)).alias("found"))
+    return found.select(F.explode_outer("found").alias("e")).where("e is not null").select("e.*").distinct()
 
 
 def fact_sections(paragraphs: DataFrame, is_heading: Column, dates: Column, cut: int = 200) -> DataFrame:
@@ -168,7 +221,7 @@ def extract_features(essays: DataFrame, vocabulary: DataFrame, informal: list[st
     """One row an essay (ids are unique): counts of lexical, the ratios mattr, academic_density, informal_ratio and repeated_ratio (4 places),
     discourse types, n_paragraphs and the flags of structure, and the sentence variance. signals: intro, thesis, conclusion."""
     ratio = lambda a, b: F.coalesce(F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 4), F.lit(0.0))
-    out = lexical(essays, token_counts(essays), vocabulary, informal).join(mattr(essays).hint("merge"), "essay_id").join(sentence_variance(essays).hint("merge"), "essay_id")
+    out = lexical_counts(essays, vocabulary, informal).join(mattr(essays).hint("merge"), "essay_id").join(sentence_variance(essays).hint("merge"), "essay_id")
     own = essays.select("essay_id", discourse(F.lower(F.coalesce("text", F.lit(""))), markers).alias("types"), structure(F.coalesce("text", F.lit("")), *signals, separator).alias("s"))
     out = out.join(own.select("essay_id", "types", "s.*").hint("merge"), "essay_id")
     return out.withColumns({"mattr": ratio("distinct_sum", "window_words"), "academic_density": ratio("n_academic", "n_tokens"), "informal_ratio": ratio("n_informal", "n_tokens"), "repeated_ratio": ratio("n_repeated", "n_types")})
