@@ -17,10 +17,18 @@ ESSAY = "id string, text string, topic string"
 TRIPLE = "subject string, relation string, object string, period string, source string"
 
 
-def read_corpus(spark: SparkSession, path: str, paragraph_over: int = 50, sentence_over: int = 20) -> DataFrame:
-    """``(doc, para, pos, sentence)`` of whole text files: paragraphs between empty lines, sentences between . ! ? and danda."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), "value")
-    paras = files.select("doc", F.posexplode(T.paragraphs(F.col("value"), r"\n\n", paragraph_over)).alias("para", "text"))
+def read_corpus(spark: SparkSession, path: str, paragraph_over: int = 50, sentence_over: int = 20, separator: str | None = None) -> DataFrame:
+    """``(doc, para, pos, sentence)`` of whole text files: paragraphs between empty lines, sentences between . ! ? and danda.
+
+    With ``separator`` a file holds many texts, one after the other with it between them: for corpora of more texts than a folder holds
+    files; doc is then the file and the row's own number.
+    """
+    if separator is None:
+        files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), "value")
+    else:
+        files = spark.read.option("lineSep", separator).text(path).select(F.concat_ws("#", F.input_file_name(), F.monotonically_increasing_id().cast("string")).alias("doc"), "value")
+    paras = files.select("doc", T.paragraphs(F.col("value"), r"\n\n", paragraph_over).alias("parts"))
+    paras = paras.select("doc", F.posexplode_outer("parts").alias("para", "text")).where("text is not null")  # outer, or parts are made twice
     return paras.select("doc", "para", F.posexplode(F.filter(F.transform(F.split("text", r"[.!?।]"), T.strip_ws), lambda s: F.length(s) > sentence_over)).alias("pos", "sentence"))
 
 

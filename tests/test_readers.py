@@ -30,3 +30,15 @@ def test_conll_blocks(spark, tmp_path):
     (tmp_path / "a.conll").write_text("one B-X\ntwo\tI-X\n\n\n\nthree O\n  \nfour B-Y")
     got = sorted((r.block, r.pos, r.token, r.tag) for r in io.read_conll(spark, str(tmp_path)).collect())
     assert [g[1:] for g in got] == [(0, "one", "B-X"), (1, "two", "I-X"), (0, "three", "O"), (1, "four", "B-Y")]
+
+
+def test_packed_corpus(spark, tmp_path):
+    """Texts in one file with a separator between them are read as those in files of their own."""
+    texts = [f"The first paragraph of text {i}, which is long enough! Short. And a second sentence of it.\n\ntoo short\n\nAnother paragraph of text {i} that is as long as the first" for i in range(5)]
+    (tmp_path / "each").mkdir()
+    for i, text in enumerate(texts):
+        (tmp_path / "each" / f"{i}.txt").write_text(text)
+    (tmp_path / "packed.txt").write_text("\f".join(texts))
+    got = [io.read_corpus(spark, str(tmp_path / "each")), io.read_corpus(spark, str(tmp_path / "packed.txt"), separator="\f")]
+    each, packed = (sorted(map(tuple, g.select("para", "pos", "sentence").collect())) for g in got)
+    assert each == packed and len(each) == 15 and got[1].select("doc").distinct().count() == 5
