@@ -228,9 +228,10 @@ def node_detail(nodes: DataFrame, edges: DataFrame, names: DataFrame | None = No
     """
     own = nodes.select(F.col("node_id").alias("own"))
     touched = edges.join(own.hint("shuffle_hash"), (F.col("src_id") == F.col("own")), "left_semi").unionByName(edges.join(own.hint("shuffle_hash"), (F.col("dst_id") == F.col("own")), "left_semi")).distinct() if names is not None else edges
-    named = with_names(touched, nodes if names is None else names)
-    out = named.groupBy(F.col("src_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("relation", F.col("object").alias("name"), "period"))).alias("outgoing"))
-    into = named.groupBy(F.col("dst_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("relation", F.col("subject").alias("name"), "period"))).alias("incoming"))
+    # a list needs the names of its other ends only, for the nodes themselves join below
+    other = (nodes if names is None else names).select(F.col("node_id").alias("far"), "name")
+    listed = lambda own, far, to: touched.join(other, F.col(far) == F.col("far")).groupBy(F.col(own).alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("relation", "name", "period"))).alias(to))
+    out, into = listed("src_id", "dst_id", "outgoing"), listed("dst_id", "src_id", "incoming")
     return nodes.join(out, "node_id", "left").join(into, "node_id", "left")
 
 
