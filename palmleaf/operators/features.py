@@ -150,7 +150,11 @@ def discourse(text: Column, markers: dict[str, list[str]]) -> Column:
 
 def structure(text: Column, intro: list[str], thesis: list[str], conclusion: list[str], separator: str = r"\n\s*\n") -> Column:
     """Struct n_paragraphs, has_intro, has_thesis, has_conclusion."""
-    paras = T.paragraphs(text, separator)
+    return structure_of(T.paragraphs(text, separator), intro, thesis, conclusion)
+
+
+def structure_of(paras: Column, intro: list[str], thesis: list[str], conclusion: list[str]) -> Column:
+    """structure from the column of paragraphs, which an expression would make again for each field."""
     first, last = F.lower(F.coalesce(F.try_element_at(paras, F.lit(1)), F.lit(""))), F.lower(F.coalesce(F.try_element_at(paras, F.lit(-1)), F.lit("")))
     return F.struct(F.size(paras).alias("n_paragraphs"), T.contains_any(first, intro).alias("has_intro"), T.contains_any(first, thesis).alias("has_thesis"), T.contains_any(last, conclusion).alias("has_conclusion"))
 

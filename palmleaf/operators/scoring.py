@@ -57,21 +57,19 @@ def score_texts(essays: DataFrame, vocabulary: DataFrame, informal: list[str], m
     known = materialize(vocabulary.select(F.col("token").alias("v")).distinct(), "vocabulary")
     text = F.coalesce("text", F.lit(""))
     own = F.struct(
-        coherence_score(F.size(features.discourse(F.lower(text), markers))).alias("D2"), features.structure(text, *signals, separator).alias("s"), features.moving_types(F.col("places")).alias("m"),
+        coherence_score(F.size(features.discourse(F.col("low"), markers))).alias("D2"), features.structure_of(F.col("paras"), *signals).alias("s"), features.moving_types(F.col("places")).alias("m"),
+        F.size(F.array_distinct("words")).cast("long").alias("n_types"), F.size(F.array_distinct(features.again(F.col("sorted")))).cast("long").alias("n_repeated"),
     )
-    rows = essays.select("essay_id", "text", features.word_places(T.tokens(text, script)).alias("places"))
-    rows = rows.select("essay_id", own.alias("own"), "places", features.run_starts(F.col("places")).alias("starts"))
-    rows = rows.select("essay_id", "own", features.word_runs(F.col("places"), F.col("starts")).alias("runs"))  # made once a text, before there is a row for each word
-    each = rows.select("essay_id", "own", F.explode_outer("runs").alias("r")).select("essay_id", "own", "r.token", "r.n")
-    marked = each.join(known, F.col("token") == F.col("v"), "left")
-    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    out = marked.groupBy("essay_id").agg(
-        F.first("own").alias("own"), n(F.col("token").isNotNull()).alias("n_tokens"), F.count("token").alias("n_types"), F.count_if((F.length("token") >= 3) & (F.col("n") >= 5)).alias("n_repeated"),
-        n(F.col("v").isNotNull()).alias("n_academic"), n(F.col("token").isin(*informal)).alias("n_informal"),
-    ).select("*", "own.m.*", "own.s.*")
+    rows = features.words_of(essays, script, "text")
+    rows = rows.select("essay_id", F.lower(text).alias("low"), T.paragraphs(text, separator).alias("paras"), "words", features.word_places(F.col("words")).alias("places"))
+    rows = rows.select("essay_id", "low", "paras", "words", "places", F.transform("places", lambda x: x["w"]).alias("sorted"))
+    rows = rows.select("essay_id", own.alias("own"), "words").select("essay_id", "own.D2", "own.s.*", "own.m.*", "own.n_types", "own.n_repeated", "words")  # numbers, which a hash aggregate can hold; a struct makes it sort
+    own_columns = [c for c in rows.columns if c not in ("essay_id", "words")]
+    marked = rows.select("essay_id", *own_columns, F.explode_outer("words").alias("token")).join(known, F.col("token") == F.col("v"), "left")
+    out = marked.groupBy("essay_id").agg(*(F.first(c).alias(c) for c in own_columns), F.count("token").alias("n_tokens"), F.count("v").alias("n_academic"), F.count_if(F.col("token").isin(*informal)).alias("n_informal"))
     d3 = vocabulary_score(ratio("distinct_sum", "window_words"), ratio("n_academic", "n_tokens"), ratio("n_repeated", "n_types"), ratio("n_informal", "n_tokens"))
     d4 = structure_score(F.col("n_paragraphs"), F.col("has_intro"), F.col("has_thesis"), F.col("has_conclusion"))
-    return out.select("essay_id", "n_tokens", F.col("own.D2").alias("D2"), d3.alias("D3"), d4.alias("D4"))
+    return out.select("essay_id", "n_tokens", "D2", d3.alias("D3"), d4.alias("D4"))
 
 
 def batch_auto_score(essays: DataFrame, vocabulary: DataFrame, informal: list[str], markers: dict[str, list[str]], signals: tuple[list[str], list[str], list[str]], separator: str = r"\n\s*\n", script: str = T.LETTERS) -> DataFrame:
