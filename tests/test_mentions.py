@@ -4,6 +4,7 @@ import random
 import unicodedata
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 
 from palmleaf.operators import mentions
@@ -78,3 +79,26 @@ def test_fuzzy_against_all_pairs(spark, ratio):
     got = mentions.find_mentions_fuzzy(df, spark.createDataFrame(listed, NAMES), spark.createDataFrame(exact, "text_id int"), ratio, "[a-z]+").collect()
     assert sorted(map(tuple, got)) == sorted(want) and want
     assert mentions.find_mentions_fuzzy(df, spark.createDataFrame([], NAMES), spark.createDataFrame(exact, "text_id int"), ratio).count() == 0
+
+
+def test_rows_go_on_in_pieces():
+    """What a batch of texts gives goes on as it is made, some rows at a time, also where one text gives more; nulls give none, a null key stays."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 3, 4]), pa.array(["a b c d e", "f", None, "g h"])], names=["text_id", "text"])
+    taken = []
+
+    def batches():
+        for _ in range(2):
+            taken.append(1)
+            yield batch
+
+    def words(text):
+        return ((w, i) for i, w in enumerate(text.split()))
+
+    pieces = mentions.in_pieces(batches(), words, mentions.TOKEN, 3)
+    first = next(pieces)
+    assert len(taken) == 1 and first.num_rows == 3  # before the first text has ended
+    got = [first, *pieces]
+    assert max(b.num_rows for b in got) == 3
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    once = [(1, w, i) for i, w in enumerate("abcde")] + [(None, "f", 0), (4, "g", 0), (4, "h", 1)]
+    assert rows == once * 2
