@@ -308,8 +308,12 @@ def relation_page(triples: DataFrame, subject_holds: str, page: int, rows: int =
 def entity_facts(edges: DataFrame, nodes: DataFrame, names: DataFrame) -> DataFrame:
     """All triples that touch any of ``names`` (by name or alias), with the asked ``entity``."""
     ids = find_node(names, nodes).where("node_id is not null").select(F.col("name").alias("entity"), F.col("node_id").alias("i"))
-    e = with_names(edges, nodes)
-    both = e.join(ids.hint("merge"), F.col("src_id") == F.col("i")).unionByName(e.join(ids.hint("merge"), (F.col("dst_id") == F.col("i")) & (F.col("src_id") != F.col("dst_id"))))
+    ids = materialize(ids, "asked")  # few or many: joins to it go by its real size
+    one = ids.select(F.col("i").alias("k")).distinct()
+    ends = F.when(F.col("src_id") == F.col("dst_id"), F.array("src_id")).otherwise(F.array("src_id", "dst_id"))
+    # the ends that are asked for, from one pass over the edges; names join what is left
+    touched = edges.withColumn("own", F.explode(ends)).join(one, F.col("own") == F.col("k"), "left_semi")
+    both = with_names(touched, nodes).join(ids, F.col("own") == F.col("i"))
     return both.select("entity", "subject", "relation", "object", "period")
 
 
