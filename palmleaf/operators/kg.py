@@ -178,7 +178,8 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[
     e = edges.join(m.select(F.col("f").alias("f1"), F.col("t").alias("t1")), F.col("src_id") == F.col("f1"), "left").join(m.select(F.col("f").alias("f2"), F.col("t").alias("t2")), F.col("dst_id") == F.col("f2"), "left")
     moved = F.col("f1").isNotNull() | F.col("f2").isNotNull()
     e = e.select(F.coalesce("t1", "src_id").alias("src_id"), "relation", F.coalesce("t2", "dst_id").alias("dst_id"), "period", "source_citation", "confidence", moved.cast("int").alias("moved")).where("moved = 0 or src_id != dst_id")
-    best = e.groupBy(*EDGE).agg(F.min_by(F.struct("period", "source_citation", "confidence"), F.struct("moved", "period", "source_citation")).alias("m"))
+    # edges hardly meet before they are dealt, so they are dealt first: a task that makes edges does not sort them as well
+    best = e.repartition(*EDGE).groupBy(*EDGE).agg(F.min_by(F.struct("period", "source_citation", "confidence"), F.struct("moved", "period", "source_citation")).alias("m"))
     return left, best.select(*EDGE, "m.*")
 
 

@@ -24,6 +24,12 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_merged_edges_are_dealt_before_they_are_sorted(spark, graph):
+    nodes, edges, _ = graph
+    text = plan(kg.merge_nodes(nodes, edges, spark.createDataFrame([(1, 2)], "from_id long, to_id long"))[1])
+    assert text.index("partial_min_by") < text.index("Exchange hashpartitioning(src_id")  # the plan's top comes first
+
+
 def test_facts_of_entities_read_edges_once(spark, graph):
     nodes, edges, rows = graph
     out = kg.entity_facts(edges, nodes, spark.createDataFrame([("n1",), ("a1",), ("n3",), ("n3",), ("nobody",)], "name string"))
