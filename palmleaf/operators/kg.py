@@ -78,8 +78,10 @@ def upsert_nodes(nodes: DataFrame, incoming: DataFrame, next_id: int | None = No
 def upsert_edges(edges: DataFrame, nodes: DataFrame, triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges after triples (subject, relation, object, period, source) came in, and each triple's ``status``: created, duplicate or missing node."""
     t = find_node(triples, nodes, "subject").withColumnRenamed("node_id", "src_id")
-    t = find_node(t, nodes, "object").withColumnRenamed("node_id", "dst_id")
-    have = edges.select(*(F.col(c).alias(f"h_{c}") for c in EDGE)).distinct()
+    t = materialize(find_node(t, nodes, "object").withColumnRenamed("node_id", "dst_id"), "triples")
+    # only keys of the triples are made different, the edges are just looked into: they may be very many
+    have = t.select(*EDGE).distinct().join(edges.select(*EDGE).hint("merge"), EDGE, "left_semi")
+    have = have.select(*(F.col(c).alias(f"h_{c}") for c in EDGE))
     t = t.join(have.hint("merge"), (F.col("src_id") == F.col("h_src_id")) & (F.col("relation") == F.col("h_relation")) & (F.col("dst_id") == F.col("h_dst_id")), "left")
     status = F.when(F.col("src_id").isNull() | F.col("dst_id").isNull(), "missing node").when(F.col("h_src_id").isNotNull(), "duplicate").otherwise("created")
     t = t.withColumn("status", status)

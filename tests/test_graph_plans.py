@@ -30,6 +30,16 @@ def test_merged_edges_are_dealt_before_they_are_sorted(spark, graph):
     assert text.index("partial_min_by") < text.index("Exchange hashpartitioning(src_id")  # the plan's top comes first
 
 
+def test_upserts_look_into_edges(spark, graph):
+    nodes, edges, rows = graph
+    triples = [("n1", "R", "n2", "", ""), ("a1", "R", "n2", "", ""), ("n1", "NEW", "n2", "", ""), ("n1", "NEW", "n2", "", ""), ("n1", "R", "none", "", "")]
+    after, status = kg.upsert_edges(edges, nodes, spark.createDataFrame(triples, "subject string, relation string, object string, period string, source string"))
+    assert "LeftSemi" in plan(status)
+    known = "duplicate" if any(r[:3] == (1, "R", 2) for r in rows) else "created"
+    assert sorted(r.status for r in status.collect()) == sorted([known, known, "created", "created", "missing node"])
+    assert after.count() == len(rows) + 1 + (known == "created")
+
+
 def test_facts_of_entities_read_edges_once(spark, graph):
     nodes, edges, rows = graph
     out = kg.entity_facts(edges, nodes, spark.createDataFrame([("n1",), ("a1",), ("n3",), ("n3",), ("nobody",)], "name string"))
