@@ -46,3 +46,8 @@ def test_facts_of_entities_read_edges_once(spark, graph):
     assert plan(out).count("source_citation") == 0 and plan(out).count("palmleaf-test-edges") == 1
     want = [(e, f"n{s}", r, f"n{d}", p) for e, i in (("n1", 1), ("a1", 1), ("n3", 3), ("n3", 3)) for s, r, d, p, _, _ in rows if i in (s, d) and s < 8 and d < 8]
     assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_facts_of_an_essay_are_dealt_once(spark):
+    text = plan(history.format_facts(spark, "/root/testdata/sf0.001"))
+    assert text.count("Exchange hashpartitioning(src_id") + text.count("Exchange hashpartitioning(essay_id") == 1
