@@ -5,7 +5,7 @@ Writes return new frames and a table of what happened; nothing is changed in pla
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
@@ -20,6 +20,8 @@ NODE_LABELS = ("King", "Monk", "Person", "Place", "Monument", "Dynasty", "Battle
 LABEL_OF = {"PERSON_KING": "King", "PERSON_MONK": "Monk", "PERSON_OTHER": "Person", "LOCATION": "Place", "MONUMENT": "Monument", "DYNASTY": "Dynasty", "BATTLE_EVENT": "Battle", "CHRONICLE": "Chronicle", "RELIC": "Relic"}
 EDGE = ["src_id", "relation", "dst_id"]
 ALIAS = "ALSO_KNOWN_AS"
+#: Places up to which Spark cuts a numbered group before it is dealt (spark.sql.optimizer.windowGroupLimitThreshold).
+LEADING_MOST = 1000
 
 
 def find_node(names: DataFrame, nodes: DataFrame, name: str = "name") -> DataFrame:
@@ -241,21 +243,26 @@ def node_detail(nodes: DataFrame, edges: DataFrame, names: DataFrame | None = No
 def node_facts(nodes: DataFrame, edges: DataFrame, asked: DataFrame, page: int = 1, rows: int = 20) -> DataFrame:
     """``(node_id, place, direction, relation, name, period)``: one page of the facts of each asked node (node_id), places counted from 1.
 
-    Outgoing facts come first, then by relation, other name and period; a self-loop comes in both directions. Facts are dealt by
-    ranges of this order, so a hub lies in many tasks, and numbered from the sizes of the ranges: no node's facts become one row or one
-    group. Repeated edges are repeated facts, asked nodes without facts give no row.
+    Outgoing facts come first, then by relation, other name and period; a self-loop comes in both directions. Of pages that end within
+    ``LEADING_MOST`` facts each task leaves a node's first ones before they are dealt by node, so a hub brings that many from each task.
+    Of later pages facts are dealt by ranges of the order and numbered from the sizes of the ranges, so a hub lies in many tasks. No
+    node's facts become one row or one group. Repeated edges are repeated facts, asked nodes without facts give no row.
     """
-    wanted = asked.select(F.col("node_id").alias("own")).where("own is not null").distinct()
+    wanted = materialize(asked.select(F.col("node_id").alias("own")).where("own is not null").distinct(), "asked")
     name = nodes.select(F.col("node_id").alias("other"), "name")
-    out = edges.select(F.col("src_id").alias("node_id"), F.lit("out").alias("direction"), "relation", F.col("dst_id").alias("far"), "period")
-    into = edges.select(F.col("dst_id").alias("node_id"), F.lit("in").alias("direction"), "relation", F.col("src_id").alias("far"), "period")
-    facts = out.unionByName(into).join(wanted, F.col("node_id") == F.col("own"), "left_semi")
+    end = lambda own, direction, far: F.struct(F.col(own).alias("node_id"), F.lit(direction).alias("direction"), F.col(far).alias("far"))
+    both = F.array(end("src_id", "out", "dst_id"), end("dst_id", "in", "src_id"))
+    facts = edges.select("relation", "period", F.explode(both).alias("e")).select("e.*", "relation", "period")  # one pass over the edges
+    facts = facts.join(wanted, F.col("node_id") == F.col("own"), "left_semi")
     facts = facts.join(name, F.col("far") == F.col("other")).select("node_id", "direction", "relation", "name", "period")
-    order = [F.col("node_id"), F.col("direction").desc(), F.col("relation"), F.col("name"), F.col("period")]
-    placed = numbered(facts, order)
+    order, last = [F.col("direction").desc(), F.col("relation"), F.col("name"), F.col("period")], page * rows
+    if last <= LEADING_MOST:
+        placed = facts.withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy(*order))).where(F.col("r") <= last).withColumn("place", F.col("r").cast("long"))
+        return placed.where(F.col("place") > last - rows).select("node_id", "place", "direction", "relation", "name", "period")
+    placed = numbered(facts, [F.col("node_id"), *order])
     first = placed.groupBy(F.col("node_id").alias("n")).agg(F.min("g").alias("first"))
     placed = placed.join(first, F.col("node_id") == F.col("n")).withColumn("place", F.col("g") - F.col("first") + 1).drop("n", "g", "first")
-    return placed.where(F.col("place").between((page - 1) * rows + 1, page * rows)).select("node_id", "place", "direction", "relation", "name", "period")
+    return placed.where(F.col("place").between(last - rows + 1, last)).select("node_id", "place", "direction", "relation", "name", "period")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, loops_twice: bool = False) -> DataFrame:

@@ -48,6 +48,17 @@ def test_facts_of_entities_read_edges_once(spark, graph):
     assert sorted(map(tuple, out.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("page", [1, 2, 4])
+def test_pages_of_facts_both_ways(spark, graph, monkeypatch, page):
+    nodes, edges, _ = graph
+    cut = kg.node_facts(nodes, edges, nodes, page)
+    assert "WindowGroupLimit" in plan(cut) and plan(cut).count("palmleaf-test-edges") == 1
+    monkeypatch.setattr(kg, "LEADING_MOST", 0)
+    ranged = kg.node_facts(nodes, edges, nodes, page)
+    assert cut.schema.simpleString() == ranged.schema.simpleString()
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, ranged.collect()))
+
+
 def test_facts_of_an_essay_are_dealt_once(spark):
     text = plan(history.format_facts(spark, "/root/testdata/sf0.001"))
     assert text.count("Exchange hashpartitioning(src_id") + text.count("Exchange hashpartitioning(essay_id") == 1
