@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -41,9 +42,34 @@ def leading_facts(facts: DataFrame, most: int = FACTS_MOST) -> DataFrame:
     format_facts shows an essay nothing else: ``most`` facts of one entity that come before another of it do so in any essay,
     and ``most`` + 1 still tell that there are more. So facts are cut an entity, before essays multiply them.
     """
-    once = facts.groupBy("entity", "subject", "relation", "object").agg(F.min(F.struct("period")).alias("p"))
-    place = F.row_number().over(Window.partitionBy("entity").orderBy(relation_rank(), "relation", "subject", "object"))
-    return once.withColumn("place", place).where(F.col("place") <= most + 1).select("entity", "subject", "relation", "object", "p.period")
+    # equal facts share a place, so tasks leave an entity's first places before facts are dealt, once and by entity alone
+    place = F.dense_rank().over(Window.partitionBy("entity").orderBy(relation_rank(), "relation", "subject", "object"))
+    first = facts.select("entity", "subject", "relation", "object", "period").withColumn("place", place).where(F.col("place") <= most + 1)
+    once = first.groupBy("entity", "subject", "relation", "object").agg(F.min(F.struct("period")).alias("p"))
+    return once.select("entity", "subject", "relation", "object", "p.period")
+
+
+def fact_lists(facts: DataFrame, most: int = FACTS_MOST) -> DataFrame:
+    """``(entity, facts)``: leading_facts of each entity as one array, by relation, subject and object; ``most`` + 1 at most."""
+    fact = F.struct("relation", "subject", "object", relation_rank().alias("rank"), "period")
+    return leading_facts(facts, most).groupBy("entity").agg(F.sort_array(F.collect_list(fact)).alias("facts"))
+
+
+def essay_facts(entities: DataFrame, lists: DataFrame, most: int = FACTS_MOST) -> DataFrame:
+    """format_facts of pool_facts from fact_lists, by order, relation, subject and object: essay_entities (essay_id, order, entity) take whole
+    lists, so facts are dealt by essay once, and are pooled, cut and numbered within its row."""
+    parts = lists.join(entities.hint("shuffle_hash"), "entity").groupBy("essay_id").agg(F.sort_array(F.collect_list(F.struct("order", "entity", "facts"))).alias("parts"))
+    rows = parts.select("essay_id", F.flatten(F.col("parts.facts")).alias("all"))
+    same = ("subject", "relation", "object")
+    rows = rows.select("essay_id", F.sort_array(F.transform("all", lambda x, i: F.struct(*(x[c].alias(c) for c in same), i.alias("at"), x["rank"].alias("rank"), x["period"].alias("period")))).alias("all"))
+    again = lambda x, before: reduce(lambda a, b: a & b, (x[c].eqNullSafe(before[c]) for c in same))
+    rows = rows.select("essay_id", F.filter("all", lambda x, i: (i == 0) | ~again(x, F.get("all", i - 1))).alias("facts"))
+    rows = rows.select("essay_id", F.size("facts").cast("long").alias("n_facts"), "facts")
+    place = lambda x: F.struct(F.when(F.col("n_facts") > most, x["rank"]).otherwise(0).alias("rank"), x["at"].alias("at"), *(x[c].alias(c) for c in same), x["period"].alias("period"))
+    rows = rows.select("essay_id", "n_facts", F.slice(F.sort_array(F.transform("facts", place)), 1, most).alias("facts"))
+    period = lambda x: F.when(F.length(x["period"]) > 0, F.concat(F.lit(" ("), x["period"], F.lit(")"))).otherwise("")
+    line = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["subject"], F.lit(" "), x["relation"], F.lit(" "), x["object"], period(x))
+    return rows.select("essay_id", "n_facts", F.concat_ws("\n", F.transform("facts", line)).alias("text"))
 
 
 def format_facts(facts: DataFrame, most: int = FACTS_MOST) -> DataFrame:
@@ -189,8 +215,8 @@ def begins_in(inner: Column, outer: Column) -> Column:
     return F.coalesce(F.greatest(F.instr(outer, inner) - 1, F.lit(0)), F.lit(0))
 
 
-def facts_of_entities(entities: DataFrame, nodes: DataFrame, edges: DataFrame, aliases: DataFrame, static: DataFrame | None = None, hops: int = 10) -> DataFrame:
-    """``(entity, subject, relation, object, period)``: facts that touch any node of the entity's name, its aliases (canonical, alias) or what up to
+def facts_of_entities(entities: DataFrame, nodes: DataFrame, edges: DataFrame, aliases: DataFrame, static: DataFrame | None = None, hops: int = 10, most: int = FACTS_MOST) -> DataFrame:
+    """``(entity, facts)``, fact_lists of the facts that touch any node of the entity's name, its aliases (canonical, alias) or what up to
     ``hops`` alias edges join to these; static facts (subject, relation, object, period) of its names where the graph has none."""
     entities = entities.select("entity").where("entity is not null").distinct()
     other = aliases.select(F.col("canonical").alias("c"), "alias").where("alias is not null")
@@ -199,15 +225,21 @@ def facts_of_entities(entities: DataFrame, nodes: DataFrame, edges: DataFrame, a
     starts = materialize(kg.find_node(seeds, nodes).where("node_id is not null").select("entity", F.col("node_id").alias("start")).distinct(), "starts")
     links = edges.where(F.col("relation") == kg.ALIAS).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
     cluster = kg.name_cluster(starts.select("start").distinct(), links, hops)
-    own = materialize(starts.join(cluster.hint("merge"), "start").select("entity", "node").distinct(), "clusters")
-    touched = edges.join(own.hint("merge"), F.col("src_id") == F.col("node")).unionByName(edges.join(own.hint("merge"), F.col("dst_id") == F.col("node")))
-    touched = touched.select("entity", "src_id", "relation", "dst_id", "period").distinct()
-    facts = materialize(kg.with_names(touched, nodes).select("entity", "subject", "relation", "object", "period"), "facts")
+    own = starts.join(cluster.hint("merge"), "start").select("entity", F.col("node").alias("node_id")).distinct()
+    own = materialize(own.join(nodes.select("node_id", "name"), "node_id"), "clusters")
+    # an edge gets its other end's name first and comes to the entity with it; of edges that lead to an entity only those go on
+    rows = edges.select("src_id", "relation", "dst_id", "period")
+    end = lambda frame, key, name, *more: frame.select(F.col("node_id").alias(key), F.col("name").alias(name), *more)
+    out = rows.join(end(nodes, "dst_id", "object"), "dst_id").join(end(own, "src_id", "subject", "entity"), "src_id")
+    into = rows.join(end(own, "dst_id", "object", "entity"), "dst_id").join(end(nodes, "src_id", "subject"), "src_id")
+    columns = ("entity", "subject", "relation", "object", "period")
+    lists = materialize(fact_lists(out.select(*columns).unionByName(into.select(*columns)), most), "fact-lists")
     if static is None:
-        return facts
+        return lists
     kept = static.select("subject", "relation", "object", "period")
     of_names = kept.join(seeds.hint("merge"), F.col("subject") == F.col("name")).unionByName(kept.join(seeds.hint("merge"), F.col("object") == F.col("name")))
-    return materialize(facts_with_fallback(facts, of_names.select("entity", "subject", "relation", "object", "period").distinct()), "facts")
+    rest = of_names.select(*columns).join(lists.select("entity").hint("merge"), "entity", "left_anti")
+    return materialize(lists.unionByName(fact_lists(rest, most)), "fact-lists")
 
 
 def assess_essays(essays: DataFrame, tags: DataFrame, names: DataFrame, nodes: DataFrame, edges: DataFrame, aliases: DataFrame, replies: DataFrame, static: DataFrame | None = None, script: str = SINHALA_CLASS, continuations: tuple[str, ...] = CONTINUATIONS, one_unit: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -216,9 +248,9 @@ def assess_essays(essays: DataFrame, tags: DataFrame, names: DataFrame, nodes: D
     Mentions, facts of their name clusters with the static ones behind them, the subject of each essay, then check_essays.
     """
     found = materialize(essay_mentions(essays, tags, names, script, continuations, one_unit), "essay-mentions")
-    facts = facts_of_entities(found.select(F.col("name").alias("entity")), nodes, edges, aliases, static)
-    subjects = materialize(essay_subject(found, facts.select(F.col("entity").alias("name"))), "subjects")
-    return (subjects, *check_essays(essays, subjects, facts, replies))
+    lists = facts_of_entities(found.select(F.col("name").alias("entity")), nodes, edges, aliases, static)
+    subjects = materialize(essay_subject(found, lists.select(F.col("entity").alias("name"))), "subjects")
+    return (subjects, *_check(essays, subjects, lists, replies))
 
 
 def check_essays(essays: DataFrame, subjects: DataFrame, facts: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -227,11 +259,13 @@ def check_essays(essays: DataFrame, subjects: DataFrame, facts: DataFrame, repli
     subjects: (essay_id, subject, others) of essay_subject; facts: (entity, subject, relation, object, period); replies: (essay_id, batch_no,
     reply), null for a failed call. Essays without a subject have no requests and no claims, and an empty accuracy row.
     """
+    return _check(essays, subjects, materialize(fact_lists(facts), "fact-lists"), replies)
+
+
+def _check(essays: DataFrame, subjects: DataFrame, lists: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """check_essays from fact_lists."""
     known = subjects.where("subject is not null")
-    entities = known.select("essay_id", F.posexplode("others").alias("order", "entity"))
-    pooled = pool_facts(entities, materialize(leading_facts(facts), "leading-facts"))
-    seq = Window.partitionBy("essay_id").orderBy("order", "relation", "subject", "object")
-    text = materialize(format_facts(pooled.withColumn("seq", F.row_number().over(seq))), "facts")
+    text = essay_facts(known.select("essay_id", F.posexplode("others").alias("order", "entity")), lists)
     batches = T.batch_sentences(essays.join(known.select("essay_id").hint("merge"), "essay_id", "left_semi"))
     batches = materialize(batches, "batches")
     requests = build_requests(batches, text, known)

@@ -68,3 +68,25 @@ def test_facts_cut_an_entity_show_an_essay_the_same(spark, n_facts):
         return {r.essay_id: r.text for r in claims.format_facts(pooled).collect()}
 
     assert shown(facts) == shown(claims.leading_facts(facts))
+
+
+@pytest.mark.parametrize("n_facts", [30, 80, 81, 300])
+def test_lists_of_facts_show_an_essay_the_same(spark, n_facts):
+    rnd = random.Random(n_facts)
+    relations = ["RULED", "BUILT", "LIKED", "ANSWERED", None]
+    facts = [(e, f"s{rnd.randrange(9)}", rnd.choice(relations), f"o{rnd.randrange(40)}", rnd.choice([None, "", "1050"])) for e in ("x", "y", "z") for _ in range(n_facts if e != "z" else 10)]
+    facts = spark.createDataFrame(facts, "entity string, subject string, relation string, object string, period string")
+    entities = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (2, 0, "y"), (2, 1, "x"), (2, 2, "z"), (3, 0, "z"), (4, 0, "none")], "essay_id int, order int, entity string")
+    seq = Window.partitionBy("essay_id").orderBy("order", "relation", "subject", "object")
+    pooled = claims.pool_facts(entities, facts).withColumn("seq", F.row_number().over(seq))
+    texts = claims.essay_facts(entities, claims.fact_lists(facts))
+    assert {r.essay_id: r.text for r in claims.format_facts(pooled).collect()} == {r.essay_id: r.text for r in texts.collect()}
+
+
+def test_facts_of_essays_are_dealt_three_times_at_most(spark):
+    """By entity, once for the lists and once for the essays that take them, then by essay."""
+    facts = spark.range(100).selectExpr("concat('e', id % 7) as entity", "'s' as subject", "'R' as relation", "cast(id as string) as object", "'' as period")
+    entities = spark.range(50).selectExpr("id as essay_id", "0 as order", "concat('e', id % 7) as entity")
+    text = claims.essay_facts(entities, claims.fact_lists(facts))
+    plan = text._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(entity") <= 2 and plan.count("Exchange hashpartitioning(essay_id") == 1 and plan.count("Exchange") <= 3, plan
