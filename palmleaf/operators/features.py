@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,9 @@ from palmleaf.functions import text as T
 from palmleaf.shared import materialize
 
 WINDOW = 50
+#: Words that word_figures looks at in one go: a batch of rows may hold millions.
+WORDS_MOST = 500_000
+FIGURES = ("distinct_sum", "window_words", "n_types", "n_repeated")
 
 
 def gate(essays: DataFrame, least_chars: int = 30, least_words: int = 10, script: str = T.LETTERS) -> DataFrame:
@@ -40,21 +46,44 @@ def word_runs(places: Column, starts: Column) -> Column:
     return F.array_compact(F.transform(starts, run))
 
 
-def moving_types(places: Column, window: int = WINDOW) -> Column:
-    """Struct (distinct_sum, window_words) from the column of word_places: distinct words of all windows of ``window`` words, and the words in them.
+def word_figures(words: Column, window: int = WINDOW, times: int = 5) -> Column:
+    """Struct (distinct_sum, window_words, n_types, n_repeated) of an array of words: distinct words of all windows of ``window`` words, and the
+    words in them; different words, and those of them of three letters or more that come ``times`` times or more.
 
     A word counts as distinct once in each window that holds it, there by its first place, so at place i with the same word last at
-    place p it counts in the windows that begin after p and hold i.
+    place p it counts in the windows that begin after p and hold i. Words are numbered and sorted a batch of rows, not a row, at a time.
     """
-    n = F.size(places)
 
-    def windows(x: Column, k: Column) -> Column:
-        before = F.when((k > 0) & (F.get(places, k - 1)["w"] == x["w"]), F.get(places, k - 1)["i"]).otherwise(-1)
-        first = F.greatest(before + 1, x["i"] - (window - 1), F.lit(0))
-        return F.greatest(F.least(x["i"], F.greatest(n - window, F.lit(0))) - first + 1, F.lit(0)).cast("long")
-
-    total = F.aggregate(F.transform(places, windows), F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.struct(total.alias("distinct_sum"), F.when(n < window, n.cast("long")).otherwise((n - window + 1).cast("long") * window).alias("window_words"))
+    def figures(lists: pa.Array) -> list[np.ndarray]:
+        n = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        named = lists.flatten().dictionary_encode()
+        code = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = pc.utf8_length(named.dictionary).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.argsort(row * max(len(letters), 1) + code, kind="stable")
+        row, code, place = row[order], code[order], place[order]
+        new = np.ones(len(code), bool)
+        new[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+        before = np.where(new, -1, np.roll(place, 1))
+        first = np.maximum(np.maximum(before + 1, place - (window - 1)), 0)
+        held = np.maximum(np.minimum(place, np.maximum(n - window, 0)[row]) - first + 1, 0)
+        runs = np.flatnonzero(new)
+        often = runs[(np.diff(np.append(runs, len(code))) >= times) & (letters[code[runs]] >= 3)] if len(runs) else runs
+        count = lambda rows, weights=None: np.bincount(rows, weights, len(n)).astype(np.int64)
+        return [count(row, held), np.where(n < window, n, (n - window + 1) * window), count(row[runs]), count(row[often])]
+
+    @F.arrow_udf(", ".join(f"{c} long" for c in FIGURES))
+    def of_batch(lists: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+        parts, at = [[np.zeros(0, np.int64)] * len(FIGURES)], 0
+        while at < len(lists):  # rows that WORDS_MOST words fill, one at least
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS_MOST, "right")))
+            parts.append(figures(lists.slice(at, end - at)))
+            at = end
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts)], list(FIGURES))
+
+    return of_batch(words)
 
 
 def _with_places(essays: DataFrame, script: str, *columns: str) -> DataFrame:
@@ -140,7 +169,7 @@ def repeated_words(counts: DataFrame, times: int = 5) -> DataFrame:
 def mattr(essays: DataFrame, window: int = WINDOW, script: str = T.LETTERS) -> DataFrame:
     """``(essay_id, distinct_sum, window_words)``; their ratio is the moving type-token ratio. Texts shorter than a window give their plain
     type-token ratio. One row a row of essays."""
-    return _with_places(essays, script).select("essay_id", moving_types(F.col("places"), window).alias("m")).select("essay_id", "m.*")
+    return words_of(essays, script).select("essay_id", word_figures(F.col("words"), window).alias("m")).select("essay_id", "m.distinct_sum", "m.window_words")
 
 
 def discourse(text: Column, markers: dict[str, list[str]]) -> Column:

@@ -1,5 +1,8 @@
 """Words counted within a row: the same as grouped ones, and no row or sort for each word."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from palmleaf.operators import features, scoring
@@ -36,3 +39,26 @@ def test_entities_within_a_row(spark):
     found = features.extract_entities(docs, ["the", "la"], ["ville"])
     assert rows(found) == [("Bbville", "place"), ("see the", "named"), ("the the", "named"), ("villeX la", "named")]
     assert "posexplode" not in plan(found)
+
+
+@pytest.mark.parametrize("window,most", [(1, 1), (4, 7), (4, 500_000), (50, 30)])
+def test_word_figures_equal_all_windows(spark, monkeypatch, window, most):
+    """Few words at a time, so that rows are cut off between batches; a word of two letters is not repeated, whatever its characters."""
+    monkeypatch.setattr(features, "WORDS_MOST", most)
+    rnd = random.Random(window + most)
+    lists = [[], None, ["a"], ["den"] * 5, ["දෙ"] * 9, ["ĳĳ"] * 6] + [[rnd.choice(["one", "two", "ab", "épée", "x"]) for _ in range(rnd.randrange(70))] for _ in range(40)]
+
+    def want(words):
+        w = words or []
+        views = [w] if len(w) < window else [w[i : i + window] for i in range(len(w) - window + 1)]
+        return sum(len(set(v)) for v in views), sum(map(len, views)), len(set(w)), sum(len(t) >= 3 and w.count(t) >= 5 for t in set(w))
+
+    got = spark.createDataFrame(list(enumerate(lists)), "id long, words array<string>").repartition(2)
+    got = got.select("id", features.word_figures(F.col("words"), window).alias("f")).collect()
+    assert {r.id: tuple(r.f) for r in got} == {i: want(w) for i, w in enumerate(lists)}
+
+
+def test_texts_are_scored_without_sorting_words_in_rows(spark):
+    essays = spark.createDataFrame(TEXTS[2:], "essay_id long, text string")
+    scored = scoring.score_texts(essays, spark.createDataFrame(VOCABULARY, "token string"), ["la"], {"a": ["and"]}, (["the"], ["that"], ["is"]))
+    assert "sort_array" not in plan(scored)
