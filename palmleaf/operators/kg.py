@@ -218,7 +218,8 @@ def relation_types(edges: DataFrame) -> DataFrame:
 
 
 def all_triples(edges: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
-    out = with_names(edges, nodes).select("subject", "subject_label", "relation", "object", "object_label", "period", "source_citation")
+    """All edges by names and labels; nodes are held as hash tables of a partition at any size, for sorting all edges by both ends takes longer and more memory."""
+    out = with_names(edges, nodes.hint("shuffle_hash")).select("subject", "subject_label", "relation", "object", "object_label", "period", "source_citation")
     return out if limit is None else out.orderBy("subject", "relation", "object", "period").limit(limit)
 
 

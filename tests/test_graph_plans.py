@@ -62,3 +62,10 @@ def test_pages_of_facts_both_ways(spark, graph, monkeypatch, page):
 def test_facts_of_an_essay_are_dealt_once(spark):
     text = plan(history.format_facts(spark, "/root/testdata/sf0.001"))
     assert text.count("Exchange hashpartitioning(src_id") + text.count("Exchange hashpartitioning(essay_id") == 1
+
+
+def test_names_come_by_hash_tables_at_any_size(spark, graph):
+    nodes, edges, rows = graph
+    out = kg.all_triples(edges, nodes)
+    assert plan(out).count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan(out) and "BroadcastHashJoin" not in plan(out)
+    assert sorted(map(tuple, out.select("subject", "relation", "object").collect())) == sorted((f"n{s}", r, f"n{d}") for s, r, d, *_ in rows if s < 8 and d < 8)
