@@ -5,7 +5,9 @@ Lexicons are tables or lists that the caller gives. Essays have essay_id and tex
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,12 @@ from palmleaf.functions import text as T
 from palmleaf.shared import materialize
 
 WINDOW = 50
-#: Words that word_figures looks at in one go: a batch of rows may hold millions.
+#: Words that are looked at in one go: a batch of rows may hold millions.
 WORDS_MOST = 500_000
+#: Words of a vocabulary that go to every task, the most frequent ones; texts meet the others in a join.
+NEAR_MOST = 1 << 17
 FIGURES = ("distinct_sum", "window_words", "n_types", "n_repeated")
+LEXICAL = ("n_tokens", "n_academic", "n_informal")
 
 
 def gate(essays: DataFrame, least_chars: int = 30, least_words: int = 10, script: str = T.LETTERS) -> DataFrame:
@@ -46,20 +51,64 @@ def word_runs(places: Column, starts: Column) -> Column:
     return F.array_compact(F.transform(starts, run))
 
 
-def word_figures(words: Column, window: int = WINDOW, times: int = 5) -> Column:
+def _slices(lists: pa.Array) -> Iterator[pa.Array]:
+    """Lists that WORDS_MOST words fill, one at least, in order."""
+    ends, at = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)), 0
+    while at < len(lists):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS_MOST, "right")))
+        yield lists.slice(at, end - at)
+        at = end
+
+
+def _numbered(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Words of each list; of each word the list and the word's number; the different words and their letters."""
+    n = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    named = lists.flatten().dictionary_encode()
+    code = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    letters = pc.utf8_length(named.dictionary).to_numpy(zero_copy_only=False)
+    return n, np.repeat(np.arange(len(n)), n), code, named.dictionary, letters
+
+
+class Lexicon(NamedTuple):
+    """A vocabulary (table ``words``, column v) as texts meet it: ``near`` words go to every task, ``far`` is the table of the others (None if
+    there are none), of ``least`` letters or more."""
+
+    words: DataFrame
+    near: pa.Array
+    far: DataFrame | None
+    least: int
+    informal: list[str]
+
+
+def lexicon(vocabulary: DataFrame, informal: list[str]) -> Lexicon:
+    """The vocabulary (token, and n_paragraphs where it is known) is written; NEAR_MOST words at most, those of most paragraphs, are near."""
+    often = F.col("n_paragraphs") if "n_paragraphs" in vocabulary.columns else F.lit(1)
+    words = vocabulary.where("token is not null").groupBy(F.col("token").alias("v")).agg(F.max(F.floor(F.log2(F.greatest(often, F.lit(1))) * 8)).alias("step"))
+    words = materialize(words, "vocabulary")
+    steps = sorted(map(tuple, words.groupBy("step").agg(F.count("*"), F.min(F.length("v"))).collect()), reverse=True)  # eight for each doubling
+    sums = np.cumsum([n for _, n, _ in steps])
+    k = int(np.searchsorted(sums, NEAR_MOST, "right"))  # as many steps as are near
+    near = words.where(F.col("step") >= steps[k - 1][0]).select("v").toArrow().column("v").combine_chunks() if k else pa.array([], pa.string())
+    if k == len(steps):
+        return Lexicon(words, near, None, 0, informal)
+    return Lexicon(words, near, words.where(F.col("step") < steps[k - 1][0]) if k else words, min(least for *_, least in steps[k:]), informal)
+
+
+def word_figures(words: Column, window: int = WINDOW, times: int = 5, known: Lexicon | None = None) -> Column:
     """Struct (distinct_sum, window_words, n_types, n_repeated) of an array of words: distinct words of all windows of ``window`` words, and the
     words in them; different words, and those of them of three letters or more that come ``times`` times or more.
 
+    With a lexicon also n_tokens, n_academic (near words only), n_informal, and far, an array of (token, n) of those words that can be far ones.
+
     A word counts as distinct once in each window that holds it, there by its first place, so at place i with the same word last at
     place p it counts in the windows that begin after p and hold i. Words are numbered and sorted a batch of rows, not a row, at a time.
     """
 
-    def figures(lists: pa.Array) -> list[np.ndarray]:
-        n = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        named = lists.flatten().dictionary_encode()
-        code = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        letters = pc.utf8_length(named.dictionary).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(n)), n)
+    meets = known is not None
+    near_words, rest, least, informal = (known.near, known.far is not None, known.least, known.informal) if meets else (None, False, 0, [])  # a table cannot go to tasks
+
+    def figures(lists: pa.Array) -> list[pa.Array]:
+        n, row, code, names, letters = _numbered(lists)
         place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
         order = np.argsort(row * max(len(letters), 1) + code, kind="stable")
         row, code, place = row[order], code[order], place[order]
@@ -69,23 +118,42 @@ def word_figures(words: Column, window: int = WINDOW, times: int = 5) -> Column:
         first = np.maximum(np.maximum(before + 1, place - (window - 1)), 0)
         held = np.maximum(np.minimum(place, np.maximum(n - window, 0)[row]) - first + 1, 0)
         runs = np.flatnonzero(new)
-        often = runs[(np.diff(np.append(runs, len(code))) >= times) & (letters[code[runs]] >= 3)] if len(runs) else runs
+        sizes = np.diff(np.append(runs, len(code))) if len(runs) else runs
+        often = runs[(sizes >= times) & (letters[code[runs]] >= 3)]
         count = lambda rows, weights=None: np.bincount(rows, weights, len(n)).astype(np.int64)
-        return [count(row, held), np.where(n < window, n, (n - window + 1) * window), count(row[runs]), count(row[often])]
-
-    @F.arrow_udf(", ".join(f"{c} long" for c in FIGURES))
+        out = [count(row, held), np.where(n < window, n, (n - window + 1) * window), count(row[runs]), count(row[often])]
+        if not meets:
+            return [pa.array(c, pa.int64()) for c in out]
+        among = lambda some: pc.is_in(names, value_set=pa.array(some, names.type)).to_numpy(zero_copy_only=False)
+        near = among(near_words)
+        out += [n, count(row[near[code]]), count(row[among(informal)[code]])]
+        left = rest & ~near[code[runs]] & (letters[code[runs]] >= least)
+        pairs = pa.StructArray.from_arrays([names.take(pa.array(code[runs][left])), pa.array(sizes[left], pa.int64())], ["token", "n"])
+        ends = np.append(0, np.cumsum(count(row[runs][left]))).astype(np.int32)
+        return [*(pa.array(c, pa.int64()) for c in out), pa.ListArray.from_arrays(pa.array(ends), pairs)]
+
+    fields = [f"{c} long" for c in (*FIGURES, *LEXICAL * meets)] + ["far array<struct<token string, n long>>"] * meets
+
+    @F.arrow_udf(", ".join(fields))
     def of_batch(lists: pa.Array) -> pa.Array:
-        ends = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
-        parts, at = [[np.zeros(0, np.int64)] * len(FIGURES)], 0
-        while at < len(lists):  # rows that WORDS_MOST words fill, one at least
-            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS_MOST, "right")))
-            parts.append(figures(lists.slice(at, end - at)))
-            at = end
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts)], list(FIGURES))
+        parts = [figures(x) for x in _slices(lists)] or [figures(lists)]
+        return pa.StructArray.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], [f.split()[0] for f in fields])
 
     return of_batch(words)
 
 
+def meet_far(rows: DataFrame, known: Lexicon) -> DataFrame:
+    """``rows`` (essay_id, n_academic, far, and others; ids are unique), written first, with the far words of each added to n_academic; only these become rows."""
+    if known.far is None:
+        return rows.drop("far")
+    rows = materialize(rows, "figures")
+    pairs = rows.select("essay_id", F.explode_outer("far").alias("p")).where("p is not null").select("essay_id", "p.*")
+    hits = pairs.join(known.far.hint("merge"), F.col("token") == F.col("v")).groupBy("essay_id").agg(F.sum("n").alias("n_academic"))
+    own = [c for c in rows.columns if c not in ("essay_id", "n_academic", "far")]
+    whole = rows.drop("far").unionByName(hits, allowMissingColumns=True)
+    return whole.groupBy("essay_id").agg(F.sum("n_academic").alias("n_academic"), *(F.max(c).alias(c) for c in own))
+
+
 def _with_places(essays: DataFrame, script: str, *columns: str) -> DataFrame:
     return essays.select("essay_id", *columns, word_places(T.tokens(F.coalesce("text", F.lit("")), script)).alias("places"))
 
@@ -136,17 +204,13 @@ def words_again(essays: DataFrame, times: int = 5, script: str = T.LETTERS) -> D
 
 
 def lexical_counts(essays: DataFrame, vocabulary: DataFrame, informal: list[str], script: str = T.LETTERS) -> DataFrame:
-    """As lexical, of the essays themselves: different and repeated words are counted within a row; its words meet the vocabulary, which is
-    written first, so that Spark sends it to all tasks only where it is small."""
+    """As lexical, of the essays themselves: words are counted within a row, and only what is left of its different words meets the far words of the vocabulary."""
     once, more = by_id(essays)
-    known = materialize(vocabulary.select(F.col("token").alias("v")).distinct(), "vocabulary")
-    rows = words_of(once, script).select("essay_id", "words", F.sort_array("words").alias("sorted"))
-    rows = rows.select("essay_id", "words", F.size(F.array_distinct("words")).cast("long").alias("n_types"), F.size(F.array_distinct(again(F.col("sorted")))).cast("long").alias("n_repeated"))
-    marked = rows.select("essay_id", "n_types", "n_repeated", F.explode_outer("words").alias("token")).join(known, F.col("token") == F.col("v"), "left")
-    out = marked.groupBy("essay_id").agg(
-        F.count("token").alias("n_tokens"), F.first("n_types").alias("n_types"), F.first("n_repeated").alias("n_repeated"), F.count("v").alias("n_academic"), F.count_if(F.col("token").isin(*informal)).alias("n_informal")
-    )
-    return out if more is None else out.unionByName(lexical(more, token_counts(more, script), known.withColumnRenamed("v", "token"), informal))
+    known = lexicon(vocabulary, informal)
+    names = ("n_tokens", "n_types", "n_repeated", "n_academic", "n_informal")
+    rows = words_of(once, script).select("essay_id", word_figures(F.col("words"), known=known).alias("m"))
+    out = meet_far(rows.select("essay_id", *(f"m.{c}" for c in (*names, "far"))), known).select("essay_id", *names)
+    return out if more is None else out.unionByName(lexical(more, token_counts(more, script), known.words.select(F.col("v").alias("token")), informal))
 
 
 def lexical(essays: DataFrame, counts: DataFrame, vocabulary: DataFrame, informal: list[str]) -> DataFrame:
@@ -200,9 +264,19 @@ def sentence_variance(essays: DataFrame, script: str = T.LETTERS) -> DataFrame:
 
 def academic_vocabulary(paragraphs: DataFrame, least_paragraphs: int = 3, least_length: int = 4, script: str = T.LETTERS) -> DataFrame:
     """``(token, n_paragraphs)`` of tokens in that many paragraphs or more; paragraphs has para_id and text."""
-    rows = paragraphs.select(F.array_distinct(T.tokens(F.col("text"), script)).alias("words"))
-    rows = rows.select(F.explode_outer("words").alias("token")).where(F.length("token") >= least_length)  # outer, as in token_counts
-    return rows.groupBy("token").agg(F.count("*").alias("n_paragraphs")).where(F.col("n_paragraphs") >= least_paragraphs)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in (x for batch in batches for x in _slices(batch.column(0))):
+            _, row, code, names, letters = _numbered(lists)
+            long = letters[code] >= least_length
+            each = np.sort(row[long] * len(letters) + code[long])
+            each = each[np.append(True, each[1:] != each[:-1])] if len(each) else each  # a word once a paragraph
+            n = np.bincount(each % max(len(letters), 1), minlength=len(letters))
+            yield pa.RecordBatch.from_arrays([names.filter(pa.array(n > 0)), pa.array(n[n > 0], pa.int64())], ["token", "n"])
+
+    # words are counted a batch of paragraphs at a time, so that a batch's different words, not all words, become rows
+    counts = paragraphs.select(T.tokens(F.col("text"), script).alias("words")).mapInArrow(counted, "token string, n long")
+    return counts.groupBy("token").agg(F.sum("n").alias("n_paragraphs")).where(F.col("n_paragraphs") >= least_paragraphs)
 
 
 def extract_entities(docs: DataFrame, after: list[str], inside: list[str]) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from palmleaf.functions import text as T
 from palmleaf.operators import features
-from palmleaf.shared import materialize
 
 # Weights and thresholds of the dimension scores.
 VOCABULARY = {"mattr": 0.35, "academic": 0.40, "repetition": 0.25, "mattr_full": 0.70, "academic_full": 0.15, "informal_most": 0.30}
@@ -51,20 +50,17 @@ def ratio(a: str, b: str) -> Column:
 def score_texts(essays: DataFrame, vocabulary: DataFrame, informal: list[str], markers: dict[str, list[str]], signals: tuple[list[str], list[str], list[str]], separator: str = r"\n\s*\n", script: str = T.LETTERS) -> DataFrame:
     """``(essay_id, n_tokens, D2, D3, D4)`` of every essay (ids are unique; a null text is empty); vocabulary has the column token.
 
-    A text is split once; moving ratios and word counts are made of a batch of rows at a time. Its different words meet the vocabulary, which is
-    written first, so that Spark sends it to all tasks only where it is small; then one grouping puts an essay together.
+    A text is split once; moving ratios and word counts are made of a batch of rows at a time, which holds its words against the most
+    frequent ones of the vocabulary; only what is left of its different words meets the rest of the vocabulary in a join.
     """
-    known = materialize(vocabulary.select(F.col("token").alias("v")).distinct(), "vocabulary")
+    known = features.lexicon(vocabulary, informal)
     text = F.coalesce("text", F.lit(""))
     own = F.struct(coherence_score(F.size(features.discourse(F.col("low"), markers))).alias("D2"), features.structure_of(F.col("paras"), *signals).alias("s"))
     rows = features.words_of(essays, script, "text")
     rows = rows.select("essay_id", F.lower(text).alias("low"), T.paragraphs(text, separator).alias("paras"), "words")
     rows = rows.select("essay_id", own.alias("own"), "words").select("essay_id", "own.D2", "own.s.*", "words")
-    rows = rows.withColumn("m", features.word_figures(F.col("words")))  # when texts are gone, so that they need not wait for Python
-    rows = rows.select("essay_id", "D2", "n_paragraphs", "has_intro", "has_thesis", "has_conclusion", "m.*", "words")  # numbers, which a hash aggregate can hold; a struct makes it sort
-    own_columns = [c for c in rows.columns if c not in ("essay_id", "words")]
-    marked = rows.select("essay_id", *own_columns, F.explode_outer("words").alias("token")).join(known, F.col("token") == F.col("v"), "left")
-    out = marked.groupBy("essay_id").agg(*(F.first(c).alias(c) for c in own_columns), F.count("token").alias("n_tokens"), F.count("v").alias("n_academic"), F.count_if(F.col("token").isin(*informal)).alias("n_informal"))
+    rows = rows.withColumn("m", features.word_figures(F.col("words"), known=known))  # when texts are gone, so that they need not wait for Python
+    out = features.meet_far(rows.select("essay_id", "D2", "n_paragraphs", "has_intro", "has_thesis", "has_conclusion", "m.*"), known)
     d3 = vocabulary_score(ratio("distinct_sum", "window_words"), ratio("n_academic", "n_tokens"), ratio("n_repeated", "n_types"), ratio("n_informal", "n_tokens"))
     d4 = structure_score(F.col("n_paragraphs"), F.col("has_intro"), F.col("has_thesis"), F.col("has_conclusion"))
     return out.select("essay_id", "n_tokens", "D2", d3.alias("D3"), d4.alias("D4"))

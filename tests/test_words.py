@@ -62,3 +62,36 @@ def test_texts_are_scored_without_sorting_words_in_rows(spark):
     essays = spark.createDataFrame(TEXTS[2:], "essay_id long, text string")
     scored = scoring.score_texts(essays, spark.createDataFrame(VOCABULARY, "token string"), ["la"], {"a": ["and"]}, (["the"], ["that"], ["is"]))
     assert "sort_array" not in plan(scored)
+
+
+def test_vocabulary_counts_paragraphs_without_a_row_for_each_word(spark, monkeypatch):
+    monkeypatch.setattr(features, "WORDS_MOST", 5)
+    texts = ["aaaa bbbb aaaa", "AAAA cc", "aaaa bbbb", None, "", "bbbb éééé dd", "éééé", "éééé éééé"]
+    found = features.academic_vocabulary(spark.createDataFrame(list(enumerate(texts)), "para_id long, text string").repartition(2))
+    assert rows(found) == [(3, "aaaa"), (3, "bbbb"), (3, "éééé")]
+    assert "Generate" not in plan(found)
+
+
+@pytest.mark.parametrize("near,counted", [(0, True), (2, True), (3, True), (1 << 17, True), (2, False)])
+def test_near_and_far_words_of_a_vocabulary_count_alike(spark, monkeypatch, near, counted):
+    """Few near words, so that some or all are met in the join; two-letter words of the vocabulary and of no text too."""
+    monkeypatch.setattr(features, "NEAR_MOST", near)
+    monkeypatch.setattr(features, "WORDS_MOST", 40)
+    rnd = random.Random(near)
+    names = ["one", "two", "ab", "épée", "x", "three", "four"]
+    texts = [(i, " ".join(rnd.choice(names) for _ in range(rnd.randrange(60)))) for i in range(30)] + [(30, None), (31, "12"), (32, "x x x")]
+    words = [("one", 900), ("ab", 40), ("épée", 40), ("four", 3), ("never", 3)]
+    essays, known = spark.createDataFrame(texts, "essay_id long, text string").repartition(3), spark.createDataFrame(words, "token string, n_paragraphs long")
+    known = known if counted else known.select("token")
+    counts = features.token_counts(essays)
+    assert rows(features.lexical_counts(essays, known, ["one", "x"])) == rows(features.lexical(essays, counts, known, ["one", "x"]))
+    scored = scoring.score_texts(essays, known, ["one", "x"], {"a": ["two"]}, (["one"], ["ab"], ["x"]))
+    want = features.lexical(essays, counts, known, ["one", "x"]).join(features.mattr(essays), "essay_id")
+    score = scoring.vocabulary_score(scoring.ratio("distinct_sum", "window_words"), scoring.ratio("n_academic", "n_tokens"), scoring.ratio("n_repeated", "n_types"), scoring.ratio("n_informal", "n_tokens"))
+    assert rows(scored.select("essay_id", "n_tokens", "D3")) == rows(want.select("essay_id", "n_tokens", score.alias("D3")))
+
+
+def test_near_words_take_no_row_for_each_word(spark):
+    essays, known = spark.createDataFrame(TEXTS[2:], "essay_id long, text string"), spark.createDataFrame(VOCABULARY, "token string")
+    assert "Generate" not in plan(scoring.score_texts(essays, known, ["la"], {"a": ["and"]}, (["the"], ["that"], ["is"])))
+    assert "Generate" not in plan(features.lexical_counts(essays, known, ["la"]))
